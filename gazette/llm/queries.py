@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gazette.llm import oracles, quality_rules, secret_scans, url_filters
+from gazette.llm import bpe, huffman, oracles, packing, quality_rules, secret_scans, url_filters
 from gazette.llm.shared import table
+from gazette.llm.tokens import vocabulary
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +18,23 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.summary(table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     out = url_filters.judge(pages, url_filters.listed_urls(pages))
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op4_url_filters)}
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_best_fit_packing, op4_url_filters, op7_token_files, op10_bpe)}
 ORACLES = {"op1_quality_rules": oracles.QUALITY_RULES, "op4_url_filters": oracles.URL_FILTERS}
