@@ -73,3 +73,26 @@ listed AS (SELECT DISTINCT canon FROM named WHERE canon IS NOT NULL AND regexp_m
 SELECT page_id, host, path, rule, coalesce(say, CASE WHEN canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM fit LEFT JOIN best USING (k)
 """
+
+LINE_DEDUP = r"""
+WITH lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+full_lines AS (SELECT doc_id, i, trim(raw, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line FROM lines WHERE trim(raw, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) <> ''),
+three AS (
+  SELECT doc_id, i, lead(i) OVER w AS i2, lead(i, 2) OVER w AS i3, line || chr(10) || lead(line) OVER w || chr(10) || lead(line, 2) OVER w AS t
+  FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, i) AS nth FROM three WHERE t IS NOT NULL),
+covered AS (SELECT DISTINCT doc_id, unnest([i, i2, i3]) AS i FROM placed WHERE nth > 1)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(k.n, 0)::BIGINT AS n_removed_lines
+FROM documents d LEFT JOIN (
+  SELECT l.doc_id, string_agg(raw, chr(10) ORDER BY l.i) FILTER (c.i IS NULL) AS text, count(c.i) AS n
+  FROM lines l LEFT JOIN covered c ON c.doc_id = l.doc_id AND c.i = l.i GROUP BY l.doc_id) k USING (doc_id)
+"""
+
+TOP_K = r"""
+WITH fit AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM fit q JOIN fit c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""

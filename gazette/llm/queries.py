@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gazette.llm import bpe, huffman, oracles, packing, quality_rules, secret_scans, url_filters
+from gazette.llm import bpe, huffman, line_dedup, oracles, packing, quality_rules, secret_scans, top_k, url_filters
 from gazette.llm.shared import table
 from gazette.llm.tokens import vocabulary
 
@@ -32,9 +32,18 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k.search(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_best_fit_packing, op4_url_filters, op7_token_files, op10_bpe)}
-ORACLES = {"op1_quality_rules": oracles.QUALITY_RULES, "op4_url_filters": oracles.URL_FILTERS}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_best_fit_packing, op4_url_filters, op7_token_files, op8_line_dedup, op9_exact_top_k, op10_bpe)}
+ORACLES = {"op1_quality_rules": oracles.QUALITY_RULES, "op4_url_filters": oracles.URL_FILTERS, "op8_line_dedup": oracles.LINE_DEDUP, "op9_exact_top_k": oracles.TOP_K}
