@@ -96,3 +96,34 @@ scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BI
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+CHAT_FORMAT = r"""
+WITH RECURSIVE lines AS (
+  SELECT conv_id, turn, md5(text) AS row, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations WHERE text IS NOT NULL),
+levels AS (
+  SELECT conv_id, turn, row, i, length(regexp_replace(regexp_extract(line, '^[ \t]*(?:>[ \t]*)+'), '[^>]', '', 'g')) AS level,
+    regexp_replace(line, '^[ \t]*(?:>[ \t]*)+', '') AS body FROM lines),
+marked AS (
+  SELECT *, NOT regexp_matches(body, '\S') AS blank,
+    (level <> lag(level, 1, -1) OVER w OR NOT regexp_matches(body, '\S'))::INT AS starts FROM levels WINDOW w AS (PARTITION BY conv_id, turn, row ORDER BY i)),
+runs AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id, turn, row ORDER BY i) AS run FROM marked QUALIFY NOT blank),
+texts AS (
+  SELECT conv_id, turn, level, string_agg(body, ' ' ORDER BY i) AS unit FROM runs GROUP BY conv_id, turn, row, run, level
+  UNION ALL SELECT conv_id, turn, level, body FROM runs),
+units AS (SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS unit FROM texts),
+firsts AS (SELECT conv_id, unit, min(turn) AS of_turn FROM units WHERE level = 0 GROUP BY ALL),
+found AS (
+  SELECT q.conv_id, q.turn, q.level, f.of_turn, sum(length(q.unit)) AS chars, count(*) AS n
+  FROM units q JOIN firsts f ON f.conv_id = q.conv_id AND f.unit = q.unit AND f.of_turn < q.turn WHERE q.level > 0 GROUP BY ALL),
+parents AS (
+  SELECT conv_id, turn, arg_max(of_turn, (-level, chars, of_turn)) AS parent_turn, sum(n)::BIGINT AS n_linked FROM found GROUP BY ALL),
+keys AS (SELECT DISTINCT conv_id, turn, parent_turn FROM conversations LEFT JOIN parents USING (conv_id, turn)),
+walk AS (
+  SELECT conv_id, turn, turn::VARCHAR AS path, 0 AS depth FROM keys WHERE parent_turn IS NULL
+  UNION ALL SELECT k.conv_id, k.turn, w.path || '.' || k.turn, w.depth + 1 FROM keys k JOIN walk w ON w.conv_id = k.conv_id AND w.turn = k.parent_turn),
+own AS (
+  SELECT c.conv_id, c.turn, c.role, CASE WHEN text IS NULL THEN NULL ELSE regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '^[ \t]*>')), chr(10)), '^\s+|\s+$', '', 'g') END AS text
+  FROM conversations c)
+SELECT o.conv_id, o.turn, o.role, o.text, p.parent_turn, coalesce(p.n_linked, 0)::BIGINT AS n_linked, w.depth::BIGINT AS depth, w.path
+FROM own o LEFT JOIN parents p USING (conv_id, turn) LEFT JOIN walk w USING (conv_id, turn)
+"""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gazette.llm import bpe, huffman, line_dedup, oracles, packing, quality_rules, secret_scans, top_k, url_filters
+from gazette.llm import bpe, chat_format, huffman, line_dedup, near_dedup, oracles, packing, quality_rules, secret_scans, top_k, url_filters
 from gazette.llm.shared import table
 from gazette.llm.tokens import vocabulary
 
@@ -28,6 +29,15 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat_format.in_reply_order(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", "role", "text", "parent_turn", "n_linked", "depth", F.array_join(F.transform("path", lambda t: t.cast("string")), ".").alias("path"))
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -45,5 +55,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_best_fit_packing, op4_url_filters, op7_token_files, op8_line_dedup, op9_exact_top_k, op10_bpe)}
-ORACLES = {"op1_quality_rules": oracles.QUALITY_RULES, "op4_url_filters": oracles.URL_FILTERS, "op8_line_dedup": oracles.LINE_DEDUP, "op9_exact_top_k": oracles.TOP_K}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_best_fit_packing, op4_url_filters, op5_chat_format, op6_near_dedup, op7_token_files, op8_line_dedup, op9_exact_top_k, op10_bpe)}
+ORACLES = {"op1_quality_rules": oracles.QUALITY_RULES, "op4_url_filters": oracles.URL_FILTERS, "op5_chat_format": oracles.CHAT_FORMAT, "op8_line_dedup": oracles.LINE_DEDUP, "op9_exact_top_k": oracles.TOP_K}
