@@ -55,6 +55,11 @@ def cases(pairs: list[tuple[Column, object]], otherwise: object = None) -> Colum
     return out if otherwise is None else out.otherwise(otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it, also where the optimizer moves it into filters or joins."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lookup(key: Column, values: dict, otherwise: object = None) -> Column:
     return cases([(key == k, v) for k, v in values.items()], otherwise)
 
@@ -69,28 +74,26 @@ def _word(alias: str) -> str:
     return rf"\b({alias})\b"
 
 
-def organization_name(organization: Column) -> Column:
-    """Full name of the first alias that stands in the text as a word, else the text itself, normalized."""
-    text = normalize_text(organization)
-    return cases([(text.rlike(_word(a)), full) for a, full in ORGANIZATION_ALIASES.items()], text)
+def organization_name(normal: Column) -> Column:
+    """Full name of the first alias that stands in a normalized text as a word, else the text itself."""
+    return let(normal, lambda x: cases([(x.rlike(_word(a)), full) for a, full in ORGANIZATION_ALIASES.items()], x))
 
 
-def recruitment_name(name: Column) -> Column:
-    """Each alias in turn replaced once, at its first occurrence as a word."""
-    text = normalize_text(name)
+def recruitment_name(normal: Column) -> Column:
+    """Each alias in turn replaced once, at its first occurrence as a word of a normalized text."""
     for alias, full in EXAM_ALIASES.items():
-        text = F.regexp_replace(text, rf"^(.*?)\b{alias}\b", f"$1{full}")
-    return text
+        normal = F.regexp_replace(normal, rf"^(.*?)\b{alias}\b", f"$1{full}")
+    return normal
 
 
-def organization_in_title(title: Column) -> Column:
-    text = normalize_text(title)
-    return cases([(text.rlike(_word(p)), name) for p, name in TITLE_ORGANIZATIONS.items()])
+def organization_in_title(normal: Column) -> Column:
+    """From a normalized title."""
+    return let(normal, lambda x: cases([(x.rlike(_word(p)), name) for p, name in TITLE_ORGANIZATIONS.items()]))
 
 
-def exam_in_title(title: Column) -> Column:
-    text = normalize_text(title)
-    return cases([(text.rlike(_word(p)), name) for p, name in TITLE_EXAMS.items()])
+def exam_in_title(normal: Column) -> Column:
+    """From a normalized title."""
+    return let(normal, lambda x: cases([(x.rlike(_word(p)), name) for p, name in TITLE_EXAMS.items()]))
 
 
 def number_in_title(title: Column) -> Column:
@@ -104,7 +107,7 @@ def year_in(text: Column) -> Column:
 def notice_number(text: Column) -> Column:
     """Without the words for a notice; letters, digits, _ and / kept; null under two characters."""
     kept = F.regexp_replace(F.regexp_replace(normalize_text(text), _word(NOTICE_WORDS), ""), "[^A-Za-z0-9_/]", "")
-    return F.when(F.length(kept) >= 2, kept)
+    return let(kept, lambda x: F.when(F.length(x) >= 2, x))
 
 
 def identity_string(*parts: Column) -> Column:
@@ -115,7 +118,7 @@ def identity_string(*parts: Column) -> Column:
 def vacancy_number(text: Column) -> Column:
     """All digits of the text as one number; null if none or 0."""
     n = F.nullif(F.regexp_replace(text, "[^0-9]", ""), F.lit("")).try_cast("bigint")
-    return F.when(n > 0, n)
+    return let(n, lambda x: F.when(x > 0, x))
 
 
 def integer_prefix(text: Column) -> Column:
@@ -190,7 +193,7 @@ def clean_content(html: Column) -> Column:
 
 def fingerprint(html: Column) -> Column:
     clean = clean_content(html)
-    return F.sha2(F.when(F.length(clean) > 0, clean).otherwise(F.trim(F.coalesce(html, F.lit("")))), 256)
+    return let(clean, lambda c: F.sha2(F.when(F.length(c) > 0, c).otherwise(F.trim(F.coalesce(html, F.lit("")))), 256))
 
 
 def without_no_value(text: Column) -> Column:
@@ -211,9 +214,9 @@ def section(markdown: Column, heading: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(markdown, rf"(?is)##[ \t]*{heading}[^\n]*\n(.*?)(?=\n##|\z)", 1)), F.lit(""))
 
 
-def token_set(title: Column) -> Column:
+def token_set(normal: Column) -> Column:
     """Distinct words of over one character of a normalized title."""
-    return F.array_distinct(F.filter(F.split(normalize_text(title), " "), lambda w: F.length(w) > 1))
+    return F.array_distinct(F.filter(F.split(normal, " "), lambda w: F.length(w) > 1))
 
 
 def similarity(a_norm: Column, b_norm: Column, a_tokens: Column, b_tokens: Column) -> Column:

@@ -17,26 +17,24 @@ def identities(notices: DataFrame, as_of: str) -> DataFrame:
     """
     have = set(notices.columns)
     col = lambda name: F.col(name) if name in have else F.lit(None).cast("string")
-    title = F.coalesce(col("title"), F.lit(""))
-    organization = F.coalesce(F.nullif(col("organization"), F.lit("")), exprs.organization_in_title(title))
-    recruitment = F.coalesce(F.nullif(col("recruitment_name"), F.lit("")), exprs.exam_in_title(title))
-    start = col("application_start").cast("string")
-    return notices.select(
-        "id",
-        F.coalesce(F.nullif(col("type"), F.lit("")), F.lit("job")).alias("content_type"),
-        F.coalesce(exprs.year_in(title), exprs.year_in(start), F.year(F.lit(as_of).cast("timestamp"))).alias("year"),
-        F.nullif(F.when(organization.isNotNull(), exprs.organization_name(organization)), F.lit("")).alias("org"),
-        F.nullif(F.when(recruitment.isNotNull(), exprs.recruitment_name(recruitment)), F.lit("")).alias("rec"),
-        exprs.notice_number(F.coalesce(F.nullif(col("advertisement_number"), F.lit("")), exprs.number_in_title(title))).alias("advt"),
-        exprs.notice_number(col("notification_number")).alias("notif"),
-        F.nullif(col("official_notification_url"), F.lit("")).alias("pdf"),
-        F.nullif(col("document_checksum"), F.lit("")).alias("checksum"),
-        exprs.vacancy_number(col("vacancy")).alias("vacancy"),
-        F.nullif(col("application_last_date").cast("string"), F.lit("")).alias("ends"),
-        exprs.normalize_text(title).alias("norm"),
-        exprs.token_set(title).alias("tokens"),
-        col("created_at").alias("created_at"),
-    )
+    text = lambda name: F.nullif(col(name), F.lit(""))
+    # in steps: a column that several expressions need is computed once and not inlined into each
+    kept = notices.select(
+        "id", F.coalesce(text("type"), F.lit("job")).alias("content_type"), F.coalesce(F.col("title"), F.lit("")).alias("_title"), text("organization").alias("_org"), text("recruitment_name").alias("_rec"),
+        text("advertisement_number").alias("_advt"), text("notification_number").alias("_notif"), text("official_notification_url").alias("pdf"), text("document_checksum").alias("checksum"),
+        exprs.vacancy_number(col("vacancy")).alias("vacancy"), col("application_start").cast("string").alias("_start"), F.nullif(col("application_last_date").cast("string"), F.lit("")).alias("ends"), col("created_at").alias("created_at"),
+    )
+    named = kept.withColumn("norm", exprs.normalize_text(F.col("_title")))
+    named = named.withColumns({"_org": F.coalesce("_org", exprs.organization_in_title(F.col("norm"))), "_rec": F.coalesce("_rec", exprs.exam_in_title(F.col("norm")))})
+    named = named.withColumns({"_org": exprs.let(F.col("_org"), lambda x: F.when(x.isNotNull(), exprs.normalize_text(x))), "_rec": exprs.let(F.col("_rec"), lambda x: F.when(x.isNotNull(), exprs.normalize_text(x)))})
+    named = named.withColumns({
+        "org": exprs.let(exprs.organization_name(F.col("_org")), lambda x: F.when(x != "", x)),
+        "rec": exprs.let(exprs.recruitment_name(F.col("_rec")), lambda x: F.when(x != "", x)),
+        "year": F.coalesce(exprs.year_in(F.col("_title")), exprs.year_in(F.col("_start")), F.year(F.lit(as_of).cast("timestamp"))),
+        "_advt": F.coalesce("_advt", exprs.number_in_title(F.col("_title"))),
+        "tokens": exprs.token_set(F.col("norm")),
+    })
+    return named.withColumns({"advt": exprs.notice_number(F.col("_advt")), "notif": exprs.notice_number(F.col("_notif"))}).select(*IDENTITY)
 
 
 def _sides(df: DataFrame, side: str) -> DataFrame:
@@ -74,26 +72,24 @@ def scored(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"action": action, "is_duplicate": (F.col("confidence") >= 85) & (n == 0)}).drop("_key", "_clash", "_score")
 
 
+BLOCKS = ("checksum", "advt", "notif", "pdf", "org")
+
+
 def candidates(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
     """Pairs that may reach 65, complete: by (type, year) and one of checksum, numbers, document URL or organization; those of different recruitment are left out.
 
-    Without an equal key a pair reaches 55 at most, so these five equi-joins lose nothing. ordered: a_id < b_id, for a join of a table with itself.
+    Without an equal key a pair reaches 55 at most, so these keys lose nothing. A row stands under each of its keys, so
+    one equi-join serves all; a pair counts under the first of its equal keys only, so none has to be removed afterwards.
+    ordered: a_id < b_id, for a join of a table with itself.
     """
-    out = None
-    for key in ("checksum", "advt", "notif", "pdf", "org"):
-        a, b = _sides(left.where(F.col(key).isNotNull()), "a"), _sides(right.where(F.col(key).isNotNull()), "b")
-        on = (F.col("a_content_type") == F.col("b_content_type")) & (F.col("a_year") == F.col("b_year")) & (F.col(f"a_{key}") == F.col(f"b_{key}"))
-        on = on & (F.col("a_rec").isNull() | F.col("b_rec").isNull() | (F.col("a_rec") == F.col("b_rec")))
-        if ordered:
-            on = on & (F.col("a_id") < F.col("b_id"))
-        # a pair is made by the first of its equal keys only, so nothing has to be de-duplicated afterwards
-        for earlier in ("checksum", "advt", "notif", "pdf", "org"):
-            if earlier == key:
-                break
-            on = on & ~F.coalesce(F.col(f"a_{earlier}") == F.col(f"b_{earlier}"), F.lit(False))
-        found = a.join(b, on)
-        out = found if out is None else out.unionByName(found)
-    return out
+    keys = F.filter(F.array(*[F.struct(F.lit(n).alias("kind"), F.col(k).alias("key")) for n, k in enumerate(BLOCKS)]), lambda x: x["key"].isNotNull())
+    a, b = (_sides(side.withColumn("block", F.explode(keys)), name) for side, name in ((left, "a"), (right, "b")))
+    first = exprs.cases([(F.col(f"a_{k}") == F.col(f"b_{k}"), n) for n, k in enumerate(BLOCKS)])
+    on = (F.col("a_content_type") == F.col("b_content_type")) & (F.col("a_year") == F.col("b_year")) & (F.col("a_block.kind") == F.col("b_block.kind")) & (F.col("a_block.key") == F.col("b_block.key"))
+    on = on & (F.col("a_rec").isNull() | F.col("b_rec").isNull() | (F.col("a_rec") == F.col("b_rec"))) & (F.col("a_block.kind") == first)
+    if ordered:
+        on = on & (F.col("a_id") < F.col("b_id"))
+    return a.join(b, on).drop("a_block", "b_block")
 
 
 def duplicate_audit(notices: DataFrame, as_of: str, least: int = 65) -> DataFrame:
@@ -120,7 +116,7 @@ def match_incoming(incoming: DataFrame, catalogue: DataFrame, as_of: str, least:
 
 def related_stages(notices: DataFrame, as_of: str) -> DataFrame:
     """Pairs of different type with the same organization, recruitment and year."""
-    ids = identities(notices, as_of).where("org is not null and rec is not null").select("id", "content_type", "org", "rec", "year")
+    ids = identities(notices, as_of).select("id", "content_type", "org", "rec", "year").where("org is not null and rec is not null")
     a, b = _sides(ids, "a"), _sides(ids, "b")
     same = (F.col("a_org") == F.col("b_org")) & (F.col("a_rec") == F.col("b_rec")) & (F.col("a_year") == F.col("b_year"))
     return a.join(b, same & (F.col("a_content_type") < F.col("b_content_type"))).select("a_id", "b_id", "a_content_type", "b_content_type")
