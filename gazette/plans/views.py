@@ -86,6 +86,13 @@ SELECT concat('sb_', k, '_', n) AS id, concat('u_', k) AS user_id, CASE k % 3 WH
   TIMESTAMP '2024-01-11 00:00:00' + DAYS(CAST(k % 60 AS INT)) AS period_end, TIMESTAMP '2024-01-30 00:00:00' - DAYS(CAST((k + 7 * n) % 90 AS INT)) AS created_at
 FROM (SELECT c_custkey AS k FROM {customer}) c CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n) two WHERE k % 2 = 0 AND (n = 0 OR k % 5 = 0)""",
     "plans": """SELECT 'free' AS id, CAST(0 AS DECIMAL(18, 2)) AS price, '["alerts"]' AS features UNION ALL SELECT 'plus' AS id, CAST(99 AS DECIMAL(18, 2)) AS price, '["alerts","digest"]' AS features UNION ALL SELECT 'pro' AS id, CAST(299 AS DECIMAL(18, 2)) AS price, '["alerts","digest","api"]' AS features""",
+    "extractions": """
+SELECT i.id, i.k, i.title, coalesce(j.vacancy, '') AS vacancy, coalesce(i.advertisement_number, '') AS advertisement_number, coalesce(d.day, '') AS application_last_date, j.post_name, s.trust_level, i.k % 5 AS evidence_count,
+  CASE i.k % 9 WHEN 0 THEN 'https://bit.ly/x' WHEN 1 THEN 'not a url' WHEN 2 THEN 'ftp://files.example.gov.in/a' WHEN 3 THEN 'https://www.example.com/apply' ELSE j.apply_url END AS official_apply_url, coalesce(j.official_notification_url, '') AS official_notification_url, s.base_url,
+  concat('Total posts: ', CASE WHEN i.k % 6 = 0 THEN '12354' ELSE coalesce(j.vacancy, 'many') END, '. Advt. No. ', CASE WHEN i.k % 4 = 0 THEN '--' ELSE coalesce(i.advertisement_number, '') END,
+    '. Apply by ', CASE WHEN i.k % 3 = 0 THEN concat(substring(d.day, 9, 2), ' ', CASE substring(d.day, 6, 2) WHEN '01' THEN 'January' WHEN '02' THEN 'February' ELSE 'March' END, ' ', substring(d.day, 1, 4)) WHEN i.k % 3 = 1 THEN coalesce(d.day, '') ELSE 'soon' END) AS source_text
+FROM content_items i JOIN jobs j ON j.content_item_id = i.id JOIN sources s ON s.id = i.source_id
+JOIN (SELECT content_item_id, CASE WHEN application_last_date IS NOT NULL THEN substring(concat(application_last_date), 1, 10) ELSE '' END AS day FROM jobs) d ON d.content_item_id = i.id""",
 }
 #: Landing pages with their filter, threshold and index flag.
 LANDING_PAGES = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,3 +12,84 @@ def resolve_redirects(requests: DataFrame, redirects: DataFrame) -> DataFrame:
     plain = F.when(F.length("path") > 1, F.regexp_replace("path", "/$", "")).otherwise(F.col("path"))
     # a path that ends with a slash may be redirected under either form
     return requests.withColumn("_path", F.explode(F.array_distinct(F.array(plain, F.col("path"))))).join(to, F.col("_path") == F.col("from_path")).drop("_path")
+
+
+def first_deliveries(events: DataFrame) -> DataFrame:
+    """The first row of each event id, by seq."""
+    return events.groupBy("event_id").agg(F.min_by(F.struct(*[c for c in events.columns if c != "event_id"]), "seq").alias("e")).select("event_id", "e.*")
+
+
+def accept_new(batch: DataFrame, accepted: DataFrame) -> DataFrame:
+    """T3 in foreachBatch: events of a batch that were never accepted, once each. accepted is the sink itself, so nothing is forgotten."""
+    return first_deliveries(batch).join(accepted.select("event_id"), "event_id", "left_anti")
+
+
+def subscription_state(events: DataFrame, days: int = 30) -> DataFrame:
+    """T4: status by the last event; the period runs from the last event that isn't a cancellation."""
+    status = F.when(F.col("kind") == "cancelled", "cancelled").otherwise("active")
+    end = F.max(F.when(F.col("kind") != "cancelled", F.col("ts"))) + F.expr(f"interval {days} days")
+    return events.groupBy("subscription_id").agg(F.max_by(status, F.struct("ts", "seq")).alias("status"), end.alias("period_end"))
+
+
+def page_changes(snapshot: DataFrame, observed: DataFrame) -> DataFrame:
+    """observed(source_id, normalized_url, canonical_url, fingerprint, ...) with NEW, UPDATED or UNCHANGED against snapshot, by normalized URL, else by canonical URL, and whether a new page repeats another's content."""
+    by_url = snapshot.select("source_id", "normalized_url", F.col("fingerprint").alias("_by_url")).dropDuplicates(["source_id", "normalized_url"])
+    by_canonical = snapshot.where("canonical_url is not null").groupBy("source_id", "canonical_url").agg(F.min("fingerprint").alias("_by_canonical"))
+    known = snapshot.select("source_id", "fingerprint").distinct().withColumn("_known", F.lit(True))
+    out = observed.join(by_url, ["source_id", "normalized_url"], "left").join(by_canonical, ["source_id", "canonical_url"], "left").join(known, ["source_id", "fingerprint"], "left")
+    was = F.coalesce("_by_url", "_by_canonical")
+    status = F.when(was.isNull(), "NEW").when(was != F.col("fingerprint"), "UPDATED").otherwise("UNCHANGED")
+    same = F.when(was.isNull(), F.coalesce("_known", F.lit(False))).otherwise(was == F.col("fingerprint"))
+    return out.withColumns({"page_status": status, "repeats_content": same}).drop("_by_url", "_by_canonical", "_known")
+
+
+def redirect_hits(requests: DataFrame, redirects: DataFrame) -> DataFrame:
+    """Hits and last access of each redirect; on a stream in update mode."""
+    return resolve_redirects(requests, redirects).groupBy("from_path", "to_path").agg(F.count("*").alias("hits"), F.max("ts").alias("last_access"))
+
+
+def search_hits(events: DataFrame) -> DataFrame:
+    """Hits, last results count and time by normalized query; batch, or a stream in update mode that foreachBatch upserts."""
+    query = F.lower(F.trim("query"))
+    return events.withColumn("query", query).where(F.length("query").between(2, 80)).groupBy("query").agg(F.count("*").alias("hits"), F.max_by("results_count", "ts").alias("last_results"), F.max("ts").alias("last_seen"))
+
+
+def daily(events: DataFrame, at: str, late: str = "1 day", **sums) -> DataFrame:
+    """Tumbling days; on a stream rows later than the watermark are dropped."""
+    if events.isStreaming:
+        events = events.withWatermark(at, late)
+    return events.groupBy(F.window(at, "1 day").alias("w")).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in sums.items()]).select(F.col("w.start").alias("day"), "n", *sums)
+
+
+def toggles(events: DataFrame) -> DataFrame:
+    """Members after toggling: those with an odd number of events, since the last."""
+    return events.groupBy("user_id", "target_id").agg(F.count("*").alias("n"), F.max("ts").alias("since")).where("n % 2 = 1").drop("n")
+
+
+def read_state(notifications: DataFrame, one: DataFrame, all_: DataFrame) -> DataFrame:
+    """Notifications with is_read: marked themselves, or by a mark of all that isn't older than they are. one(notification_id, ts), all_(user_id, ts)."""
+    single = one.groupBy(F.col("notification_id").alias("id")).agg(F.max("ts").alias("_one"))
+    every = all_.groupBy("user_id").agg(F.max("ts").alias("_all"))
+    out = notifications.join(single, "id", "left").join(every, "user_id", "left")
+    return out.withColumn("is_read", F.coalesce(F.col("_one") >= F.col("created_at"), F.lit(False)) | F.coalesce(F.col("_all") >= F.col("created_at"), F.lit(False))).drop("_one", "_all")
+
+
+def unexpired(rows: DataFrame, as_of: str, expires: str = "expires_at", days: int = 7) -> DataFrame:
+    """Rows that aren't more than days past their expiry."""
+    return rows.where(F.col(expires).isNull() | (F.col(expires) >= F.lit(as_of).cast("timestamp") - F.expr(f"interval {days} days")))
+
+
+def failure_runs(logs: DataFrame) -> DataFrame:
+    """logs(source_id, ts, run_id, ok) with the number of failures in a row up to each."""
+    order = Window.partitionBy("source_id").orderBy("ts", "run_id")
+    logs = logs.withColumn("_island", F.sum(F.col("ok").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy("source_id", "_island").orderBy("ts", "run_id").rowsBetween(Window.unboundedPreceding, 0)
+    return logs.withColumn("failures_in_a_row", F.sum((~F.col("ok")).cast("int")).over(inside)).drop("_island")
+
+
+def source_health(logs: DataFrame) -> DataFrame:
+    """Per source: failures at the end, mean response folded in order as floor((mean + x) / 2 + 0.5), last success, and health."""
+    runs = failure_runs(logs)
+    fold = F.aggregate(F.array_sort(F.collect_list(F.struct("ts", "run_id", F.col("response_ms").cast("double").alias("x")))), F.lit(None).cast("double"), lambda mean, r: F.when(mean.isNull(), r["x"]).otherwise(F.floor((mean + r["x"]) / 2 + 0.5).cast("double")))
+    out = runs.groupBy("source_id").agg(F.max_by("failures_in_a_row", F.struct("ts", "run_id")).alias("failures"), fold.alias("mean_ms"), F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_success"))
+    return out.withColumn("health", F.when(F.col("failures") >= 3, "failed").when((F.col("failures") > 0) | (F.col("mean_ms") > 5000), "warning").otherwise("healthy"))
