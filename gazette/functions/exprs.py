@@ -209,9 +209,14 @@ def clamped(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def section(markdown: Column, heading: str) -> Column:
     """The text under a ``##`` heading, up to the next."""
-    return F.nullif(F.trim(F.regexp_extract(markdown, rf"(?is)##[ \t]*{heading}[^\n]*\n(.*?)(?=\n##|\z)", 1)), F.lit(""))
+    return F.nullif(stripped(F.regexp_extract(markdown, rf"(?is)##[ \t]*{heading}[^\n]*\n(.*?)(?=\n##|\z)", 1)), F.lit(""))
 
 
 def token_set(normal: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazette.functions import exprs
+from gazette.functions import exprs, templates
 
 # ---- Fixed values ----
 CLASS_WORDS = {
@@ -30,6 +30,20 @@ LEVELS = ("10th", "12th", "graduate", "b.tech")
 # ---- End of fixed values ----
 
 
+EXTRACTED = "title string, organization string, post_name string, vacancy string, qualification string, application_start string, application_last_date string, advertisement_number string, official_apply_url string, confidence string, evidence array<struct<field:string,value:string,evidence:string>>"
+
+
+def parsed_responses(responses: DataFrame, schema: str = EXTRACTED) -> tuple[DataFrame, DataFrame]:
+    """H2: responses(id, response) as (typed rows, with ways of saying nothing made null and the confidence within 0..1; rows (id, response) that can't be parsed)."""
+    rows = responses.withColumn("_json", templates.repaired_json(F.col("response"))).withColumn("_ok", F.try_parse_json("_json").isNotNull() & F.ltrim("_json").startswith("{"))
+    typed = rows.where("_ok").withColumn("x", F.from_json("_json", schema)).select("id", "x.*")
+    cleaned = {c: exprs.without_no_value(F.col(c)) for c, t in typed.dtypes if t == "string" and c not in ("id", "confidence")}
+    out = typed.withColumns(cleaned)
+    if "confidence" in typed.columns:
+        out = out.withColumn("confidence", exprs.clamped(F.coalesce(exprs.number_of(F.col("confidence")), F.lit(0.85))))
+    return out, rows.where(~F.col("_ok")).select("id", "response")
+
+
 def classify(texts: DataFrame, text: str = "text") -> DataFrame:
     """H1: class and content type by the first group of words that occurs in the first 8000 characters."""
     low = F.substring(F.lower(F.coalesce(F.col(text), F.lit(""))), 1, 8000)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.functions import exprs
+from gazette.functions import exprs, templates, text
 from gazette.operators import verify
 from gazette.plans.listing_queries import PUBLIC, public
 from gazette.plans.registry import query
@@ -176,3 +176,65 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     rows = v.content_items.selectExpr("id", "case k % 5 when 0 then ' N/A ' when 1 then concat('Rs ', k, '.50') when 2 then 'None' when 3 then ' text ' else '' end as x", "cast(k % 7 - 2 as double) / 3 as c")
     return rows.select("id", exprs.without_no_value(F.col("x")).alias("cleaned"), exprs.number_of(F.col("x")).alias("number"), exprs.clamped(F.col("c")).alias("confidence"))
+
+
+@query("g1_normalized_urls")
+def _(v: Views) -> DataFrame:
+    pages = v.raw("pages").select("page_id", text.normalize_url(F.col("url")).alias("normalized_url"))
+    return pages.groupBy("normalized_url").agg(F.min("page_id").alias("first_page"), F.count("*").alias("pages"))
+
+
+@query("g2_resolved_links")
+def _(v: Views) -> DataFrame:
+    from gazette.sources.feeds import html_links
+
+    links = html_links(v.raw("pages")).join(v.raw("pages").select("page_id", "url"), "page_id")
+    return links.select("page_id", "pos", text.resolve_url(F.col("href"), F.col("url")).alias("resolved")).where("resolved is not null")
+
+
+@query("g3_site_urls")
+def _(v: Views) -> DataFrame:
+    return v.raw("pages").select("page_id", text.canonical_site_url(F.col("url"), "www.example.org").alias("canonical_url"))
+
+
+@query("g6_normalized_text")
+def _(v: Views) -> DataFrame:
+    return v.raw("documents").select("doc_id", F.sha2(text.normalize_any_text(F.col("text")), 256).alias("normalized_sha256"))
+
+
+@query("g19_masked_metadata")
+def _(v: Views) -> DataFrame:
+    return v.error_logs.select("id", text.mask_secrets(F.col("metadata")).alias("metadata"))
+
+
+@query("g16_titles", PUBLIC + """SELECT id, substring(CASE type WHEN 'job' THEN concat(coalesce(organization_name, 'Govt'), ' ', coalesce(post_name, title), ' Recruitment 2024 — ', CASE WHEN coalesce(vacancy, '') <> '' THEN concat(vacancy, ' Vacancies, ') ELSE '' END, 'Eligibility & Apply Online') WHEN 'result' THEN concat(title, ' — Check Result, Merit List & Cut Off Marks') WHEN 'admit_card' THEN concat(title, ' — Download Hall Ticket & Exam Schedule')
+  WHEN 'answer_key' THEN concat(title, ' — Download Solution Key & Raise Objections') WHEN 'exam' THEN concat(title, ' — Exam Dates, Schedule & Shift Timing Calendar') WHEN 'scholarship' THEN concat(title, ' 2024 — Eligibility, Grant Amount & Apply Online') WHEN 'scheme' THEN concat(title, ' — Guidelines, Eligibility & Registration Process') ELSE concat(title, ' — Official Government Notice & Circular') END, 1, 100) AS page_title FROM public""")
+def _(v: Views) -> DataFrame:
+    return public(v).select("id", templates.page_title(*[F.col(c) for c in ("type", "title", "organization_name", "post_name", "vacancy")], 2024).alias("page_title"))
+
+
+@query("g22_questions", "SELECT id, (vacancy <> '')::INT + (application_last_date <> '')::INT AS n, CASE WHEN application_last_date <> '' THEN concat('The last date to submit the application is ', application_last_date, '.') WHEN vacancy <> '' THEN concat('A total of ', vacancy, ' vacancies have been notified.') END AS first_answer FROM extractions")
+def _(v: Views) -> DataFrame:
+    faq = templates.questions(["application_last_date", "vacancy"])
+    return v.extractions.withColumn("faq", faq).select("id", F.size("faq").alias("n"), F.get(F.col("faq"), F.lit(0))["answer"].alias("first_answer"))
+
+
+@query("g21_sections", "SELECT id, title AS overview, concat('Total ', k) AS vacancy_details FROM content_items")
+def _(v: Views) -> DataFrame:
+    rows = v.content_items.select("id", F.expr("concat('# x\\n## Overview\\n', title, '\\n\\n## Vacancy Details\\nTotal ', k, '\\n## FAQ\\n')").alias("markdown"))
+    return rows.select("id", *templates.sections(F.col("markdown"))).select("id", "overview", "vacancy_details")
+
+
+@query("h2_parsed_responses")
+def _(v: Views) -> DataFrame:
+    made = v.extractions.select("id", F.expr("concat('```json\\n{\"title\": \"', title, '\", \"vacancy\": \"', if(k % 3 = 0, 'N/A', vacancy), '\", \"confidence\": 1.', k % 5, ',}\\n```')").alias("response"))
+    return verify.parsed_responses(made)[0].select("id", "title", "vacancy", "confidence")
+
+
+@query("h11_injected_links")
+def _(v: Views) -> DataFrame:
+    best = verify.internal_links(public(v), AS_OF, n=3)
+    facts = public(v).select(F.col("id").alias("b_id"), F.coalesce("post_name", "title").alias("anchor"), exprs.target_url(F.col("type"), F.col("slug")).alias("url"))
+    anchors = best.join(facts, "b_id").groupBy(F.col("a_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "anchor", "url"))), lambda x: F.struct(x["anchor"].alias("anchor"), x["url"].alias("url"))).alias("anchors"))
+    bodies = public(v).select("id", F.concat("title", F.lit(". See also Clerk, NTPC and Officer posts.")).alias("body"))
+    return bodies.join(anchors, "id").select("id", text.inject_links(F.col("body"), F.col("anchors")).alias("body"))

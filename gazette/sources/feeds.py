@@ -44,7 +44,7 @@ def _entity(text: Column) -> Column:
     text = F.regexp_replace(text, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.trim(text)
+    return exprs.stripped(text)
 
 
 def _tag(block: Column, name: str) -> Column:
