@@ -22,19 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gazette.llm.tokens import PATTERN, TABLE_CHUNKS, normalized, words
-
-#: Where a word's last byte stands in the automaton's alphabet: tokens with the end mark differ in it from those without.
-FINAL = 0x400
-#: Fixed value of the vocabulary's file: its end mark.
-END_MARK = "</w>"
-
-
-def byte_characters() -> list[str]:
-    """The printable character by which byte-level vocabularies write each byte: itself if it is printable, else the next from 256."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+from gazette.llm.tokens import END_MARK, FINAL, PATTERN, TABLE_CHUNKS, byte_characters, normalized, words
 
 
 class WordBPE:
