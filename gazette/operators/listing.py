@@ -167,3 +167,19 @@ def live_sponsored(items: DataFrame, as_of: str) -> DataFrame:
 def capped(discovered: DataFrame, n: int = 25) -> DataFrame:
     """The first n rows of each source in document order."""
     return discovered.withColumn("_r", F.row_number().over(Window.partitionBy("source_id").orderBy("pos"))).where(F.col("_r") <= n).drop("_r")
+
+
+def pending_pages(pages: DataFrame, items: DataFrame, limit: int = 10) -> DataFrame:
+    """C4: pages without an item, or whose item is a draft or pending, or that changed since; newest first. Of several items of a URL the newest counts, so a page is one row."""
+    last = items.groupBy(F.col("source_url").alias("_url")).agg(F.max_by(F.struct("status", "updated_at"), F.struct("updated_at", "id")).alias("i"))
+    out = pages.join(last, F.col("url") == F.col("_url"), "left")
+    due = F.col("_url").isNull() | F.col("i.status").isin("draft", "review") | (F.col("last_changed_at") > F.col("i.updated_at"))
+    return out.where(due).orderBy(F.desc("last_changed_at"), "id").limit(limit).drop("_url", "i")
+
+
+def discovered(*parts: DataFrame) -> DataFrame:
+    """What the parsers of different formats found, as one table; columns that a format lacks are null."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out

@@ -218,3 +218,38 @@ def _(v: Views) -> DataFrame:
 @query("g11_identity_strings", f"SELECT id, concat_ws('|', nullif({sql_norm('organization_id')}, ''), nullif({sql_norm('title')}, ''), nullif({sql_norm('advertisement_number')}, '')) AS identity FROM content_items")
 def _(v: Views) -> DataFrame:
     return v.content_items.select("id", exprs.identity_string(F.col("organization_id"), F.col("title"), F.col("advertisement_number")).alias("identity"))
+
+
+@query("r3_candidates", f"WITH {NOTICES}, {IDENT}, {_pairs('ids', 'ids', 'a.id < b.id AND (a.advt = b.advt OR a.pdf = b.pdf OR a.org = b.org) AND (a.rec IS NULL OR b.rec IS NULL OR a.rec = b.rec)')} SELECT a_id, b_id FROM pairs")
+def _(v: Views) -> DataFrame:
+    ids = resolve.identities(notices(v), AS_OF)
+    return resolve.candidates(ids, ids, ordered=True).select("a_id", "b_id")
+
+
+@query("r2_pair_scores", f"WITH {NOTICES}, {IDENT}, {_pairs('ids', 'ids', 'a.id < b.id AND (a.advt = b.advt OR a.pdf = b.pdf OR a.org = b.org) AND (a.rec IS NULL OR b.rec IS NULL OR a.rec = b.rec)')}, {SCORE} SELECT a_id, b_id, confidence, tier, status FROM scored")
+def _(v: Views) -> DataFrame:
+    ids = resolve.identities(notices(v), AS_OF)
+    return resolve.scored(resolve.candidates(ids, ids, ordered=True)).select("a_id", "b_id", "confidence", "tier", "status")
+
+
+@query("g7_organization_names", f"SELECT id, {sql_organization('title')} AS organization FROM content_items")
+def _(v: Views) -> DataFrame:
+    return v.content_items.select("id", exprs.organization_name(exprs.normalize_text(F.col("title"))).alias("organization"))
+
+
+@query("g8_recruitment_names", f"SELECT id, {sql_recruitment('title')} AS recruitment FROM content_items")
+def _(v: Views) -> DataFrame:
+    return v.content_items.select("id", exprs.recruitment_name(exprs.normalize_text(F.col("title"))).alias("recruitment"))
+
+
+@query("g9_title_detection", f"SELECT id, {sql_in_title('title', exprs.TITLE_ORGANIZATIONS)} AS organization, {sql_in_title('title', exprs.TITLE_EXAMS)} AS exam, CASE WHEN k % 3 = 0 THEN concat('CEN-', k) ELSE NULL END AS number FROM content_items")
+def _(v: Views) -> DataFrame:
+    norm = exprs.normalize_text(F.col("title"))
+    numbered = F.expr("case when k % 3 = 0 then concat(title, ' Advt No: CEN-', k) else title end")
+    return v.content_items.select("id", exprs.organization_in_title(norm).alias("organization"), exprs.exam_in_title(norm).alias("exam"), exprs.number_in_title(numbered).alias("number"))
+
+
+@query("g10_years_and_numbers", f"SELECT id, try_cast(nullif(regexp_extract(title, '\\b(202[0-9]|203[0-9])\\b', 1), '') AS INT) AS year, {sql_number('n')} AS number FROM (SELECT id, title, concat('Advt. No. ', advertisement_number) AS n FROM content_items WHERE advertisement_number IS NOT NULL)")
+def _(v: Views) -> DataFrame:
+    rows = v.content_items.where("advertisement_number is not null")
+    return rows.select("id", exprs.year_in(F.col("title")).alias("year"), exprs.notice_number(F.concat(F.lit("Advt. No. "), "advertisement_number")).alias("number"))
