@@ -26,9 +26,9 @@ def public(v: Views) -> DataFrame:
     return listing.star(v.content_items, v.jobs, v.organizations, v.categories, AS_OF)
 
 
-@query("a1_typed_scan", "SELECT event_id, ts, user_id, event_type, CAST(value AS DECIMAL(18, 2)) AS amount, event_type = 'error' AS failed FROM {events}")
+@query("a1_typed_scan", "SELECT event_id, ts, user_id, event_type, CAST(CAST(value AS DECIMAL(18, 2)) AS DOUBLE) AS amount, event_type = 'error' AS failed FROM {events}")
 def _(v: Views) -> DataFrame:
-    return v.raw("events").select("event_id", "ts", "user_id", "event_type", F.col("value").cast("decimal(18,2)").alias("amount"), (F.col("event_type") == "error").alias("failed"))
+    return v.raw("events").select("event_id", "ts", "user_id", "event_type", F.col("value").cast("decimal(18,2)").cast("double").alias("amount"), (F.col("event_type") == "error").alias("failed"))
 
 
 @query("b1_public_items", PUBLIC + "SELECT id, title, type, organization_name, category_name, post_name, vacancy, calculated_status FROM public")
@@ -190,7 +190,7 @@ def _(v: Views) -> DataFrame:
     return listing.pending_pages(pages, v.content_items.where("k % 4 <> 0"))
 
 
-@query("x5_discovered_union", "SELECT page_id AS id, 'html' AS format, length(html) AS n, NULL::VARCHAR AS query FROM {pages} UNION ALL SELECT event_id, 'search', NULL, query FROM search_events")
+@query("x5_discovered_union", "SELECT page_id AS id, 'html' AS format, length(html)::VARCHAR AS n, NULL::VARCHAR AS query FROM {pages} UNION ALL SELECT event_id, 'search', NULL, query FROM search_events")
 def _(v: Views) -> DataFrame:
-    pages = v.raw("pages").select(F.col("page_id").alias("id"), F.lit("html").alias("format"), F.length("html").cast("long").alias("n"))
+    pages = v.raw("pages").select(F.col("page_id").alias("id"), F.lit("html").alias("format"), F.length("html").cast("string").alias("n"))
     return listing.discovered(pages, v.search_events.select(F.col("event_id").alias("id"), F.lit("search").alias("format"), "query"))

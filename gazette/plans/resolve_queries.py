@@ -73,9 +73,9 @@ def audit(v: Views) -> DataFrame:
     return resolve.duplicate_audit(notices(v), AS_OF)
 
 
-@query("r1_identities", f"WITH {NOTICES}, {IDENT} SELECT id, content_type, year, org, rec, advt, pdf, vacancy, ends, norm FROM ids")
+@query("r1_identities", f"WITH {NOTICES}, {IDENT} SELECT id, content_type, year, org, rec, advt, pdf, vacancy::VARCHAR AS vacancy, ends, norm FROM ids")
 def _(v: Views) -> DataFrame:
-    return resolve.identities(notices(v), AS_OF).select("id", "content_type", "year", "org", "rec", "advt", "pdf", "vacancy", "ends", "norm")
+    return resolve.identities(notices(v), AS_OF).select("id", "content_type", "year", "org", "rec", "advt", "pdf", F.col("vacancy").cast("string").alias("vacancy"), "ends", "norm")
 
 
 _OUT = "a_id, b_id, confidence, tier, status, array_to_string(conflicts, ',') AS conflicts, round(title_similarity, 6) AS title_similarity"
@@ -210,9 +210,9 @@ def _(v: Views) -> DataFrame:
     return v.content_items.select("id", exprs.slug(F.concat("title", F.lit(" & More!"))).alias("slug"), exprs.route(F.col("type")).alias("route"), exprs.target_url(F.col("type"), F.col("slug")).alias("url"))
 
 
-@query("g12_vacancies", "SELECT content_item_id, vacancy, CASE WHEN try_cast(regexp_replace(vacancy, '[^0-9]', '', 'g') AS BIGINT) > 0 THEN try_cast(regexp_replace(vacancy, '[^0-9]', '', 'g') AS BIGINT) END AS number, CASE WHEN vacancy IS NULL THEN NULL ELSE coalesce(try_cast(nullif(regexp_extract(vacancy, '^\\s*([+-]?[0-9]+)', 1), '') AS BIGINT), 0) END AS prefix FROM jobs")
+@query("g12_vacancies", "SELECT content_item_id, vacancy, CASE WHEN try_cast(regexp_replace(vacancy, '[^0-9]', '', 'g') AS BIGINT) > 0 THEN try_cast(regexp_replace(vacancy, '[^0-9]', '', 'g') AS BIGINT) END::VARCHAR AS number, CASE WHEN vacancy IS NULL THEN NULL ELSE coalesce(try_cast(nullif(regexp_extract(vacancy, '^\\s*([+-]?[0-9]+)', 1), '') AS BIGINT), 0) END::VARCHAR AS prefix FROM jobs")
 def _(v: Views) -> DataFrame:
-    return v.jobs.select("content_item_id", "vacancy", exprs.vacancy_number(F.col("vacancy")).alias("number"), exprs.integer_prefix(F.col("vacancy")).alias("prefix"))
+    return v.jobs.select("content_item_id", "vacancy", exprs.vacancy_number(F.col("vacancy")).cast("string").alias("number"), exprs.integer_prefix(F.col("vacancy")).cast("string").alias("prefix"))
 
 
 @query("g11_identity_strings", f"SELECT id, concat_ws('|', nullif({sql_norm('organization_id')}, ''), nullif({sql_norm('title')}, ''), nullif({sql_norm('advertisement_number')}, '')) AS identity FROM content_items")

@@ -19,9 +19,10 @@ def _n(condition: str, name: str) -> str:
 (SELECT {_n("status = 'published'", "published")}, {", ".join(_n(f"status = 'published' AND type = '{t}'", f"published_{t}") for t in ("job", "result", "admit_card", "answer_key"))}, {_n("sponsored", "sponsored")} FROM content_items),
 (SELECT count(*) AS saved_items FROM saved_items), (SELECT count(*) AS followed_organizations FROM followed_organizations), (SELECT count(*) AS followed_categories FROM followed_categories), (SELECT count(*) AS total_searches FROM search_events),
 (SELECT {", ".join(_n(f"status = '{s}'", f"notifications_{s}") for s in ("sent", "pending", "failed"))} FROM notifications),
-(SELECT sum(amount)::DECIMAL(28,2) AS revenue_total, {", ".join(f"(sum(amount) FILTER (revenue_type = '{t}'))::DECIMAL(28,2) AS revenue_{t}" for t in ("advertising", "subscription", "sponsored"))} FROM revenue_records)""")
+(SELECT sum(amount)::DOUBLE AS revenue_total, {", ".join(f"(sum(amount) FILTER (revenue_type = '{t}'))::DOUBLE AS revenue_{t}" for t in ("advertising", "subscription", "sponsored"))} FROM revenue_records)""")
 def _(v: Views) -> DataFrame:
-    return stats.platform(v.users, v.content_items, v.saved_items, v.followed_organizations, v.followed_categories, v.search_events, v.notifications, v.revenue_records, AS_OF)
+    out = stats.platform(v.users, v.content_items, v.saved_items, v.followed_organizations, v.followed_categories, v.search_events, v.notifications, v.revenue_records, AS_OF)
+    return out.withColumns({c: F.col(c).cast("double") for c in out.columns if c.startswith("revenue_")})
 
 
 @query("d2_popular", PUBLIC + "SELECT organization_id, organization_name, count(*) AS n FROM public WHERE organization_id IS NOT NULL GROUP BY ALL ORDER BY n DESC, organization_id LIMIT 8")
@@ -54,9 +55,9 @@ def _(v: Views) -> DataFrame:
     return stats.crawl_metrics(v.crawl_logs, F.lit("2024-01-20").cast("timestamp"))
 
 
-@query("d7_revenue", "SELECT coalesce(revenue_type, 'total') AS revenue_type, sum(amount)::DECIMAL(28,2) AS amount FROM revenue_records GROUP BY ROLLUP (revenue_type)")
+@query("d7_revenue", "SELECT coalesce(revenue_type, 'total') AS revenue_type, sum(amount)::DOUBLE AS amount FROM revenue_records GROUP BY ROLLUP (revenue_type)")
 def _(v: Views) -> DataFrame:
-    return stats.revenue(v.revenue_records)
+    return stats.revenue(v.revenue_records).withColumn("amount", F.col("amount").cast("double"))
 
 
 @query("d8_search_analytics", "SELECT lower(trim(query)) AS query, count(*) AS hits, arg_max(results_count, (ts, event_id)) AS last_results, max(ts) AS last_seen FROM search_events WHERE length(lower(trim(query))) BETWEEN 2 AND 80 GROUP BY 1")

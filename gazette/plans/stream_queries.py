@@ -92,13 +92,13 @@ def _(v: Views) -> DataFrame:
     return capped(v.raw("pages").selectExpr("page_id", "concat('src', page_id % 20) as source_id", "page_id as pos"), 5).select("page_id", "source_id")
 
 
-@query("a11_sitemap", """SELECT '/jobs' AS path, (SELECT updated_at::DATE FROM content_items WHERE status = 'published' ORDER BY published_at DESC, id LIMIT 1) AS lastmod, 'daily' AS changefreq, 0.9::DOUBLE AS priority
-UNION ALL SELECT concat('/', CASE type WHEN 'job' THEN 'jobs' WHEN 'result' THEN 'results' WHEN 'admit_card' THEN 'admit-card' WHEN 'answer_key' THEN 'answer-key' WHEN 'exam' THEN 'exams' WHEN 'scholarship' THEN 'scholarships' WHEN 'scheme' THEN 'schemes' ELSE 'important-updates' END, '/', slug), updated_at::DATE, 'weekly', 0.8 FROM content_items WHERE status = 'published'
-UNION ALL SELECT DISTINCT concat('/organizations/', o.slug), NULL::DATE, 'weekly', 0.7 FROM organizations o JOIN content_items i ON i.organization_id = o.id AND i.status = 'published'""")
+@query("a11_sitemap", """SELECT '/jobs' AS path, (SELECT updated_at::DATE FROM content_items WHERE status = 'published' ORDER BY published_at DESC, id LIMIT 1)::VARCHAR AS lastmod, 'daily' AS changefreq, 0.9::DOUBLE AS priority
+UNION ALL SELECT concat('/', CASE type WHEN 'job' THEN 'jobs' WHEN 'result' THEN 'results' WHEN 'admit_card' THEN 'admit-card' WHEN 'answer_key' THEN 'answer-key' WHEN 'exam' THEN 'exams' WHEN 'scholarship' THEN 'scholarships' WHEN 'scheme' THEN 'schemes' ELSE 'important-updates' END, '/', slug), updated_at::DATE::VARCHAR, 'weekly', 0.8 FROM content_items WHERE status = 'published'
+UNION ALL SELECT DISTINCT concat('/organizations/', o.slug), NULL::VARCHAR, 'weekly', 0.7 FROM organizations o JOIN content_items i ON i.organization_id = o.id AND i.status = 'published'""")
 def _(v: Views) -> DataFrame:
     from gazette.sources.feeds import sitemap
 
-    return sitemap(v.content_items.where("status = 'published'"), v.organizations, "/jobs")
+    return sitemap(v.content_items.where("status = 'published'"), v.organizations, "/jobs").withColumn("lastmod", F.col("lastmod").cast("string"))
 
 
 @query("a12_structured_data", "SELECT id, title, CASE WHEN organization_id IS NULL THEN 2 ELSE 3 END + CASE WHEN advertisement_number IS NULL THEN 0 ELSE 1 END AS n_keys FROM content_items WHERE status = 'published'")

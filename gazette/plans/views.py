@@ -56,7 +56,7 @@ FROM (SELECT k, id AS content_item_id, exam_token AS post_name, u DIV 32 % 500 *
 SELECT source AS id, upper(source) AS name, concat('https://', source, CASE ord % 4 WHEN 0 THEN '.gov.in' WHEN 1 THEN '.employmentnews.example.com' WHEN 2 THEN '.jobresult.example.com' ELSE '.example.org' END) AS base_url,
   1 + ord % 5 AS trust_level, 1 + ord % 5 AS priority, CASE ord % 11 WHEN 0 THEN '10m' WHEN 1 THEN '15m' WHEN 2 THEN '30m' WHEN 3 THEN '1h' WHEN 4 THEN 'hourly' WHEN 5 THEN '3h' WHEN 6 THEN '6h' WHEN 7 THEN '12h' WHEN 8 THEN 'daily' WHEN 9 THEN 'weekly' ELSE 'manual' END AS crawl_frequency,
   CASE WHEN ord % 8 <> 7 THEN TIMESTAMP '2024-01-31 00:00:00' - HOURS(CAST(ord % 30 AS INT)) END AS last_checked_at, CASE WHEN ord % 6 = 5 THEN 'paused' ELSE 'active' END AS status, ord % 5 AS consecutive_failures
-FROM (SELECT source, row_number() OVER (ORDER BY source) - 1 AS ord FROM (SELECT DISTINCT source FROM {documents}) s) t""",
+FROM (SELECT source, CAST(row_number() OVER (ORDER BY source) - 1 AS BIGINT) AS ord FROM (SELECT DISTINCT source FROM {documents}) s) t""",
     "users": f"""
 SELECT k, concat('u_', k) AS id, concat('user', k, '@example.org') AS email, name, CASE WHEN k % 20 = 0 THEN 'suspended' ELSE 'active' END AS status, k % 9 <> 0 AS email_verified,
   TIMESTAMP '2024-01-31 12:00:00' - DAYS(CAST(k % 45 AS INT)) AS created_at, u % 8 <> 0 AS mail_on, u DIV 8 % 2 = 0 AS on_job, u DIV 16 % 2 = 0 AS on_result, u DIV 32 % 2 = 0 AS on_admit_card, u DIV 64 % 2 = 0 AS on_answer_key, u DIV 128 % 2 = 0 AS on_other, u DIV 256 % 2 = 0 AS on_reminder, u DIV 512 % 3 AS digest
