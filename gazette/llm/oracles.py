@@ -124,6 +124,6 @@ walk AS (
 own AS (
   SELECT c.conv_id, c.turn, c.role, CASE WHEN text IS NULL THEN NULL ELSE regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '^[ \t]*>')), chr(10)), '^\s+|\s+$', '', 'g') END AS text
   FROM conversations c)
-SELECT o.conv_id, o.turn, o.role, o.text, p.parent_turn, coalesce(p.n_linked, 0)::BIGINT AS n_linked, w.depth::BIGINT AS depth, w.path
+SELECT o.conv_id, o.turn, o.role, o.text, p.parent_turn::VARCHAR AS parent_turn, coalesce(p.n_linked, 0)::BIGINT AS n_linked, w.depth::BIGINT AS depth, w.path
 FROM own o LEFT JOIN parents p USING (conv_id, turn) LEFT JOIN walk w USING (conv_id, turn)
 """

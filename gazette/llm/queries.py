@@ -31,7 +31,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat_format.in_reply_order(table(spark, sf_dir, "conversations"))
-    return out.select("conv_id", "turn", "role", "text", "parent_turn", "n_linked", "depth", F.array_join(F.transform("path", lambda t: t.cast("string")), ".").alias("path"))
+    return out.select("conv_id", "turn", "role", "text", F.col("parent_turn").cast("string").alias("parent_turn"), "n_linked", "depth", F.array_join(F.transform("path", lambda t: t.cast("string")), ".").alias("path"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
