@@ -15,8 +15,10 @@ import math
 import numpy as np
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-#: Ranks are cut at 2^-LOW, 2^(1-LOW), ... 1, 2, 3, ...
-LOW = 12
+#: Ranks are cut here, then at 2, 3, ...
+_LOW = np.array([0, 1 / 16, 1 / 4, 1 / 2, 1.0])
+#: Cells that are worked on together: their arrays stay in a core's cache.
+BATCH = 1 << 15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,25 +32,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def _cell_edges(height: float) -> np.ndarray:
-    low = [0.0] + [2.0**-i for i in range(LOW, -1, -1)]
-    n = max(2, int(np.searchsorted(low, height)) + 1) if height <= 1 else 0
-    return np.array(low[:n]) if n else np.concatenate([low, np.arange(2, math.ceil(height) + 1)])
+def _cells(heights: np.ndarray) -> np.ndarray:
+    """Number of cells of a unit of weight that reach under each height."""
+    return np.where(heights > 1, np.ceil(heights).astype(np.int64) + len(_LOW) - 2, np.searchsorted(_LOW, np.minimum(heights, 1.0)))
 
 
-def _poisson_steps(area: float) -> np.ndarray:
-    """P(N <= n) for n = 0, 1, ... up to where it is 1 in double precision."""
-    p, total, out, n = math.exp(-area), 0.0, [], 0
-    while n < 25:
-        total += p
-        out.append(min(total, 1.0))
-        n += 1
-        p *= area / n
-    return np.array(out)
+def _poisson_table() -> np.ndarray:
+    """P(N <= n) + c for n = 0, 1, ... of cells of kind c: one for each step of _LOW, then those of area 1. Ascending."""
+    rows = []
+    for c, area in enumerate([*np.diff(_LOW), 1.0]):
+        p = [math.exp(-area)]
+        for n in range(1, 25):
+            p.append(p[-1] * area / n)
+        rows.append(np.minimum(np.cumsum(p), 1.0) + c)
+    return np.array(rows)
 
 
-def _darts(elements: np.ndarray, weights: np.ndarray, sets: np.ndarray, height: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, rank, dart) of every dart under the weights and the height."""
+_TABLE = _poisson_table()
+
+
+def _darts(elements: np.ndarray, weights: np.ndarray, sets: np.ndarray, heights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, rank, dart) of every dart under the weights and the heights of the elements' sets."""
     units = np.ceil(weights).astype(np.int64)
     if units.max(initial=1) > 1:  # a row for each unit of weight
         row = np.repeat(np.arange(len(elements)), units)
@@ -56,23 +60,25 @@ def _darts(elements: np.ndarray, weights: np.ndarray, sets: np.ndarray, height:
     else:
         row, unit = np.arange(len(elements)), np.zeros(len(elements), np.int64)
     base = mix(elements[row] + _GOLD * unit.astype(np.uint64) + _GOLD)
-    edges = _cell_edges(height)
-    found = []
-    for c, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        seed = mix(base + np.uint64(int(_GOLD) * (c + 1) % (1 << 64)))
-        u = _unit(seed)
-        steps = _poisson_steps(high - low)
-        some = np.flatnonzero(u >= steps[0])
-        times = np.searchsorted(steps, u[some], "right")
-        who = np.repeat(some, times)
-        nth = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
-        dart = mix(seed[who] ^ mix(nth.astype(np.uint64) + np.uint64(101)))
-        rank = low + (high - low) * _unit(mix(dart ^ np.uint64(0x5851F42D4C957F2D)))
-        keep = rank < height
-        if unit.any() or (weights < 1).any():
-            keep &= unit[who] + _unit(mix(dart ^ np.uint64(0x14057B7EF767814F))) < weights[row[who]]
-        found.append((sets[row[who[keep]]], rank[keep], dart[keep]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    cells = _cells(heights[sets[row]])
+    owner = np.repeat(np.arange(len(row)), cells)
+    cell = np.arange(len(owner)) - np.repeat(np.cumsum(cells) - cells, cells)
+    seed = mix(base[owner] + _GOLD * (cell + 1).astype(np.uint64))
+    kind = np.minimum(cell, len(_TABLE) - 1)
+    at = _unit(seed) + kind
+    some = np.flatnonzero(at >= _TABLE[kind, 0])
+    times = np.searchsorted(_TABLE.ravel(), at[some], "right") - kind[some] * _TABLE.shape[1]
+    who = np.repeat(some, times)
+    nth = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+    dart = mix(seed[who] ^ mix(nth.astype(np.uint64) + np.uint64(101)))
+    place = _unit(mix(dart ^ np.uint64(0x5851F42D4C957F2D)))
+    low = cell[who]
+    rank = np.where(low < len(_LOW) - 1, _LOW[np.minimum(low, len(_LOW) - 1)] + place * np.append(np.diff(_LOW), 1.0)[np.minimum(low, len(_LOW) - 1)], low - (len(_LOW) - 2) + place)
+    mine = row[owner[who]]
+    keep = rank < heights[sets[mine]]
+    if unit.any() or (weights < 1).any():
+        keep &= unit[owner[who]] + _unit(mix(dart ^ np.uint64(0x14057B7EF767814F))) < weights[mine]
+    return sets[mine[keep]], rank[keep], dart[keep]
 
 
 def signatures(elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
@@ -81,27 +87,21 @@ def signatures(elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray, k:
     out = np.zeros((n, k), np.uint64)
     begin = np.concatenate([[0], np.cumsum(sizes)])
     totals = np.add.reduceat(weights, begin[:-1]) if n else np.zeros(0)
-    heights = 2.0 ** np.ceil(np.log2(k * (math.log(k) + 3) / np.maximum(totals, 1e-9)))
+    heights = k * (math.log(k) + 3) / np.maximum(totals, 1e-9)
     due = np.arange(n)
     while due.size:
         again = []
-        for height in np.unique(heights[due]):
-            for some in _batches(due[heights[due] == height], sizes):
-                pick = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in some])
-                which, rank, dart = _darts(elements[pick], weights[pick], np.repeat(np.arange(len(some)), sizes[some]), float(height))
-                slot = which * k + (mix(dart ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(k)).astype(np.int64)
-                order = np.argsort(-rank, kind="stable")  # the least rank is written last
-                got, full = np.zeros(len(some) * k, np.uint64), np.zeros(len(some) * k, bool)
-                got[slot[order]] = dart[order]
-                full[slot] = True
-                whole = full.reshape(-1, k).all(axis=1)
-                out[some[whole]] = got.reshape(-1, k)[whole]
-                again.append(some[~whole])
+        for some in np.split(due, np.flatnonzero(np.diff(np.cumsum(_cells(heights[due]) * totals[due]) // BATCH)) + 1):
+            pick = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in some])
+            which, rank, dart = _darts(elements[pick], weights[pick], np.repeat(np.arange(len(some)), sizes[some]), heights[some])
+            slot = which * k + (mix(dart ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(k)).astype(np.int64)
+            order = np.argsort(-rank)  # the least rank is written last
+            got, full = np.zeros(len(some) * k, np.uint64), np.zeros(len(some) * k, bool)
+            got[slot[order]] = dart[order]
+            full[slot] = True
+            whole = full.reshape(-1, k).all(axis=1)
+            out[some[whole]] = got.reshape(-1, k)[whole]
+            again.append(some[~whole])
         due = np.concatenate(again)
-        heights[due] *= 2
+        heights[due] *= 1.5
     return out
-
-
-def _batches(sets: np.ndarray, sizes: np.ndarray, most: int = 1 << 16) -> list[np.ndarray]:
-    """Sets in groups of about so many elements."""
-    return np.split(sets, np.flatnonzero(np.diff(np.cumsum(sizes[sets]) // most)) + 1)
