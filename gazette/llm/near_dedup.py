@@ -2,7 +2,7 @@
 
 Texts are sets of shingles of five words (a shorter text is one shingle; words are separated by ASCII white space and
 compared in lower case). Exact copies share a content key and go on as one. ``BANDS`` bands of ``ROWS`` coordinates put
-a text into buckets; at a similarity of 0.8 two texts share none with a probability of 2e-5. Buckets with the same members
+a text into buckets; at a similarity of 0.8 two texts share none with a probability of 6e-5. Buckets with the same members
 are taken once. Members of a bucket are then compared exactly, with their whole shingle sets, in groups of at most
 ``TILE`` texts (two such groups at a time in a larger bucket); a group gives a spanning forest of its links, never its
 pairs. Components of these links are the classes. Every pair that shares a bucket is compared, so no link is left out
@@ -28,10 +28,10 @@ from gazette.llm.components import components
 from gazette.llm.dart_minhash import mix, signatures
 from gazette.llm.shared import cut
 
-SHINGLE, BANDS, ROWS, TILE = 5, 36, 6, 1024
+SHINGLE, BANDS, ROWS, TILE = 5, 32, 6, 512
 #: A link: |A & B| * DEN >= |A | B| * NUM, a similarity of 0.8.
 NUM, DEN = 4, 5
-STEP_WORDS = 1 << 17
+STEP_WORDS = 1 << 16
 _TABLE_WORDS = 400_000
 _WORD_TABLE: dict[bytes, int] = {}
 _PRIMES = np.array([pow(0x9E3779B97F4A7C15, SHINGLE - i, 1 << 64) for i in range(SHINGLE)], np.uint64)
@@ -162,7 +162,8 @@ def links(docs: DataFrame, signed: DataFrame, tile: int = TILE) -> DataFrame:
     large = cut(members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > tile).select(F.col("bucket").alias("_large"), F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "near-large")
     one = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut(members.select("key").distinct().join(one, "key"), "near-wanted").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
+    # wanted grows with the corpus, so it isn't broadcast even where it would fit now
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
     texts = texts.where(key_of() == F.col("_key")).select("_key", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,4 +218,4 @@ def deduped(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is their class's least; rows with a null doc_id stay only where their class has no other."""
     gone = classes(docs).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct()
     keyed = docs.withColumn("_content", key_of())
-    return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_content") == F.col("_gone_key")), "left_anti").drop("_content")
+    return keyed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_content") == F.col("_gone_key")), "left_anti").drop("_content")
