@@ -40,10 +40,10 @@ chosen AS (
   JOIN q a ON a.lang = chr(2) AND a.source = chr(2) AND a.measure = o.measure WHERE o.source <> chr(2)),
 limits AS (
   SELECT lang, source,
-    max(CASE WHEN measure = 'symbol_ppm' THEN greatest(150000, q3 + 4 * (q3 - q1)) END) AS symbol_max,
+    max(CASE WHEN measure = 'symbol_ppm' THEN greatest(50000, q3 + 4 * (q3 - q1)) END) AS symbol_max,
     max(CASE WHEN measure = 'dup_line_ppm' THEN greatest(400000, q3 + 4 * (q3 - q1)) END) AS dup_max,
     max(CASE WHEN measure = 'repeat_ppm' THEN greatest(350000, q3 + 4 * (q3 - q1)) END) AS repeat_max,
-    max(CASE WHEN measure = 'milli' THEN greatest(16000, q3 + 4 * (q3 - q1)) END) AS milli_max,
+    max(CASE WHEN measure = 'milli' THEN greatest(10000, q3 + 4 * (q3 - q1)) END) AS milli_max,
     max(CASE WHEN measure = 'milli' THEN least(2000, q1 - 4 * (q3 - q1)) END) AS milli_min
   FROM chosen GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

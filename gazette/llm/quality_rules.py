@@ -24,10 +24,10 @@ from gazette.llm.shared import cut
 
 #: Measures, as integers, with the loosest and tightest limits that data may set. "high": values above the limit fail.
 MEASURES = {
-    "symbol_ppm": ("high", 150_000),
+    "symbol_ppm": ("high", 50_000),
     "dup_line_ppm": ("high", 400_000),
     "repeat_ppm": ("high", 350_000),
-    "long_word_milli": ("high", 16_000),
+    "long_word_milli": ("high", 10_000),
     "short_word_milli": ("low", 2_000),
 }
 #: A limit lies this many interquartile ranges beyond the quartile.
