@@ -119,7 +119,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFra
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(vocabulary)
-        kind = id_kind(tok.tokenizer.get_vocab_size(), end_id)
+        kind = id_kind(tok.size, end_id)
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
             ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in tok.encode(batch.column("text").to_pylist())]

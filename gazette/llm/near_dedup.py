@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 
 from gazette.llm.components import components
 from gazette.llm.dart_minhash import mix, signatures
-from gazette.llm.shared import cut
+from gazette.llm.shared import cut, give_back_memory
 
 SHINGLE, BANDS, ROWS, TILE = 5, 32, 6, 512
 #: A link: |A & B| * DEN >= |A | B| * NUM, a similarity of 0.8.
 NUM, DEN = 4, 5
 STEP_WORDS = 1 << 16
-_TABLE_WORDS = 400_000
+_TABLE_WORDS = 200_000
 _WORD_TABLE: dict[bytes, int] = {}
 _PRIMES = np.array([pow(0x9E3779B97F4A7C15, SHINGLE - i, 1 << 64) for i in range(SHINGLE)], np.uint64)
 
@@ -46,6 +46,12 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
 
 
+def _forget() -> None:
+    """At the end of a task: the worker goes on to other work, which needs the memory."""
+    _WORD_TABLE.clear()
+    give_back_memory()
+
+
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
     words = (text or "").lower().encode("utf-8", "surrogatepass").split()
@@ -102,6 +108,7 @@ def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             values = np.concatenate([x for x in out if x is not None] or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "key", "bands"])
+        _forget()
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of().alias("key"), "text")
     return keyed.mapInArrow(sign, "doc_id long, key binary, bands array<long>")
@@ -169,6 +176,7 @@ def links(docs: DataFrame, signed: DataFrame, tile: int = TILE) -> DataFrame:
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array([shingles(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], names=["_key", "elements"])
+        _forget()
 
     sets = cut(texts.mapInArrow(to_sets, "_key binary, elements binary"), "near-sets")
     # a member of a large bucket goes to every group in which its tile is one of the two

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazette.llm.shared import cut
+from gazette.llm.shared import cut, give_back_memory
 from gazette.llm.tokens import encoder
 
 CAPACITY, END_ID = 4096, 1
@@ -38,13 +38,14 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             rows = []
-            for doc_id, ids in zip(doc_ids, encode(batch.column("text").to_pylist()), strict=True):
+            for doc_id, ids in zip(doc_ids, encode(t.as_py() for t in batch.column("text")), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part))
-            columns = list(zip(*rows, strict=True))[: len(kinds)] if rows else [[]] * len(kinds)
+                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+        give_back_memory()
 
     kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if with_ids else {})
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")

@@ -16,7 +16,8 @@ from __future__ import annotations
 
 from collections import Counter
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,13 +59,15 @@ def count_text(text: str | None) -> tuple[int, int, int, int, int, int]:
     return (len(words), len(text) - blanks, symbols, len(lines), len(lines) - len(set(lines)), repeated)
 
 
-def _count(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([count_text(t) for t in texts], columns=[c.split()[0] for c in _COUNTS.split(", ")])
+def _count(texts: pa.Array) -> pa.Array:
+    """Text by text, so that a batch isn't held a second time as Python strings."""
+    counts = np.array([count_text(t.as_py()) for t in texts], np.int64).reshape(-1, 6)
+    return pa.StructArray.from_arrays([pa.array(c) for c in counts.T], names=[c.split()[0] for c in _COUNTS.split(", ")])
 
 
 def measured(docs: DataFrame, *carried: str) -> DataFrame:
     """The carried columns, the base counts and the measures of every document."""
-    out = docs.select(*carried, F.pandas_udf(_count, _COUNTS)("text").alias("_c")).select(*carried, "_c.*")
+    out = docs.select(*carried, F.arrow_udf(_count, _COUNTS)("text").alias("_c")).select(*carried, "_c.*")
 
     def per(top: str, bottom: str, scale: int) -> Column:
         return F.expr(f"({top} * {scale}) div greatest({bottom}, 1)")
@@ -146,5 +149,7 @@ def filtered(docs: DataFrame, fence: int = FENCE, min_docs: int = MIN_DOCS) -> D
     The texts are read twice, for the sketches and for the verdicts: that costs less than a shuffle of all texts by doc_id.
     """
     limits = cut(thresholds(sketches(measured(docs, "lang", "source")), fence, min_docs), "quality-limits")
-    rows = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("_row"))
-    return verdicts(measured(rows, "lang", "source", "_row"), limits).where("kept").select("_row.*")
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select("text", "lang", "source", F.struct(*others).alias("_row"))
+    kept = verdicts(measured(rows, "text", "lang", "source", "_row"), limits).where("kept")
+    return kept.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

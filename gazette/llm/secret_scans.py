@@ -144,5 +144,5 @@ def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     ledger = cut(one_row_a_blob(scan_unseen(docs, None, rules)), "secret-ledger")
     rows = ledger.where("exists(findings, f -> size(f.starts) > 0)").select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
     keyed = docs.withColumn("_key", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    joined = keyed.join(rows, F.col("_key") == F.col("_blob"), "left")
+    joined = keyed.join(rows.hint("merge"), F.col("_key") == F.col("_blob"), "left")
     return joined.withColumn("text", F.pandas_udf(_masked, "string")("text", "_findings")).select(*docs.columns)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back_memory() -> None:
+    """At the end of a Python task: hand freed memory back to the system, as the worker goes on to other work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def digest(column) -> F.Column:
     """128 bits of hash as two longs: at 1e12 keys a chance collision stays under 1e-14."""
     return F.struct(F.xxhash64(column).alias("a"), F.xxhash64(F.lit(7919), column).alias("b"))

@@ -23,8 +23,8 @@ WHITE = "\t-\r \x85\xa0  -     　"
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 _WORDS = re.compile(f"[^{WHITE}]+")
 _SPACED = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: Chunks in a worker's table, and characters of text that are cut into chunks at a time.
-TABLE_CHUNKS, STEP_CHARS = 250_000, 1 << 20
+#: Chunks in a worker's table where chunks are merged as they are, chunks and words where there is a table of each, and characters of text that are cut into chunks at a time.
+TABLE_CHUNKS, TABLE_WORDS, STEP_CHARS = 250_000, 120_000, 1 << 20
 
 
 #: Fixed values of the vocabularies' files: the patterns of words, without and with the white space before them.
@@ -76,19 +76,18 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.specials = {t.content: np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        tokenizer = Tokenizer.from_file(path)  # read for its vocabulary, not kept
+        self.size = tokenizer.get_vocab_size()
+        self.specials = {t.content: np.array([i], "<u4").tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
-        self.border, border_id = next((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items())
+        self.border, border_id = next((t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items())
         self.border_id = border_id
-        self.spaced = self.tokenizer.encode("a b", add_special_tokens=False).ids != self.tokenizer.encode("a  b", add_special_tokens=False).ids
+        self.spaced = tokenizer.encode("a b", add_special_tokens=False).ids != tokenizer.encode("a  b", add_special_tokens=False).ids
         self.split = regex.compile(PATTERN).findall
-        self.ranked, self.id_of = self._by_rank()
-        self.table, self.word_table = Table(TABLE_CHUNKS), Table(TABLE_CHUNKS)
+        self.ranked, self.id_of = self._by_rank(tokenizer)
+        self.table, self.word_table = Table(TABLE_CHUNKS if self.spaced else TABLE_WORDS), Table(TABLE_WORDS)
 
-    def _by_rank(self):
+    def _by_rank(self, tokenizer):
         """The vocabulary for tiktoken, and the id of each of its ranks.
 
         Each byte of a word is a character, the last byte of a word one of its own where the vocabulary marks ends of
@@ -99,7 +98,7 @@ class Encoder:
         byte_of = {c: b for b, c in enumerate(byte_characters())}
         marked = not self.spaced
         tokens = []
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+        for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
             if token in self.specials:
                 continue
             final = marked and token.endswith(END_MARK) and len(token) > len(END_MARK)
