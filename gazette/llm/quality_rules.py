@@ -66,8 +66,11 @@ def _count(texts: pa.Array) -> pa.Array:
 
 
 def measured(docs: DataFrame, *carried: str) -> DataFrame:
-    """The carried columns, the base counts and the measures of every document."""
-    out = docs.select(*carried, F.arrow_udf(_count, _COUNTS)("text").alias("_c")).select(*carried, "_c.*")
+    """The carried columns, the base counts and the measures of every document.
+
+    The function is declared nondeterministic, else a filter on its results would have Spark run it twice.
+    """
+    out = docs.select(*carried, F.arrow_udf(_count, _COUNTS).asNondeterministic()("text").alias("_c")).select(*carried, "_c.*")
 
     def per(top: str, bottom: str, scale: int) -> Column:
         return F.expr(f"({top} * {scale}) div greatest({bottom}, 1)")
