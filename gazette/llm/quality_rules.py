@@ -6,9 +6,14 @@ sketches merge by adding counts, so sources merge into languages and languages i
 doesn't depend on the order of tasks. Thresholds read from the sketches are joined back to the documents by
 (language, source).
 
+A limit starts at the median and reaches out by the distance from the median to the nearer quartile, so junk on one side
+of up to nearly half of a group moves neither far. Both are weighted means of the group's, its
+language's and the corpus's values, by documents; a spread has a floor, as most measures are 0 in most texts. No source
+can lift its limit over both the measure's bound and the limit of its whole language.
+
 Defined results. Null or empty text: no words, so the base rule fails and the row is not kept. Null language or
-source: a group of its own. Repeated rows: each is judged and counted. Groups under ``min_docs`` documents use their
-language's thresholds, and languages under it the corpus's. An empty table gives an empty result. Further columns of
+source: a group of its own. Repeated rows: each is judged and counted. A language counts like ``min_docs`` further
+documents in its groups, and the corpus like as many in its languages. An empty table gives an empty result. Further columns of
 the input aren't carried; names that clash with the result's don't matter.
 """
 
@@ -23,15 +28,15 @@ from pyspark.sql import functions as F
 
 from gazette.llm.shared import cut
 
-#: Measures, as integers, with the loosest and tightest limits that data may set. "high": values above the limit fail.
+#: Measures, as integers, with the bound of a limit that only a whole language can move, and the least spread. "high": values above the limit fail.
 MEASURES = {
-    "symbol_ppm": ("high", 50_000),
-    "dup_line_ppm": ("high", 400_000),
-    "repeat_ppm": ("high", 350_000),
-    "long_word_milli": ("high", 10_000),
-    "short_word_milli": ("low", 2_000),
+    "symbol_ppm": ("high", 50_000, 5_000),
+    "dup_line_ppm": ("high", 400_000, 50_000),
+    "repeat_ppm": ("high", 350_000, 43_750),
+    "long_word_milli": ("high", 10_000, 300),
+    "short_word_milli": ("low", 2_000, 300),
 }
-#: A limit lies this many interquartile ranges beyond the quartile.
+#: A limit lies twice as many spreads, which are half interquartile ranges, from the median.
 FENCE = 4
 MIN_DOCS = 50
 
@@ -104,12 +109,13 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """(keys, measure, n, q1, q3): the bins that hold the ranks ceil(n/4) and ceil(3n/4)."""
+    """(keys, measure, n, q1, q2, q3): the bins that hold the ranks ceil(n/4), ceil(n/2) and ceil(3n/4)."""
     whole = Window.partitionBy(*keys, "measure")
     ranked = sketch.withColumns({"upto": F.sum("n").over(whole.orderBy("bin")), "total": F.sum("n").over(whole)})
     return ranked.groupBy(*keys, "measure").agg(
         F.max("total").alias("n"),
         F.min(F.expr("case when 4 * upto >= total then bin end")).alias("q1"),
+        F.min(F.expr("case when 2 * upto >= total then bin end")).alias("q2"),
         F.min(F.expr("case when 4 * upto >= 3 * total then bin end")).alias("q3"),
     )
 
@@ -117,18 +123,22 @@ def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
 def thresholds(sketch: DataFrame, fence: int = FENCE, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per (lang, source) with a limit for each measure."""
     own = quartiles(sketch, "lang", "source")
-    by_lang = quartiles(merged(sketch, "lang"), "lang").selectExpr("lang as l_lang", "measure as l_measure", "n as l_n", "q1 as l_q1", "q3 as l_q3")
-    all_ = quartiles(merged(sketch)).selectExpr("measure as a_measure", "q1 as a_q1", "q3 as a_q3")
+    by_lang = quartiles(merged(sketch, "lang"), "lang").selectExpr("lang as l_lang", "measure as l_measure", *[f"{c} as l_{c}" for c in ("n", "q1", "q2", "q3")])
+    all_ = quartiles(merged(sketch)).selectExpr("measure as a_measure", "q1 as a_q1", "q2 as a_q2", "q3 as a_q3")
     chosen = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure"))).join(all_, F.col("measure") == F.col("a_measure"))
 
-    def pick(q: str) -> str:
-        return f"case when n >= {min_docs} then {q} when l_n >= {min_docs} then l_{q} else a_{q} end"
+    def mean(value: str, n: str, of_more: str) -> str:
+        return f"(({n} * ({value}) + {min_docs} * ({of_more})) div ({n} + {min_docs}))"
+
+    def limit(side: str, edge: int, floor: int) -> str:
+        """A low limit is the high limit of the negated values, negated."""
+        of = {p: (f"{p}q2" if side == "high" else f"-{p}q2", f"least({p}q2 - {p}q1, {p}q3 - {p}q2)") for p in ("", "l_", "a_")}
+        lang = [mean(x, "l_n", y) for x, y in zip(of["l_"], of["a_"], strict=True)]
+        group = [mean(x, "n", y) for x, y in zip(of[""], lang, strict=True)]
+        reach = [f"({m} + {2 * fence} * greatest({floor}, {w}))" for m, w in (group, lang)]
+        return f"least({reach[0]}, greatest({edge if side == 'high' else -edge}, {reach[1]}))"
 
-    chosen = chosen.selectExpr("lang", "source", "measure", f"{pick('q1')} as q1", f"{pick('q3')} as q3")
-    limits = [
-        F.max(F.expr(f"case when measure = '{m}' then " + (f"greatest({edge}, q3 + {fence} * (q3 - q1))" if side == "high" else f"least({edge}, q1 - {fence} * (q3 - q1))") + " end")).alias(f"limit_{m}")
-        for m, (side, edge) in MEASURES.items()
-    ]
+    limits = [F.max(F.expr(f"case when measure = '{m}' then " + ("" if side == "high" else "-") + f"{limit(side, edge, floor)} end")).alias(f"limit_{m}") for m, (side, edge, floor) in MEASURES.items()]
     return chosen.groupBy("lang", "source").agg(*limits)
 
 
@@ -136,7 +146,7 @@ def verdicts(measures: DataFrame, limits: DataFrame) -> DataFrame:
     """measures with the limits of its language and source, and kept. The join is on equal keys, nulls included."""
     limits = limits.selectExpr("lang as t_lang", "source as t_source", *[f"limit_{m}" for m in MEASURES])
     joined = measures.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
-    fails = " or ".join(f"coalesce({m} {'>' if side == 'high' else '<'} limit_{m}, false)" for m, (side, _) in MEASURES.items())
+    fails = " or ".join(f"coalesce({m} {'>' if side == 'high' else '<'} limit_{m}, false)" for m, (side, _, _) in MEASURES.items())
     return joined.drop("t_lang", "t_source").withColumn("kept", F.expr(f"not (base_failed or {fails})"))
 
 

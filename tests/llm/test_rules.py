@@ -50,6 +50,19 @@ def test_quality_verdicts_keep_clean_documents(spark, prose):
     assert quality_rules.judge(docs.limit(0)).collect() == [] and quality_rules.filtered(docs.limit(0)).collect() == []
 
 
+def test_a_source_of_much_junk_does_not_lift_its_limits(spark, prose):
+    barred = lambda n: " | ".join(prose(n).split())
+    rows = [(i, prose(90), "en", "clean") for i in range(300)] + [(1000 + i, prose(90) if i % 5 > 1 else barred(90), "en", "dirty") for i in range(100)]
+    rows += [(2000 + i, "".join(x * 2 for x in prose(60)).replace("  ", " "), "xx", "long") for i in range(200)]
+    got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r["doc_id"] for r in got if not r["kept"]} == {1000 + i for i in range(100) if i % 5 < 2}
+    limits = {(r["lang"], r["source"]): r for r in got}
+    dirty, double = limits["en", "dirty"], limits["xx", "long"]
+    # tighter than the constants, and set by the language
+    assert dirty["limit_symbol_ppm"] < 50_000 and dirty["limit_long_word_milli"] < 10_000 and dirty["limit_short_word_milli"] > 2_000
+    assert double["limit_long_word_milli"] > 10_000
+
+
 def test_sketches_merge(spark, prose):
     docs = spark.createDataFrame([(i, prose(60 + i % 7), "en", f"s{i % 4}") for i in range(120)], "doc_id long, text string, lang string, source string")
     measures = quality_rules.measured(docs, "lang", "source")
