@@ -171,24 +171,77 @@ def relationship(a: str = "a_", b: str = "b_", as_of: str = "") -> Column:
     return reduce(Column.__add__, [F.when(c, n).otherwise(0) for c, n in points])
 
 
-def internal_links(public: DataFrame, as_of: str, per_key: int = 60, pool: int = 60, least: int = 20, n: int = 6) -> DataFrame:
-    """Up to n ranked links an item, among the newest per_key of its organization and of its category and the newest pool of all.
+def link_facts(public: DataFrame, as_of: str) -> DataFrame:
+    """Id, published_at and the facets that points of relation depend on: organization, category, post name, a bit per level, stage (1 job, 2 later stage) and recency."""
+    level = reduce(Column.__add__, [F.when(F.lower("qualification").contains(q), 1 << i).otherwise(0) for i, q in enumerate(LEVELS)])
+    stage = F.when(F.col("type") == "job", 1).when(F.col("type").isin(*LIFECYCLE), 2).otherwise(0)
+    at = F.lit(as_of).cast("timestamp")
+    recent = F.coalesce((F.col("published_at") <= at) & (F.col("published_at") >= at - F.expr("interval 14 days")), F.lit(False))
+    return public.select("id", "published_at", F.col("organization_id").alias("org"), F.col("category_id").alias("cat"), F.lower(F.trim("post_name")).alias("post"), level.alias("level"), stage.alias("stage"), recent.alias("recent"))
+
+
+def containing_posts(facts: DataFrame) -> DataFrame:
+    """(post, other) pairs of post names of which one contains the other, both ways. Every part of a name is looked up among the names, so no pair of names is compared."""
+    names = facts.where("post is not null").select("post").distinct()
+    part = F.expr("flatten(transform(sequence(1, length(post)), i -> transform(sequence(1, length(post) - i + 1), n -> substring(post, i, n))))")
+    parts = names.select("post", F.explode(F.array_append(F.when(F.length("post") > 0, F.array_distinct(part)).otherwise(F.array().cast("array<string>")), F.lit(""))).alias("other")).distinct()
+    inner = parts.join(names.select(F.col("post").alias("other")), "other").select("post", "other")
+    return inner.union(inner.select("other", "post")).distinct()
+
+
+#: Points for an equal organization, a post name within the other's, an equal category.
+KEY_POINTS = {"org": 40, "post": 35, "cat": 25}
+
+
+def internal_links(public: DataFrame, as_of: str, least: int = 20, n: int = 6) -> DataFrame:
+    """Up to n ranked links an item, among all others.
 
-    Each item meets at most 2 * per_key + pool others, so rows stay in proportion to items; the pool is of a fixed size.
+    Under each subset of the keys (organization, post, category) only the n + 1 best per key, level and stage are kept. That is exact:
+    of an item's n best, take b with the set S of keys it shares. Whatever stands before b under the key of S, ranked by the points of
+    S, level, stage and recency, has at least these points with the item, and stands before b in the item's own ranking too. So b is
+    among the n + 1 best there (one may be the item itself), with its full points; under smaller sets it shows fewer, and the most count.
+    Items with equal facets share one ranking of n + 1. So rows stay in proportion to items.
     """
-    facts = public.select("id", "type", "organization_id", "category_id", "post_name", "qualification", "published_at")
-    left = facts.select([F.col(c).alias(f"a_{c}") for c in facts.columns])
-    newest = [F.desc_nulls_last("published_at"), F.asc("id")]
-    parts = []
-    for key in ("organization_id", "category_id"):
-        top = facts.where(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*newest))).where(F.col("_r") <= per_key).drop("_r")
-        parts.append(left.join(top.select([F.col(c).alias(f"b_{c}") for c in facts.columns]), F.col(f"a_{key}") == F.col(f"b_{key}")))
-    recent = facts.orderBy(*newest).limit(pool)
-    parts.append(left.join(F.broadcast(recent.select([F.col(c).alias(f"b_{c}") for c in facts.columns]))))
-    scored = reduce(DataFrame.unionByName, parts).where("a_id <> b_id").withColumn("score", relationship(as_of=as_of)).where(F.col("score") >= least)
-    once = scored.groupBy("a_id", "b_id").agg(F.max("score").alias("score"), F.max("b_published_at").alias("_at"))
-    rank = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("score"), F.desc_nulls_last("_at"), "b_id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= n).select("a_id", "b_id", "score", "rank")
+    facts, keys, newest = link_facts(public, as_of), list(KEY_POINTS), [F.desc_nulls_last("b_at"), F.asc("b_id")]
+    subsets = F.explode(F.sequence(F.lit(0), F.lit(2 ** len(keys) - 1))).alias("keys")
+
+    def keyed(rows: DataFrame, *more: str) -> DataFrame:
+        """A row per subset of keys whose values aren't null; other keys are null."""
+        has = {k: F.col("keys").bitwiseAND(1 << i) > 0 for i, k in enumerate(keys)}
+        every = rows.select(subsets, *keys, *more).where(reduce(Column.__and__, [~h | F.col(k).isNotNull() for k, h in has.items()]))
+        return every.select("keys", *[F.when(h, F.col(k)).alias(k) for k, h in has.items()], *more)
+
+    def best(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+        return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n + 1).drop("_r")
+
+    def same(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        right = right.withColumnsRenamed({c: f"_{c}" for c in on})
+        return left.join(right, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on])).drop(*[f"_{c}" for c in on])
+
+    b_facets = ["b_level", "b_stage", "b_recent"]
+    b = facts.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("id", "level", "stage", "recent")], F.col("published_at").alias("b_at"))
+    b = best(keyed(b, "b_id", "b_at", *b_facets), ["keys", *keys, *b_facets], newest)
+    with_post = F.col("post").isNotNull()
+    matched = b.where(with_post).withColumnRenamed("post", "other").join(containing_posts(facts), "other").select(*b.columns)
+    b = b.where(~with_post).unionByName(best(matched, ["keys", *keys, *b_facets], newest))
+
+    groups = facts.select(*keys, "level", "stage").distinct()
+    group = [F.col(c).alias(f"g_{c}") for c in keys]
+    asked = keyed(groups, "level", "stage").distinct()
+    points = reduce(Column.__add__, [F.when(F.col("keys").bitwiseAND(1 << i) > 0, p).otherwise(0) for i, p in enumerate(KEY_POINTS.values())])
+    level = F.when(F.col("level").bitwiseAND(F.col("b_level")) > 0, 15).otherwise(0)
+    stage = F.when(F.col("stage") * F.col("b_stage") == 2, 15).otherwise(0)
+    scored = same(asked, b, ["keys", *keys]).withColumn("score", points + level + stage + F.when(F.col("b_recent"), 5).otherwise(0)).where(F.col("score") >= least)
+    order = [F.desc("score"), *newest]
+    scored = best(scored, ["keys", *keys, "level", "stage"], order).select("keys", *keys, "level", "stage", "b_id", "b_at", "score")
+
+    whole = [f"g_{c}" for c in keys]
+    found = same(keyed(groups.select("*", *group), "level", "stage", *whole), scored, ["keys", *keys, "level", "stage"])
+    once = found.groupBy(*whole, "level", "stage", "b_id").agg(F.max("score").alias("score"), F.max("b_at").alias("b_at"))
+    lists = best(once, [*whole, "level", "stage"], order).withColumnsRenamed({f"g_{c}": c for c in keys})
+    links = same(facts.select(F.col("id").alias("a_id"), *keys, "level", "stage"), lists, [*keys, "level", "stage"]).where("a_id <> b_id")
+    rank = F.row_number().over(Window.partitionBy("a_id").orderBy(*order))
+    return links.withColumn("rank", rank).where(F.col("rank") <= n).select("a_id", "b_id", "score", "rank")
 
 
 def decided(items: DataFrame, decisions: DataFrame, at: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gazette.functions import exprs, text
@@ -176,6 +177,25 @@ def test_dates_are_found_in_any_order_but_not_with_a_wrong_month(spark):
     assert not found("20 October 2026") and found("20 October 2026", "reference")
 
 
+def test_internal_links_are_the_brute_force_links(spark):
+    schema = "id string, type string, organization_id string, category_id string, post_name string, qualification string, published_at timestamp"
+    posts, levels, types = ["Clerk", "Senior clerk ", None, "Officer", "", "Zonal officer"], ["12th pass", "Graduate or 12th", None, "10th"], ["job", "result", "exam", "answer_key"]
+    at = lambda i: None if i % 41 == 0 else dt.datetime(2026, 1, 1) - dt.timedelta(hours=i // 2)
+    rows = [(f"i{i:04d}", types[i % 4], ["a", "b", None][i % 3], f"c{i % 5}" if i % 7 else None, posts[i * i % 11 % 6], levels[i // 3 % 4], at(i)) for i in range(400)]
+    # one organization with an old item that matches in all facets, behind more than sixty newer ones that match in few
+    rows += [("old", "result", "o", "k", "Unique post", "Graduate", dt.datetime(2000, 1, 1)), ("new", "job", "o", "k", "Unique post", "Graduate", dt.datetime(2025, 1, 1))]
+    rows += [(f"x{i:03d}", "exam", "o", "k", "Other", None, dt.datetime(2025, 6, 1)) for i in range(100)]
+    public = spark.createDataFrame(rows, schema)
+    as_of = "2026-01-01 00:00:00"
+    a, b = (public.select([F.col(c).alias(f"{s}_{c}") for c in public.columns]) for s in "ab")
+    every = a.crossJoin(b).where("a_id <> b_id").withColumn("score", verify.relationship(as_of=as_of)).where("score >= 20")
+    rank = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("score"), F.desc_nulls_last("b_published_at"), "b_id"))
+    want = every.withColumn("rank", rank).where("rank <= 6").select("a_id", "b_id", "score", "rank")
+    got = verify.internal_links(public, as_of)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert ("new", "old", 130, 1) in set(map(tuple, got.where("a_id = 'new'").collect()))
+
+
 def test_page_changes_batch(spark):
     old = spark.createDataFrame([("s", "u1", "c1", "f1"), ("s", "u2", None, "f2")], "source_id string, normalized_url string, canonical_url string, fingerprint string")
     new = spark.createDataFrame([("s", "u1", None, "f1"), ("s", "u2", None, "g2"), ("s", "u3", "c1", "f1"), ("s", "u4", None, "f2"), ("s", "u5", None, "zz")], old.schema)
