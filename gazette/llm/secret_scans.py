@@ -33,12 +33,21 @@ class Rule:
     flags: int = 0
 
 
+_BREAK = r"(?:\s|\\[rnt])*+"
+_LINE_END = r"(?=[\x20\t]*(?:[\r\n]|\\[rn]|\Z))"
+#: From BEGIN to the END line of the same label; where that is missing, over the header lines and the run of base64 lines
+#: that follow. Line breaks may be escaped, as in JSON. A key has no run of five hyphens, so no match reaches into another.
+PRIVATE_KEY = (
+    r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----"
+    r"(?:(?:[^-]|-(?!----))*+-----END \1-----"
+    rf"|(?:(?:{_BREAK}(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash):[^\r\n\\]*+|[A-Za-z0-9+/]{{40,}}+={{0,2}}|[A-Za-z0-9+/]{{16,}}+={{0,2}}{_LINE_END}))++(?:{_BREAK}[A-Za-z0-9+/]++={{0,2}}{_LINE_END})?)?)"
+)
 #: In this order spans with the same start are listed. The first three are the base rules.
 RULES = (
     Rule("assign", 1, r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2, re.IGNORECASE | re.ASCII),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 16),
     Rule("hex", 1, r"[0-9a-f]+", 32),
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", 2, PRIVATE_KEY),
     Rule("hosted_token", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )

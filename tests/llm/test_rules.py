@@ -129,6 +129,18 @@ def test_masking(secret_docs):
     assert secret_scans.summary(secret_docs.limit(0)).collect() == []
 
 
+def test_whole_private_keys_are_masked(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "aB3+/xYz" * 6] * 5 + ["Qk9="])
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    key = f"{begin}\nProc-Type: 4,ENCRYPTED\n\n{body}\n{end}"
+    pgp = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\n\n{body}\n=aB3x\n-----END PGP PRIVATE KEY BLOCK-----"
+    texts = [f"a {key} b", f"a {begin}\n{body}\n\nMore text.", f"a {key}\n{key} b", f'{{"k": "{key}"}}'.replace("\n", "\\n"), f"a {pgp} b", f"a {begin} and prose", f"{begin}\r\n" + body.replace("\n", "\r\n")]
+    want = ["a [secret] b", "a [secret]\n\nMore text.", "a [secret]\n[secret] b", '{"k": "[secret]"}', "a [secret] b", "a [secret] and prose", "[secret]"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secret_scans.masked(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_url_rules_and_list(spark):
     urls = ["https://Example.ORG/es/a", "http://a.example.org/en/12?x", "http://b.org/en/1", "http://example.org", "http://x.com/fr/", "http://x.com/de/z", "http://com/de/", "ftp://notcom/fr/", "http://org:80/", None, "no scheme", "://", "http://bad.net/p/?utm_source=q&b=2&a=1", "https://www.bad.net/p?a=1&b=2#x", "http://bad.net/other"]
     pages = spark.createDataFrame([(i, u, "host") for i, u in enumerate(urls)] + [(0, urls[0], "h"), (None, urls[12], "h")], "page_id long, url string, host string")
