@@ -17,7 +17,7 @@ from gazette.functions import exprs
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "gclid", "msclkid", "_ga", "_gl", "mc_cid", "mc_eid", "ref", "source", "trk", "si")
 SITE_TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "msclkid", "ref", "source", "_ga", "mc_cid", "mc_eid")
 NOT_CRAWLED = ("#", "javascript:", "mailto:", "tel:", "data:", "sms:", "whatsapp:", "tg:", "file:", "ftp:")
-SECRET_KEYS = ("password", "token", "secret", "api_key", "apikey", "authorization", "cookie", "session", "credential", "private_key", "access_key", "signature")
+SECRET_KEYS = ("password", "token", "secret", "api_key", "apikey", "authorization", "cookie", "session", "credential", "private_key", "access_key", "signature", "salt", "bearer")
 # ---- End of fixed values ----
 DEFAULT_PORTS = {"http": 80, "https": 443}
 
@@ -139,13 +139,18 @@ def normalize_any_text(text: Column) -> Column:
     return exprs.normalize_text(decomposed(text))
 
 
-def mask_secrets(text: Column, most: int = 1000) -> Column:
-    """G19."""
+def mask_secrets(text: Column) -> Column:
+    """The whole masked JSON."""
 
     def run(texts: pd.Series) -> pd.Series:
         return _series(masked_json, texts)
 
-    return F.substring(F.pandas_udf(run, "string")(text), 1, most)
+    return F.pandas_udf(run, "string")(text)
+
+
+def cut_message(message: Column, most: int = 1000) -> Column:
+    """The message of an error is cut, its metadata is not."""
+    return F.substring(message, 1, most)
 
 
 def inject_links(text: Column, anchors: Column, most: int = 3) -> Column:

@@ -1,6 +1,7 @@
 """Literal cases of the operators that SQL doesn't cover, edge cases, and invariants."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import Window
@@ -60,6 +61,14 @@ def test_fingerprint_ignores_scripts_clocks_and_counters(spark):
     assert one(spark, exprs.clean_content(F.col("a")), a="<script>" + "<" * 20_000 + "</script>x") == "x"
 
 
+def test_long_metadata_is_masked_whole(spark):
+    rows = {"note": "x" * 3000, "password_salt": "a", "deep": [{"Bearer": "b", "ok": 1}], "last": "end"}
+    got = one(spark, text.mask_secrets(F.col("m")), m=json.dumps(rows))
+    assert json.loads(got) == rows | {"password_salt": "***", "deep": [{"Bearer": "***", "ok": 1}]}
+    assert one(spark, text.mask_secrets(F.col("m")), m='{"salt":"a"}') == '{"salt":"***"}'
+    assert one(spark, text.cut_message(F.col("m")), m="y" * 1500) == "y" * 1000
+
+
 def test_exam_names_and_numbers(spark):
     norm = exprs.normalize_text(F.col("a"))
     # "group d" and then "level 1" are replaced, so the name compounds; both sides of a pair do so alike
