@@ -2,7 +2,7 @@
 
 Texts are sets of shingles of five words (a shorter text is one shingle; words are separated by ASCII white space and
 compared in lower case). Exact copies share a content key and go on as one. ``BANDS`` bands of ``ROWS`` coordinates put
-a text into buckets; at a similarity of 0.8 two texts share none with a probability of 6e-5. Buckets with the same members
+a text into buckets; at a similarity of 0.8 two texts share none with a probability of 2e-5. Buckets with the same members
 are taken once. Members of a bucket are then compared exactly, with their whole shingle sets, in groups of at most
 ``TILE`` texts (two such groups at a time in a larger bucket); a group gives a spanning forest of its links, never its
 pairs. Components of these links are the classes. Every pair that shares a bucket is compared, so no link is left out
@@ -28,7 +28,7 @@ from gazette.llm.components import components
 from gazette.llm.dart_minhash import mix, signatures
 from gazette.llm.shared import cut, give_back_memory
 
-SHINGLE, BANDS, ROWS, TILE = 5, 32, 6, 512
+SHINGLE, BANDS, ROWS, TILE = 5, 36, 6, 512
 #: A link: |A & B| * DEN >= |A | B| * NUM, a similarity of 0.8.
 NUM, DEN = 4, 5
 STEP_WORDS = 1 << 16

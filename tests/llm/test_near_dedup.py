@@ -112,3 +112,7 @@ def test_classes_are_those_of_brute_force(spark, tile):
 
 def test_empty(spark):
     assert near_dedup.classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_links_at_the_threshold_are_rarely_missed():
+    assert (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS < 2e-5
