@@ -6,49 +6,56 @@ one that may stand after the last token of the prefix before it. Two tokens may
 border comes before the merges that made them. Back-pointers from the whole word then give the ids. The time is linear
 in the word's length, however long the word.
 
+Decoding turns the emitted ids back into tokens, a blank between them, as the vocabulary's file names no decoder.
+
 Defined results. Null text: as an empty one, no ids and an empty decoded text. Repeated rows: each is encoded. An empty
-table gives an empty result.
+table gives an empty result. Further columns don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gazette.llm.shared import give_back_memory
+from gazette.llm.tokens import END_MARK, FINAL, Distinct, Encoder, byte_characters
 
-from gazette.llm.tokens import END_MARK, FINAL, PATTERN, TABLE_CHUNKS, byte_characters, normalized, words
+#: Words in a worker's table, the longest of them in characters, and pairs of tokens that it has tested.
+TABLE_WORDS, LONGEST, TABLE_PAIRS = 150_000, 32, 1_000_000
 
 
-class WordBPE:
+class WordBPE(Encoder):
     """Encoder and decoder of a vocabulary whose words end with a mark."""
 
     def __init__(self, path: str):
+        super().__init__(path)
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         model = data["model"]
-        self.ids: dict[str, int] = model["vocab"]
-        self.strings = {i: t for t, i in self.ids.items()} | {t["id"]: t["content"] for t in data["added_tokens"]}
-        self.specials = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
-        self.split = regex.compile(PATTERN).findall
-        self.shown = byte_characters()
-        unshown = {c: b for b, c in enumerate(self.shown)}
-        #: merge of two ids -> (rank, id); id -> (rank of its merge, left id, right id)
+        ids = self.vocab = model["vocab"]
+        strings = {i: t for t, i in ids.items()} | {i: t for t, i in self.specials.items()}
+        most = max(strings) + 1
+        #: by id, with the blank that follows
+        self.tokens = pa.array([strings.get(i, "") + " " for i in range(most)], pa.large_string())
+        self.decimals = pa.array([f"{i} " for i in range(most)], pa.large_string())
+        unshown = {c: b for b, c in enumerate(byte_characters())}
+        #: merge of two ids -> rank; id -> (rank of its merge, left id, right id)
         self.merge: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            l, r, both = self.ids[left], self.ids[right], self.ids[left + right]
+            l, r, both = ids[left], ids[right], ids[left + right]
             self.merge.setdefault((l, r), rank)
             self.parts.setdefault(both, (rank, l, r))
         self.matches = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for token, i in self.ids.items():
+        for token, i in ids.items():
             if token in self.specials:
                 continue
             body, final = (token[: -len(END_MARK)], True) if token.endswith(END_MARK) and len(token) > len(END_MARK) else (token, False)
@@ -60,7 +67,6 @@ class WordBPE:
             self.matches.add_word("".join(map(chr, symbols)), (len(symbols), i))
         self.matches.make_automaton()
         self.together: dict[tuple[int, int], bool] = {}
-        self.table: dict[str, tuple[int, str, str]] = {}
         self.word_table: dict[str, list[int]] = {}
 
     def compatible(self, left: int, right: int) -> bool:
@@ -92,9 +98,10 @@ class WordBPE:
         return out
 
     def word_ids(self, word: str) -> list[int]:
-        """Ids of one word of the pattern."""
-        raw = word.encode("utf-8")
-        symbols = raw[:-1].decode("latin-1") + chr(raw[-1] + FINAL)
+        """Ids of one word of the pattern, or of a special token."""
+        if word in self.specials:
+            return [self.specials[word]]
+        symbols = self.symbols(word)
         n = len(symbols)
         last, back = [-1] * (n + 1), [0] * (n + 1)
         compatible, known = self.compatible, self.together
@@ -117,42 +124,31 @@ class WordBPE:
             n = back[n]
         return out[::-1]
 
-    def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        """(number of ids, ids, tokens) of a chunk without white space or special tokens."""
+    def of_words(self, words: list[str]) -> Distinct:
+        table = self.word_table
+        if len(table) > TABLE_WORDS:
+            table.clear()
+        if len(self.together) > TABLE_PAIRS:
+            self.together.clear()
         ids: list[int] = []
-        for word in self.split(normalized(chunk)):
-            got = self.word_table.get(word)
+        lengths = np.zeros(len(words), np.int64)
+        for k, word in enumerate(words):
+            got = table.get(word)
             if got is None:
-                got = self.word_table[word] = self.word_ids(word)
+                got = self.word_ids(word)
+                if len(word) <= LONGEST:
+                    table[word] = got
             ids += got
-        return len(ids), " ".join(map(str, ids)), " ".join(map(self.strings.__getitem__, ids))
-
-    def chunks(self, text: str) -> list[tuple[int, str, str]]:
-        table = self.table
-        if len(table) > TABLE_CHUNKS:
-            table.clear()
-        if len(self.word_table) > TABLE_CHUNKS:
-            self.word_table.clear()
-        if len(self.together) > 4 * TABLE_CHUNKS:
-            self.together.clear()
-        out = []
-        for part in self.special.split(text) if "<|" in text else (text,):
-            if part in self.specials:
-                out.append((1, str(self.specials[part]), part))
-                continue
-            for chunk in words(part):
-                got = table.get(chunk)
-                if got is None:
-                    got = table[chunk] = self._chunk(chunk)
-                out.append(got)
-        return out
-
-    def encode(self, text: str | None) -> list[int]:
-        return [int(i) for _, ids, _ in self.chunks(text or "") for i in ids.split(" ")]
+            lengths[k] = len(got)
+        return Distinct([np.array(ids, np.uint32)], [lengths])
 
-    def decode(self, ids: list[int]) -> str:
-        """Tokens with a space between, as there is no decoder in the vocabulary's file; special tokens as they are."""
-        return " ".join(self.strings[i] for i in ids)
+    def decode(self, ids: np.ndarray, ends: np.ndarray, what: pa.Array | None = None) -> Iterator[memoryview]:
+        """Each text's tokens (or other strings of the ids), with a blank between, in UTF-8."""
+        taken = (self.tokens if what is None else what).take(pa.array(ids))
+        offsets, data = (taken.buffers()[k] for k in (1, 2))
+        at = np.append(0, np.frombuffer(offsets, np.int64)[: len(ids) + 1][ends])
+        raw = memoryview(data) if data is not None else memoryview(b"")
+        return (raw[b : max(b, e - 1)] for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
 
 
 _BY_PATH: dict[str, WordBPE] = {}
@@ -170,16 +166,17 @@ def encoded(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFra
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(vocabulary)
-        sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                got = bpe.chunks(text.as_py() or "")
-                ids, decoded = " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
-                rows.append((sum(x[0] for x in got), sha(ids), sha(decoded), *(([int(i) for i in ids.split()], decoded) if with_ids else ())))
-            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)]], names=["doc_id", *kinds])
+            done = 0
+            for ids, ends in bpe.encode(batch.column("text")):
+                n = np.diff(ends, prepend=0)
+                columns = [n, [hashlib.sha256(x).hexdigest() for x in bpe.decode(ids, ends, bpe.decimals)], [hashlib.sha256(x).hexdigest() for x in bpe.decode(ids, ends)]]
+                if with_ids:
+                    columns += [pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int32))), [bytes(x).decode("utf-8") for x in bpe.decode(ids, ends)]]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(ends)), *[c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)]], names=["doc_id", *kinds])
+                done += len(ends)
+        give_back_memory()
 
     kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32()), "decoded": pa.string()} if with_ids else {})
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(encode, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, schema)

@@ -5,8 +5,10 @@ the optimal ones under a limit, by package-merge; the canonical codes follow fro
 beside the blocks. A block holds whole documents in ascending doc_id order and is decoded by itself: a table indexed by
 the next ``LIMIT`` bits gives id and length, and all segments between checkpoints advance together.
 
-Defined results. Null text: as an empty one, the end id alone. Rows with equal doc_id stand together, ordered by their
-ids; null doc_ids come first. An empty table gives empty files. A document longer than a block makes a block by itself.
+Defined results. Null text: as an empty one, the end id alone. Rows with equal doc_id stand together, in any order among
+themselves; null doc_ids come first. An empty table gives empty files. A document longer than a block makes a block by
+itself. Further columns don't matter. More than 65,536 different ids have no codes of 16 bits, so a corpus that uses more
+of a larger vocabulary raises ValueError.
 """
 
 from __future__ import annotations
@@ -17,15 +19,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.shared import cut
-from gazette.llm.tokens import encoder
+from gazette.llm.dart_minhash import mix
+from gazette.llm.shared import cut, give_back_memory
+from gazette.llm.tokens import encoder, with_end
 
 END_ID = 2
-#: Longest code in bits, ids of a block (the last document may exceed it), ids between checkpoints.
-LIMIT, BLOCK_IDS, CHECK_IDS = 16, 1 << 16, 256
+#: Longest code in bits, most ids and documents of a block, ids between checkpoints.
+LIMIT, BLOCK_IDS, BLOCK_DOCS, CHECK_IDS = 16, 1 << 16, 1 << 12, 256
 #: Ids that are decoded together, for a bound on memory.
 DECODE_IDS = 1 << 22
 
@@ -115,18 +119,25 @@ class Code:
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian; 16 bits where the vocabulary allows, else 32)."""
+    """doc_id, n_tokens, ids (little-endian; 16 bits where the vocabulary allows, else 32), salt (any number)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = encoder(vocabulary)
-        kind = id_kind(tok.size, end_id)
-        end = np.array([end_id], kind).tobytes()
+        tokens = encoder(vocabulary)
+        kind = id_kind(tokens.size, end_id)
+        place = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in tok.encode(batch.column("text").to_pylist())]
-            n = [len(x) // np.dtype(kind).itemsize for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            done = 0
+            for ids, ends in tokens.encode(batch.column("text")):
+                ids, ends = with_end(ids, ends, end_id)
+                offsets = np.append(0, ends) * np.dtype(kind).itemsize
+                raw = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
+                salt = mix((np.arange(len(ends)) + place).astype(np.uint64)).view(np.int64)
+                place += len(ends)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(ends)), pa.array(np.diff(ends, prepend=0)), raw, pa.array(salt)], names=["doc_id", "n_tokens", "ids", "salt"])
+                done += len(ends)
+        give_back_memory()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, n_tokens long, ids binary, salt long")
 
 
 def id_kind(vocabulary_size: int, end_id: int) -> str:
@@ -172,30 +183,34 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Files:
     code = Code(lengths)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc_ids, sizes, ids, block, first = [], [], [], 0, 0
+        doc_ids, sizes, ids, held, block, first = [], [], [], 0, 0, 0
+
+        part = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal doc_ids, sizes, ids, block, first
+            nonlocal doc_ids, sizes, ids, held, block, first
             payload, offsets = code.encode(np.concatenate(ids))
             row = {"part": part, "block": block, "first": first, "doc_ids": doc_ids, "sizes": sizes, "offsets": offsets.tolist(), "payload": payload}
-            block, first = block + 1, first + sum(sizes)
-            doc_ids, sizes, ids = [], [], []
+            block, first = block + 1, first + held
+            doc_ids, sizes, ids, held = [], [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=BLOCK)
 
         for batch in batches:
-            for p, doc_id, x in zip(batch.column("part"), batch.column("doc_id"), batch.column("ids"), strict=True):
-                part = p.as_py()
-                doc_ids.append(doc_id.as_py())
+            for part, doc_id, x in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                if held and held + len(x.as_buffer()) // np.dtype(kind).itemsize > BLOCK_IDS:
+                    yield flush()
+                doc_ids.append(doc_id)
                 ids.append(np.frombuffer(x.as_buffer(), kind))
                 sizes.append(len(ids[-1]))
-                if sum(sizes) >= BLOCK_IDS:
+                held += sizes[-1]
+                if held >= BLOCK_IDS or len(sizes) >= BLOCK_DOCS:
                     yield flush()
         if doc_ids:
             yield flush()
 
-    # ascending ranges of doc_id, each sorted; the number of a range is its rows' part
+    # ascending ranges of doc_id, each sorted; the number of a range is its rows' part. The salt, which is written, splits the rows of one doc_id
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = tokens.select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids").withColumn("part", F.spark_partition_id())
+    ordered = tokens.select("doc_id", "salt", "ids").repartitionByRange(parts, "doc_id", "salt").sortWithinPartitions("doc_id", "salt").select("doc_id", "ids", F.spark_partition_id().alias("part"))
     blocks = ordered.mapInArrow(encode, "part int, block int, first long, doc_ids array<long>, sizes array<long>, offsets array<long>, payload binary")
     used = np.flatnonzero(lengths)
     codebook = spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id int, length int")

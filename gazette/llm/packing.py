@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.llm.shared import cut, give_back_memory
-from gazette.llm.tokens import encoder
+from gazette.llm.tokens import encoder, with_end
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one (length, bucket) that one task ranks, about, and the least number of buckets.
@@ -34,63 +34,82 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     """doc_id, piece, start, length, ids_crc32 (and ids) per piece. Documents of more than capacity ids are cut there."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary).encode, np.array([end_id], "<u4").tobytes()
+        tokens = encoder(vocabulary)
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_pylist()
-            rows = []
-            for doc_id, ids in zip(doc_ids, encode(t.as_py() for t in batch.column("text")), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+            done = 0
+            for ids, ends in tokens.encode(batch.column("text")):
+                ids, ends = with_end(ids, ends, end_id)
+                begins = np.append(0, ends[:-1])
+                n = -(-(ends - begins) // capacity)
+                row = np.repeat(np.arange(len(ends)), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(capacity, (ends - begins)[row] - start)
+                raw = memoryview(ids.astype("<u4", copy=False).view(np.uint8))
+                parts = [raw[4 * b : 4 * (b + x)] for b, x in zip((begins[row] + start).tolist(), length.tolist(), strict=True)]
+                columns = [batch.column("doc_id").slice(done, len(ends)).take(pa.array(row)), piece, start, length, [zlib.crc32(x) for x in parts], *([[bytes(x) for x in parts]] if with_ids else [])]
+                done += len(ends)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
         give_back_memory()
 
     kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if with_ids else {})
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(cut_up, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut_up, schema)
 
 
 class _Sums:
-    """Which sums of one, two or three available lengths there are. Availability only falls, so pair sums may be stale and are verified."""
+    """An index of the sums of one, two and three available lengths.
+
+    Availability only falls between two calls of index(), which is called where no length is held back. So a sum that
+    the index lacks doesn't exist, and one that it has is looked for among the counts as they are now.
+    """
+
+    MISSES = 64
 
     def __init__(self, left: np.ndarray):
         self.left = left
-        self.misses = 0
-        self._pairs()
+        self.index()
 
-    def _pairs(self) -> None:
+    def index(self) -> None:
         there = self.left > 0
-        self.pair_sums = np.zeros(len(there), bool)
+        self.pairs, self.triples = np.zeros(len(there), bool), np.zeros(len(there), bool)
         for a in np.flatnonzero(there):
-            self.pair_sums[a:] |= there[: len(there) - a]
+            self.pairs[a:] |= there[: len(there) - a]
+        for a in np.flatnonzero(there):
+            self.triples[a:] |= self.pairs[: len(there) - a]
         self.misses = 0
 
+    def refresh(self) -> None:
+        """Between two sequences: index anew after many sums that turned out to be gone."""
+        if self.misses > self.MISSES:
+            self.index()
+
     def one(self, gap: int) -> tuple[int, ...] | None:
         return (gap,) if self.left[gap] > 0 else None
 
     def two(self, gap: int) -> tuple[int, ...] | None:
         """With the longest first."""
+        if not self.pairs[gap]:
+            return None
         half = (gap + 1) // 2
         a = np.flatnonzero((self.left[half:gap] > 0) & (self.left[gap - half : 0 : -1] > 0))
-        for x in a[::-1][:2]:
+        for x in a[::-1][:2]:  # only two equal lengths can lack a second piece
             pair = (half + int(x), gap - half - int(x))
             if pair[0] != pair[1] or self.left[pair[0]] > 1:
                 return pair
+        self.misses += 1
         return None
 
     def three(self, gap: int) -> tuple[int, ...] | None:
-        for a in np.flatnonzero((self.left[1 : gap - 1] > 0) & self.pair_sums[gap - 1 : 1 : -1])[::-1] + 1:
+        if not self.triples[gap]:
+            return None
+        for a in np.flatnonzero((self.left[1 : gap - 1] > 0) & self.pairs[gap - 1 : 1 : -1])[::-1] + 1:
             self.left[a] -= 1
             pair = self.two(gap - int(a))
             self.left[a] += 1
             if pair:
                 return (int(a), *pair)
-            self.misses += 1
-            if self.misses > 64:
-                self._pairs()
-                return self.three(gap)
+        self.misses += 1
         return None
 
     def exact(self, gap: int) -> tuple[int, ...] | None:
@@ -116,6 +135,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[in
     sums = _Sums(left)
     for length in range(capacity, 0, -1):  # exact combinations first
         while left[length] > 0:
+            sums.refresh()
             left[length] -= 1
             rest = sums.exact(capacity - length)
             left[length] += 1
@@ -123,6 +143,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[in
                 break
             consume([length, *rest])
     while (there := np.flatnonzero(left)).size:  # then the longest that fits, and each gap looked up again
+        sums.refresh()
         chosen = [int(there[-1])]
         gap = capacity - chosen[0]
         left[chosen[0]] -= 1

@@ -1,11 +1,13 @@
 """Packing, token files and BPE against the tokenizers library and plain Python."""
 
+import functools
 import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -26,20 +28,51 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, length string, n_tokens int").repartition(3)
 
 
+@functools.cache
+def tokenizer(path):
+    return Tokenizer.from_file(path)
+
+
 def library(path, text):
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    return tokenizer(path).encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def ids_of(tokens, texts):
+    out = []
+    for ids, ends in tokens.encode(pa.array(texts, pa.string())):
+        out += [x.tolist() for x in np.split(ids, ends[:-1])]
+    return out
+
+
 def test_encoder_is_the_library(docs):
     texts = [r["text"] for r in docs.collect()]
     for path in (WORD, BYTE):
         t = Tokenizer.from_file(path)
-        for text, ids in zip(texts, encoder(path).encode(texts), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
+        assert ids_of(encoder(path), texts) == [t.encode(text or "", add_special_tokens=False).ids for text in texts]
+        assert ids_of(encoder(path), []) == []
+
+
+def test_every_code_point_as_in_the_library():
+    """Between letters, digits and marks; sixteen code points a text. Of the large blocks of Han, Hangul and unassigned ones, every 61st."""
+    large = [range(0x3400, 0xA000), range(0xAC00, 0xD7A4), range(0x20000, 0x110000)]
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c % 61 == 0 or not any(c in r for r in large))]
+    texts = [" ".join(f"x{c}y 1{c}2, {c}" for c in points[i : i + 16]) for i in range(0, len(points), 16)]
+    encoders = [(WORD, encoder(WORD)), (BYTE, encoder(BYTE)), (WORD, bpe.word_bpe(WORD))]
+    want = {path: [e.ids for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)] for path in (WORD, BYTE)}
+    for path, tokens in encoders:
+        wrong = [text for text, a, b in zip(texts, ids_of(tokens, texts), want[path], strict=True) if a != b]
+        assert wrong == []
+
+
+def test_long_chunks_and_blanks():
+    texts = ["a" * 300_000, "ab" * 100_000, " " * 300_000 + "x", "\n" * 200_000, "é" * 100_000, "." * 100_000, "\x01 \x01a\x01", "<|endoftext|>\x01<|endoftext|> \u3000\u0301e"]
+    for path, tokens in ((WORD, encoder(WORD)), (BYTE, encoder(BYTE)), (WORD, bpe.word_bpe(WORD))):
+        t = Tokenizer.from_file(path)
+        assert ids_of(tokens, texts) == [t.encode(text, add_special_tokens=False).ids for text in texts]
 
 
 def test_prefix_bpe(docs):
@@ -55,13 +88,13 @@ def test_prefix_bpe(docs):
 
 def test_compatible_pairs_are_those_that_the_library_keeps():
     w, t, rnd = bpe.WordBPE(WORD), Tokenizer.from_file(WORD), random.Random(5)
-    starts = [s for s in w.ids if not s.endswith("</w>") and s.isascii() and s.isalpha() and s.islower()]
-    ends = [s for s in w.ids if s.endswith("</w>") and s[:-4].isascii() and s[:-4].isalpha() and s.islower()]
+    starts = [s for s in w.vocab if not s.endswith("</w>") and s.isascii() and s.isalpha() and s.islower()]
+    ends = [s for s in w.vocab if s.endswith("</w>") and s[:-4].isascii() and s[:-4].isalpha() and s.islower()]
     for _ in range(4000):
         a, b = rnd.choice(starts), rnd.choice(ends)
         ids = t.encode(a + b[:-4], add_special_tokens=False).ids
         assert w.word_ids(a + b[:-4]) == ids
-        assert w.compatible(w.ids[a], w.ids[b]) == (ids == [w.ids[a], w.ids[b]])
+        assert w.compatible(w.vocab[a], w.vocab[b]) == (ids == [w.vocab[a], w.vocab[b]])
 
 
 def test_packing(docs):
