@@ -2,23 +2,26 @@
 
 Every version of every path is addressed by the SHA-256 of its content. The ledger holds, per blob, rule and rule
 version, the spans found. A scan takes the blobs that lack a current (rule, version) pair, scans one copy of each for
-the missing rules only, and appends to the ledger; findings are then joined back to all paths by address.
+the missing rules only, and appends to the ledger, a folder that outlives the run if the caller names one; findings of
+the current versions are then joined back to all paths by address.
 
 Defined results. Null text: scanned as empty. Repeated rows and copies: one blob, one finding set, every row gets it.
 Null ids are joined as values. Spans are code points, end exclusive. An empty table gives an empty ledger and result.
+Further columns don't matter, and masked carries them. Without a ledger's name each call has a ledger of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.shared import cut
+from gazette.llm.shared import shared_dir
 
 
 @dataclass(frozen=True)
@@ -67,10 +70,13 @@ def addressed(docs: DataFrame, path: str = "doc_id") -> DataFrame:
     return docs.select(F.col(path).alias("path"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"))
 
 
+LEDGER = "blob binary, findings array<struct<rule:string,starts:array<bigint>,ends:array<bigint>>>"
+
+
 def _scanner(rules: tuple[Rule, ...]):
     by_name = {f"{r.kind}@{r.version}": r for r in rules}
 
-    @F.pandas_udf("array<struct<rule:string,starts:array<long>,ends:array<long>>>")
+    @F.pandas_udf(LEDGER.removeprefix("blob binary, findings "))
     def scan(texts: pd.Series, missing: pd.Series) -> pd.Series:
         out = []
         for text, names in zip(texts, missing, strict=True):
@@ -91,7 +97,7 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     if ledger is None:
         due = copies.withColumn("missing", names)
     else:
-        # a ledger holds a few rows a blob at most: one for each time that rules changed
+        # a ledger holds a few rows a blob at most: one for each time that rules changed, or that portions were scanned at once
         seen = ledger.select("blob", F.explode("findings.rule").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         due = copies.join(seen, "blob", "left").select("blob", "path", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))).alias("missing")).where("size(missing) > 0")
     due = due.select(F.col("path").alias("due_path"), F.col("blob").alias("due_blob"), "missing")
@@ -100,10 +106,30 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     return one.select(F.col("due_blob").alias("blob"), _scanner(rules)("text", "missing").alias("findings"))
 
 
-def report(docs: DataFrame, ledger: DataFrame, path: str = "doc_id") -> DataFrame:
-    """(path, rule, starts, ends) arrays per row of docs: the ledger's findings joined back to all paths."""
-    rows = ledger.where("exists(findings, f -> size(f.starts) > 0)").select("blob", F.filter("findings", lambda f: F.size(f["starts"]) > 0).alias("findings"))
-    return addressed(docs, path).join(rows, "blob", "left").select("path", "blob", "findings")
+def updated(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", increments: int = 1) -> DataFrame:
+    """The ledger in that folder, after a scan of what it lacks of docs.
+
+    increments: the rows come in so many portions by hash of their path; a blob that an earlier one held isn't scanned again.
+    """
+    spark = docs.sparkSession
+    ledger = ledger or f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)  # from now on there is one
+    for k in range(increments):
+        portion = docs.where(F.pmod(F.xxhash64(path), F.lit(increments)) == k) if increments > 1 else docs
+        one_row_a_blob(scan_unseen(portion, spark.read.schema(LEDGER).parquet(ledger), rules, path)).write.mode("append").parquet(ledger)
+    return spark.read.schema(LEDGER).parquet(ledger)
+
+
+def findings_of(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, findings) of the blobs in which the current versions of the rules found anything, a row a blob."""
+    found = F.filter("findings", lambda f: (F.size(f["starts"]) > 0) & f["rule"].isin([f"{r.kind}@{r.version}" for r in rules]))
+    rows = ledger.select("blob", found.alias("findings")).where("size(findings) > 0")
+    return rows.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))
+
+
+def report(docs: DataFrame, ledger: DataFrame, path: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(path, blob, findings) of every row of docs: the ledger's findings joined back to all paths."""
+    return addressed(docs, path).join(findings_of(ledger, rules), "blob", "left").select("path", "blob", "findings")
 
 
 def _digest(kinds: tuple[str, ...]):
@@ -121,10 +147,9 @@ def _digest(kinds: tuple[str, ...]):
     return digest
 
 
-def summary(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def summary(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: str | None = None, increments: int = 1) -> DataFrame:
     """doc_id, counts of the base kinds, a hash of the base spans, and all spans, for every row of docs."""
-    ledger = cut(one_row_a_blob(scan_unseen(docs, None, rules)), "secret-ledger")
-    out = report(docs, ledger).select(F.col("path").alias("doc_id"), _digest(tuple(r.kind for r in rules))("findings").alias("d"))
+    out = report(docs, updated(docs, ledger, rules, increments=increments), rules=rules).select(F.col("path").alias("doc_id"), _digest(tuple(r.kind for r in rules))("findings").alias("d"))
     return out.select("doc_id", "d.*")
 
 
@@ -148,10 +173,9 @@ def _masked(texts: pd.Series, findings: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: str | None = None) -> DataFrame:
     """docs with every span, overlapping ones as one, replaced by ``[secret]``; other texts and columns stay as they are."""
-    ledger = cut(one_row_a_blob(scan_unseen(docs, None, rules)), "secret-ledger")
-    rows = ledger.where("exists(findings, f -> size(f.starts) > 0)").select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
+    rows = findings_of(updated(docs, ledger, rules), rules).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
     keyed = docs.withColumn("_key", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     joined = keyed.join(rows.hint("merge"), F.col("_key") == F.col("_blob"), "left")
     return joined.withColumn("text", F.pandas_udf(_masked, "string")("text", "_findings")).select(*docs.columns)
