@@ -4,7 +4,7 @@ Each element owns a plane of weight times rank, cut into cells of area one at mo
 darts, all of it a function of element and cell alone, so equal elements throw equal darts in every set. A dart counts
 for a set if it lies under the element's weight. Each of ``k`` coordinates keeps its dart of least rank; two sets agree
 in a coordinate with the probability of their weighted Jaccard similarity. Ranks are looked at up to a height at which
-nearly every coordinate has a dart, and where one has none the height is doubled: about k log k darts a set, however
+nearly every coordinate has a dart, and where one has none the height grows by half: about k log k darts a set, however
 many elements it has.
 """
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm.dart_minhash import mix
-from gazette.llm.shared import cut, give_back_memory
+from gazette.llm.shared import cut, cuts, give_back_memory, remove
 from gazette.llm.tokens import encoder, with_end
 
 END_ID = 2
@@ -177,6 +177,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Files:
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
+    outside = cuts(spark)
     kind = id_kind(Tokenizer.from_file(vocabulary).get_vocab_size(), end_id)
     tokens = cut(tokenized(docs, vocabulary, end_id), "huffman-tokens")
     lengths = code_lengths(counted(tokens, kind))
@@ -214,7 +215,9 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Files:
     blocks = ordered.mapInArrow(encode, "part int, block int, first long, doc_ids array<long>, sizes array<long>, offsets array<long>, payload binary")
     used = np.flatnonzero(lengths)
     codebook = spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id int, length int")
-    return Files(cut(blocks, "huffman-blocks"), cut(codebook.coalesce(1), "huffman-codebook"))
+    files = Files(cut(blocks, "huffman-blocks"), cut(codebook.coalesce(1), "huffman-codebook"))
+    remove(spark, [p for p in cuts(spark)[:-2] if p not in outside])  # the tokens
+    return files
 
 
 BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])

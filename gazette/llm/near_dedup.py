@@ -4,11 +4,11 @@ Texts are sets of shingles of five words (a shorter text is one shingle; words a
 compared in lower case). Exact copies share a content key and go on as one. ``BANDS`` bands of ``ROWS`` coordinates put
 a text into buckets; at a similarity of 0.8 two texts share none with a probability of 2e-5. Buckets with the same members
 are taken once. Members of a bucket are then compared exactly, with their whole shingle sets, in groups of at most
-``TILE`` texts (two such groups at a time in a larger bucket); a group gives a spanning forest of its links, never its
+``TILE`` texts and ``TILE_ELEMENTS`` shingles, about (two such groups at a time in a larger bucket); a group gives a spanning forest of its links, never its
 pairs. Components of these links are the classes. Every pair that shares a bucket is compared, so no link is left out
 but for the probability above.
 
-Defined results. A null text is a class of its own. Texts without words are linked to equal texts only. Repeated rows
+Defined results. A null text is a class of its own; of null texts, those that share a doc_id, null ids too, share one. Texts without words are linked to equal texts only. Repeated rows
 and exact copies are in one class. The class id is the least doc_id of the class, ignoring nulls. An empty table gives
 an empty result. Further columns don't matter.
 """
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from gazette.llm.components import components
 from gazette.llm.dart_minhash import mix, signatures
-from gazette.llm.shared import cut, give_back_memory
+from gazette.llm.shared import cut, cuts, give_back_memory, remove
 
-SHINGLE, BANDS, ROWS, TILE = 5, 36, 6, 512
+SHINGLE, BANDS, ROWS, TILE, TILE_ELEMENTS = 5, 36, 6, 512, 1 << 20
 #: A link: |A & B| * DEN >= |A | B| * NUM, a similarity of 0.8.
 NUM, DEN = 4, 5
 STEP_WORDS = 1 << 16
@@ -68,12 +68,12 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def key_of(text: str = "text") -> Column:
-    """128 bits of the content; a null text's are of its doc_id."""
-    return F.unhex(F.md5(F.coalesce(F.col(text), F.concat(F.lit("\u0000"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))))
+    """128 bits of the content; a null text's are of its doc_id, apart from all texts'."""
+    return F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), F.col(text)), F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit(""))))
 
 
 def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, key, bands): a 64-bit hash for each band of a row's signature."""
+    """(doc_id, key, size, bands): a row's number of shingles, and a 64-bit hash for each band of its signature."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(1, bands + 1).astype(np.uint64)
@@ -94,9 +94,10 @@ def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                         out[i] = x
                     held.clear()
 
-            due = 0
+            due, counts = 0, np.zeros(batch.num_rows, np.int64)
             for i in range(batch.num_rows):
                 found = shingles(texts[i].as_py())
+                counts[i] = len(found)
                 if len(found):
                     held.append((i, found))
                     due += len(found)
@@ -107,11 +108,11 @@ def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             sizes = [0 if x is None else bands for x in out]
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             values = np.concatenate([x for x in out if x is not None] or [np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "key", "size", "bands"])
         _forget()
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of().alias("key"), "text")
-    return keyed.mapInArrow(sign, "doc_id long, key binary, bands array<long>")
+    return keyed.mapInArrow(sign, "doc_id long, key binary, size long, bands array<long>")
 
 
 def buckets(each: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ class _Forest:
 
 
 def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets: each set is compared with those after it that aren't linked to it yet."""
+    """A spanning forest of the links among sets: each set is compared with all after it, and a link between linked ones is left out."""
     n = len(sets)
     if n < 2:
         return []
@@ -163,10 +164,11 @@ def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def links(docs: DataFrame, signed: DataFrame, tile: int = TILE) -> DataFrame:
     """(u, v): keys of linked texts, enough of them to connect each class."""
-    each = signed.select("key", F.explode("bands").alias("bucket"))
+    each = signed.select("key", "size", F.explode("bands").alias("bucket"))
     chosen = cut(buckets(each), "near-buckets")
-    members = cut(each.join(chosen.withColumnRenamed("bucket", "_bucket"), F.col("bucket") == F.col("_bucket")).select("bucket", "key").distinct(), "near-members")
-    large = cut(members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > tile).select(F.col("bucket").alias("_large"), F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "near-large")
+    members = cut(each.join(chosen.withColumnRenamed("bucket", "_bucket"), F.col("bucket") == F.col("_bucket")).select("bucket", "key", "size").distinct(), "near-members")
+    tiles = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / TILE_ELEMENTS)).cast("int")
+    large = cut(members.groupBy(F.col("bucket").alias("_large")).agg(tiles.alias("tiles")).where("tiles > 1"), "near-large")
     one = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut(members.select("key").distinct().join(one, "key"), "near-wanted").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"))
     # wanted grows with the corpus, so it isn't broadcast even where it would fit now
@@ -215,10 +217,13 @@ def links(docs: DataFrame, signed: DataFrame, tile: int = TILE) -> DataFrame:
 def classes(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """(doc_id, key, class_id) for every row of docs(doc_id, text)."""
     docs = docs.select("doc_id", "text")
+    spark = docs.sparkSession
+    outside = cuts(spark)
     signed = cut(banded(docs), "near-signed")
     roots = components(cut(links(docs, signed, tile), "near-links")).select(F.col("node").alias("_node"), "root")
     placed = cut(signed.select("doc_id", "key").join(roots, F.col("key") == F.col("_node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("root")), "near-placed")
     heads = cut(placed.groupBy("root").agg(F.min("doc_id").alias("class_id")), "near-heads").select(F.col("root").alias("_root"), "class_id")
+    remove(spark, [p for p in cuts(spark)[:-2] if p not in outside])  # all but the two tables of the result
     return placed.join(heads, F.col("root") == F.col("_root")).select("doc_id", "key", "class_id")
 
 

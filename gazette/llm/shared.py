@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 from gazette.session import importable
 
 _OWN_DIRS: dict[str, str] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode, an own one where that is unset (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="spark-gazette-")
@@ -32,12 +35,28 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
 
     The lineage ends there: a lost executor costs a reread of some files, and what stands before isn't run again.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cuts(spark: SparkSession) -> list[str]:
+    """The tables that this application has cut and not yet removed."""
+    return list(_TABLES.get(spark.sparkContext.applicationId, []))
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more: all that was made from them has been written."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        place = hadoop(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _TABLES[spark.sparkContext.applicationId].remove(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

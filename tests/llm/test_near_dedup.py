@@ -85,7 +85,7 @@ def brute(rows):
 def test_classes_are_those_of_brute_force(spark, tile):
     rnd = random.Random(4)
     text = lambda n: [rnd.choice(WORDS) for _ in range(n)]
-    rows = [(1, None), (2, None), (3, ""), (4, ""), (5, " \n"), (6, "one"), (7, "ONE "), (8, "a b c d"), (9, "a b c d e f")]
+    rows = [(1, None), (2, None), (3, ""), (4, ""), (5, " \n"), (6, "one"), (7, "ONE "), (8, "a b c d"), (9, "a b c d e f"), (10, "\x001"), (11, "i1"), (12, "1")]
     passage = text(40)
     for base in range(12):
         words = text(rnd.choice([30, 80, 200, 2000]))
