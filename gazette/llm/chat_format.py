@@ -43,6 +43,7 @@ def own_text(text: Column) -> Column:
 
 def units(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, level, hash, chars): normalised paragraphs and single lines of every level, 0 for own text."""
+    messages = messages.select("conv_id", "turn", "text").distinct()  # a repeated row's lines would mix with its copy's
     lines = messages.select("conv_id", "turn", F.xxhash64("text").alias("row"), F.posexplode(_parsed(F.col("text"))).alias("i", "line")).select("conv_id", "turn", "row", "i", "line.*")
     lines = lines.withColumn("blank", ~F.col("body").rlike(r"\S"))
     # a message's lines: the window's groups are no larger than a text

@@ -5,7 +5,8 @@ between them are passed over); its hash is of the lines without white space at t
 once in the corpus are found by one aggregation, which keeps the place of the first, and joined back to their places;
 every place but the first covers its three lines, coverings are merged, and covered lines are removed. Blank lines stay.
 
-"First" is by doc_id, null before all, then by line. Defined results. Null text stays null, and texts of fewer than
+"First" is by doc_id, a number, null before all, then by line. Defined results. A doc_id that isn't a number of at most 28
+digits fails. Null text stays null, and texts of fewer than
 three such lines stay as they are. Rows that share a doc_id count as one document: a window at the same line of both is
 one place. An empty table gives an empty result. Further columns are carried, but for ``n_removed_lines``, which is
 replaced; names that begin with ``_ld_`` are the operator's. A text of which every line is covered becomes empty.
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gazette.functions.exprs import let
 from gazette.llm.shared import cut
 
 WINDOW = 3
@@ -37,7 +39,8 @@ def windows(docs: DataFrame) -> DataFrame:
     stripped = F.transform(_lines(), lambda line, i: F.struct(i.alias("i"), F.btrim(line, F.lit(BLANKS)).alias("line")))
     full = docs.select("doc_id", F.xxhash64("text").alias("row"), F.filter(stripped, lambda x: x["line"] != "").alias("full")).where(F.size("full") >= WINDOW)
     hashed = full.select("doc_id", "row", F.transform("full", lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["line"]).alias("a"), F.xxhash64(F.lit(7919), x["line"]).alias("b"))).alias("h"))
-    spans = F.transform(F.sequence(F.lit(1), F.size("h") - (WINDOW - 1)), lambda i: F.slice(F.col("h"), i, WINDOW))
+    # bound once, so that a text's work is linear in its lines
+    spans = let(F.col("h"), lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.slice(h, i, WINDOW)))
     each = hashed.select("doc_id", "row", F.explode(spans).alias("w"))
     place = (_document() * F.lit(1 << 32).cast("decimal(10,0)") + F.col("w")[0]["i"]).cast(PLACE)
     return each.select(F.xxhash64("w.a").alias("a"), F.xxhash64("w.b").alias("b"), place.alias("place"), "doc_id", "row", F.col("w.i").alias("covers"))
@@ -63,7 +66,7 @@ def deduped(docs: DataFrame) -> DataFrame:
     joined = keyed.join(cover, F.col("doc_id").eqNullSafe(F.col("_ld_id")) & (F.col("_ld_key") == F.col("_ld_row")), "left")
     # by number, so that both steps are linear in the lines of a text
     kept = F.array_except(F.sequence(F.lit(0), F.size(_lines()) - 1), F.col("_ld_covered"))
-    text = F.array_join(F.transform(kept, lambda i: F.get(_lines(), i)), "\n")
+    text = let(_lines(), lambda lines: F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     any_ = F.col("_ld_covered").isNotNull()
     out = joined.withColumns({"_ld_text": F.when(any_, text).otherwise(F.col("text")), "n_removed_lines": F.when(any_, F.size("_ld_covered")).otherwise(0).cast("long")})
     carried = [F.col("_ld_text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "n_removed_lines"]

@@ -31,21 +31,31 @@ long AS (
 binned AS (SELECT coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source, measure,
     CASE WHEN value < 64 THEN value ELSE (value >> (length(bin(value)) - 6)) << (length(bin(value)) - 6) END AS b FROM long),
 levels AS (SELECT lang, source, measure, b FROM binned UNION ALL SELECT lang, chr(2), measure, b FROM binned UNION ALL SELECT chr(2), chr(2), measure, b FROM binned),
-q AS (SELECT lang, source, measure, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM levels GROUP BY ALL),
+ranked AS (SELECT lang, source, measure, b, row_number() OVER (PARTITION BY lang, source, measure ORDER BY b) AS nth, count(*) OVER (PARTITION BY lang, source, measure) AS n FROM levels),
+q AS (
+  SELECT lang, source, measure, max(n) AS n, min(b) FILTER (4 * nth >= n) AS q1, min(b) FILTER (2 * nth >= n) AS q2, min(b) FILTER (4 * nth >= 3 * n) AS q3, min(b) FILTER (10 * nth >= 9 * n) AS d9
+  FROM ranked GROUP BY ALL),
+s AS (SELECT lang, source, measure, n, q2 AS mid, CASE WHEN measure = 'milli' THEN least(q2 - q1, q3 - q2) ELSE d9 - q2 END AS spread FROM q),
 chosen AS (
   SELECT o.lang, o.source, o.measure,
-    CASE WHEN o.n >= 50 THEN o.q1 WHEN l.n >= 50 THEN l.q1 ELSE a.q1 END AS q1,
-    CASE WHEN o.n >= 50 THEN o.q3 WHEN l.n >= 50 THEN l.q3 ELSE a.q3 END AS q3
-  FROM q o JOIN q l ON l.lang = o.lang AND l.source = chr(2) AND l.measure = o.measure
-  JOIN q a ON a.lang = chr(2) AND a.source = chr(2) AND a.measure = o.measure WHERE o.source <> chr(2)),
+    (o.n * o.mid + 50 * ((l.n * l.mid + 50 * a.mid) // (l.n + 50))) // (o.n + 50) AS mid,
+    (o.n * o.spread + 50 * ((l.n * l.spread + 50 * a.spread) // (l.n + 50))) // (o.n + 50) AS spread
+  FROM s o JOIN s l ON l.lang = o.lang AND l.source = chr(2) AND l.measure = o.measure
+  JOIN s a ON a.lang = chr(2) AND a.source = chr(2) AND a.measure = o.measure WHERE o.source <> chr(2)),
+rules AS (SELECT * FROM (VALUES ('symbol_ppm', 8, 5000), ('dup_line_ppm', 8, 50000), ('repeat_ppm', 12, 10000), ('milli', 16, 150)) AS t(measure, fence, floor)),
+reaches AS (SELECT lang, source, measure, mid, fence * greatest(floor, spread) AS reach FROM chosen JOIN rules USING (measure)),
+votes AS (SELECT lang, measure, b, row_number() OVER (PARTITION BY lang, measure ORDER BY b) AS nth, count(*) OVER (PARTITION BY lang, measure) AS n
+  FROM (SELECT lang, measure, CASE WHEN reach < 64 THEN reach ELSE (reach >> (length(bin(reach)) - 6)) << (length(bin(reach)) - 6) END AS b FROM reaches)),
+middle AS (SELECT lang, measure, min(b) FILTER (2 * nth >= n) AS most FROM votes GROUP BY ALL),
+fences AS (SELECT lang, source, measure, mid, least(reach, 3 * most // 2) AS reach FROM reaches JOIN middle USING (lang, measure)),
 limits AS (
   SELECT lang, source,
-    max(CASE WHEN measure = 'symbol_ppm' THEN greatest(50000, q3 + 4 * (q3 - q1)) END) AS symbol_max,
-    max(CASE WHEN measure = 'dup_line_ppm' THEN greatest(400000, q3 + 4 * (q3 - q1)) END) AS dup_max,
-    max(CASE WHEN measure = 'repeat_ppm' THEN greatest(350000, q3 + 4 * (q3 - q1)) END) AS repeat_max,
-    max(CASE WHEN measure = 'milli' THEN greatest(10000, q3 + 4 * (q3 - q1)) END) AS milli_max,
-    max(CASE WHEN measure = 'milli' THEN least(2000, q1 - 4 * (q3 - q1)) END) AS milli_min
-  FROM chosen GROUP BY ALL)
+    max(CASE WHEN measure = 'symbol_ppm' THEN mid + reach END) AS symbol_max,
+    max(CASE WHEN measure = 'dup_line_ppm' THEN mid + reach END) AS dup_max,
+    max(CASE WHEN measure = 'repeat_ppm' THEN mid + reach END) AS repeat_max,
+    max(CASE WHEN measure = 'milli' THEN mid + reach END) AS milli_max,
+    max(CASE WHEN measure = 'milli' THEN mid - reach END) AS milli_min
+  FROM fences GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR coalesce(symbol_ppm > symbol_max, false) OR coalesce(dup_line_ppm > dup_max, false) OR coalesce(repeat_ppm > repeat_max, false)
     OR coalesce(milli > milli_max, false) OR coalesce(milli < milli_min, false)) AS kept
@@ -54,14 +64,14 @@ FROM measures m LEFT JOIN limits t ON t.lang = coalesce(m.lang, chr(1)) AND t.so
 
 URL_FILTERS = r"""
 WITH split AS (
-  SELECT page_id, url,
+  SELECT page_id, url, length(html) AS size,
     CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 parts AS (
-  SELECT page_id, url, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, url, size, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '') AS query FROM split),
 named AS (
   SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '(\.html|/)$', '') ||
-      coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid|page)='))), '&'), ''), '') END AS canon
+      coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)='))), '&'), ''), '') END AS canon
   FROM parts),
 rules AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) AS t(say, h, p)),
 fit AS (
@@ -69,7 +79,7 @@ fit AS (
 best AS (
   SELECT k, arg_max(h || p, length(h || p)) AS rule, arg_max(say, length(h || p)) AS say
   FROM fit JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k),
-listed AS (SELECT DISTINCT canon FROM named WHERE canon IS NOT NULL AND regexp_matches(host, '(adult|casino|spam|pills|bets|ads)-'))
+listed AS (SELECT DISTINCT canon FROM named WHERE canon IS NOT NULL AND (regexp_matches(host, '(adult|casino|spam|pills|bets|ads)-') OR size < 900))
 SELECT page_id, host, path, rule, coalesce(say, CASE WHEN canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM fit LEFT JOIN best USING (k)
 """
@@ -92,14 +102,16 @@ FROM documents d LEFT JOIN (
 TOP_K = r"""
 WITH fit AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM fit q JOIN fit c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+asked AS (SELECT row_number() OVER () AS q_row, vec_id, v FROM fit WHERE vec_id % 50 = 0),
+scored AS (SELECT q_row, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM asked q JOIN fit c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q_row ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 CHAT_FORMAT = r"""
 WITH RECURSIVE lines AS (
-  SELECT conv_id, turn, md5(text) AS row, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations WHERE text IS NOT NULL),
+  SELECT conv_id, turn, md5(text) AS row, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE text IS NOT NULL)),
 levels AS (
   SELECT conv_id, turn, row, i, length(regexp_replace(regexp_extract(line, '^[ \t]*(?:>[ \t]*)+'), '[^>]', '', 'g')) AS level,
     regexp_replace(line, '^[ \t]*(?:>[ \t]*)+', '') AS body FROM lines),

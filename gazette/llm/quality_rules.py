@@ -6,20 +6,24 @@ sketches merge by adding counts, so sources merge into languages and languages i
 doesn't depend on the order of tasks. Thresholds read from the sketches are joined back to the documents by
 (language, source).
 
-A limit starts at the median and reaches out by the distance from the median to the nearer quartile, so junk on one side
-of up to nearly half of a group moves neither far. Both are weighted means of the group's, its
-language's and the corpus's values, by documents; a spread has a floor, as most measures are 0 in most texts. No source
-can lift its limit over both the measure's bound and the limit of its whole language.
+A limit starts at the median and reaches out by a multiple of a spread. For word lengths that is the distance from the
+median to the nearer quartile, so junk on one side of up to nearly half of a group moves it little; for measures that are
+0 in most texts it is the distance from the median to the ninth decile. Medians and spreads are weighted means of the
+group's, its language's and the corpus's, by documents. No group reaches out further than half as far again as its language's
+middle source does, each source having one vote: a dirty source can't lift its own limit, however large it is. Where even
+the ninth decile is the median, a spread has a floor: that is the one fixed value, and a limit that follows it alone is
+the same in all groups.
 
 Defined results. Null or empty text: no words, so the base rule fails and the row is not kept. Null language or
-source: a group of its own. Repeated rows: each is judged and counted. A language counts like ``min_docs`` further
+source: a group of its own. Repeated rows: each is judged and counted. A language counts like ``MIN_DOCS`` further
 documents in its groups, and the corpus like as many in its languages. An empty table gives an empty result. Further columns of
-the input aren't carried; names that clash with the result's don't matter.
+the input aren't carried by judge; names that clash with the result's don't matter.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +32,26 @@ from pyspark.sql import functions as F
 
 from gazette.llm.shared import cut
 
-#: Measures, as integers, with the bound of a limit that only a whole language can move, and the least spread. "high": values above the limit fail.
+@dataclass(frozen=True)
+class Measure:
+    """side: whether values above or below the limit fail. fence: spreads from the median to the limit. floor: the least spread. tenths: the decile of the spread, or 0 for the nearer quartile."""
+
+    side: str
+    fence: int
+    floor: int
+    tenths: int = 0
+
+
+#: The measures are integers: millionths of characters, lines and words, and thousandths of characters a word.
 MEASURES = {
-    "symbol_ppm": ("high", 50_000, 5_000),
-    "dup_line_ppm": ("high", 400_000, 50_000),
-    "repeat_ppm": ("high", 350_000, 43_750),
-    "long_word_milli": ("high", 10_000, 300),
-    "short_word_milli": ("low", 2_000, 300),
+    "symbol_ppm": Measure("high", 8, 5_000, 9),
+    "dup_line_ppm": Measure("high", 8, 50_000, 9),
+    "repeat_ppm": Measure("high", 12, 10_000, 9),
+    "long_word_milli": Measure("high", 16, 150),
+    "short_word_milli": Measure("low", 16, 150),
 }
-#: A limit lies twice as many spreads, which are half interquartile ranges, from the median.
-FENCE = 4
-MIN_DOCS = 50
+#: A language counts like so many further documents in its groups, and the corpus in its languages. A limit's greatest distance from the median, in hundredths of that in its language's middle source.
+MIN_DOCS, MOST = 50, 150
 
 _COUNTS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 
@@ -108,37 +121,33 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
     return sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """(keys, measure, n, q1, q2, q3): the bins that hold the ranks ceil(n/4), ceil(n/2) and ceil(3n/4)."""
+def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """(keys, measure, n, q1, q2, q3, d9): the bins that hold the ranks ceil(n/4), ceil(n/2), ceil(3n/4) and ceil(9n/10)."""
     whole = Window.partitionBy(*keys, "measure")
     ranked = sketch.withColumns({"upto": F.sum("n").over(whole.orderBy("bin")), "total": F.sum("n").over(whole)})
-    return ranked.groupBy(*keys, "measure").agg(
-        F.max("total").alias("n"),
-        F.min(F.expr("case when 4 * upto >= total then bin end")).alias("q1"),
-        F.min(F.expr("case when 2 * upto >= total then bin end")).alias("q2"),
-        F.min(F.expr("case when 4 * upto >= 3 * total then bin end")).alias("q3"),
-    )
+    parts = {"q1": (1, 4), "q2": (1, 2), "q3": (3, 4), "d9": (9, 10)}
+    return ranked.groupBy(*keys, "measure").agg(F.max("total").alias("n"), *[F.min(F.expr(f"case when {of} * upto >= {part} * total then bin end")).alias(q) for q, (part, of) in parts.items()])
 
 
-def thresholds(sketch: DataFrame, fence: int = FENCE, min_docs: int = MIN_DOCS) -> DataFrame:
+def thresholds(sketch: DataFrame, measures: dict[str, Measure] = MEASURES, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per (lang, source) with a limit for each measure."""
-    own = quartiles(sketch, "lang", "source")
-    by_lang = quartiles(merged(sketch, "lang"), "lang").selectExpr("lang as l_lang", "measure as l_measure", *[f"{c} as l_{c}" for c in ("n", "q1", "q2", "q3")])
-    all_ = quartiles(merged(sketch)).selectExpr("measure as a_measure", "q1 as a_q1", "q2 as a_q2", "q3 as a_q3")
-    chosen = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure"))).join(all_, F.col("measure") == F.col("a_measure"))
 
-    def mean(value: str, n: str, of_more: str) -> str:
-        return f"(({n} * ({value}) + {min_docs} * ({of_more})) div ({n} + {min_docs}))"
+    def level(part: DataFrame, keys: tuple[str, ...], prefix: str) -> DataFrame:
+        spread = "case " + " ".join(f"when measure = '{m}' then " + (f"d{x.tenths} - q2" if x.tenths else "least(q2 - q1, q3 - q2)") for m, x in measures.items()) + " end"
+        return quantiles(part, *keys).select(*[F.col(k).alias(prefix + k) for k in (*keys, "measure", "n")], F.col("q2").alias(prefix + "mid"), F.expr(spread).alias(prefix + "spread"))
 
-    def limit(side: str, edge: int, floor: int) -> str:
-        """A low limit is the high limit of the negated values, negated."""
-        of = {p: (f"{p}q2" if side == "high" else f"-{p}q2", f"least({p}q2 - {p}q1, {p}q3 - {p}q2)") for p in ("", "l_", "a_")}
-        lang = [mean(x, "l_n", y) for x, y in zip(of["l_"], of["a_"], strict=True)]
-        group = [mean(x, "n", y) for x, y in zip(of[""], lang, strict=True)]
-        reach = [f"({m} + {2 * fence} * greatest({floor}, {w}))" for m, w in (group, lang)]
-        return f"least({reach[0]}, greatest({edge if side == 'high' else -edge}, {reach[1]}))"
-
-    limits = [F.max(F.expr(f"case when measure = '{m}' then " + ("" if side == "high" else "-") + f"{limit(side, edge, floor)} end")).alias(f"limit_{m}") for m, (side, edge, floor) in MEASURES.items()]
+    def mean(value: str, n: str, of_more: str) -> str:
+        return f"(({n} * {value} + {min_docs} * {of_more}) div ({n} + {min_docs}))"
+
+    same_lang = F.col("lang").eqNullSafe(F.col("l_lang"))
+    own = level(sketch, ("lang", "source"), "").join(level(merged(sketch, "lang"), ("lang",), "l_"), same_lang & (F.col("measure") == F.col("l_measure"))).join(level(merged(sketch), (), "a_"), F.col("measure") == F.col("a_measure"))
+    chosen = own.select("lang", "source", "measure", *[F.expr(mean(x, "n", mean(f"l_{x}", "l_n", f"a_{x}"))).alias(x) for x in ("mid", "spread")])
+    reach = "case " + " ".join(f"when measure = '{m}' then {x.fence} * greatest({x.floor}, spread)" for m, x in measures.items()) + " end"
+    chosen = cut(chosen.withColumn("reach", F.expr(reach)), "quality-groups")
+    votes = chosen.groupBy("lang", "measure", bin_of("reach").alias("bin")).agg(F.count("*").alias("n"))
+    middle = quantiles(votes, "lang").select(F.col("lang").alias("l_lang"), F.col("measure").alias("l_measure"), F.col("q2").alias("l_reach"))
+    chosen = chosen.join(middle, same_lang & (F.col("measure") == F.col("l_measure"))).withColumn("reach", F.expr(f"least(reach, {MOST} * l_reach div 100)"))
+    limits = [F.max(F.when(F.col("measure") == m, F.col("mid") + F.col("reach") * (1 if x.side == "high" else -1))).alias(f"limit_{m}") for m, x in measures.items()]
     return chosen.groupBy("lang", "source").agg(*limits)
 
 
@@ -146,23 +155,20 @@ def verdicts(measures: DataFrame, limits: DataFrame) -> DataFrame:
     """measures with the limits of its language and source, and kept. The join is on equal keys, nulls included."""
     limits = limits.selectExpr("lang as t_lang", "source as t_source", *[f"limit_{m}" for m in MEASURES])
     joined = measures.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
-    fails = " or ".join(f"coalesce({m} {'>' if side == 'high' else '<'} limit_{m}, false)" for m, (side, _, _) in MEASURES.items())
+    fails = " or ".join(f"coalesce({m} {'>' if x.side == 'high' else '<'} limit_{m}, false)" for m, x in MEASURES.items())
     return joined.drop("t_lang", "t_source").withColumn("kept", F.expr(f"not (base_failed or {fails})"))
 
 
-def judge(docs: DataFrame, fence: int = FENCE, min_docs: int = MIN_DOCS) -> DataFrame:
+def judge(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, counts, base_failed, measures, limits and kept for every row of docs(doc_id, text, lang, source)."""
     measures = cut(measured(docs, "doc_id", "lang", "source"), "quality-measures")
-    return verdicts(measures, cut(thresholds(sketches(measures), fence, min_docs), "quality-limits"))
+    return verdicts(measures, cut(thresholds(sketches(measures)), "quality-limits"))
 
 
-def filtered(docs: DataFrame, fence: int = FENCE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The kept rows of docs, with all their columns.
-
-    The texts are read twice, for the sketches and for the verdicts: that costs less than a shuffle of all texts by doc_id.
-    """
-    limits = cut(thresholds(sketches(measured(docs, "lang", "source")), fence, min_docs), "quality-limits")
+def filtered(docs: DataFrame) -> DataFrame:
+    """The kept rows of docs, with all their columns. Texts are counted once and written with their measures."""
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select("text", "lang", "source", F.struct(*others).alias("_row"))
-    kept = verdicts(measured(rows, "text", "lang", "source", "_row"), limits).where("kept")
+    measures = cut(measured(rows, "text", "lang", "source", "_row"), "quality-measures")
+    kept = verdicts(measures, cut(thresholds(sketches(measures)), "quality-limits")).where("kept")
     return kept.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -6,9 +6,10 @@ every shard, and a task multiplies one pair of blocks at a time, so its memory i
 the k best of each query; lists are then merged up a tree, ``FAN`` lists to one at a time.
 
 Defined results. Vectors that are null, or hold null or non-finite components, take no part, nor do rows with a null
-vec_id; vectors of different lengths aren't compared. Repeated vec_ids are separate candidates with equal ids; a query
-meets no row with its own vec_id. Ties go to the smaller vec_id. Fewer candidates than k: all. Empty tables give an
-empty result.
+vec_id; vectors of different lengths aren't compared. Repeated vec_ids are separate candidates with equal ids, and separate
+queries, each with its own k rows; a query meets no row with its own vec_id. Ties go to the smaller vec_id. Fewer
+candidates than k: all. Components and scores beyond the range of a long are its ends. Empty tables give an empty result.
+Further columns don't matter.
 """
 
 from __future__ import annotations
@@ -60,15 +61,21 @@ def blocks(rows: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def products(pairs: DataFrame, k: int) -> DataFrame:
-    """(query_id, list, vec_id, score): the k best of each query in each pair of blocks."""
+    """(query_row, query_id, list, vec_id, score): the k best of each row of queries in each pair of blocks."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 q_ids, c_ids = (batch.column(n)[i].values.to_numpy() for n in ("q_ids", "c_ids"))
                 q, c = (np.frombuffer(batch.column(n)[i].as_buffer(), "<i8").reshape(len(ids), -1) for n, ids in (("q_m", q_ids), ("c_m", c_ids)))
-                exact = max(1, q.shape[1]) * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) < 2**53
-                scores = (q.astype(float) @ c.T.astype(float)).astype(np.int64) if exact else q @ c.T
+                most = max(1, q.shape[1]) * max(-int(q.min(initial=0)), int(q.max(initial=0))) * max(-int(c.min(initial=0)), int(c.max(initial=0)))
+                if most < 1 << 53:
+                    scores = (q.astype(float) @ c.T.astype(float)).astype(np.int64)
+                elif most < 1 << 63:
+                    scores = q @ c.T
+                else:  # in integers of any size
+                    ends = np.iinfo(np.int64)
+                    scores = np.clip(q.astype(object) @ c.T.astype(object), ends.min, ends.max).astype(np.int64)
                 own = q_ids[:, None] == c_ids[None, :]
                 floor = np.iinfo(np.int64).min
                 scores[own] = floor
@@ -81,9 +88,10 @@ def products(pairs: DataFrame, k: int) -> DataFrame:
                 order = np.lexsort((c_ids[at], -found, r))
                 r, at, found = r[order], at[order], found[order]
                 keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[r[keep]]), pa.array(np.full(int(keep.sum()), batch.column("c_block")[i].as_py())), pa.array(c_ids[at[keep]]), pa.array(found[keep])], names=["query_id", "list", "vec_id", "score"])
+                rows = (batch.column("q_block")[i].as_py() << 20) + r[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(q_ids[r[keep]]), pa.array(np.full(int(keep.sum()), batch.column("c_block")[i].as_py())), pa.array(c_ids[at[keep]]), pa.array(found[keep])], names=["query_row", "query_id", "list", "vec_id", "score"])
 
-    return pairs.mapInArrow(multiply, "query_id long, list long, vec_id long, score long")
+    return pairs.mapInArrow(multiply, "query_row long, query_id long, list long, vec_id long, score long")
 
 
 def best(lists: DataFrame, k: int, *keys: str) -> DataFrame:
@@ -100,10 +108,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, tile: int = TILE)
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     c = candidates.withColumn("shard", F.pmod(F.xxhash64("c_block"), F.lit(shards)))
     q = asked.withColumn("q_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("q_shard", F.col("q_shard").cast("long"))
-    pairs = c.join(q, (F.col("shard") == F.col("q_shard")) & (F.col("dim") == F.col("q_dim"))).select("c_block", "c_ids", "c_m", "q_ids", "q_m")
+    pairs = c.join(q, (F.col("shard") == F.col("q_shard")) & (F.col("dim") == F.col("q_dim"))).select("c_block", "c_ids", "c_m", "q_block", "q_ids", "q_m")
     lists = cut(products(pairs, k).withColumn("list", F.pmod(F.xxhash64("list"), F.lit(shards))), "topk-lists")
     n = shards
     while n > FAN:
         n = -(-n // FAN)
-        lists = best(lists.withColumn("list", F.col("list") % n), k, "query_id", "list").drop("rank")
-    return best(lists, k, "query_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        lists = best(lists.withColumn("list", F.col("list") % n), k, "query_row", "list").drop("rank")
+    return best(lists, k, "query_row").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -21,7 +21,7 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 BITS_A_URL, BLOCK_BITS, PROBES = 16, 256, 6
 #: Blocks of a filter that is broadcast: 2 MB of masks. A larger filter is joined by shuffle.
 BROADCAST_BLOCKS = 1 << 16
-TRACKING = r"^(utm_[a-z]+|ref|gclid|fbclid|page)="
+TRACKING = r"^(utm_[a-z]+|ref|gclid|fbclid)="
 
 
 def host_of(url: Column) -> Column:
@@ -75,7 +75,7 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, canonical, listed, verdict for every row of pages(page_id, url)."""
+    """page_id, host, path, rule, canonical, maybe (passed by the filter), listed, verdict for every row of pages(page_id, url)."""
     listed = cut(listed.select("canonical").where("canonical is not null").distinct(), "url-list")
     blocks = max(1, -(-listed.count() * BITS_A_URL // BLOCK_BITS))
     blocked = bloom(listed, blocks)
@@ -89,19 +89,20 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     hit = F.lit(True)
     for i, m in enumerate(_words(F.col("canonical"))):
         hit = hit & (m.bitwiseAND(F.col(f"f{i}")) == m)
-    probed = probed.withColumn("_maybe", F.coalesce((F.col("canonical").isNotNull()) & hit, F.lit(False))).select(*pages.columns, "_maybe")
+    probed = probed.withColumn("maybe", F.coalesce((F.col("canonical").isNotNull()) & hit, F.lit(False))).select(*pages.columns, "maybe")
     # One scan: a URL that can't be listed gets a spread key of its own, so nothing piles up on null
     exact = listed.select(F.col("canonical").alias("_listed"))
-    key = F.when(F.col("_maybe"), F.col("canonical")).otherwise(F.concat(F.lit("\u0000"), F.xxhash64("page_id", "canonical").cast("string")))
+    key = F.when(F.col("maybe"), F.col("canonical")).otherwise(F.concat(F.lit("\u0000"), F.xxhash64("page_id", "canonical").cast("string")))
     joined = probed.withColumn("_key", key).join(exact, F.col("_key") == F.col("_listed"), "left")
     out = joined.withColumn("listed", F.col("_listed").isNotNull())
-    return out.select("page_id", "host", "path", "rule", "canonical", "listed", F.coalesce("rule_verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
+    return out.select("page_id", "host", "path", "rule", "canonical", "maybe", "listed", F.coalesce("rule_verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
 
-#: Words in the name of a host whose pages make up the list of the query.
-LISTED_HOSTS = r"(adult|casino|spam|pills|bets|ads)-"
+#: The query's list: words in the name of a host all of whose pages are listed, and the characters of markup under which a page of any host is too thin to keep.
+LISTED_HOSTS, THIN = r"(adult|casino|spam|pills|bets|ads)-", 900
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:
-    """canonical: the distinct canonical URLs of the pages on hosts that carry one of the listed words."""
-    return pages.select(canonical(F.col("url")).alias("canonical"), host_of(F.col("url")).alias("host")).where(F.col("host").rlike(LISTED_HOSTS)).select("canonical").distinct()
+    """canonical: the distinct canonical URLs of the pages(url, html) on listed hosts, and of thin pages. A page under another form of a thin page's URL is thereby listed too."""
+    named = pages.select(canonical(F.col("url")).alias("canonical"), host_of(F.col("url")).alias("host"), F.length("html").alias("size"))
+    return named.where(F.col("host").rlike(LISTED_HOSTS) | (F.col("size") < THIN)).select("canonical").distinct()
