@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm import line_dedup, near_dedup, packing, quality_rules, secret_scans
-from gazette.llm.shared import cut, table
+from gazette.llm.shared import cut, cuts, remove, table
 from gazette.llm.tokens import vocabulary
 from gazette.session import importable
 
@@ -60,6 +60,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    outside = cuts(spark)
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        remove(spark, [p for p in cuts(spark)[:-1] if p not in outside])  # the stage's rows hold all that later ones read
     return STAGES[-1][1](spark, docs, sf_dir)
