@@ -4,9 +4,11 @@ Texts are sets of shingles of five words (a shorter text is one shingle; words a
 compared in lower case). Exact copies share a content key and go on as one. ``BANDS`` bands of ``ROWS`` coordinates put
 a text into buckets; at a similarity of 0.8 two texts share none with a probability of 2e-5. Buckets with the same members
 are taken once. Members of a bucket are then compared exactly, with their whole shingle sets, in groups of at most
-``TILE`` texts and ``TILE_ELEMENTS`` shingles, about (two such groups at a time in a larger bucket); a group gives a spanning forest of its links, never its
-pairs. Components of these links are the classes. Every pair that shares a bucket is compared, so no link is left out
-but for the probability above.
+``TILE`` texts and ``TILE_ELEMENTS`` shingles, about; a group gives a spanning forest of its links, never its pairs. In a
+larger bucket all members are compared with a few pivots first, and those that these connect aren't compared with each
+other again (see ``groups``). Components of the links are the classes. Every pair that shares a bucket is compared, or
+known to be connected, or known by the distances from the pivots not to be linked, so no link is left out but for the
+probability above.
 
 Defined results. A null text is a class of its own; of null texts, those that share a doc_id, null ids too, share one. Texts without words are linked to equal texts only. Repeated rows
 and exact copies are in one class. The class id is the least doc_id of the class, ignoring nulls. An empty table gives
@@ -16,12 +18,13 @@ an empty result. Further columns don't matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.llm.components import components
@@ -139,8 +142,8 @@ class _Forest:
         return i != j
 
 
-def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets: each set is compared with all after it, and a link between linked ones is left out."""
+def spanning_links(sets: list[np.ndarray], heads: int | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets: each of the first heads sets (None: all) is compared with all after it, and a link between linked ones is left out."""
     n = len(sets)
     if n < 2:
         return []
@@ -150,7 +153,7 @@ def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     begin = np.concatenate([[0], np.cumsum(sizes)])
     marked = np.zeros(int(element.max()) + 1, bool)
     forest, out = _Forest(n), []
-    for i in range(n - 1):
+    for i in range(min(n - 1, n if heads is None else heads)):
         mine = element[begin[i] : begin[i + 1]]
         marked[mine] = True
         rest = begin[i + 1]
@@ -162,13 +165,121 @@ def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
+class _Pivots:
+    """Some members of a large bucket, with which all others are compared. Main: those of the largest component of their links."""
+
+    def __init__(self, keys: list[bytes], sets: list[np.ndarray]):
+        self.keys, self.sizes = keys, np.array([len(s) for s in sets])
+        self.elements, self.owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        self.links = spanning_links(sets)
+        forest = _Forest(len(sets))
+        for i, j in self.links:
+            forest.link(i, j)
+        self.component = np.array([forest.root(i) for i in range(len(sets))])
+        self.main = self.component == np.bincount(self.component).argmax()
+
+    def place(self, elements: np.ndarray) -> tuple[int, list[bytes]]:
+        """(state, the pivots that connect the member to each component of pivots that it is linked to)."""
+        common = np.bincount(self.owner[np.isin(self.elements, elements)], minlength=len(self.sizes))
+        either = len(elements) + self.sizes - common
+        linked = common * DEN >= either * NUM
+        _, first = np.unique(self.component[linked], return_index=True)
+        to = [self.keys[i] for i in np.flatnonzero(linked)[first]]
+        # of distances 1 - J: whatever is within d of a settled member is within 2 d of a main pivot
+        fringe = common * DEN >= either * (2 * NUM - DEN)
+        return (SETTLED if (linked & self.main).any() else FRINGE if (fringe & self.main).any() else FAR), to
+
+
+SETTLED, FRINGE, FAR, LINK = range(4)
+PIVOTS = 16
+
+
+def _tiles(where: str, tile: int) -> Column:
+    """Number of groups for the rows of a bucket that fulfil the condition, one at least."""
+    return F.greatest(F.lit(1), F.ceil(F.expr(f"count_if({where})") / tile), F.ceil(F.expr(f"sum(if({where}, size, 0))") / TILE_ELEMENTS)).cast("int")
+
+
+def _tile(key: str, tiles: str) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(3)), F.col(tiles)).cast("int")
+
+
+def pivoted(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(bucket, key, size, state, other) from members(bucket, key, size, tiles) of large buckets.
+
+    A bucket's members are dealt into slices, and its pivots are copied to each. A row with state LINK is a link of key to
+    the pivot other. Every member has a row more: SETTLED, if linked to a main pivot; FRINGE, if it might be linked to a
+    settled member; FAR, if it can't be.
+    """
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("key", F.lit(5)), "key")
+    pivots = members.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= PIVOTS).select("bucket", "key", "size", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("slice"), F.lit(0).alias("p"))
+    dealt = pivots.unionByName(members.select("bucket", "key", "size", _tile("key", "tiles").alias("slice"), F.lit(1).alias("p")))
+    joined = dealt.join(sets.withColumnRenamed("_key", "_k"), F.col("key") == F.col("_k")).select("bucket", "slice", "p", "key", "elements")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, sets_, pivots = None, [], [], None
+        for batch in batches:
+            out: list[tuple] = []
+            for bucket, part, p, key, raw in zip(*[batch.column(c).to_pylist() for c in ("bucket", "slice", "p", "key")], batch.column("elements"), strict=True):
+                elements = np.frombuffer(raw.as_buffer(), np.uint64)
+                if (bucket, part) != now:
+                    now, keys, sets_, pivots = (bucket, part), [], [], None
+                if p == 0:
+                    keys.append(key)
+                    sets_.append(elements.copy())
+                    continue
+                if pivots is None:
+                    pivots = _Pivots(keys, sets_)
+                    # the same in every slice; equal links are taken once later
+                    out += [(bucket, keys[i], 0, LINK, keys[j]) for i, j in pivots.links]
+                state, to = pivots.place(elements)
+                out += [(bucket, key, 0, LINK, other) for other in to if other != key]
+                out.append((bucket, key, len(elements), state, None))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "key", "size", "state", "other"])
+
+    grouped = joined.repartition("bucket", "slice").sortWithinPartitions("bucket", "slice", "p", "key")
+    return grouped.mapInArrow(compare, "bucket long, key binary, size long, state int, other binary")
+
+
+def groups(members: DataFrame, sets: DataFrame, tile: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(groups(bucket, kind, x, y, tail, key) whose members are to be compared, links that are found on the way) for members(bucket, key, size).
+
+    A bucket of one tile is one group. A larger one is compared with pivots first: settled members are of one component, so
+    no two of them are compared again. The fringe meets the settled ones, tile by tile, as heads and tails. The rest goes
+    another round as long as a quarter of a bucket settles in each; then its tiles meet in pairs.
+    """
+    counts = cut(members.groupBy(F.col("bucket").alias("_b")).agg(_tiles("true", tile).alias("tiles")).where("tiles > 1"), "near-large")
+    due = members.join(counts, F.col("bucket") == F.col("_b"), "left")
+    whole = [F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(False).alias("tail"), F.col("key")]
+    parts, found = [due.where("tiles is null").select("bucket", F.lit(0).alias("kind"), *whole)], []
+    due, kind = due.where("tiles is not null").select("bucket", "key", "size", "tiles"), 0
+    while due.limit(1).count():
+        kind += 2
+        placed = cut(pivoted(due, sets), "near-pivoted")
+        found.append(placed.where(F.col("state") == LINK).select(F.col("key").alias("u"), F.col("other").alias("v")))
+        placed = placed.where(F.col("state") != LINK)
+        plan = placed.groupBy(F.col("bucket").alias("_b")).agg(
+            _tiles(f"state = {SETTLED}", tile).alias("s_tiles"), _tiles(f"state = {FRINGE}", tile).alias("f_tiles"), _tiles(f"state <> {SETTLED}", tile).alias("tiles"),
+            F.expr(f"count_if(state = {FRINGE}) > 0").alias("fringed"), F.expr(f"4 * count_if(state = {SETTLED}) >= count(*)").alias("going"),
+        )
+        placed = cut(placed.join(cut(plan, "near-plan"), F.col("bucket") == F.col("_b")).drop("_b", "other"), "near-placed-members")
+        every = lambda tiles: F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
+        parts.append(placed.where(F.col("state") == FRINGE).select("bucket", F.lit(kind).alias("kind"), _tile("key", "f_tiles").alias("x"), every("s_tiles").alias("y"), F.lit(False).alias("tail"), "key"))
+        parts.append(placed.where((F.col("state") == SETTLED) & F.col("fringed")).select("bucket", F.lit(kind).alias("kind"), every("f_tiles").alias("x"), _tile("key", "s_tiles").alias("y"), F.lit(True).alias("tail"), "key"))
+        rest = placed.where(F.col("state") != SETTLED)
+        due = rest.where("going and tiles > 1").select("bucket", "key", "size", "tiles")
+        mine = _tile("key", "tiles")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda other: F.struct(F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y")))  # noqa: B023
+        last = rest.where("not (going and tiles > 1)").select("bucket", F.explode(pairs).alias("tile"), "key")
+        parts.append(last.select("bucket", F.lit(kind + 1).alias("kind"), "tile.x", "tile.y", F.lit(False).alias("tail"), "key"))
+    return reduce(DataFrame.unionByName, parts), found
+
+
 def links(docs: DataFrame, signed: DataFrame, tile: int = TILE) -> DataFrame:
     """(u, v): keys of linked texts, enough of them to connect each class."""
     each = signed.select("key", "size", F.explode("bands").alias("bucket"))
     chosen = cut(buckets(each), "near-buckets")
     members = cut(each.join(chosen.withColumnRenamed("bucket", "_bucket"), F.col("bucket") == F.col("_bucket")).select("bucket", "key", "size").distinct(), "near-members")
-    tiles = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / TILE_ELEMENTS)).cast("int")
-    large = cut(members.groupBy(F.col("bucket").alias("_large")).agg(tiles.alias("tiles")).where("tiles > 1"), "near-large")
     one = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut(members.select("key").distinct().join(one, "key"), "near-wanted").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"))
     # wanted grows with the corpus, so it isn't broadcast even where it would fit now
@@ -181,37 +292,39 @@ def links(docs: DataFrame, signed: DataFrame, tile: int = TILE) -> DataFrame:
         _forget()
 
     sets = cut(texts.mapInArrow(to_sets, "_key binary, elements binary"), "near-sets")
-    # a member of a large bucket goes to every group in which its tile is one of the two
-    mine = F.pmod(F.xxhash64("key", F.lit(3)), F.col("tiles")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda other: F.struct(F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y")))
-    whole = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
-    dealt = members.join(large, F.col("bucket") == F.col("_large"), "left").select("bucket", "key", F.explode(F.when(F.col("tiles").isNull(), whole).otherwise(pairs)).alias("tile"))
-    joined = dealt.join(sets, F.col("key") == F.col("_key")).select("bucket", F.col("tile.x").alias("x"), F.col("tile.y").alias("y"), "key", "elements")
+    return linked(members, sets, tile)
+
+
+def linked(members: DataFrame, sets: DataFrame, tile: int = TILE) -> DataFrame:
+    """(u, v): links within the buckets of members(bucket, key, size), enough to connect their components. sets: (_key, elements)."""
+    dealt, found_before = groups(members, sets, tile)
+    joined = dealt.join(sets, F.col("key") == F.col("_key")).select("bucket", "kind", "x", "y", "tail", "key", "elements")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                group = zip(*[batch.column(c).to_pylist() for c in ("bucket", "x", "y")], strict=True)
-                yield from zip(group, batch.column("key").to_pylist(), batch.column("elements"), strict=True)
+                group = zip(*[batch.column(c).to_pylist() for c in ("bucket", "kind", "x", "y")], strict=True)
+                yield from zip(group, *[batch.column(c).to_pylist() for c in ("tail", "key")], batch.column("elements"), strict=True)
 
-        def found(keys: list[bytes], sets_: list[np.ndarray]) -> Iterator[tuple[bytes, bytes]]:
-            return ((keys[i], keys[j]) for i, j in spanning_links(sets_))
+        def found(keys: list[bytes], sets_: list[np.ndarray], heads: int) -> Iterator[tuple[bytes, bytes]]:
+            return ((keys[i], keys[j]) for i, j in spanning_links(sets_, heads))
 
         out: list[tuple[bytes, bytes]] = []
-        now, keys, held = None, [], []
-        for group, key, elements in chain(rows(), [(None, b"", None)]):
+        now, keys, held, heads = None, [], [], 0
+        for group, tail, key, elements in chain(rows(), [(None, False, b"", None)]):
             if group != now:
-                out += found(keys, held)
-                now, keys, held = group, [], []
+                out += found(keys, held, heads)
+                now, keys, held, heads = group, [], [], 0
             if group is not None:
+                heads += not tail
                 keys.append(key)
                 held.append(np.frombuffer(elements.as_buffer(), np.uint64))
             if len(out) > 10_000 or group is None:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["u", "v"])
                 out = []
 
-    grouped = joined.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "key")
-    return grouped.mapInArrow(compare, "u binary, v binary")
+    grouped = joined.repartition("bucket", "kind", "x", "y").sortWithinPartitions("bucket", "kind", "x", "y", "tail", "key")
+    return reduce(DataFrame.unionByName, found_before, grouped.mapInArrow(compare, "u binary, v binary"))
 
 
 def classes(docs: DataFrame, tile: int = TILE) -> DataFrame:

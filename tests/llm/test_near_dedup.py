@@ -110,6 +110,40 @@ def test_classes_are_those_of_brute_force(spark, tile):
     assert {r["doc_id"] for r in kept.collect()} == {least.get(r) for r in roots}
 
 
+@pytest.mark.parametrize("pivots", [1, 3])
+def test_large_buckets_lose_no_link(spark, monkeypatch, pivots):
+    """Clusters whose members are linked to few of their own, beside others that nearly are and strangers, in one bucket of many tiles."""
+    monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
+    rnd = random.Random(8)
+    sets = []
+    for cluster, n in ((0, 90), (1, 60), (2, 10)):
+        base = list(range(1000 * cluster, 1000 * cluster + 100)) if cluster < 2 else [*range(40), *range(5000, 5060)]
+        for k in range(n):
+            edits = rnd.choice([0, 2, 5, 9, 12, 16, 25])
+            if k % 7 == 3:  # drifting away step by step
+                base = [x if rnd.random() > 0.06 else rnd.randrange(10**6) for x in base]
+            sets.append(sorted({x if rnd.random() > edits / 100 else rnd.randrange(10**6) for x in base}))
+    sets += [sorted({rnd.randrange(10**6) for _ in range(50)}) for _ in range(20)]
+    arrays = [np.array(x, np.uint64) for x in sets]
+    keys = [bytes([i]) for i in range(len(sets))]
+    members = spark.createDataFrame([(b, k, len(x)) for b in (1, 2) for k, x in zip(keys, sets, strict=True) if b == 1 or k[0] % 3], "bucket long, key binary, size long")
+    rows = spark.createDataFrame([(k, x.tobytes()) for k, x in zip(keys, arrays, strict=True)], "_key binary, elements binary")
+    forest = near_dedup._Forest(len(sets))
+    for r in near_dedup.linked(members, rows, tile=8).collect():
+        u, v = r["u"][0], r["v"][0]
+        common = len(set(sets[u]) & set(sets[v]))
+        assert common * 5 >= (len(sets[u]) + len(sets[v]) - common) * 4
+        forest.link(u, v)
+    want = near_dedup._Forest(len(sets))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            common = len(set(a) & set(b))
+            if common * 5 >= (len(a) + len(b) - common) * 4:
+                want.link(i, j)
+    assert [forest.root(i) for i in range(len(sets))] == [want.root(i) for i in range(len(sets))]
+    assert 5 < len({want.root(i) for i in range(len(sets))}) < 120
+
+
 def test_empty(spark):
     assert near_dedup.classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
