@@ -48,15 +48,15 @@ def _(v: Views) -> DataFrame:
 
 
 @query("t8_source_health", f"""WITH {_LOGS}, i AS (SELECT *, sum(ok::INT) OVER (PARTITION BY source_id ORDER BY ts, run_id ROWS UNBOUNDED PRECEDING) AS island FROM logs), f AS (SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY source_id, island ORDER BY ts, run_id ROWS UNBOUNDED PRECEDING) AS failures FROM i),
-g AS (SELECT source_id, arg_max(failures, (ts, run_id))::BIGINT AS failures, list_reduce(list(response_ms::DOUBLE ORDER BY ts, run_id), lambda a, b: floor((a + b) / 2 + 0.5)) AS mean_ms, max(ts) FILTER (ok) AS last_success FROM f GROUP BY 1)
-SELECT *, CASE WHEN failures >= 3 THEN 'failed' WHEN failures > 0 OR mean_ms > 5000 THEN 'warning' ELSE 'healthy' END AS health FROM g""")
+g AS (SELECT source_id, arg_max(failures, (ts, run_id))::BIGINT AS failures, list_reduce(list(response_ms::DOUBLE ORDER BY ts, run_id), lambda a, b: CASE WHEN a = 0 THEN b ELSE floor((a + b) / 2 + 0.5) END) AS mean_ms, arg_max(response_ms, (ts, run_id))::BIGINT AS last_ms, max(ts) FILTER (ok) AS last_success FROM f GROUP BY 1)
+SELECT *, CASE WHEN failures >= 3 THEN 'failed' WHEN failures > 0 OR last_ms > 5000 THEN 'warning' ELSE 'healthy' END AS health FROM g""")
 def _(v: Views) -> DataFrame:
     return streams.source_health(logs(v))
 
 
-@query("e12_response_average", f"WITH {_LOGS} SELECT source_id, list_reduce(list(response_ms::DOUBLE ORDER BY ts, run_id), lambda a, b: floor((a + b) / 2 + 0.5)) AS mean_ms FROM logs GROUP BY 1")
+@query("e12_response_average", f"WITH {_LOGS} SELECT source_id, list_reduce(list(response_ms::DOUBLE ORDER BY ts, run_id), lambda a, b: CASE WHEN a = 0 THEN b ELSE floor((a + b) / 2 + 0.5) END) AS mean_ms FROM logs GROUP BY 1")
 def _(v: Views) -> DataFrame:
-    return streams.source_health(logs(v)).select("source_id", "mean_ms")
+    return streams.response_means(logs(v))
 
 
 @query("t9_toggles", "SELECT concat('u_', user_id) AS user_id, concat('ci_', event_id % 9) AS target_id, max(ts) AS since FROM {events} GROUP BY 1, 2 HAVING count(*) % 2 = 1")

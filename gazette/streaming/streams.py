@@ -79,17 +79,59 @@ def unexpired(rows: DataFrame, as_of: str, expires: str = "expires_at", days: in
     return rows.where(F.col(expires).isNull() | (F.col(expires) >= F.lit(as_of).cast("timestamp") - F.expr(f"interval {days} days")))
 
 
+def _buckets(logs: DataFrame) -> DataFrame:
+    """(source_id, day, carried): per source and day with logs, the failures in a row before it. A source's days are few, however many rows they hold."""
+    last_ok = F.max(F.when(F.col("ok"), F.struct("ts", "run_id")))
+    days = logs.withColumn("day", F.to_date("ts")).groupBy("source_id", "day").agg(F.count("*").alias("n"), last_ok.alias("last_ok"))
+    after = logs.withColumn("day", F.to_date("ts")).join(days.where("last_ok is not null").select("source_id", "day", "last_ok"), ["source_id", "day"]).where(F.struct("ts", "run_id") > F.col("last_ok")).groupBy("source_id", "day").agg(F.count("*").alias("after"))
+    days = days.join(after, ["source_id", "day"], "left").withColumn("failures", F.when(F.col("last_ok").isNull(), F.col("n")).otherwise(F.coalesce("after", F.lit(0))))
+    order = Window.partitionBy("source_id").orderBy("day")
+    days = days.withColumn("island", F.sum(F.col("last_ok").isNotNull().cast("int")).over(order))
+    upto = F.sum("failures").over(Window.partitionBy("source_id", "island").orderBy("day"))
+    return days.withColumn("upto", upto).select("source_id", "day", F.coalesce(F.lag("upto").over(order), F.lit(0)).alias("carried"), "upto")
+
+
 def failure_runs(logs: DataFrame) -> DataFrame:
-    """logs(source_id, ts, run_id, ok) with the number of failures in a row up to each."""
-    order = Window.partitionBy("source_id").orderBy("ts", "run_id")
-    logs = logs.withColumn("_island", F.sum(F.col("ok").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy("source_id", "_island").orderBy("ts", "run_id").rowsBetween(Window.unboundedPreceding, 0)
-    return logs.withColumn("failures_in_a_row", F.sum((~F.col("ok")).cast("int")).over(inside)).drop("_island")
+    """logs(source_id, ts, run_id, ok) with the number of failures in a row up to each. Rows are ordered within a source's day; days are linked by their counts."""
+    order = Window.partitionBy("source_id", "_day").orderBy("ts", "run_id")
+    rows = logs.withColumn("_day", F.to_date("ts")).withColumn("_island", F.sum(F.col("ok").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy("source_id", "_day", "_island").orderBy("ts", "run_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_n", F.sum((~F.col("ok")).cast("int")).over(inside))
+    carried = _buckets(logs).select(F.col("source_id").alias("_s"), F.col("day").alias("_d"), "carried")
+    rows = rows.join(carried, F.col("source_id").eqNullSafe(F.col("_s")) & F.col("_day").eqNullSafe(F.col("_d")), "left")
+    return rows.withColumn("failures_in_a_row", F.col("_n") + F.when(F.col("_island") == 0, F.coalesce("carried", F.lit(0))).otherwise(0)).drop("_day", "_island", "_n", "_s", "_d", "carried")
+
+
+#: A mean is known to fewer steps than this: so many halvings take any response time under 2^40 ms below one.
+_STEPS = 41
+
+
+def response_means(logs: DataFrame) -> DataFrame:
+    """Per source the response times folded in order: mean -> round((mean + x) / 2), halves up.
+
+    Each day of a source becomes a map of the mean before it to the mean after it. Over 41 rows or more such a map has two
+    values at most, as each step halves the range: low, and low + 1 from some mean on, which follows backwards, as the
+    least mean before a step that reaches y after it is 2 y - x - 1. A day of fewer rows is kept as its rows. So no array
+    holds more than a day, and a source's days are few.
+    """
+    x = F.col("response_ms").cast("long")
+    sorted_ = F.transform(F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct("ts", "run_id", x.alias("x"))))), lambda r: r["x"])
+    days = logs.groupBy("source_id", F.to_date("ts").alias("day")).agg(sorted_.alias("xs"))
+    zero = F.lit(0).cast("long")
+    floored = lambda xs, start: F.aggregate(xs, start, lambda m, v: F.floor((m + v + 1) / 2))
+    alone = F.aggregate("xs", zero, lambda m, v: F.when(m == 0, v).otherwise(F.floor((m + v + 1) / 2)))
+    low = floored(F.col("xs"), F.lit(1).cast("long"))
+    back = F.aggregate(F.reverse("xs"), F.col("low") + 1, lambda y, v: F.when(y > (1 << 41), y).otherwise(F.greatest(2 * y - v - 1, zero)))
+    maps = days.select("source_id", "day", F.size("xs").alias("n"), alone.alias("alone"), low.alias("low"), "xs").withColumn("from", F.when(F.col("n") >= _STEPS, back)).withColumn("xs", F.when(F.col("n") < _STEPS, F.col("xs")))
+    ordered = F.array_sort(F.collect_list(F.struct("day", "n", "alone", "low", "from", "xs")))
+    by_day = lambda m, d: F.when(m == 0, d["alone"]).when(d["n"] >= _STEPS, d["low"] + (m >= d["from"]).cast("long")).otherwise(floored(d["xs"], m))
+    known = F.exists("days", lambda d: d["n"] > 0)
+    return maps.groupBy("source_id").agg(ordered.alias("days")).select("source_id", F.when(known, F.aggregate("days", zero, by_day)).cast("double").alias("mean_ms"))
 
 
 def source_health(logs: DataFrame) -> DataFrame:
-    """Per source: failures at the end, mean response folded in order as floor((mean + x) / 2 + 0.5), last success, and health."""
-    runs = failure_runs(logs)
-    fold = F.aggregate(F.array_sort(F.collect_list(F.struct("ts", "run_id", F.col("response_ms").cast("double").alias("x")))), F.lit(None).cast("double"), lambda mean, r: F.when(mean.isNull(), r["x"]).otherwise(F.floor((mean + r["x"]) / 2 + 0.5).cast("double")))
-    out = runs.groupBy("source_id").agg(F.max_by("failures_in_a_row", F.struct("ts", "run_id")).alias("failures"), fold.alias("mean_ms"), F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_success"))
-    return out.withColumn("health", F.when(F.col("failures") >= 3, "failed").when((F.col("failures") > 0) | (F.col("mean_ms") > 5000), "warning").otherwise("healthy"))
+    """Per source: failures at the end, mean response, last response, last success, and health by failures and the last response."""
+    last = logs.groupBy("source_id").agg(F.max_by("response_ms", F.struct("ts", "run_id")).alias("last_ms"), F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_success"))
+    failures = _buckets(logs).groupBy("source_id").agg(F.max_by("upto", "day").alias("failures"))
+    out = last.join(failures, "source_id").join(response_means(logs), "source_id").select("source_id", "failures", "mean_ms", "last_ms", "last_success")
+    return out.withColumn("health", F.when(F.col("failures") >= 3, "failed").when((F.col("failures") > 0) | (F.col("last_ms") > 5000), "warning").otherwise("healthy"))
