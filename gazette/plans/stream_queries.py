@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.functions import exprs
+from gazette.functions import exprs, templates
+from gazette.plans import alert_queries
+from gazette.plans.listing_queries import public
 from gazette.plans.registry import query
 from gazette.plans.views import AS_OF, Views
-from gazette.streaming import streams
+from gazette.session import scratch
+from gazette.sources import feeds
+from gazette.streaming import jobs, streams
 
 _SEEN = "seen AS (SELECT page_id, concat('src', page_id % 20) AS source_id, regexp_replace(url, '[?#].*$', '') AS normalized_url, sha256(html) AS fp FROM {pages}), snap AS (SELECT source_id, normalized_url, min(CASE WHEN page_id % 10 = 8 THEN sha256(concat(fp, 'x')) ELSE fp END) AS fp FROM seen WHERE page_id % 10 <> 9 GROUP BY 1, 2)"
 
@@ -76,15 +82,6 @@ def _(v: Views) -> DataFrame:
     return streams.unexpired(v.subscriptions, AS_OF, "period_end").select("id")
 
 
-@query("a2_link_discovery", r"""WITH hits AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]+)"[^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]+)"[^>]*>(.*?)</a>', 2)) AS label, generate_subscripts(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]+)"[^>]*>(.*?)</a>', 1), 1) AS pos FROM {pages}),
-firsts AS (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS nth FROM hits)
-SELECT page_id, href, pos::INT AS pos, trim(regexp_replace(regexp_replace(label, '<[^>]+>', ' ', 'g'), '[\s ]+', ' ', 'g')) AS anchor, regexp_matches(lower(href), '\.pdf([?#]|$)') AS is_pdf FROM firsts WHERE nth = 1""")
-def _(v: Views) -> DataFrame:
-    from gazette.sources.feeds import html_links
-
-    return html_links(v.raw("pages")).select("page_id", "href", "pos", "anchor", "is_pdf")
-
-
 @query("a8_capped", "SELECT page_id, source_id FROM (SELECT page_id, concat('src', page_id % 20) AS source_id, row_number() OVER (PARTITION BY page_id % 20 ORDER BY page_id) AS r FROM {pages}) WHERE r <= 5")
 def _(v: Views) -> DataFrame:
     from gazette.operators.listing import capped
@@ -96,24 +93,69 @@ def _(v: Views) -> DataFrame:
 UNION ALL SELECT concat('/', CASE type WHEN 'job' THEN 'jobs' WHEN 'result' THEN 'results' WHEN 'admit_card' THEN 'admit-card' WHEN 'answer_key' THEN 'answer-key' WHEN 'exam' THEN 'exams' WHEN 'scholarship' THEN 'scholarships' WHEN 'scheme' THEN 'schemes' ELSE 'important-updates' END, '/', slug), updated_at::DATE::VARCHAR, 'weekly', 0.8 FROM content_items WHERE status = 'published'
 UNION ALL SELECT DISTINCT concat('/organizations/', o.slug), NULL::VARCHAR, 'weekly', 0.7 FROM organizations o JOIN content_items i ON i.organization_id = o.id AND i.status = 'published'""")
 def _(v: Views) -> DataFrame:
-    from gazette.sources.feeds import sitemap
+    return feeds.sitemap(v.content_items.where("status = 'published'"), v.organizations, "/jobs").withColumn("lastmod", F.col("lastmod").cast("string"))
+
+
+_DOC = "SELECT i.*, o.name AS organization_name, CASE WHEN o.id IS NULL THEN NULL ELSE concat('https://', o.slug, '.example.org') END AS organization_website, j.qualification, j.vacancy AS salary, j.application_last_date, CASE WHEN i.k % 3 = 0 THEN '' ELSE concat('About ', i.title) END AS excerpt FROM content_items i LEFT JOIN organizations o ON o.id = i.organization_id LEFT JOIN jobs j ON j.content_item_id = i.id WHERE i.status = 'published'"
+
+
+@query("a12_structured_data", f"""SELECT id, CASE WHEN type = 'job' THEN 'JobPosting' ELSE 'Article' END AS kind, title AS name, CASE WHEN excerpt = '' THEN title ELSE excerpt END AS description, strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') AS posted,
+  CASE WHEN type = 'job' THEN concat('https://site.example.org/jobs/', slug) ELSE concat('https://site.example.org/', replace(type, '_', '-'), '/', slug) END AS url,
+  CASE WHEN type = 'job' THEN coalesce(organization_name, 'Government of India') ELSE 'Gazette' END AS party, CASE WHEN type = 'job' THEN organization_website ELSE 'https://site.example.org' END AS party_url,
+  CASE WHEN type = 'job' THEN 'IN' END AS country, CASE WHEN type = 'job' AND application_last_date IS NOT NULL THEN concat(strftime(application_last_date, '%Y-%m-%d'), 'T23:59:59+05:30') END AS valid_through, CASE WHEN type = 'job' THEN nullif(salary, '') END AS salary, CASE WHEN type = 'job' THEN qualification END AS education,
+  CASE WHEN type = 'job' THEN 9 + (application_last_date IS NOT NULL)::INT + (nullif(salary, '') IS NOT NULL)::INT + (qualification IS NOT NULL)::INT ELSE 9 END AS n_keys FROM ({_DOC})""")
+def _(v: Views) -> DataFrame:
+    items = v.content_items.where("status = 'published'").join(v.organizations.selectExpr("id as organization_id", "name as organization_name", "concat('https://', slug, '.example.org') as organization_website"), "organization_id", "left")
+    items = items.join(v.jobs.selectExpr("content_item_id as id", "qualification", "vacancy as salary", "application_last_date"), "id", "left").withColumns({"excerpt": F.expr("if(k % 3 = 0, '', concat('About ', title))"), "meta_description": F.lit(None).cast("string")})
+    at = lambda *paths: F.coalesce(*[F.get_json_object("document", f"$.{p}") for p in paths])
+    facts = {
+        "kind": at("@type"), "name": at("title", "headline"), "description": at("description"), "posted": at("datePosted", "datePublished"), "url": at("url", "mainEntityOfPage['@id']"), "party": at("hiringOrganization.name", "publisher.name"), "party_url": at("hiringOrganization.sameAs", "publisher.url"),
+        "country": at("jobLocation.address.addressCountry"), "valid_through": at("validThrough"), "salary": at("baseSalary.value.value"), "education": at("educationRequirements"), "n_keys": F.size(F.json_object_keys("document")),
+    }
+    return feeds.structured_data(items, "https://site.example.org/", "Gazette").select("id", *[c.alias(n) for n, c in facts.items()])
 
-    return sitemap(v.content_items.where("status = 'published'"), v.organizations, "/jobs").withColumn("lastmod", F.col("lastmod").cast("string"))
+
+@query("a12_organization_data", "SELECT id, name, concat('https://', slug, '.example.org') AS url, CASE WHEN status = 'active' THEN concat('https://site.example.org/api/documents/', slug, '.png') END AS logo FROM organizations")
+def _(v: Views) -> DataFrame:
+    rows = v.organizations.selectExpr("id", "name", "concat('https://', slug, '.example.org') as website", "if(status = 'active', concat(slug, '.png'), '') as logo_key")
+    return feeds.organization_data(rows, "https://site.example.org").select("id", *[F.get_json_object("document", f"$.{c}").alias(c) for c in ("name", "url", "logo")])
+
+
+@query("a12_question_data", "SELECT id, CASE WHEN application_last_date <> '' THEN concat('The last date to submit the application is ', application_last_date, '.') ELSE concat('A total of ', vacancy, ' vacancies have been notified.') END AS first_answer, (vacancy <> '')::INT + (application_last_date <> '')::INT AS n FROM extractions WHERE vacancy <> '' OR application_last_date <> ''")
+def _(v: Views) -> DataFrame:
+    documents = feeds.question_data(v.extractions.select("id", templates.questions(["application_last_date", "vacancy"]).alias("faq")))
+    return documents.select("id", F.get_json_object("document", "$.mainEntity[0].acceptedAnswer.text").alias("first_answer"), F.json_array_length(F.get_json_object("document", "$.mainEntity")).alias("n"))
 
 
-@query("a12_structured_data", "SELECT id, title, CASE WHEN organization_id IS NULL THEN 2 ELSE 3 END + CASE WHEN advertisement_number IS NULL THEN 0 ELSE 1 END AS n_keys FROM content_items WHERE status = 'published'")
+@query("a7_pdf_archive", "SELECT checksum, min(url) AS path, 'ssc/2026/' || regexp_replace(regexp_extract(min(url), '([^/]+?)([.][^./]*)?$', 1), '[^A-Za-z0-9_-]+', '-', 'g') || '-' || substring(checksum, 1, 8) || '.pdf' AS storage_path FROM (SELECT url, sha256('%PDF-1.4 ' || html) AS checksum FROM {pages} WHERE url LIKE '%example.org%') GROUP BY checksum HAVING checksum NOT IN (SELECT sha256('%PDF-1.4 ' || html) FROM {pages} WHERE url LIKE 'https://%')")
 def _(v: Views) -> DataFrame:
-    from gazette.sources.feeds import structured_data
+    """Bodies of one domain are documents; those that also stand under https are archived already."""
+    files = v.raw("pages").selectExpr("url as path", "encode(concat(if(url like '%example.org%', '%PDF-1.4 ', ''), html), 'UTF-8') as content", "length(html) as length")
+    archived = v.raw("pages").where("url like 'https://%'").selectExpr("sha2(concat('%PDF-1.4 ', html), 256) as checksum")
+    return feeds.new_documents(files, archived, "ssc", 2026).select("checksum", "path", "storage_path")
 
-    docs = structured_data(v.content_items.where("status = 'published'").selectExpr("id", "title", "type", "organization_id as organization", "advertisement_number as identifier"))
-    return docs.select("id", F.get_json_object("document", "$.title").alias("title"), F.size(F.json_object_keys("document")).alias("n_keys")).withColumn("n_keys", F.col("n_keys") - 1)
+
+@query("a10_log_sink", "SELECT created_at::DATE AS event_date, count(*) AS n, count(*) FILTER (resolved) AS resolved FROM error_logs GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    path = f"{scratch(v.spark)}/error-logs-{uuid.uuid4().hex}"
+    jobs.append_log(v.error_logs, path)
+    return v.spark.read.parquet(path).groupBy("event_date").agg(F.count("*").alias("n"), F.count_if("resolved").alias("resolved"))
+
+
+@query("t5_alert_stream", alert_queries.MATCH + "SELECT content_item_id, user_id, way, notification_type, alert_title FROM matched")
+def _(v: Views) -> DataFrame:
+    """The new items as a stream of files."""
+    place = f"{scratch(v.spark)}/alerts-{uuid.uuid4().hex}"
+    public(v).where(F.expr("created_at >= timestamp'2024-01-30 06:00:00'")).write.parquet(f"{place}/in")
+    items = v.spark.readStream.schema(v.spark.read.parquet(f"{place}/in").schema).option("maxFilesPerTrigger", 1000).parquet(f"{place}/in")
+    facts = {"all_items": v.content_items, "users": v.users, "organizations": v.followed_organizations, "categories": v.followed_categories, "saved": v.saved_items}
+    jobs.alert_on_published(items, facts, f"{place}/queue", f"{place}/checkpoint").awaitTermination()
+    return jobs.VersionedTable(v.spark, f"{place}/queue", jobs.QUEUE).read().select("content_item_id", "user_id", "way", "notification_type", "alert_title")
 
 
-@query("x2_first_reason", "SELECT user_id, min(way) AS way FROM (SELECT user_id, 1 AS way FROM followed_organizations WHERE organization_id = 'org_3' UNION ALL SELECT user_id, 2 FROM followed_categories WHERE category_id = 'cat_1' UNION ALL SELECT user_id, 3 FROM saved_items WHERE content_item_id = 'ci_7') GROUP BY user_id")
+@query("x2_first_reason", alert_queries.MATCH + "SELECT way, count(*) AS n, count(DISTINCT user_id) AS users FROM matched GROUP BY way")
 def _(v: Views) -> DataFrame:
-    ways = [v.followed_organizations.where("organization_id = 'org_3'"), v.followed_categories.where("category_id = 'cat_1'"), v.saved_items.where("content_item_id = 'ci_7'")]
-    rows = [w.select("user_id", F.lit(n).alias("way")) for n, w in enumerate(ways, 1)]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("user_id").agg(F.min("way").alias("way"))
+    return alert_queries.matched(v).groupBy("way").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
 @query("x4_title_similarity", "SELECT a.id AS a_id, b.id AS b_id, len(list_intersect(string_split(lower(a.title), ' '), string_split(lower(b.title), ' ')))::DOUBLE / len(list_distinct(list_concat(string_split(lower(a.title), ' '), string_split(lower(b.title), ' ')))) AS similarity FROM content_items a JOIN content_items b ON b.k = a.k + 1")

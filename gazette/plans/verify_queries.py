@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from gazette.operators import verify
 from gazette.plans.listing_queries import PUBLIC, public
 from gazette.plans.registry import query
 from gazette.plans.views import AS_OF, Views
+from gazette.sources import feeds
 
 _CLASS = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN '{c}'" for c, words in verify.CLASS_WORDS.items()) + " ELSE 'other' END"
 
@@ -110,13 +113,9 @@ def _(v: Views) -> DataFrame:
     return verify.internal_links(public(v), AS_OF)
 
 
-_DECISIONS = "decisions AS (SELECT concat('ci_', event_id % 400) AS item_id, CASE event_type WHEN 'view' THEN 'approve' WHEN 'click' THEN 'draft' ELSE 'reject' END AS action, ts, event_id AS seq FROM {events} WHERE event_id % 7 = 0)"
-
-
-@query("h14_decisions", f"WITH {_DECISIONS}, last AS (SELECT item_id, arg_max(action, (ts, seq)) AS action FROM decisions GROUP BY 1) SELECT i.id, CASE action WHEN 'approve' THEN 'published' WHEN 'draft' THEN 'draft' WHEN 'reject' THEN 'archived' ELSE status END AS status, CASE WHEN action = 'approve' THEN coalesce(published_at, TIMESTAMP '{AS_OF}') ELSE published_at END AS published_at FROM content_items i LEFT JOIN last ON item_id = i.id")
+@query("h14_decisions", f"WITH last AS (SELECT item_id, arg_max(action, (ts, seq)) AS action FROM decisions GROUP BY 1) SELECT i.id, CASE action WHEN 'approve' THEN 'published' WHEN 'draft' THEN 'draft' WHEN 'reject' THEN 'archived' ELSE status END AS status, CASE WHEN action = 'approve' THEN coalesce(published_at, TIMESTAMP '{AS_OF}') ELSE published_at END AS published_at FROM content_items i LEFT JOIN last ON item_id = i.id")
 def _(v: Views) -> DataFrame:
-    decisions = v.raw("events").where("event_id % 7 = 0").selectExpr("concat('ci_', event_id % 400) as item_id", "case event_type when 'view' then 'approve' when 'click' then 'draft' else 'reject' end as action", "ts", "event_id as seq")
-    return verify.decided(v.content_items, decisions, AS_OF).select("id", "status", "published_at")
+    return verify.decided(v.content_items, v.decisions, AS_OF).select("id", "status", "published_at")
 
 
 @query("h15_bulk_publish", f"SELECT id, CASE WHEN status = 'draft' OR (status = 'archived' AND auto_publish_eligible) THEN 'published' ELSE status END AS status, CASE WHEN status = 'draft' OR (status = 'archived' AND auto_publish_eligible) THEN coalesce(published_at, TIMESTAMP '{AS_OF}') ELSE published_at END AS published_at FROM content_items")
@@ -124,11 +123,18 @@ def _(v: Views) -> DataFrame:
     return verify.published_in_bulk(v.content_items, AS_OF).select("id", "status", "published_at")
 
 
-@query("h16_erasure", "SELECT 'saved' AS name, count(*) AS rows, count(user_id) AS with_user FROM saved_items WHERE user_id NOT IN (SELECT id FROM users WHERE k % 10 = 3) UNION ALL SELECT 'notifications', count(*), count(*) FILTER (user_id NOT IN (SELECT id FROM users WHERE k % 10 = 3)) FROM notifications")
+_OF_USERS = ("saved_items", "followed_organizations", "followed_categories", "notifications", "subscriptions")
+_KEPT = "user_id NOT IN (SELECT id FROM users WHERE status = 'suspended')"
+
+
+@query("h16_erasure", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows, " + ("count(*) FILTER (content_item_id NOT IN (SELECT id FROM content_items WHERE status = 'archived'))" if t == "notifications" else "count(*)") + f" AS with_item FROM {t} WHERE {_KEPT}" + (" AND content_item_id NOT IN (SELECT id FROM content_items WHERE status = 'archived')" if t == "saved_items" else "") for t in _OF_USERS))
 def _(v: Views) -> DataFrame:
-    left = verify.erased({"saved": v.saved_items, "notifications": v.notifications}, v.users.where("k % 10 = 3").select("id"), {"saved": "user_id"}, {"notifications": "user_id"})
-    count = lambda n: left[n].agg(F.lit(n).alias("name"), F.count("*").alias("rows"), F.count("user_id").alias("with_user"))
-    return count("saved").unionByName(count("notifications"))
+    """Suspended users go with all that is theirs; archived items go from the saved ones, and notifications forget them."""
+    tables = {t: getattr(v, t) for t in _OF_USERS}
+    left = verify.erased(tables, v.users.where("status = 'suspended'").select("id"), dict.fromkeys(_OF_USERS, "user_id"), {})
+    left = verify.erased(left, v.content_items.where("status = 'archived'").select("id"), {"saved_items": "content_item_id"}, {"notifications": "content_item_id"})
+    counts = [left[t].agg(F.lit(t).alias("name"), F.count("*").alias("rows"), F.count("content_item_id" if t == "notifications" else "*").alias("with_item")) for t in _OF_USERS]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("e13_budget", "SELECT id, d <= 300 AND m <= 5000 AS admitted FROM (SELECT id, row_number() OVER (PARTITION BY created_at::DATE ORDER BY created_at, id) AS d, row_number() OVER (PARTITION BY date_trunc('month', created_at) ORDER BY created_at, id) AS m FROM ai_generations)")
@@ -178,21 +184,50 @@ def _(v: Views) -> DataFrame:
     return rows.select("id", exprs.without_no_value(F.col("x")).alias("cleaned"), exprs.number_of(F.col("x")).alias("number"), exprs.clamped(F.col("c")).alias("confidence"))
 
 
-@query("g1_normalized_urls")
+def sql_encoded(x: str) -> str:
+    """Percent-encoding of a path but for slashes and marks that stay."""
+    out = f"url_encode({x})"
+    for code, char in (("%2F", "/"), ("%2C", ","), ("%27", "''"), ("%28", "("), ("%29", ")"), ("%21", "!"), ("%2A", "*"), ("%3A", ":"), ("%3B", ";"), ("%40", "@"), ("%24", "$"), ("%26", "&"), ("%2B", "+"), ("%3D", "="), ("%25", "%")):
+        out = f"replace({out}, '{code}', '{char}')"
+    return out
+
+
+def sql_params(u: str, tracking: tuple[str, ...]) -> str:
+    """A URL's parameters without tracking ones, sorted, after a question mark."""
+    kept = f"list_filter(string_split(regexp_extract({u}, '^[^?#]*[?]([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^({'|'.join(tracking)})(=|$)'))"
+    return f"coalesce('?' || nullif(array_to_string(list_sort(list_transform({kept}, lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END)), '&'), ''), '')"
+
+
+def sql_url(u: str) -> str:
+    """The normalized form of an absolute URL without a port."""
+    path = f"regexp_extract({u}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"
+    plain = f"CASE WHEN length({path}) > 1 THEN regexp_replace({path}, '/$', '') WHEN {path} = '' THEN '/' ELSE {path} END"
+    return f"lower(regexp_extract({u}, '^[A-Za-z]+://[^/?#]*')) || {sql_encoded(plain)} || {sql_params(u, text.TRACKING)}"
+
+
+#: Links of a page, resolved: absolute, from the site's root, or from the page's folder.
+SQL_LINKS = r"""anchors AS (SELECT page_id, url AS base, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 2)) AS label, generate_subscripts(regexp_extract_all(html, '(?is)<a\s[^>]*href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1), 1)::INT AS pos FROM {pages}),
+links AS (SELECT page_id, pos, href, label, CASE WHEN regexp_matches(href, '^(?i)https?://') THEN href WHEN starts_with(href, '/') THEN regexp_extract(base, '^[A-Za-z]+://[^/?#]*') || href ELSE regexp_extract(base, '^([A-Za-z]+://[^/?#]*(/[^?#]*)?)/', 1) || '/' || href END AS resolved
+  FROM anchors WHERE NOT regexp_matches(lower(trim(href)), '^(#|javascript:|mailto:|tel:|data:|sms:|whatsapp:|tg:|file:|ftp:)'))"""
+
+
+@query("g1_normalized_urls", f"SELECT {sql_url('url')} AS normalized_url, min(page_id) AS first_page, count(*) AS pages FROM {{pages}} GROUP BY 1")
 def _(v: Views) -> DataFrame:
     pages = v.raw("pages").select("page_id", text.normalize_url(F.col("url")).alias("normalized_url"))
     return pages.groupBy("normalized_url").agg(F.min("page_id").alias("first_page"), F.count("*").alias("pages"))
 
 
-@query("g2_resolved_links")
+@query("g2_resolved_links", f"WITH {SQL_LINKS} SELECT page_id, min(pos) AS pos, arg_min(resolved, pos) AS resolved FROM links GROUP BY page_id, {sql_url('resolved')}")
 def _(v: Views) -> DataFrame:
-    from gazette.sources.feeds import html_links
+    return feeds.html_links(v.raw("pages")).select("page_id", "pos", F.col("url").alias("resolved"))
+
 
-    links = html_links(v.raw("pages")).join(v.raw("pages").select("page_id", "url"), "page_id")
-    return links.select("page_id", "pos", text.resolve_url(F.col("href"), F.col("url")).alias("resolved")).where("resolved is not null")
+@query("a2_link_discovery", f"WITH {SQL_LINKS}, named AS (SELECT *, {sql_url('resolved')} AS normalized_url, row_number() OVER (PARTITION BY page_id, {sql_url('resolved')} ORDER BY pos) AS nth FROM links) SELECT page_id, pos, href, normalized_url, trim(regexp_replace(regexp_replace(label, '<[^>]+>', ' ', 'g'), '[\\s ]+', ' ', 'g')) AS anchor, regexp_matches(lower(resolved), '\\.pdf([?#]|$)') AS is_pdf FROM named WHERE nth = 1")
+def _(v: Views) -> DataFrame:
+    return feeds.html_links(v.raw("pages")).select("page_id", "pos", "href", "normalized_url", "anchor", "is_pdf")
 
 
-@query("g3_site_urls")
+@query("g3_site_urls", f"SELECT page_id, 'https://www.example.org' || CASE WHEN p = '' THEN '/' WHEN length(p) > 1 THEN rtrim(p, '/') ELSE p END || {sql_params('url', text.SITE_TRACKING)} AS canonical_url FROM (SELECT page_id, url, lower(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+', '/', 'g')) AS p FROM {{pages}})")
 def _(v: Views) -> DataFrame:
     return v.raw("pages").select("page_id", text.canonical_site_url(F.col("url"), "www.example.org").alias("canonical_url"))
 

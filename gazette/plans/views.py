@@ -81,6 +81,7 @@ FROM (SELECT *, date_trunc('day', ts) AS day0, extract(day FROM ts) AS d FROM {e
     "page_paths": "SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+', ''), '[?#].*$', '') AS path FROM {pages}",
     "redirects": "SELECT p.path AS from_path, q.path AS to_path, p.page_id % 3 <> 0 AS active FROM page_paths p JOIN page_paths q ON q.page_id = p.page_id + 1 WHERE p.page_id % 5 = 0",
     "requests": "SELECT page_id AS request_id, CASE WHEN page_id % 2 = 1 THEN concat(path, '/') ELSE path END AS path, TIMESTAMP '2024-01-30 00:00:00' + MINUTES(CAST(page_id % 1440 AS INT)) AS ts FROM page_paths",
+    "decisions": "SELECT concat('ci_', event_id % n) AS item_id, CASE event_type WHEN 'view' THEN 'approve' WHEN 'click' THEN 'draft' ELSE 'reject' END AS action, ts, event_id AS seq FROM {events} CROSS JOIN (SELECT count(*) AS n FROM {documents}) d",
     "subscriptions": """
 SELECT concat('sb_', k, '_', n) AS id, concat('u_', k) AS user_id, CASE k % 3 WHEN 0 THEN 'free' WHEN 1 THEN 'plus' ELSE 'pro' END AS plan_id, CASE (k + n) % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'trialing' WHEN 2 THEN 'cancelled' ELSE 'past_due' END AS status,
   TIMESTAMP '2024-01-11 00:00:00' + DAYS(CAST(k % 60 AS INT)) AS period_end, TIMESTAMP '2024-01-30 00:00:00' - DAYS(CAST((k + 7 * n) % 90 AS INT)) AS created_at

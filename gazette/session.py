@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+_OWN_DIRS: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode, an own one where that is unset (tests)."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_DIRS:
+        _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="spark-gazette-")
+    return _OWN_DIRS[app]
 
 
 def importable(spark: SparkSession) -> SparkSession:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazette.functions import exprs
+from gazette.functions import exprs, text
 
-LINK = r'(?is)<a\s[^>]*href="([^"]+)"[^>]*>(.*?)</a>'
+#: A tag's attributes, and an anchor's with its content.
+ANCHOR, TAG = r"(?is)<a(\s[^>]*)>(.*?)</a>", r"(?is)<{name}(\s[^>]*)>"
 #: Where JSON feeds keep their records and a record's facts, in order of trial.
 RECORD_KEYS = ("items", "data", "results", "notifications", "jobs", "posts", "articles", "records")
 FACTS = {
@@ -26,18 +27,34 @@ def is_pdf(url: Column) -> Column:
     return F.lower(url).rlike(r"\.pdf([?#]|$)")
 
 
-def html_links(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
-    """A2: key, pos, href, anchor, is_pdf: every different link of a page, its first occurrence."""
-    pairs = F.arrays_zip(F.regexp_extract_all(F.col(html), F.lit(LINK), 1).alias("href"), F.regexp_extract_all(F.col(html), F.lit(LINK), 2).alias("label"))
-    each = pages.select(key, F.posexplode(pairs).alias("pos", "l")).select(key, (F.col("pos") + 1).alias("pos"), F.col("l.href").alias("href"), F.col("l.label").alias("label"))
-    first = F.row_number().over(Window.partitionBy(key, "href").orderBy("pos"))
-    return each.withColumn("_r", first).where("_r = 1").select(key, "pos", "href", _text(F.col("label")).alias("anchor"), is_pdf(F.col("href")).alias("is_pdf"))
+def _attribute(attributes: Column, name: str) -> Column:
+    """The value of an attribute in either kind of quotes; null where it is missing or empty."""
+    pattern = rf"""(?is)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    return F.coalesce(*[F.nullif(F.regexp_extract(attributes, pattern, k), F.lit("")) for k in (1, 2)])
 
 
-def page_facts(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
-    """A2: key, title, canonical link and meta description; null where a page has none."""
-    get = lambda pattern: F.nullif(F.regexp_extract(F.col(html), pattern, 1), F.lit(""))
-    return pages.select(key, _text(get(r"(?is)<title[^>]*>(.*?)</title>")).alias("title"), get(r'(?is)<link[^>]*rel="canonical"[^>]*href="([^"]+)"').alias("canonical_url"), get(r'(?is)<meta[^>]*name="description"[^>]*content="([^"]*)"').alias("description"))
+def html_links(pages: DataFrame, html: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
+    """A2: key, pos, href, url, normalized_url, anchor, is_pdf: every different page that a page links to, by normalized URL, where it is first named.
+
+    Links are resolved against the page; those of other schemes than http and https, and fragments, are left out.
+    """
+    pairs = F.arrays_zip(F.regexp_extract_all(F.col(html), F.lit(ANCHOR), 1).alias("attributes"), F.regexp_extract_all(F.col(html), F.lit(ANCHOR), 2).alias("label"))
+    each = pages.select(key, F.coalesce(url, F.lit("")).alias("_base"), F.posexplode(pairs).alias("pos", "l")).select(key, "_base", (F.col("pos") + 1).alias("pos"), _attribute(F.col("l.attributes"), "href").alias("href"), F.col("l.label").alias("label"))
+    resolved = each.withColumn("url", text.resolve_url(F.col("href"), F.col("_base"))).where("url is not null").withColumn("normalized_url", text.normalize_url(F.col("url")))
+    first = F.row_number().over(Window.partitionBy(key, "normalized_url").orderBy("pos"))
+    return resolved.withColumn("_r", first).where("_r = 1").select(key, "pos", "href", "url", "normalized_url", _text(F.col("label")).alias("anchor"), is_pdf(F.col("url")).alias("is_pdf"))
+
+
+def page_facts(pages: DataFrame, html: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
+    """A2: key, title, canonical link (resolved and normalized) and meta description; null where a page has none."""
+
+    def first(tag: str, name: str, value: str, wanted: str) -> Column:
+        tags = F.regexp_extract_all(F.col(html), F.lit(TAG.replace("{name}", tag)), 1)
+        return F.get(F.filter(F.transform(tags, lambda t: F.when(F.lower(_attribute(t, name)) == value, _attribute(t, wanted))), lambda x: x.isNotNull()), F.lit(0))
+
+    title = F.nullif(F.regexp_extract(F.col(html), r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(""))
+    out = pages.select(key, F.coalesce(url, F.lit("")).alias("_base"), _text(title).alias("title"), first("link", "rel", "canonical", "href").alias("_link"), exprs.stripped(first("meta", "name", "description", "content")).alias("description"))
+    return out.select(key, "title", text.normalize_url(text.resolve_url(F.col("_link"), F.col("_base"))).alias("canonical_url"), "description")
 
 
 def _entity(text: Column) -> Column:
@@ -113,8 +130,57 @@ def sitemap(published: DataFrame, organizations: DataFrame, section: str) -> Dat
     return head.unionByName(items).unionByName(orgs)
 
 
-def structured_data(items: DataFrame) -> DataFrame:
-    """Id, document: a JSON-LD object a row; keys without a value are left out."""
-    kind = F.when(F.col("type") == "job", "JobPosting").otherwise("Article")
-    fields = [F.col(c) for c in items.columns if c not in ("id", "type")]
-    return items.select("id", F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), kind.alias("@type"), *fields), {"ignoreNullFields": "true"}).alias("document"))
+def _stamp(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def _document(kind: str, *fields: Column) -> Column:
+    """A JSON-LD object; keys without a value are left out."""
+    return F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit(kind).alias("@type"), *fields), {"ignoreNullFields": "true"})
+
+
+def _typed(kind: str, *fields: Column) -> Column:
+    return F.struct(F.lit(kind).alias("@type"), *fields)
+
+
+# Fixed values of the documents: employer without an organization, employment type, country, currency, unit and zone of deadlines.
+EMPLOYER, EMPLOYMENT, COUNTRY, CURRENCY, UNIT, DEADLINE = "Government of India", "FULL_TIME", "IN", "INR", "MONTH", "T23:59:59+05:30"
+
+
+def structured_data(items: DataFrame, site: str, publisher: str) -> DataFrame:
+    """Id, document: a JobPosting for a job, an Article for any other item.
+
+    items(id, type, slug, title, meta_description, excerpt, published_at, created_at, updated_at, organization_name,
+    organization_website, application_last_date, salary, qualification).
+    """
+    url = F.concat(F.lit(site.rstrip("/")), F.lit("/"), F.when(F.col("type") == "job", "jobs").otherwise(F.regexp_replace("type", "_", "-")), F.lit("/"), "slug")
+    description = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("meta_description", "excerpt")], F.col("title"))
+    posted = F.coalesce("published_at", "created_at")
+    salary, deadline = F.nullif(F.col("salary").cast("string"), F.lit("")), F.date_format("application_last_date", "yyyy-MM-dd")
+    job = _document(
+        "JobPosting", F.col("title"), description.alias("description"), _stamp(posted).alias("datePosted"), url.alias("url"), F.lit(EMPLOYMENT).alias("employmentType"),
+        _typed("Organization", F.coalesce("organization_name", F.lit(EMPLOYER)).alias("name"), F.col("organization_website").alias("sameAs")).alias("hiringOrganization"),
+        _typed("Place", _typed("PostalAddress", F.lit(COUNTRY).alias("addressCountry")).alias("address")).alias("jobLocation"),
+        F.concat(deadline, F.lit(DEADLINE)).alias("validThrough"),
+        F.when(salary.isNotNull(), _typed("MonetaryAmount", F.lit(CURRENCY).alias("currency"), _typed("QuantitativeValue", salary.alias("value"), F.lit(UNIT).alias("unitText")).alias("value"))).alias("baseSalary"),
+        F.nullif(F.col("qualification"), F.lit("")).alias("educationRequirements"),
+    )
+    article = _document(
+        "Article", F.col("title").alias("headline"), description.alias("description"), _typed("WebPage", url.alias("@id")).alias("mainEntityOfPage"), _stamp(posted).alias("datePublished"),
+        _stamp(F.coalesce("updated_at", posted)).alias("dateModified"), _typed("Organization", F.lit(f"{publisher} Editorial Desk").alias("name")).alias("author"), _typed("Organization", F.lit(publisher).alias("name"), F.lit(site.rstrip("/")).alias("url")).alias("publisher"),
+    )
+    return items.select("id", F.when(F.col("type") == "job", job).otherwise(article).alias("document"))
+
+
+def organization_data(organizations: DataFrame, site: str) -> DataFrame:
+    """Id, document: an Organization; organizations(id, name, website, logo_key)."""
+    logo = F.concat(F.lit(f"{site.rstrip('/')}/api/documents/"), F.nullif(F.col("logo_key"), F.lit("")))
+    return organizations.select("id", _document("Organization", F.col("name"), F.nullif(F.col("website"), F.lit("")).alias("url"), logo.alias("logo")).alias("document"))
+
+
+def question_data(items: DataFrame, faq: str = "faq") -> DataFrame:
+    """Id, document: an FAQPage of items(id, faq: array of (question, answer)); items without a whole question are left out."""
+    pairs = F.transform(faq, lambda q: F.struct(exprs.stripped(q["question"]).alias("q"), exprs.stripped(q["answer"]).alias("a")))
+    whole = items.select("id", F.filter(pairs, lambda x: (F.coalesce(x["q"], F.lit("")) != "") & (F.coalesce(x["a"], F.lit("")) != "")).alias("faq")).where("size(faq) > 0")
+    entities = F.transform("faq", lambda x: _typed("Question", x["q"].alias("name"), _typed("Answer", x["a"].alias("text")).alias("acceptedAnswer")))
+    return whole.select("id", _document("FAQPage", entities.alias("mainEntity")).alias("document"))

@@ -159,10 +159,14 @@ def test_body_formats(spark):
 
 def test_page_facts_and_pdf_archive(spark, tmp_path):
     html = '<html><head><title> A  b </title><link rel="canonical" href="https://a/c"><meta name="description" content="d"></head><body><a href="/x.pdf"><b>P</b></a><a href="/x.pdf">again</a></body></html>'
-    pages = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
+    html3 = "<LINK href='../c/' rel='Canonical'><a class=x HREF = '?a=1'>One</a><a href='#top'>t</a><a href='mailto:x@y'>m</a><a href=\"it's\">q</a><a data-href='/no'>n</a><a href='/d/e/?utm_source=f&a=1'>Same</a>"
+    pages = spark.createDataFrame([(1, "https://a/p", html), (2, None, None), (3, "http://B.org/d/e", html3)], "page_id long, url string, html string")
+    r = feeds.page_facts(pages).where("page_id = 3").first()
+    assert (r["title"], r["canonical_url"], r["description"]) == (None, "http://b.org/c", None)
+    assert [(r["pos"], r["normalized_url"], r["anchor"]) for r in feeds.html_links(pages.where("page_id = 3")).orderBy("pos").collect()] == [(1, "http://b.org/d/e?a=1", "One"), (4, "http://b.org/d/it's", "q")]
     r = feeds.page_facts(pages).where("page_id = 1").first()
     assert (r["title"], r["canonical_url"], r["description"]) == ("A b", "https://a/c", "d")
-    assert [(r["href"], r["anchor"], r["is_pdf"]) for r in feeds.html_links(pages).collect()] == [("/x.pdf", "P", True)]
+    assert [(r["href"], r["anchor"], r["is_pdf"]) for r in feeds.html_links(pages.where("page_id < 3")).collect()] == [("/x.pdf", "P", True)]
     for name, data in (("one.pdf", b"%PDF-1 a"), ("copy.pdf", b"%PDF-1 a"), ("two.pdf", b"%PDF-1 b"), ("no.pdf", b"<html>")):
         (tmp_path / name).write_bytes(data)
     files = spark.read.format("binaryFile").load(str(tmp_path))
