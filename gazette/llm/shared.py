@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -12,24 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.session import importable
+from gazette.session import scratch as shared_dir
 
-_OWN_DIRS: dict[str, str] = {}
 _TABLES: dict[str, list[str]] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode, an own one where that is unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="spark-gazette-")
-    return _OWN_DIRS[app]
-
-
 def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
