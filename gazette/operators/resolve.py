@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.functions import exprs
+from gazette.session import written
 
 IDENTITY = ("id", "content_type", "year", "org", "rec", "advt", "notif", "pdf", "checksum", "vacancy", "ends", "norm", "tokens", "created_at")
 
@@ -92,26 +93,61 @@ def candidates(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
     return a.join(b, on).drop("a_block", "b_block")
 
 
-def duplicate_audit(notices: DataFrame, as_of: str, least: int = 65) -> DataFrame:
-    """Scored pairs of notices with a confidence of least or more."""
-    ids = identities(notices, as_of)
-    return scored(candidates(ids, ids, ordered=True)).where(F.col("confidence") >= least)
+#: What a score depends on; tokens follow from norm.
+FACETS = tuple(c for c in IDENTITY if c not in ("id", "tokens", "created_at"))
+
+
+def classed(ids: DataFrame) -> DataFrame:
+    """(id, class): identities that no score can tell apart share a class."""
+    return ids.select("id", "created_at", "tokens", *FACETS, F.md5(F.to_json(F.struct(*FACETS))).alias("class"))
+
 
+def representatives(members: DataFrame) -> DataFrame:
+    """One identity a class of classed(): id is the class, with the number of members and the newest of them."""
+    newest = F.min(F.struct(F.col("created_at").isNull().alias("_last"), (-F.unix_micros("created_at")).alias("_age"), F.col("id").alias("newest_id")))
+    rows = members.groupBy(F.col("class").alias("id")).agg(*[F.first(c).alias(c) for c in ("tokens", *FACETS)], F.max("created_at").alias("created_at"), F.count("*").alias("n"), newest.alias("_newest"))
+    return rows.select(*IDENTITY, "n", "_newest.newest_id")
 
-def audit_statistics(notices: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Scanned, pairs, high, review, items in no pair, and items less pairs."""
-    members = pairs.select("a_id").union(pairs.select("b_id")).distinct().agg(F.count("*").alias("paired"))
-    counts = pairs.agg(F.count("*").alias("pairs"), F.count_if(F.col("confidence") >= 85).alias("high"), F.count_if(F.col("confidence").between(65, 84)).alias("review"))
+
+def audit_classes(notices: DataFrame, as_of: str, least: int = 65) -> tuple[DataFrame, DataFrame]:
+    """R4 as (scored pairs of classes, members(id, class)): a_id and b_id are classes, equal where a class's own members make pairs. Its size is that of the different identities, whatever their copies."""
+    members = written(classed(identities(notices, as_of)), "audit-identities")
+    classes = representatives(members)
+    with_key = F.coalesce(*[F.col(k) for k in BLOCKS]).isNotNull()
+    own = classes.where((F.col("n") > 1) & with_key)
+    own = own.select(*[F.col(c).alias(f"{side}_{c}") for side in ("a", "b") for c in classes.columns])
+    pairs = scored(candidates(classes, classes, ordered=True).unionByName(own)).where(F.col("confidence") >= least)
+    return written(pairs, "audit-pairs"), members  # what follows would have the optimizer copy the score's expressions.select("id", "class")
+
+
+def duplicate_audit(notices: DataFrame, as_of: str, least: int = 65) -> DataFrame:
+    """Scored pairs of notices with a confidence of least or more, a_id < b_id: each pair of classes is scored once and then spread over its members."""
+    pairs, members = audit_classes(notices, as_of, least)
+    a, b = (members.select(F.col("id").alias(f"_{side}"), F.col("class").alias(f"{side}_id")) for side in ("a", "b"))
+    spread = pairs.join(a, "a_id").join(b, "b_id").where((F.col("a_id") != F.col("b_id")) | (F.col("_a") < F.col("_b")))
+    return spread.withColumns({"a_id": F.least("_a", "_b"), "b_id": F.greatest("_a", "_b")}).drop("_a", "_b")
+
+
+def audit_statistics(notices: DataFrame, as_of: str, least: int = 65) -> DataFrame:
+    """Scanned, pairs, high, review, items in no pair, and items less pairs; counted by class, without making the pairs of members."""
+    pairs, _ = audit_classes(notices, as_of, least)
+    n = F.when(F.col("a_id") == F.col("b_id"), F.expr("a_n * (a_n - 1) div 2")).otherwise(F.col("a_n") * F.col("b_n"))
+    some = pairs.select("a_id", "b_id", "a_n", "b_n", "confidence", n.alias("pairs"))
+    members = some.select("a_id", "a_n").union(some.select("b_id", "b_n")).distinct().agg(F.coalesce(F.sum("a_n"), F.lit(0)).alias("paired"))
+    of = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("pairs"))), F.lit(0))
+    counts = some.agg(of(F.lit(True)).alias("pairs"), of(F.col("confidence") >= 85).alias("high"), of(F.col("confidence").between(65, 84)).alias("review"))
     row = notices.agg(F.count("*").alias("scanned")).join(F.broadcast(counts)).join(F.broadcast(members))
     return row.select("scanned", "pairs", "high", "review", (F.col("scanned") - F.col("paired")).alias("unpaired"), (F.col("scanned") - F.col("pairs")).alias("scanned_less_pairs"))
 
 
 def match_incoming(incoming: DataFrame, catalogue: DataFrame, as_of: str, least: int = 50) -> DataFrame:
-    """For each incoming notice the best of the catalogue: an equal number, then an equal checksum, then the highest score; newest wins ties."""
-    pairs = scored(candidates(identities(incoming, as_of), identities(catalogue, as_of), ordered=False)).where(F.col("confidence") >= least)
+    """For each incoming notice the best of the catalogue: an equal number, then an equal checksum, then the highest score; newest wins ties. Classes are matched, and each stands for its newest member."""
+    asked, known = (written(classed(identities(x, as_of)), "match-identities") for x in (incoming, catalogue))
+    pairs = scored(candidates(representatives(asked), representatives(known), ordered=False)).where(F.col("confidence") >= least)
     stage = F.when(F.col("a_advt") == F.col("b_advt"), 1).when(F.col("a_checksum") == F.col("b_checksum"), 2).otherwise(3)
-    rank = F.row_number().over(Window.partitionBy("a_id").orderBy("_stage", F.desc("confidence"), F.desc("b_created_at"), "b_id"))
-    return pairs.withColumn("_stage", stage).withColumn("_rank", rank).where("_rank = 1").select(F.col("a_id").alias("incoming_id"), F.col("b_id").alias("match_id"), "confidence", "tier", "status", F.col("_stage").alias("stage"))
+    rank = F.row_number().over(Window.partitionBy("a_id").orderBy("_stage", F.desc("confidence"), F.desc("b_created_at"), "b_newest_id"))
+    best = pairs.withColumn("_stage", stage).withColumn("_rank", rank).where("_rank = 1").select(F.col("a_id").alias("class"), F.col("b_newest_id").alias("match_id"), "confidence", "tier", "status", F.col("_stage").alias("stage"))
+    return asked.select(F.col("id").alias("incoming_id"), "class").join(best, "class").drop("class")
 
 
 def related_stages(notices: DataFrame, as_of: str) -> DataFrame:

@@ -88,7 +88,7 @@ def _(v: Views) -> DataFrame:
 
 @query("d13_audit_statistics", AUDIT + "SELECT (SELECT count(*) FROM notices) AS scanned, count(*) AS pairs, count(*) FILTER (confidence >= 85) AS high, count(*) FILTER (confidence BETWEEN 65 AND 84) AS review, (SELECT count(*) FROM notices WHERE id NOT IN (SELECT a_id FROM audit UNION ALL SELECT b_id FROM audit)) AS unpaired, (SELECT count(*) FROM notices) - count(*) AS scanned_less_pairs FROM audit")
 def _(v: Views) -> DataFrame:
-    return resolve.audit_statistics(notices(v), audit(v))
+    return resolve.audit_statistics(notices(v), AS_OF)
 
 
 @query("c11_pair_enrichment", AUDIT + "SELECT a_id, b_id, confidence, a.title AS a_title, b.title AS b_title FROM audit JOIN content_items a ON a.id = a_id LEFT JOIN content_items b ON b.id = b_id WHERE audit.status = 'review_required' ORDER BY confidence DESC, a_id, b_id LIMIT 50")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 _OWN_DIRS: dict[str, str] = {}
@@ -24,6 +25,13 @@ def scratch(spark: SparkSession) -> str:
     return _OWN_DIRS[app]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back: computed once however often it is read, also when executors are lost."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def importable(spark: SparkSession) -> SparkSession:
     """Let Python workers import this library where the driver did, without an install.
 
