@@ -191,9 +191,14 @@ def clean_content(html: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, BLANK, " ")))
 
 
+def content(html: Column) -> Column:
+    """(fingerprint, length) of a page's clean content, which is made once; a page without any has its markup's fingerprint."""
+    plain = F.trim(F.coalesce(html, F.lit("")))
+    return let(clean_content(html), lambda c: F.struct(F.sha2(F.when(F.length(c) > 0, c).otherwise(plain), 256).alias("fingerprint"), F.length(c).cast("long").alias("length")))
+
+
 def fingerprint(html: Column) -> Column:
-    clean = clean_content(html)
-    return let(clean, lambda c: F.sha2(F.when(F.length(c) > 0, c).otherwise(F.trim(F.coalesce(html, F.lit("")))), 256))
+    return content(html)["fingerprint"]
 
 
 def without_no_value(text: Column) -> Column:

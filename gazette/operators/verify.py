@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.functions import exprs, templates
+from gazette.session import written
 
 # ---- Fixed values ----
 CLASS_WORDS = {
@@ -161,7 +162,7 @@ def relationship(a: str = "a_", b: str = "b_", as_of: str = "") -> Column:
     """Points of relation of item b to item a."""
     x, y = (lambda c: F.col(a + c)), (lambda c: F.col(b + c))
     same = lambda c: F.coalesce(x(c) == y(c), F.lit(False))
-    px, py = F.lower(F.trim(x("post_name"))), F.lower(F.trim(y("post_name")))
+    px, py = (F.nullif(F.lower(F.trim(side("post_name"))), F.lit("")) for side in (x, y))
     post = F.coalesce(px.contains(py) | py.contains(px), F.lit(False))
     level = F.coalesce(reduce(Column.__or__, [F.lower(x("qualification")).contains(q) & F.lower(y("qualification")).contains(q) for q in LEVELS]), F.lit(False))
     cycle = ((x("type") == "job") & y("type").isin(*LIFECYCLE)) | ((y("type") == "job") & x("type").isin(*LIFECYCLE))
@@ -177,14 +178,14 @@ def link_facts(public: DataFrame, as_of: str) -> DataFrame:
     stage = F.when(F.col("type") == "job", 1).when(F.col("type").isin(*LIFECYCLE), 2).otherwise(0)
     at = F.lit(as_of).cast("timestamp")
     recent = F.coalesce((F.col("published_at") <= at) & (F.col("published_at") >= at - F.expr("interval 14 days")), F.lit(False))
-    return public.select("id", "published_at", F.col("organization_id").alias("org"), F.col("category_id").alias("cat"), F.lower(F.trim("post_name")).alias("post"), level.alias("level"), stage.alias("stage"), recent.alias("recent"))
+    return public.select("id", "published_at", F.col("organization_id").alias("org"), F.col("category_id").alias("cat"), F.nullif(F.lower(F.trim("post_name")), F.lit("")).alias("post"), level.alias("level"), stage.alias("stage"), recent.alias("recent"))
 
 
 def containing_posts(facts: DataFrame) -> DataFrame:
-    """(post, other) pairs of post names of which one contains the other, both ways. Every part of a name is looked up among the names, so no pair of names is compared."""
+    """(post, other) pairs of post names of which one contains the other, both ways; a blank name is none. Every part of a name is looked up among the names, so no pair of names is compared."""
     names = facts.where("post is not null").select("post").distinct()
     part = F.expr("flatten(transform(sequence(1, length(post)), i -> transform(sequence(1, length(post) - i + 1), n -> substring(post, i, n))))")
-    parts = names.select("post", F.explode(F.array_append(F.when(F.length("post") > 0, F.array_distinct(part)).otherwise(F.array().cast("array<string>")), F.lit(""))).alias("other")).distinct()
+    parts = names.select("post", F.explode(F.array_distinct(part)).alias("other"))
     inner = parts.join(names.select(F.col("post").alias("other")), "other").select("post", "other")
     return inner.union(inner.select("other", "post")).distinct()
 
@@ -202,7 +203,7 @@ def internal_links(public: DataFrame, as_of: str, least: int = 20, n: int = 6) -
     among the n + 1 best there (one may be the item itself), with its full points; under smaller sets it shows fewer, and the most count.
     Items with equal facets share one ranking of n + 1. So rows stay in proportion to items.
     """
-    facts, keys, newest = link_facts(public, as_of), list(KEY_POINTS), [F.desc_nulls_last("b_at"), F.asc("b_id")]
+    facts, keys, newest = written(link_facts(public, as_of), "link-facts"), list(KEY_POINTS), [F.desc_nulls_last("b_at"), F.asc("b_id")]
     subsets = F.explode(F.sequence(F.lit(0), F.lit(2 ** len(keys) - 1))).alias("keys")
 
     def keyed(rows: DataFrame, *more: str) -> DataFrame:

@@ -195,8 +195,8 @@ def _(v: Views) -> DataFrame:
   replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|svg|iframe)\b.*?</(script|style|noscript|svg|iframe)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''),
   '(?i)\b(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),\s+\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{4}\s+\d{2}:\d{2}:\d{2}\s+(?:GMT|IST|UTC)\b', ' ', 'g'), '(?i)\b\d{1,2}:\d{2}(?::\d{2})?\s*(?:AM|PM|IST)?\b', ' ', 'g'), '(?i)Visitor\s*Count\s*:\s*\d+', ' ', 'g'), '(?i)Page\s*Hits\s*:\s*\d+', ' ', 'g'), '[\s ]+', ' ', 'g'))) AS c FROM {pages})""")
 def _(v: Views) -> DataFrame:
-    pages = v.raw("pages")
-    return pages.select("page_id", exprs.fingerprint(F.col("html")).alias("fingerprint"), F.length(exprs.clean_content(F.col("html"))).cast("long").alias("n"))
+    pages = v.raw("pages").select("page_id", exprs.content(F.col("html")).alias("c"))
+    return pages.select("page_id", F.col("c.fingerprint").alias("fingerprint"), F.col("c.length").alias("n"))
 
 
 @query("g14_job_status", f"SELECT id, {STATUS} AS status FROM (SELECT i.id, i.type, j.application_start, j.application_last_date FROM content_items i LEFT JOIN jobs j ON j.content_item_id = i.id)")

@@ -103,11 +103,11 @@ def _(v: Views) -> DataFrame:
     return verify.next_versions(existing, new, ["created_at", "id"]).select("id", "content_item_id", "version")
 
 
-@query("h10_internal_links", PUBLIC + f""", f AS (SELECT id, type, organization_id, category_id, post_name, qualification, published_at, row_number() OVER (PARTITION BY organization_id ORDER BY published_at DESC NULLS LAST, id) AS r_org, row_number() OVER (PARTITION BY category_id ORDER BY published_at DESC NULLS LAST, id) AS r_cat, row_number() OVER (ORDER BY published_at DESC NULLS LAST, id) AS r_all FROM public),
-s AS (SELECT a.id AS a_id, b.id AS b_id, b.published_at AS pub, CASE WHEN a.organization_id = b.organization_id THEN 40 ELSE 0 END + CASE WHEN contains(lower(trim(a.post_name)), lower(trim(b.post_name))) OR contains(lower(trim(b.post_name)), lower(trim(a.post_name))) THEN 35 ELSE 0 END + CASE WHEN a.category_id = b.category_id THEN 25 ELSE 0 END
+@query("h10_internal_links", PUBLIC + f""", f AS (SELECT id, type, organization_id, category_id, nullif(lower(trim(post_name)), '') AS post, qualification, published_at FROM public),
+s AS (SELECT a.id AS a_id, b.id AS b_id, b.published_at AS pub, CASE WHEN a.organization_id = b.organization_id THEN 40 ELSE 0 END + CASE WHEN contains(a.post, b.post) OR contains(b.post, a.post) THEN 35 ELSE 0 END + CASE WHEN a.category_id = b.category_id THEN 25 ELSE 0 END
   + CASE WHEN {" OR ".join(f"(contains(lower(a.qualification), '{q}') AND contains(lower(b.qualification), '{q}'))" for q in verify.LEVELS)} THEN 15 ELSE 0 END
   + CASE WHEN (a.type = 'job' AND b.type IN ('result', 'admit_card', 'answer_key')) OR (b.type = 'job' AND a.type IN ('result', 'admit_card', 'answer_key')) THEN 15 ELSE 0 END + CASE WHEN b.published_at <= TIMESTAMP '{AS_OF}' AND b.published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY THEN 5 ELSE 0 END AS score
-  FROM f a JOIN f b ON a.id <> b.id AND ((a.organization_id = b.organization_id AND b.r_org <= 60) OR (a.category_id = b.category_id AND b.r_cat <= 60) OR b.r_all <= 60)),
+  FROM f a JOIN f b ON a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY score DESC, pub DESC NULLS LAST, b_id) AS rank FROM s WHERE score >= 20) SELECT a_id, b_id, score, rank::INT AS rank FROM r WHERE rank <= 6""")
 def _(v: Views) -> DataFrame:
     return verify.internal_links(public(v), AS_OF)
