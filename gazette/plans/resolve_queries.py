@@ -10,6 +10,7 @@ from gazette.operators import resolve
 from gazette.plans.listing_queries import STATUS
 from gazette.plans.registry import query
 from gazette.plans.views import AS_OF, Views
+from gazette.session import written
 
 def sql_norm(x: str) -> str:
     """normalize_text for ASCII text."""
@@ -232,6 +233,18 @@ def _(v: Views) -> DataFrame:
     return resolve.scored(resolve.candidates(ids, ids, ordered=True)).select("a_id", "b_id", "confidence", "tier", "status")
 
 
+#: The score with all three guards, for pairs of any type and year.
+_GUARDED = SCORE.replace("CASE WHEN a_rec <> b_rec THEN 'recruitment_name' END AS guard", "CASE WHEN a_content_type <> b_content_type THEN 'content_type' WHEN a_year <> b_year THEN 'year' WHEN a_rec <> b_rec THEN 'recruitment_name' END AS guard").replace("+ 15 +", "+ CASE WHEN a_year = b_year THEN 15 ELSE 0 END +")
+
+
+@query("r2_guarded_scores", f"WITH {NOTICES}, {IDENT}, {_pairs('ids', 'ids', 'TRUE').replace('a.content_type = b.content_type AND a.year = b.year AND TRUE', 'b.k = a.k + 1')}, {_GUARDED} SELECT a_id, b_id, confidence, tier, status, array_to_string(conflicts, ',') AS conflicts, CASE WHEN guard = 'content_type' THEN 'link_related_stage' WHEN status = 'canonical' THEN 'link_to_canonical' WHEN status = 'review_required' THEN 'review_required' ELSE 'create_unique' END AS action FROM scored")
+def _(v: Views) -> DataFrame:
+    """Neighbours by number: most differ in type, year or recruitment."""
+    ids = written(resolve.identities(notices(v), AS_OF), "identities").withColumn("k", F.substring("id", 4, 18).cast("long"))
+    a, b = (ids.select(*[F.col(c).alias(f"{side}_{c}") for c in resolve.IDENTITY], (F.col("k") - shift).alias("k")) for side, shift in (("a", 0), ("b", 1)))
+    return resolve.scored(a.join(b, "k")).select("a_id", "b_id", "confidence", "tier", "status", F.array_join("conflicts", ",").alias("conflicts"), "action")
+
+
 @query("g7_organization_names", f"SELECT id, {sql_organization('title')} AS organization FROM content_items")
 def _(v: Views) -> DataFrame:
     return v.content_items.select("id", exprs.organization_name(exprs.normalize_text(F.col("title"))).alias("organization"))
