@@ -31,7 +31,7 @@ from gazette.llm.components import components
 from gazette.llm.dart_minhash import mix, signatures
 from gazette.llm.shared import cut, cuts, give_back_memory, remove
 
-SHINGLE, BANDS, ROWS, TILE, TILE_ELEMENTS = 5, 36, 6, 512, 1 << 20
+SHINGLE, BANDS, ROWS, TILE, TILE_ELEMENTS = 5, 36, 6, 128, 1 << 20
 #: A link: |A & B| * DEN >= |A | B| * NUM, a similarity of 0.8.
 NUM, DEN = 4, 5
 STEP_WORDS = 1 << 16
