@@ -111,7 +111,7 @@ def representatives(members: DataFrame) -> DataFrame:
 
 def audit_classes(notices: DataFrame, as_of: str, least: int = 65) -> tuple[DataFrame, DataFrame]:
     """R4 as (scored pairs of classes, members(id, class)): a_id and b_id are classes, equal where a class's own members make pairs. Its size is that of the different identities, whatever their copies."""
-    members = written(classed(identities(notices, as_of)), "audit-identities")
+    members = classed(written(identities(notices, as_of), "audit-identities"))
     classes = representatives(members)
     with_key = F.coalesce(*[F.col(k) for k in BLOCKS]).isNotNull()
     own = classes.where((F.col("n") > 1) & with_key)
@@ -142,7 +142,7 @@ def audit_statistics(notices: DataFrame, as_of: str, least: int = 65) -> DataFra
 
 def match_incoming(incoming: DataFrame, catalogue: DataFrame, as_of: str, least: int = 50) -> DataFrame:
     """For each incoming notice the best of the catalogue: an equal number, then an equal checksum, then the highest score; newest wins ties. Classes are matched, and each stands for its newest member."""
-    asked, known = (written(classed(identities(x, as_of)), "match-identities") for x in (incoming, catalogue))
+    asked, known = (classed(written(identities(x, as_of), "match-identities")) for x in (incoming, catalogue))
     pairs = scored(candidates(representatives(asked), representatives(known), ordered=False)).where(F.col("confidence") >= least)
     stage = F.when(F.col("a_advt") == F.col("b_advt"), 1).when(F.col("a_checksum") == F.col("b_checksum"), 2).otherwise(3)
     rank = F.row_number().over(Window.partitionBy("a_id").orderBy("_stage", F.desc("confidence"), F.desc("b_created_at"), "b_newest_id"))
