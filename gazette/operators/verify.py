@@ -253,6 +253,20 @@ def decided(items: DataFrame, decisions: DataFrame, at: str) -> DataFrame:
     return out.withColumn("published_at", F.when(F.col("_action") == "approve", F.coalesce("published_at", F.lit(at).cast("timestamp"))).otherwise(F.col("published_at"))).drop("item_id", "_action")
 
 
+def decided_users(users: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Users with the status of the last decision(user_id, action, ts, seq) on each: suspend or activate; other actions change nothing."""
+    known = decisions.where(F.col("action").isin("suspend", "activate"))
+    last = known.groupBy("user_id").agg(F.max_by("action", F.struct("ts", "seq")).alias("_action"))
+    status = F.when(F.col("_action") == "suspend", "suspended").when(F.col("_action") == "activate", "active").otherwise(F.col("status"))
+    return users.join(last, F.col("id") == F.col("user_id"), "left").withColumn("status", status).drop("user_id", "_action")
+
+
+def resolved_errors(errors: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Errors with resolved set where a decision(error_id) names them; it is never taken back."""
+    named = decisions.select("error_id").distinct()
+    return errors.join(named, F.col("id") == F.col("error_id"), "left").withColumn("resolved", F.col("resolved") | F.col("error_id").isNotNull()).drop("error_id")
+
+
 def published_in_bulk(items: DataFrame, at: str) -> DataFrame:
     """Drafts, and archived items that are eligible, become published."""
     go = (F.col("status") == "draft") | ((F.col("status") == "archived") & F.col("auto_publish_eligible"))

@@ -118,6 +118,20 @@ def _(v: Views) -> DataFrame:
     return verify.decided(v.content_items, v.decisions, AS_OF).select("id", "status", "published_at")
 
 
+@query("h14_user_decisions", "WITH last AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM {events} WHERE event_type IN ('error', 'purchase') GROUP BY 1) SELECT id, CASE event_type WHEN 'error' THEN 'suspended' WHEN 'purchase' THEN 'active' ELSE status END AS status FROM users LEFT JOIN last ON id = concat('u_', user_id)")
+def _(v: Views) -> DataFrame:
+    """An error has its user suspended, a purchase has it active again."""
+    decisions = v.raw("events").selectExpr("concat('u_', user_id) as user_id", "case event_type when 'error' then 'suspend' when 'purchase' then 'activate' else 'view' end as action", "ts", "event_id as seq")
+    return verify.decided_users(v.users, decisions).select("id", "status")
+
+
+@query("h14_error_decisions", "SELECT id, resolved OR EXISTS (SELECT 1 FROM {events} e WHERE e.event_type = 'click' AND e.event_id = l.id + 1) AS resolved FROM error_logs l")
+def _(v: Views) -> DataFrame:
+    """A click that follows an error at once resolves it."""
+    decisions = v.raw("events").where("event_type = 'click'").selectExpr("event_id - 1 as error_id")
+    return verify.resolved_errors(v.error_logs, decisions).select("id", "resolved")
+
+
 @query("h15_bulk_publish", f"SELECT id, CASE WHEN status = 'draft' OR (status = 'archived' AND auto_publish_eligible) THEN 'published' ELSE status END AS status, CASE WHEN status = 'draft' OR (status = 'archived' AND auto_publish_eligible) THEN coalesce(published_at, TIMESTAMP '{AS_OF}') ELSE published_at END AS published_at FROM content_items")
 def _(v: Views) -> DataFrame:
     return verify.published_in_bulk(v.content_items, AS_OF).select("id", "status", "published_at")
