@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, chat_format, huffman, line_dedup, near_dedup, oracles, packing, quality_rules, secret_scans, top_k, url_filters
+from gazette.llm import bpe, chat_format, decontamination, huffman, line_dedup, merkle, near_dedup, oracles, packing, quality_rules, secret_scans, top_k, url_filters, whitening
 from gazette.llm.shared import table
 from gazette.llm.tokens import vocabulary
 
@@ -56,5 +56,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_best_fit_packing, op4_url_filters, op5_chat_format, op6_near_dedup, op7_token_files, op8_line_dedup, op9_exact_top_k, op10_bpe)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle.verified(merkle.manifest(table(spark, sf_dir, "documents"), claims={"n_chars": tampered}))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_best_fit_packing, op4_url_filters, op5_chat_format, op6_near_dedup, op7_token_files, op8_line_dedup, op9_exact_top_k, op10_bpe, op11_whitening, op12_decontamination, op13_merkle_manifest)}
 ORACLES = {"op1_quality_rules": oracles.QUALITY_RULES, "op4_url_filters": oracles.URL_FILTERS, "op5_chat_format": oracles.CHAT_FORMAT, "op8_line_dedup": oracles.LINE_DEDUP, "op9_exact_top_k": oracles.TOP_K}
