@@ -32,7 +32,8 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from gazette.llm.shared import cut, cuts, give_back_memory, remove
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word before its letters are put in lower case.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes to words: letters in lower case, all that isn't part of a word as a blank. Bytes from 0x80 belong to words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WINDOW = 10

@@ -30,6 +30,8 @@ from gazette.llm.shared import cut, cuts, remove
 SCALE, COMPONENTS = 256, 4
 #: Rows of a block: at 1024 dimensions 4 MB.
 BLOCK_ROWS = 512
+#: The largest number whose square is a long.
+ROOT = 3_037_000_499
 
 
 def whole_numbers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -83,6 +85,8 @@ def fitted(distinct: DataFrame, dim: int, slices: int, components: int = COMPONE
     moved = F.zip_with("x", sums_column, lambda v, s: (v.cast(number) * wide).cast(number) - s)
     rows = indexed(distinct).withColumn("moved", moved)
     squares = F.aggregate("moved", F.lit(0).cast(number), lambda a, v: (a + (v * v).cast(number)).cast(number))
+    if not narrow:  # one square beyond a long makes the sum so
+        squares = F.when(~F.exists("moved", lambda v: F.abs(v) > ROOT), squares)
     rows = cut(rows.select("index", "x", squares.try_cast("long").alias("deviation"), F.transform("moved", lambda v: v.cast("double") / F.lit(float(n))).alias("centred")), "whitening-centred")
     blocks = _blocks(rows, "centred", rows_per_block, dim)
     values, vectors = np.linalg.eigh(_scatter(blocks, slices) / n)
