@@ -139,3 +139,59 @@ own AS (
 SELECT o.conv_id, o.turn, o.role, o.text, p.parent_turn::VARCHAR AS parent_turn, coalesce(p.n_linked, 0)::BIGINT AS n_linked, w.depth::BIGINT AS depth, w.path
 FROM own o LEFT JOIN parents p USING (conv_id, turn) LEFT JOIN walk w USING (conv_id, turn)
 """
+
+DECONTAMINATION = r"""
+WITH lowered AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+items AS (SELECT item_id, regexp_extract_all(translate(text, u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, lowered),
+windows AS (SELECT DISTINCT item_id, len(t) AS n, array_to_string(t, ' ') AS t FROM (
+  SELECT item_id, unnest(list_transform(range(1, greatest(1, len(w) - 9) + 1), lambda i: w[i:i + 9])) AS t FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents, lowered),
+places AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes),
+found AS (SELECT r, i, p.n, item_id FROM (SELECT p.r, p.n, p.i, array_to_string(w[i:i + p.n - 1], ' ') AS t FROM places p JOIN docs USING (r)) p JOIN windows v ON v.n = p.n AND v.t = p.t),
+hits AS (SELECT r, count(DISTINCT i) AS n FROM (SELECT r, unnest(range(i, i + n)) AS i FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r),
+named AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit, coalesce(named.n, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
+"""
+
+_TREE = """{name} AS (
+  SELECT g, idx, n, digest, 0 AS level FROM {leaves}
+  UNION ALL SELECT g, idx // 2, any_value(n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)), any_value(level) + 1 FROM {name} WHERE n > 1 GROUP BY g, idx // 2)"""
+
+MERKLE = (
+    r"""
+WITH RECURSIVE docs AS (
+  SELECT *, (SELECT (4294967295 - list_reduce(list_concat([4294967295::BIGINT], list_transform(range(8 * length(doc_id::VARCHAR)), lambda k: k)), lambda c, k: CASE WHEN k % 8 = 0 THEN
+      CASE WHEN xor(c, ascii(substr(doc_id::VARCHAR, k // 8 + 1, 1))) % 2 = 1 THEN xor(xor(c, ascii(substr(doc_id::VARCHAR, k // 8 + 1, 1))) >> 1, 3988292384) ELSE xor(c, ascii(substr(doc_id::VARCHAR, k // 8 + 1, 1))) >> 1 END
+      ELSE CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END END)) % 7 = 0) AS tampers FROM documents),
+f AS (SELECT *, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS before,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS after FROM docs),
+l AS (SELECT doc_id, lang, sha256(before || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || after) AS leaf,
+    sha256(before || coalesce(length((n_chars + tampers::INT)::VARCHAR) || ':' || (n_chars + tampers::INT), '-') || after) AS claimed FROM f),
+langs AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER () AS n FROM (SELECT DISTINCT lang FROM l)),
+leaves AS (SELECT l.*, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n, leaf AS digest FROM l JOIN langs ON l.lang IS NOT DISTINCT FROM langs.lang),
+"""
+    + _TREE.format(name="lower", leaves="leaves")
+    + """,
+subroots AS (SELECT 0 AS g, langs.g AS idx, langs.n AS n, digest FROM langs JOIN lower ON lower.g = langs.g AND lower.n = 1),
+"""
+    + _TREE.format(name="upper", leaves="subroots")
+    + """,
+ways AS (
+  SELECT g, leaf_idx, list(struct_pack(level := level, sibling := sibling, is_right := is_right) ORDER BY level) AS way FROM (
+    SELECT a.g, a.idx AS leaf_idx, x.level, s.digest AS sibling, (a.idx >> x.level) % 2 = 1 AS is_right
+    FROM leaves a JOIN (SELECT DISTINCT g, level, n FROM lower WHERE n > 1) x ON x.g = a.g LEFT JOIN lower s ON s.g = a.g AND s.level = x.level AND s.idx = xor(a.idx >> x.level, 1)) GROUP BY ALL),
+top_ways AS (
+  SELECT g, list(struct_pack(level := level, sibling := sibling, is_right := is_right) ORDER BY level) AS way FROM (
+    SELECT a.idx AS g, x.level, s.digest AS sibling, (a.idx >> x.level) % 2 = 1 AS is_right
+    FROM subroots a JOIN (SELECT DISTINCT level, n FROM upper WHERE n > 1) x ON true LEFT JOIN upper s ON s.level = x.level AND s.idx = xor(a.idx >> x.level, 1)) GROUP BY ALL),
+proofs AS (
+  SELECT a.*, s.digest AS subroot, (SELECT digest FROM upper WHERE n = 1) AS root, list_concat(coalesce(w.way, []), coalesce(t.way, [])) AS way
+  FROM leaves a JOIN subroots s ON s.idx = a.g LEFT JOIN ways w ON w.g = a.g AND w.leaf_idx = a.idx LEFT JOIN top_ways t ON t.g = a.g)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_filter(list_transform(way, lambda x: x.sibling), lambda x: x IS NOT NULL), ''), '')) AS proof_sha256,
+  folded AS folded_root, folded = root AS verified
+FROM (SELECT *, list_reduce(list_concat([struct_pack(node := claimed, is_right := false)], list_transform(way, lambda x: struct_pack(node := x.sibling, is_right := x.is_right))),
+    lambda a, x: struct_pack(node := sha256(CASE WHEN x.is_right THEN coalesce(x.node, '') || a.node ELSE a.node || coalesce(x.node, '') END), is_right := false)).node AS folded FROM proofs)
+"""
+)

@@ -70,4 +70,4 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_best_fit_packing, op4_url_filters, op5_chat_format, op6_near_dedup, op7_token_files, op8_line_dedup, op9_exact_top_k, op10_bpe, op11_whitening, op12_decontamination, op13_merkle_manifest)}
-ORACLES = {"op1_quality_rules": oracles.QUALITY_RULES, "op4_url_filters": oracles.URL_FILTERS, "op5_chat_format": oracles.CHAT_FORMAT, "op8_line_dedup": oracles.LINE_DEDUP, "op9_exact_top_k": oracles.TOP_K}
+ORACLES = {"op1_quality_rules": oracles.QUALITY_RULES, "op4_url_filters": oracles.URL_FILTERS, "op5_chat_format": oracles.CHAT_FORMAT, "op8_line_dedup": oracles.LINE_DEDUP, "op9_exact_top_k": oracles.TOP_K, "op12_decontamination": oracles.DECONTAMINATION, "op13_merkle_manifest": oracles.MERKLE}
