@@ -74,18 +74,34 @@ def scored(pairs: DataFrame) -> DataFrame:
 
 
 BLOCKS = ("checksum", "advt", "notif", "pdf", "org")
+#: Kinds of keys beyond the plain ones: organization with recruitment, organization where the left or the right side has no recruitment, vacancy with the last date.
+_WITH_REC, _LEFT_OPEN, _RIGHT_OPEN, _DATES = 4, 5, 6, 7
 
 
-def candidates(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
-    """Pairs that may reach 65, complete: by (type, year) and one of checksum, numbers, document URL or organization; those of different recruitment are left out.
+def candidates(left: DataFrame, right: DataFrame, ordered: bool, least: int = 65) -> DataFrame:
+    """Pairs of one type and year that may reach least, complete: by one of checksum, numbers, document URL or organization; those of different recruitment are left out.
 
-    Without an equal key a pair reaches 55 at most, so these keys lose nothing. A row stands under each of its keys, so
-    one equi-join serves all; a pair counts under the first of its equal keys only, so none has to be removed afterwards.
-    ordered: a_id < b_id, for a join of a table with itself.
+    Without an equal key a pair has 15 for the year, 20 for the title and 10 each for vacancy and last date: 55 at most. So
+    from 56 on these keys lose nothing; from 46 on such a pair needs both vacancy and date, which are one more key; below
+    46 pairs without a key would be lost, and it raises. A row stands under each of its keys, so one equi-join serves all; a
+    pair counts under the first of its equal keys only, so none has to be removed afterwards. Organizations are split by
+    recruitment; rows without one meet all of their organization. ordered: a_id < b_id, for a join of a table with itself.
     """
-    keys = F.filter(F.array(*[F.struct(F.lit(n).alias("kind"), F.col(k).alias("key")) for n, k in enumerate(BLOCKS)]), lambda x: x["key"].isNotNull())
-    a, b = (_sides(side.withColumn("block", F.explode(keys)), name) for side, name in ((left, "a"), (right, "b")))
-    first = exprs.cases([(F.col(f"a_{k}") == F.col(f"b_{k}"), n) for n, k in enumerate(BLOCKS)])
+    if least <= 45:
+        raise ValueError("pairs without an equal key reach 45 points without both vacancy and last date: least must be 46 or more")
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"))
+    open_, org = F.col("rec").isNull(), F.col("org")
+    both = F.concat_ws("\u0001", F.length("org").cast("string"), "org", "rec")
+    plain = [key(n, F.col(k)) for n, k in enumerate(BLOCKS[:-1])]
+    by_org = {
+        "a": [key(_WITH_REC, F.when(~open_ & org.isNotNull(), both)), key(_LEFT_OPEN, F.when(open_, org)), key(_RIGHT_OPEN, F.when(~open_, org))],
+        "b": [key(_WITH_REC, F.when(~open_ & org.isNotNull(), both)), key(_LEFT_OPEN, org), key(_RIGHT_OPEN, F.when(open_, org))],
+    }
+    dates = [key(_DATES, F.when(F.col("vacancy").isNotNull() & F.col("ends").isNotNull(), F.concat_ws("\u0001", F.col("vacancy").cast("string"), "ends")))] if least < 56 else []
+    a, b = (_sides(side.withColumn("block", F.explode(F.filter(F.array(*plain, *by_org[name], *dates), lambda x: x["key"].isNotNull()))), name) for side, name in ((left, "a"), (right, "b")))
+    kind = F.when(F.col("a_rec").isNull(), _LEFT_OPEN).when(F.col("b_rec").isNull(), _RIGHT_OPEN).otherwise(_WITH_REC)
+    first = exprs.cases([(F.col(f"a_{k}") == F.col(f"b_{k}"), n) for n, k in enumerate(BLOCKS[:-1])])
+    first = F.coalesce(first, F.when(F.col("a_org") == F.col("b_org"), kind), F.lit(_DATES))
     on = (F.col("a_content_type") == F.col("b_content_type")) & (F.col("a_year") == F.col("b_year")) & (F.col("a_block.kind") == F.col("b_block.kind")) & (F.col("a_block.key") == F.col("b_block.key"))
     on = on & (F.col("a_rec").isNull() | F.col("b_rec").isNull() | (F.col("a_rec") == F.col("b_rec"))) & (F.col("a_block.kind") == first)
     if ordered:
@@ -116,8 +132,9 @@ def audit_classes(notices: DataFrame, as_of: str, least: int = 65) -> tuple[Data
     with_key = F.coalesce(*[F.col(k) for k in BLOCKS]).isNotNull()
     own = classes.where((F.col("n") > 1) & with_key)
     own = own.select(*[F.col(c).alias(f"{side}_{c}") for side in ("a", "b") for c in classes.columns])
-    pairs = scored(candidates(classes, classes, ordered=True).unionByName(own)).where(F.col("confidence") >= least)
-    return written(pairs, "audit-pairs"), members  # what follows would have the optimizer copy the score's expressions.select("id", "class")
+    pairs = scored(candidates(classes, classes, ordered=True, least=least).unionByName(own)).where(F.col("confidence") >= least)
+    # written, as what follows would have the optimizer copy the score's expressions
+    return written(pairs, "audit-pairs"), members.select("id", "class")
 
 
 def duplicate_audit(notices: DataFrame, as_of: str, least: int = 65) -> DataFrame:
@@ -128,6 +145,12 @@ def duplicate_audit(notices: DataFrame, as_of: str, least: int = 65) -> DataFram
     return spread.withColumns({"a_id": F.least("_a", "_b"), "b_id": F.greatest("_a", "_b")}).drop("_a", "_b")
 
 
+def audit_pairs(pairs: DataFrame) -> DataFrame:
+    """The audit by classes: a row for each scored pair of classes, with the members of either and the pairs of members that it stands for. duplicate_audit() lists these."""
+    n = F.when(F.col("a_id") == F.col("b_id"), F.expr("a_n * (a_n - 1) div 2")).otherwise(F.col("a_n") * F.col("b_n"))
+    return pairs.select(F.col("a_id").alias("a_class"), F.col("b_id").alias("b_class"), "a_n", "b_n", n.alias("pairs"), "confidence", "tier", "status", "conflicts", "title_similarity")
+
+
 def audit_statistics(notices: DataFrame, as_of: str, least: int = 65) -> DataFrame:
     """Scanned, pairs, high, review, items in no pair, and items less pairs; counted by class, without making the pairs of members."""
     pairs, _ = audit_classes(notices, as_of, least)
@@ -141,21 +164,46 @@ def audit_statistics(notices: DataFrame, as_of: str, least: int = 65) -> DataFra
 
 
 def match_incoming(incoming: DataFrame, catalogue: DataFrame, as_of: str, least: int = 50) -> DataFrame:
-    """For each incoming notice the best of the catalogue: an equal number, then an equal checksum, then the highest score; newest wins ties. Classes are matched, and each stands for its newest member."""
+    """For each incoming notice the best of the catalogue: one with an equal advertisement or notification number, then one with an equal checksum, both of any type and year, then the highest score from least on; newest wins ties. Classes are matched, and each stands for its newest member.
+
+    A number or checksum of another type, year or recruitment scores 0 and has action link_related_stage or create_unique.
+    Such pairs aren't enumerated: all score alike, so the newest row of each number is the best of them.
+    """
     asked, known = (classed(written(identities(x, as_of), "match-identities")) for x in (incoming, catalogue))
-    pairs = scored(candidates(representatives(asked), representatives(known), ordered=False)).where(F.col("confidence") >= least)
-    stage = F.when(F.col("a_advt") == F.col("b_advt"), 1).when(F.col("a_checksum") == F.col("b_checksum"), 2).otherwise(3)
-    rank = F.row_number().over(Window.partitionBy("a_id").orderBy("_stage", F.desc("confidence"), F.desc("b_created_at"), "b_newest_id"))
-    best = pairs.withColumn("_stage", stage).withColumn("_rank", rank).where("_rank = 1").select(F.col("a_id").alias("class"), F.col("b_newest_id").alias("match_id"), "confidence", "tier", "status", F.col("_stage").alias("stage"))
+    left, right = written(representatives(asked), "match-asked"), written(representatives(known), "match-known")
+    same = lambda c: F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False))
+    stage = F.when(same("advt") | same("notif"), 1).when(same("checksum"), 2).otherwise(3)
+    keyed = None
+    for k in ("advt", "notif", "checksum"):
+        newest = F.min_by(F.struct(*right.columns), F.struct(F.col("created_at").isNull().alias("last"), (-F.unix_micros("created_at")).alias("age"), F.col("newest_id")))
+        by_key = _sides(right.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_key")).agg(newest.alias("b")).select("b.*"), "b")
+        some = _sides(left, "a").join(by_key, F.col(f"a_{k}") == F.col(f"b_{k}"))
+        keyed = some if keyed is None else keyed.unionByName(some)
+    scores = candidates(left, right, ordered=False, least=least).unionByName(keyed)
+    pairs = scored(scores).withColumn("_stage", stage).where((F.col("confidence") >= least) | (F.col("_stage") < 3))
+    facts = ("confidence", "tier", "status", "action", F.col("_stage").alias("stage"))
+    order = F.struct("_stage", (-F.col("confidence")).alias("score"), F.col("b_created_at").isNull().alias("last"), (-F.unix_micros("b_created_at")).alias("age"), F.col("b_newest_id"))
+    best = pairs.groupBy(F.col("a_id").alias("class")).agg(F.min_by(F.struct(F.col("b_newest_id").alias("match_id"), *facts), order).alias("m")).select("class", "m.*")
     return asked.select(F.col("id").alias("incoming_id"), "class").join(best, "class").drop("class")
 
 
-def related_stages(notices: DataFrame, as_of: str) -> DataFrame:
-    """Pairs of different type with the same organization, recruitment and year."""
-    ids = identities(notices, as_of).select("id", "content_type", "org", "rec", "year").where("org is not null and rec is not null")
-    a, b = _sides(ids, "a"), _sides(ids, "b")
+def stage_classes(notices: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """R9 factorised: (pairs(a_class, b_class, org, rec, year, a_content_type, b_content_type, a_n, b_n), members(id, class)). A class is all notices of one organization, recruitment, year and type, so rows follow the items, not their pairs."""
+    facets = ("org", "rec", "year", "content_type")
+    ids = identities(notices, as_of).select("id", *facets).where("org is not null and rec is not null")
+    members = written(ids.withColumn("class", F.md5(F.to_json(F.struct(*facets)))), "stage-members")
+    classes = members.groupBy("class", *facets).agg(F.count("*").alias("n"))
+    a, b = _sides(classes, "a"), _sides(classes, "b")
     same = (F.col("a_org") == F.col("b_org")) & (F.col("a_rec") == F.col("b_rec")) & (F.col("a_year") == F.col("b_year"))
-    return a.join(b, same & (F.col("a_content_type") < F.col("b_content_type"))).select("a_id", "b_id", "a_content_type", "b_content_type")
+    pairs = a.join(b, same & (F.col("a_content_type") < F.col("b_content_type")))
+    return pairs.select("a_class", "b_class", F.col("a_org").alias("org"), F.col("a_rec").alias("rec"), F.col("a_year").alias("year"), "a_content_type", "b_content_type", "a_n", "b_n"), members.select("id", "class")
+
+
+def related_stages(notices: DataFrame, as_of: str) -> DataFrame:
+    """Pairs of different type with the same organization, recruitment and year, listed from stage_classes()."""
+    pairs, members = stage_classes(notices, as_of)
+    a, b = (members.select(F.col("id").alias(f"{side}_id"), F.col("class").alias(f"{side}_class")) for side in ("a", "b"))
+    return pairs.join(a, "a_class").join(b, "b_class").select("a_id", "b_id", "a_content_type", "b_content_type")
 
 
 def authority(sources: DataFrame) -> DataFrame:
@@ -185,25 +233,76 @@ def attach_sources(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return upsert(existing, incoming, ["item_id", "url"], rules)
 
 
+def merge_roots(merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where chains of merges(canonical_id, duplicate_id) end, a duplicate in one row: (duplicate_id, root_id, distance), and the merges that are part of a cycle and have no end.
+
+    Pointer jumping: each round joins a pointer with its target's and doubles its distance, so rounds grow with the
+    logarithm of the longest chain. A round after which as many pointers still move as before has left cycles alone.
+    """
+    def doubled(pointers: DataFrame) -> DataFrame:
+        heads = pointers.select(F.col("node").alias("_node"), F.col("target").alias("_next"), F.col("distance").alias("_more"))
+        out = pointers.join(heads, F.col("target") == F.col("_node"), "left")
+        return written(out.select("node", F.coalesce("_next", "target").alias("target"), (F.col("distance") + F.coalesce("_more", F.lit(0))).alias("distance"), F.col("_node").isNotNull().alias("moved")), "merge-pointers")
+
+    pointers = merges.select(F.col("duplicate_id").alias("node"), F.col("canonical_id").alias("target"), F.lit(1).cast("long").alias("distance"))
+    before = -1
+    while True:
+        pointers = doubled(pointers)
+        moved = pointers.where("moved").count()
+        if moved in (0, before):
+            break
+        before = moved
+    roots = pointers.select(F.col("node").alias("duplicate_id"), F.col("target").alias("root_id"), "distance")
+    if not moved:
+        return roots, merges.limit(0)
+    # what still moves leads into a cycle; its targets are the cycle once doubling doesn't lessen them any more
+    rest = pointers.where("moved")
+    ends = -1
+    while (now := rest.select("target").distinct().count()) != ends:
+        ends = now
+        rest = doubled(rest.drop("moved"))
+    on_cycle = written(rest.select(F.col("target").alias("duplicate_id")).distinct(), "merge-cycles")
+    left, none = merge_roots(merges.join(on_cycle, "duplicate_id", "left_anti"))
+    return left, merges.join(on_cycle, "duplicate_id", "left_semi")
+
+
 def merge(items: DataFrame, sources: DataFrame, merges: DataFrame, at: str) -> dict[str, DataFrame]:
-    """merges(canonical_id, duplicate_id), each duplicate once; a merge of an item with itself is rejected.
+    """merges(canonical_id, duplicate_id) applied at once, chains included: what is merged into a duplicate goes on to the end of the chain, the root.
 
-    Gives items (identifiers that are null filled from duplicates, duplicates archived, both marked with the group), sources under their canonical item, redirects and audit rows.
+    Gives items (identifiers that are null or empty filled from an item's own duplicates, a root's from its whole tree, nearest
+    first, then the least id; duplicates archived; all marked with their root as group), sources under their root,
+    redirects to the root, audit rows as asked for, and the rejected merges with a reason: ``self``, ``missing`` (an item that isn't
+    there), ``repeated`` (a duplicate stays with the least of its canonicals) or ``cycle``.
     """
-    merges = merges.where("canonical_id <> duplicate_id")
-    into = merges.select(F.col("duplicate_id").alias("_dup"), F.col("canonical_id").alias("_into"))
+    asked = merges.select("canonical_id", "duplicate_id").where("canonical_id is not null and duplicate_id is not null").distinct()
+    known = items.select("id")
+    itself = asked.where("canonical_id = duplicate_id")
+    asked = asked.where("canonical_id <> duplicate_id")
+    there = asked.join(known.withColumnRenamed("id", "duplicate_id"), "duplicate_id", "left_semi").join(known.withColumnRenamed("id", "canonical_id"), "canonical_id", "left_semi")
+    there = written(there.select("canonical_id", "duplicate_id"), "merges-known")
+    single = written(there.groupBy("duplicate_id").agg(F.min("canonical_id").alias("canonical_id")).select("canonical_id", "duplicate_id"), "merges-single")
+    roots, cycles = merge_roots(single)
+    both = ["canonical_id", "duplicate_id"]
+    because = lambda rows, reason: rows.select(*both, F.lit(reason).alias("reason"))
+    rejected = because(itself, "self").unionByName(because(asked.join(there, both, "left_anti"), "missing"))
+    rejected = rejected.unionByName(because(there.join(single, both, "left_anti"), "repeated")).unionByName(because(cycles, "cycle"))
+    applied = single.join(cycles, both, "left_anti")
+    into = roots.select(F.col("duplicate_id").alias("_dup"), F.col("root_id").alias("_into"))
     fills = ("advertisement_number", "notification_number", "document_checksum")
-    given = items.join(into, F.col("id") == F.col("_dup")).groupBy(F.col("_into").alias("_canon")).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(f"_{c}") for c in fills])
+    ways = applied.select(F.col("duplicate_id").alias("_from"), F.col("canonical_id").alias("_canon"), F.lit(1).cast("long").alias("_far"))
+    ways = ways.unionByName(roots.where("distance > 1").select(F.col("duplicate_id").alias("_from"), F.col("root_id").alias("_canon"), F.col("distance").alias("_far")))
+    nearest = lambda c: F.min_by(c, F.when(F.nullif(F.col(c), F.lit("")).isNotNull(), F.struct("_far", "id"))).alias(f"_{c}")
+    given = items.join(ways, F.col("id") == F.col("_from")).groupBy("_canon").agg(*[nearest(c) for c in fills])
     joined = items.join(given, F.col("id") == F.col("_canon"), "left").join(into, F.col("id") == F.col("_dup"), "left")
     out = joined.withColumns({
-        **{c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in fills},
+        **{c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_{c}"), F.col(c)) for c in fills},
         "status": F.when(F.col("_dup").isNotNull(), "archived").otherwise(F.col("status")),
         "duplicate_status": F.when(F.col("_dup").isNotNull(), "merged").when(F.col("_canon").isNotNull(), "canonical").otherwise(F.col("duplicate_status")),
         "duplicate_group_id": F.coalesce("_into", "_canon"),
     }).select(*items.columns, *(["duplicate_group_id"] if "duplicate_group_id" not in items.columns else []))
     moved = sources.join(into, F.col("item_id") == F.col("_dup"), "left").withColumn("item_id", F.coalesce("_into", "item_id")).select(*sources.columns)
     paths = items.select("id", exprs.target_url(F.col("type"), F.col("slug")).alias("path"))
-    pair = merges.join(paths.selectExpr("id as duplicate_id", "path as from_path"), "duplicate_id").join(paths.selectExpr("id as canonical_id", "path as to_path"), "canonical_id")
+    pair = roots.join(paths.selectExpr("id as duplicate_id", "path as from_path"), "duplicate_id").join(paths.selectExpr("id as root_id", "path as to_path"), "root_id")
     redirects = pair.where("from_path <> to_path").select("from_path", "to_path", F.lit(301).alias("status_code"), F.lit(True).alias("active"))
-    audit = merges.select(F.lit("merge").alias("action"), F.col("canonical_id").alias("entity_id"), F.to_json(F.struct("duplicate_id")).alias("details"), F.lit(at).cast("timestamp").alias("created_at"))
-    return {"items": out, "sources": moved.distinct(), "redirects": redirects, "audit": audit}
+    audit = applied.select(F.lit("merge").alias("action"), F.col("canonical_id").alias("entity_id"), F.to_json(F.struct("duplicate_id")).alias("details"), F.lit(at).cast("timestamp").alias("created_at"))
+    return {"items": out, "sources": moved.distinct(), "redirects": redirects, "audit": audit, "rejected": rejected}

@@ -56,8 +56,8 @@ scored AS (SELECT *, CASE WHEN tier = 'EXACT' THEN 'canonical' WHEN tier = 'HIGH
 _FIELDS = ("id", "content_type", "year", "org", "rec", "advt", "pdf", "vacancy", "ends", "norm", "toks", "created_at")
 
 
-def _pairs(a: str, b: str, on: str) -> str:
-    columns = ", ".join(f"{s}.{f} AS {s}_{f}" for s in ("a", "b") for f in _FIELDS)
+def _pairs(a: str, b: str, on: str, more: tuple[str, ...] = ()) -> str:
+    columns = ", ".join(f"{s}.{f} AS {s}_{f}" for s in ("a", "b") for f in (*_FIELDS, *more))
     return f"pairs AS (SELECT {columns} FROM {a} a JOIN {b} b ON a.content_type = b.content_type AND a.year = b.year AND {on})"
 
 
@@ -99,13 +99,27 @@ def _(v: Views) -> DataFrame:
     return top.join(items.selectExpr("id as a_id", "title as a_title"), "a_id").join(items.selectExpr("id as b_id", "title as b_title"), "b_id", "left")
 
 
-@query("r5_match_incoming", f"""WITH {NOTICES}, {IDENT}, incoming AS (SELECT * FROM ids WHERE k % 10 = 3), catalogue AS (SELECT * FROM ids WHERE k % 10 <> 3),
-{_pairs('incoming', 'catalogue', "(a.advt = b.advt OR a.pdf = b.pdf OR a.org = b.org)")}, {SCORE},
-best AS (SELECT *, CASE WHEN a_advt = b_advt THEN 1 ELSE 3 END AS stage, row_number() OVER (PARTITION BY a_id ORDER BY CASE WHEN a_advt = b_advt THEN 1 ELSE 3 END, confidence DESC, b_created_at DESC, b_id) AS rank FROM scored WHERE confidence >= 50)
-SELECT a_id AS incoming_id, b_id AS match_id, confidence, tier, status, stage FROM best WHERE rank = 1""")
+_LABELLED = "labelled AS (SELECT *, min(id) OVER same AS class, count(*) OVER same AS n FROM ids WINDOW same AS (PARTITION BY content_type, year, org, rec, advt, pdf, vacancy, ends, norm))"
+
+
+@query("r4_audit_classes", AUDIT.rstrip() + f""", {_LABELLED}
+SELECT least(a.class, b.class) AS a_class, greatest(a.class, b.class) AS b_class, any_value(CASE WHEN a.class <= b.class THEN a.n ELSE b.n END) AS a_n, any_value(CASE WHEN a.class <= b.class THEN b.n ELSE a.n END) AS b_n, count(*) AS pairs, any_value(confidence) AS confidence, any_value(tier) AS tier, any_value(status) AS status
+FROM audit JOIN labelled a ON a.id = a_id JOIN labelled b ON b.id = b_id GROUP BY 1, 2""")
+def _(v: Views) -> DataFrame:
+    """The audit by classes, each named by its least member."""
+    pairs, members = resolve.audit_classes(notices(v), AS_OF)
+    names = members.groupBy("class").agg(F.min("id").alias("name"))
+    a, b = (names.select(F.col("class").alias(f"{side}_class"), F.col("name").alias(f"{side}_name")) for side in ("a", "b"))
+    rows = resolve.audit_pairs(pairs).join(a, "a_class").join(b, "b_class")
+    turned = F.col("a_name") > F.col("b_name")
+    pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    return rows.select(pick("a_name", "b_name").alias("a_class"), pick("b_name", "a_name").alias("b_class"), pick("a_n", "b_n").alias("a_n"), pick("b_n", "a_n").alias("b_n"), "pairs", "confidence", "tier", "status")
+
+
+@query("r4_audit_members", f"WITH {NOTICES}, {IDENT}, {_LABELLED} SELECT id, class, n FROM labelled")
 def _(v: Views) -> DataFrame:
-    rows = notices(v)
-    return resolve.match_incoming(rows.where("k % 10 = 3"), rows.where("k % 10 <> 3"), AS_OF)
+    members = resolve.audit_classes(notices(v), AS_OF)[1]
+    return members.join(members.groupBy("class").agg(F.min("id").alias("name"), F.count("*").alias("n")), "class").select("id", F.col("name").alias("class"), "n")
 
 
 @query("r9_related_stages", f"WITH {NOTICES}, {IDENT} SELECT a.id AS a_id, b.id AS b_id, a.content_type AS a_content_type, b.content_type AS b_content_type FROM ids a JOIN ids b ON a.org = b.org AND a.rec = b.rec AND a.year = b.year AND a.content_type < b.content_type")
@@ -113,6 +127,19 @@ def _(v: Views) -> DataFrame:
     return resolve.related_stages(notices(v), AS_OF)
 
 
+_STAGED = "staged AS (SELECT *, min(id) OVER same AS class, count(*) OVER same AS n FROM ids WHERE org IS NOT NULL AND rec IS NOT NULL WINDOW same AS (PARTITION BY org, rec, year, content_type))"
+
+
+@query("r9_stage_classes", f"WITH {NOTICES}, {IDENT}, {_STAGED}, classes AS (SELECT DISTINCT class, org, rec, year, content_type, n FROM staged) SELECT a.class AS a_class, b.class AS b_class, a.org, a.rec, a.year, a.content_type AS a_content_type, b.content_type AS b_content_type, a.n AS a_n, b.n AS b_n, a.n * b.n AS pairs FROM classes a JOIN classes b ON a.org = b.org AND a.rec = b.rec AND a.year = b.year AND a.content_type < b.content_type")
+def _(v: Views) -> DataFrame:
+    """A row for each pair of types of an organization, recruitment and year; a class is named by its least member."""
+    pairs, members = resolve.stage_classes(notices(v), AS_OF)
+    names = members.groupBy("class").agg(F.min("id").alias("name"))
+    for side in ("a", "b"):
+        pairs = pairs.join(names.select(F.col("class").alias(f"{side}_class"), F.col("name").alias(f"{side}_name")), f"{side}_class").drop(f"{side}_class").withColumnRenamed(f"{side}_name", f"{side}_class")
+    return pairs.withColumn("pairs", F.col("a_n") * F.col("b_n"))
+
+
 _KIND = "CASE WHEN regexp_matches(host, '\\.(gov|nic|ac)\\.in$') OR contains(host, 'upsc.gov') OR contains(host, 'ssc.nic') OR contains(host, 'rrbcdg.gov') THEN 'official_government' WHEN contains(host, 'employmentnews') OR contains(host, 'ncs.gov') OR contains(host, 'pib.gov') THEN 'government_publication' WHEN contains(host, 'sarkari') OR contains(host, 'result') OR contains(host, 'freejobalert') OR contains(host, 'jagranjosh') THEN 'established_aggregator' ELSE 'discovery_source' END"
 _SEEN = "seen AS (SELECT concat('ci_', k % 300) AS item_id, concat(s.base_url, '/p/', k) AS url, k % 3 = 0 AS has_pdf, k % 4 = 0 AS has_apply_url, k % 5 = 0 AS is_recent, created_at AS discovered_at FROM content_items i JOIN sources s ON s.id = i.source_id)"
 _RATED = f"rated AS (SELECT *, CASE source_type WHEN 'official_government' THEN 100 WHEN 'government_publication' THEN 80 WHEN 'established_aggregator' THEN 60 ELSE 30 END + CASE WHEN has_pdf THEN 30 ELSE 0 END + CASE WHEN has_apply_url THEN 20 ELSE 0 END + CASE WHEN is_recent THEN 10 ELSE 0 END AS score FROM (SELECT *, {_KIND} AS source_type FROM (SELECT *, lower(regexp_extract(url, '://([^/:?#]+)', 1)) AS host FROM seen)))"
@@ -184,9 +211,60 @@ def _(v: Views) -> DataFrame:
     return merged(v)["sources"]
 
 
+#: Chains of up to four merges, cycles of three with chains that lead into them, a duplicate with two canonicals, an item that isn't there, and one merged with itself.
+_CHAINS = """chained AS (
+  SELECT id AS duplicate_id, concat('ci_', k - 1) AS canonical_id FROM content_items WHERE k % 60 % 6 BETWEEN 1 AND 4
+  UNION ALL SELECT id, concat('ci_', CASE WHEN k % 60 = 17 THEN k - 12 ELSE k + 6 END) FROM content_items WHERE k % 60 IN (5, 11, 17)
+  UNION ALL SELECT id, concat('ci_', k - 6) FROM content_items WHERE k % 60 IN (23, 29)
+  UNION ALL SELECT id, concat('ci_', k - 7) FROM content_items WHERE k % 60 = 8
+  UNION ALL SELECT id, 'ci_none' FROM content_items WHERE k % 60 = 35
+  UNION ALL SELECT id, id FROM content_items WHERE k % 60 = 41)"""
+_ROOTS = f"""{_CHAINS},
+there AS (SELECT DISTINCT m.* FROM chained m JOIN content_items a ON a.id = m.duplicate_id JOIN content_items b ON b.id = m.canonical_id WHERE m.canonical_id <> m.duplicate_id),
+single AS (SELECT duplicate_id, min(canonical_id) AS canonical_id FROM there GROUP BY 1),
+trail AS (SELECT duplicate_id AS start, canonical_id AS node, 1 AS far FROM single UNION ALL SELECT start, canonical_id, far + 1 FROM trail JOIN single ON duplicate_id = node WHERE far < 12),
+cyclic AS (SELECT DISTINCT start AS duplicate_id FROM trail WHERE start = node),
+applied AS (SELECT * FROM single WHERE duplicate_id NOT IN (SELECT duplicate_id FROM cyclic)),
+climb AS (SELECT duplicate_id, canonical_id AS node, 1 AS far FROM applied UNION ALL SELECT c.duplicate_id, a.canonical_id, far + 1 FROM climb c JOIN applied a ON a.duplicate_id = c.node),
+roots AS (SELECT duplicate_id, arg_max(node, far) AS root_id, max(far) AS distance FROM climb GROUP BY 1)"""
+
+
+def chain_merged(v: Views) -> dict[str, DataFrame]:
+    items = v.content_items.withColumns({"notification_number": F.lit(None).cast("string"), "document_checksum": F.expr("case when k % 3 = 0 then concat('s', k) end")})
+    merges = v.sql(f"WITH {_CHAINS} SELECT * FROM chained")
+    return resolve.merge(items, v.content_items.selectExpr("id as item_id", "source_url as url"), merges, AS_OF)
+
+
+@query("r8_merge_chains", f"""WITH RECURSIVE {_ROOTS}, items AS (SELECT *, CASE WHEN k % 3 = 0 THEN concat('s', k) END AS document_checksum FROM content_items),
+ways AS (SELECT duplicate_id, canonical_id AS canon, 1 AS far FROM applied UNION ALL SELECT duplicate_id, root_id, distance FROM roots WHERE distance > 1),
+given AS (SELECT canon, arg_min(advertisement_number, (far, id)) FILTER (advertisement_number IS NOT NULL) AS advt, arg_min(document_checksum, (far, id)) FILTER (document_checksum IS NOT NULL) AS checksum FROM ways JOIN items ON id = duplicate_id GROUP BY canon)
+SELECT i.id, CASE WHEN r.root_id IS NOT NULL THEN 'archived' ELSE i.status END AS status, CASE WHEN r.root_id IS NOT NULL THEN 'merged' WHEN g.canon IS NOT NULL THEN 'canonical' ELSE i.duplicate_status END AS duplicate_status,
+  coalesce(i.advertisement_number, g.advt) AS advertisement_number, coalesce(i.document_checksum, g.checksum) AS document_checksum, coalesce(r.root_id, g.canon) AS duplicate_group_id
+FROM items i LEFT JOIN roots r ON r.duplicate_id = i.id LEFT JOIN given g ON g.canon = i.id""")
+def _(v: Views) -> DataFrame:
+    return chain_merged(v)["items"].select("id", "status", "duplicate_status", "advertisement_number", "document_checksum", "duplicate_group_id")
+
+
+@query("r8_chain_sources", f"WITH RECURSIVE {_ROOTS} SELECT DISTINCT coalesce(r.root_id, i.id) AS item_id, i.source_url AS url FROM content_items i LEFT JOIN roots r ON r.duplicate_id = i.id")
+def _(v: Views) -> DataFrame:
+    return chain_merged(v)["sources"]
+
+
+@query("r8_rejected_merges", f"""WITH RECURSIVE {_ROOTS} SELECT DISTINCT m.canonical_id, m.duplicate_id, CASE WHEN m.canonical_id = m.duplicate_id THEN 'self' WHEN t.duplicate_id IS NULL THEN 'missing' WHEN s.duplicate_id IS NULL THEN 'repeated' ELSE 'cycle' END AS reason
+FROM chained m LEFT JOIN there t ON t.duplicate_id = m.duplicate_id AND t.canonical_id = m.canonical_id LEFT JOIN single s ON s.duplicate_id = m.duplicate_id AND s.canonical_id = m.canonical_id LEFT JOIN cyclic c ON c.duplicate_id = m.duplicate_id
+WHERE s.duplicate_id IS NULL OR c.duplicate_id IS NOT NULL""")
+def _(v: Views) -> DataFrame:
+    return chain_merged(v)["rejected"]
+
+
 _ROUTE = "CASE type WHEN 'job' THEN 'jobs' WHEN 'result' THEN 'results' WHEN 'admit_card' THEN 'admit-card' WHEN 'answer_key' THEN 'answer-key' WHEN 'exam' THEN 'exams' WHEN 'scholarship' THEN 'scholarships' WHEN 'scheme' THEN 'schemes' ELSE 'important-updates' END"
 
 
+@query("r8_chain_redirects", f"WITH RECURSIVE {_ROOTS}, paths AS (SELECT id, concat('/', {_ROUTE}, '/', slug) AS path FROM content_items) SELECT a.path AS from_path, b.path AS to_path FROM roots JOIN paths a ON a.id = duplicate_id JOIN paths b ON b.id = root_id WHERE a.path <> b.path")
+def _(v: Views) -> DataFrame:
+    return chain_merged(v)["redirects"].select("from_path", "to_path")
+
+
 @query("r8_merge_redirects", f"WITH {_MERGES}, paths AS (SELECT id, concat('/', {_ROUTE}, '/', slug) AS path FROM content_items) SELECT a.path AS from_path, b.path AS to_path FROM merges JOIN paths a ON a.id = duplicate_id JOIN paths b ON b.id = canonical_id WHERE a.path <> b.path")
 def _(v: Views) -> DataFrame:
     return merged(v)["redirects"].select("from_path", "to_path")
@@ -237,6 +315,23 @@ def _(v: Views) -> DataFrame:
 _GUARDED = SCORE.replace("CASE WHEN a_rec <> b_rec THEN 'recruitment_name' END AS guard", "CASE WHEN a_content_type <> b_content_type THEN 'content_type' WHEN a_year <> b_year THEN 'year' WHEN a_rec <> b_rec THEN 'recruitment_name' END AS guard").replace("+ 15 +", "+ CASE WHEN a_year = b_year THEN 15 ELSE 0 END +")
 
 
+#: Numbers and checksums of incoming notices, over all pairs.
+_MATCHED = _GUARDED.replace("CASE WHEN a_advt = b_advt THEN 98", "CASE WHEN a_checksum = b_checksum THEN 100 WHEN a_advt = b_advt OR a_notif = b_notif THEN 98")
+_NUMBERED = "numbered AS (SELECT *, CASE WHEN k % 4 = 0 THEN concat('ntf', k % 97) END AS notif, CASE WHEN k % 9 = 0 THEN concat('s', k % 53) END AS checksum FROM ids), incoming AS (SELECT * FROM numbered WHERE created_at >= TIMESTAMP '2024-01-25'), catalogue AS (SELECT * FROM numbered WHERE created_at < TIMESTAMP '2024-01-25')"
+_ALL_PAIRS = _pairs("incoming", "catalogue", "TRUE", ("notif", "checksum")).replace("a.content_type = b.content_type AND a.year = b.year AND TRUE", "TRUE")
+
+
+@query("r5_match_incoming", f"""WITH {NOTICES}, {IDENT}, {_NUMBERED}, {_ALL_PAIRS}, {_MATCHED},
+found AS (SELECT *, CASE WHEN a_advt = b_advt OR a_notif = b_notif THEN 1 WHEN a_checksum = b_checksum THEN 2 ELSE 3 END AS stage FROM scored),
+best AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY stage, confidence DESC, b_created_at DESC, b_id) AS rank FROM found WHERE confidence >= 50 OR stage < 3)
+SELECT a_id AS incoming_id, b_id AS match_id, confidence, tier, status, CASE WHEN guard = 'content_type' THEN 'link_related_stage' WHEN status = 'canonical' THEN 'link_to_canonical' WHEN status = 'review_required' THEN 'review_required' ELSE 'create_unique' END AS action, stage FROM best WHERE rank = 1""")
+def _(v: Views) -> DataFrame:
+    """The notices of the last week against all earlier ones."""
+    rows = notices(v).withColumns({"notification_number": F.expr("case when k % 4 = 0 then concat('ntf', k % 97) end"), "document_checksum": F.expr("case when k % 9 = 0 then concat('s', k % 53) end")})
+    late = F.col("created_at") >= F.lit("2024-01-25").cast("timestamp")
+    return resolve.match_incoming(rows.where(late), rows.where(~late), AS_OF)
+
+
 @query("r2_guarded_scores", f"WITH {NOTICES}, {IDENT}, {_pairs('ids', 'ids', 'TRUE').replace('a.content_type = b.content_type AND a.year = b.year AND TRUE', 'b.k = a.k + 1')}, {_GUARDED} SELECT a_id, b_id, confidence, tier, status, array_to_string(conflicts, ',') AS conflicts, CASE WHEN guard = 'content_type' THEN 'link_related_stage' WHEN status = 'canonical' THEN 'link_to_canonical' WHEN status = 'review_required' THEN 'review_required' ELSE 'create_unique' END AS action FROM scored")
 def _(v: Views) -> DataFrame:
     """Neighbours by number: most differ in type, year or recruitment."""

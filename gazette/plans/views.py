@@ -125,8 +125,15 @@ def _needed(text: str) -> list[str]:
 
 
 def _with(body: str) -> str:
+    """body with the views it names before it. A body that begins with WITH, or WITH RECURSIVE, goes on from there."""
     names = _needed(body)
-    return ("WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names) + " " if names else "") + body
+    if not names:
+        return body
+    views, rest, start = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names), body.lstrip(), "WITH "
+    if (m := re.match(r"WITH\s+(RECURSIVE\s+)?", rest, re.IGNORECASE)) is not None:
+        start, rest = ("WITH RECURSIVE " if m[1] else "WITH "), f", {rest[m.end():]}"
+        return f"{start}{views}{rest}"
+    return f"{start}{views} {rest}"
 
 
 def _calls(text: str, name: str, render) -> str:
@@ -141,10 +148,8 @@ def _calls(text: str, name: str, render) -> str:
 
 
 def duckdb_sql(body: str) -> str:
-    """body for DuckDB, with the views it names before it. A body that begins with WITH goes on from there."""
+    """body for DuckDB, with the views it names before it."""
     text = _with(body)
-    if body.lstrip().upper().startswith("WITH ") and _needed(body):
-        text = text[: -len(body)].rstrip() + ", " + body.lstrip()[5:]
     for name, f in (("MINUTES", "to_minutes"), ("HOURS", "to_hours"), ("DAYS", "to_days")):
         text = _calls(text, name, lambda x, f=f: f"{f}({x})")
     return re.sub(r"\{(\w+)\}", r"\1", text.replace(" DIV ", " // "))
@@ -164,7 +169,11 @@ class Views:
             if name.startswith("_"):
                 raise AttributeError(name)
             return self.raw(name)
-        text = _with(f"SELECT * FROM {name}").replace(" DIV ", " div ")
+        return self.sql(f"SELECT * FROM {name}")
+
+    def sql(self, body: str) -> DataFrame:
+        """body over the derived tables that it names."""
+        text = _with(body).replace(" DIV ", " div ")
         for call, before in (("MINUTES", "0, 0, "), ("HOURS", "0, "), ("DAYS", "")):
             text = _calls(text, call, lambda x, before=before: f"make_dt_interval({before}{x})")
         used = {t: self.raw(t) for t in RAW if f"{{{t}}}" in text}
