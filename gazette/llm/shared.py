@@ -8,7 +8,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gazette.session import importable
 from gazette.session import scratch as shared_dir
@@ -16,19 +16,16 @@ from gazette.session import scratch as shared_dir
 _TABLES: dict[str, list[str]] = {}
 
 
-def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
+def cut(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back, with schema where the same bytes are to have another type.
 
     The lineage ends there: a lost executor costs a reread of some files, and what stands before isn't run again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.parquet(path)
     _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def cuts(spark: SparkSession) -> list[str]:
@@ -54,8 +51,3 @@ def give_back_memory() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # glibc only
         ctypes.CDLL(None).malloc_trim(0)
-
-
-def digest(column) -> F.Column:
-    """128 bits of hash as two longs: at 1e12 keys a chance collision stays under 1e-14."""
-    return F.struct(F.xxhash64(column).alias("a"), F.xxhash64(F.lit(7919), column).alias("b"))

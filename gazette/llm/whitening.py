@@ -17,19 +17,22 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import Matrices
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg import Matrices, MatrixUDT
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from gazette.llm.shared import cut, cuts, remove
 
 SCALE, COMPONENTS = 256, 4
-#: Rows of a block: at 1024 dimensions 4 MB.
-BLOCK_ROWS = 512
+#: Numbers of a block: 2 MB. Its rows follow from the dimension.
+BLOCK_NUMBERS = 1 << 18
+#: A block as MLlib takes it: its place, and a matrix, which tables hold as a plain struct.
+BLOCK = StructType([StructField("place", StructType([StructField("row", LongType()), StructField("column", LongType())])), StructField("matrix", MatrixUDT())])
+#: And as it gives it.
+PRODUCT = StructType([StructField("place", StructType([StructField("_1", IntegerType()), StructField("_2", IntegerType())])), StructField("matrix", MatrixUDT.sqlType())])
 #: The largest number whose square is a long.
 ROOT = 3_037_000_499
 
@@ -60,9 +63,23 @@ def indexed(rows: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, column: str, rows_per_block: int, dim: int) -> BlockMatrix:
-    """index and an array of doubles as a block matrix; all stays on Spark's side."""
-    vectors = MLUtils.convertVectorColumnsFromML(rows.select("index", array_to_vector(F.col(column)).alias("vector")), "vector")
-    return IndexedRowMatrix(vectors).toBlockMatrix(rows_per_block, dim)
+    """index and an array of doubles as a block matrix: a block's rows are gathered, at most rows_per_block, and written as a matrix by rows; no row passes Python."""
+    at = F.struct(F.pmod("index", F.lit(rows_per_block)).alias("at"), F.col(column).alias("v"))
+    packed = rows.groupBy(F.expr(f"index div {rows_per_block}").alias("row")).agg(F.array_sort(F.collect_list(at)).alias("rows"))
+    values = F.flatten(F.transform("rows", lambda r: r["v"]))
+    none = F.lit(None).cast("array<int>")
+    matrix = F.struct(F.lit(1).cast("tinyint").alias("type"), F.size("rows").alias("numRows"), F.lit(dim).alias("numCols"), none.alias("colPtrs"), none.alias("rowIndices"), values.alias("values"), F.lit(True).alias("isTransposed"))
+    blocks = cut(packed.select(F.struct("row", F.lit(0).cast("long").alias("column")).alias("place"), matrix.alias("matrix")), "whitening-blocks", BLOCK)
+    return BlockMatrix(callMLlibFunc("createBlockMatrix", blocks, rows_per_block, dim, 0, 0), rows_per_block, dim)
+
+
+def _rows(product: BlockMatrix, rows_per_block: int) -> DataFrame:
+    """(index, w) of a block matrix of one column of blocks."""
+    blocks = cut(callMLlibFunc("getMatrixBlocks", product._java_matrix_wrapper._java_model).toDF("place", "matrix"), "whitening-product", PRODUCT)
+    m, width = (lambda f: F.col(f"matrix.{f}")), F.col("matrix.numCols")
+    entry = lambda i, j: F.when(m("isTransposed"), F.get(m("values"), i * width + j)).otherwise(F.get(m("values"), i + j * m("numRows")))
+    row = lambda i: F.struct((F.col("place._1").cast("long") * rows_per_block + i).alias("index"), F.transform(F.sequence(F.lit(0), width - 1), lambda j: entry(i, j)).alias("w"))
+    return blocks.select(F.explode(F.transform(F.sequence(F.lit(0), m("numRows") - 1), row)).alias("r")).select("r.*")
 
 
 def _scatter(blocks: BlockMatrix, slices: int) -> np.ndarray:
@@ -71,7 +88,7 @@ def _scatter(blocks: BlockMatrix, slices: int) -> np.ndarray:
     return BlockMatrix(product, blocks.colsPerBlock, blocks.colsPerBlock).toLocalMatrix().toArray()
 
 
-def fitted(distinct: DataFrame, dim: int, slices: int, components: int = COMPONENTS, rows_per_block: int = BLOCK_ROWS) -> tuple[Fit, DataFrame, BlockMatrix] | None:
+def fitted(distinct: DataFrame, dim: int, slices: int, rows_per_block: int, components: int = COMPONENTS) -> tuple[Fit, DataFrame, BlockMatrix] | None:
     """The fit over distinct(x), a written table of vectors of one length, with (index, x, deviation) and the centred blocks."""
     top = distinct.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("x", lambda v: F.abs(v.cast("decimal(20,0)"))))).alias("most")).first()
     n, most = top["n"], int(top["most"])
@@ -106,15 +123,15 @@ def _whitened(rows: DataFrame, dim: int, components: int) -> DataFrame | None:
     spark = rows.sparkSession
     slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     distinct = cut(rows.where(F.size("x") == dim).select("x").distinct(), "whitening-distinct")
-    made = fitted(distinct, dim, slices, components)
+    rows_per_block = max(1, BLOCK_NUMBERS // dim)
+    made = fitted(distinct, dim, slices, rows_per_block, components)
     if made is None:
         return None
     fit, listed, blocks = made
     used = len(fit.values)
     w = fit.vectors / np.sqrt(fit.values)
     whitening = BlockMatrix(spark.sparkContext.parallelize([((0, 0), Matrices.dense(dim, used, w.ravel(order="F").tolist()))], 1), dim, used)
-    projected = callMLlibFunc("getIndexedRows", blocks.multiply(whitening).toIndexedRowMatrix()._java_matrix_wrapper._java_model)
-    projected = cut(projected.select("index", vector_to_array("vector").alias("w")), "whitening-projected")
+    projected = _rows(blocks.multiply(whitening), rows_per_block)
     means = projected.agg(*[F.avg(F.col("w")[i]).alias(f"m{i}") for i in range(used)]).first()
     pairs = [(i, j) for i in range(used) for j in range(i, used)]
     moments = projected.agg(*[F.avg((F.col("w")[i] - means[i]) * (F.col("w")[j] - means[j])).alias(f"c{i}_{j}") for i, j in pairs]).first()
