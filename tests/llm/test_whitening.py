@@ -47,7 +47,7 @@ def test_whitening(spark, monkeypatch):
     rows += [(2000, None), (2001, [None] * 6), (2002, [float("nan")] * 6), (2003, [float("inf")] + [0.0] * 5), (2004, []), (2005, [-0.0] * 6)]
     rows += [(3000 + i, [float(i), float(i * i % 7)]) for i in range(9)] + [(4000, [1.0] * 5)]
     rows = [(i, v) for i, v in rows]
-    monkeypatch.setattr(whitening, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(whitening, "BLOCK_NUMBERS", 200)
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, component string, index int")
     got = whitening.whitened(df)
     assert got.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
