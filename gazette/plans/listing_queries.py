@@ -135,7 +135,13 @@ def _(v: Views) -> DataFrame:
     return new.join(savers, "organization_id").select("item_id", "user_id")
 
 
-@query("c12_redirect_resolution", "SELECT r.request_id, d.to_path FROM requests r JOIN (SELECT from_path, min(to_path) AS to_path FROM redirects WHERE active AND from_path <> to_path GROUP BY from_path) d ON d.from_path = CASE WHEN length(r.path) > 1 THEN regexp_replace(r.path, '/$', '') ELSE r.path END OR d.from_path = r.path")
+#: One redirect a request: path as it is or without its last slash, never to either form of the request.
+RESOLVED = """asked AS (SELECT *, CASE WHEN length(path) > 1 AND ends_with(path, '/') THEN left(path, length(path) - 1) ELSE path END AS plain FROM requests WHERE NOT (starts_with(path, '/admin') OR starts_with(path, '/api') OR starts_with(path, '/_astro') OR path = '/maintenance')),
+resolved AS (SELECT request_id, ts, from_path, to_path FROM asked r JOIN (SELECT DISTINCT from_path, to_path FROM redirects WHERE active) d ON (d.from_path = r.path OR d.from_path = r.plain) AND d.to_path <> r.path AND d.to_path <> r.plain AND d.to_path <> ''
+  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN from_path = path THEN 0 ELSE 1 END, to_path) = 1)"""
+
+
+@query("c12_redirect_resolution", f"WITH {RESOLVED} SELECT request_id, to_path FROM resolved")
 def _(v: Views) -> DataFrame:
     from gazette.streaming.streams import resolve_redirects
 

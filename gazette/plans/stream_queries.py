@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions import exprs, templates
 from gazette.plans import alert_queries
-from gazette.plans.listing_queries import public
+from gazette.plans.listing_queries import RESOLVED, public
 from gazette.plans.registry import query
 from gazette.plans.views import AS_OF, Views
 from gazette.session import scratch
@@ -31,7 +31,7 @@ def _(v: Views) -> DataFrame:
     return streams.search_hits(v.search_events).select("query", "hits", "last_seen")
 
 
-@query("t6_redirect_hits", "WITH d AS (SELECT from_path, min(to_path) AS to_path FROM redirects WHERE active AND from_path <> to_path GROUP BY 1), r AS (SELECT DISTINCT request_id, ts, p FROM (SELECT request_id, ts, path AS p FROM requests UNION ALL SELECT request_id, ts, CASE WHEN length(path) > 1 THEN regexp_replace(path, '/$', '') ELSE path END FROM requests)) SELECT from_path, to_path, count(*) AS hits, max(ts) AS last_access FROM r JOIN d ON d.from_path = r.p GROUP BY ALL")
+@query("t6_redirect_hits", f"WITH {RESOLVED} SELECT from_path, to_path, count(*) AS hits, max(ts) AS last_access FROM resolved GROUP BY ALL")
 def _(v: Views) -> DataFrame:
     return streams.redirect_hits(v.requests, v.redirects)
 
@@ -77,6 +77,26 @@ def _(v: Views) -> DataFrame:
     return streams.read_state(v.notifications, one, every).select("id", "is_read")
 
 
+@query("t4_lifecycle", f"""WITH e AS (SELECT * FROM webhook_events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY seq) = 1),
+s AS (SELECT subscription_id, arg_max(CASE WHEN kind = 'cancelled' THEN 'cancelled' ELSE 'active' END, (ts, seq)) AS status, max(ts) FILTER (kind <> 'cancelled') + INTERVAL 10 DAY AS period_end, max(ts) AS last FROM e GROUP BY 1)
+SELECT subscription_id, CASE WHEN status = 'active' AND period_end <= TIMESTAMP '{AS_OF}' THEN 'expired' ELSE status END AS status, period_end FROM s WHERE coalesce(period_end, last) + INTERVAL 7 DAY > TIMESTAMP '{AS_OF}'""")
+def _(v: Views) -> DataFrame:
+    """Periods of ten days."""
+    return streams.subscription_lifecycle(streams.first_deliveries(v.webhook_events), AS_OF, days=10)
+
+
+@query("a9_bucketed_upsert", "SELECT lower(trim(query)) AS query, count(*) AS hits, max(ts) AS last_seen FROM search_events GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    """The searches of each week upserted into a keyed table, week by week; the last twice, as after a failure."""
+    table = jobs.KeyedTable(v.spark, f"{scratch(v.spark)}/searches-{uuid.uuid4().hex}", *jobs.SEARCHES, buckets=16)
+    rules = jobs._summed("hits", last_results=F.coalesce("new_last_results", "old_last_results"), last_seen=F.greatest("old_last_seen", "new_last_seen"))
+    events = v.search_events
+    weeks = [r[0] for r in events.select(F.date_trunc("week", "ts")).distinct().orderBy(F.col("date_trunc(week, ts)")).collect()]
+    for n, week in enumerate([*weeks, *weeks[-1:]]):
+        table.upsert(streams.search_hits(events.where(F.date_trunc("week", "ts") == F.lit(week))), min(n, len(weeks) - 1), rules)
+    return table.read().select("query", "hits", "last_seen")
+
+
 @query("t11_purge", f"SELECT id FROM subscriptions WHERE period_end >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY")
 def _(v: Views) -> DataFrame:
     return streams.unexpired(v.subscriptions, AS_OF, "period_end").select("id")
@@ -150,7 +170,7 @@ def _(v: Views) -> DataFrame:
     items = v.spark.readStream.schema(v.spark.read.parquet(f"{place}/in").schema).option("maxFilesPerTrigger", 1000).parquet(f"{place}/in")
     facts = {"all_items": v.content_items, "users": v.users, "organizations": v.followed_organizations, "categories": v.followed_categories, "saved": v.saved_items}
     jobs.alert_on_published(items, facts, f"{place}/queue", f"{place}/checkpoint").awaitTermination()
-    return jobs.VersionedTable(v.spark, f"{place}/queue", jobs.QUEUE).read().select("content_item_id", "user_id", "way", "notification_type", "alert_title")
+    return jobs.queue(v.spark, f"{place}/queue").read().select("content_item_id", "user_id", "way", "notification_type", "alert_title")
 
 
 @query("x2_first_reason", alert_queries.MATCH + "SELECT way, count(*) AS n, count(DISTINCT user_id) AS users FROM matched GROUP BY way")
