@@ -133,19 +133,30 @@ def recently_updated(public: DataFrame, limit: int = 6) -> DataFrame:
     return public.where("updated_at > created_at").orderBy(F.desc("updated_at"), "id").limit(limit)
 
 
-def related(public: DataFrame, n: int = 6) -> DataFrame:
+def related(public: DataFrame, n: int = 6, strict: bool = False) -> DataFrame:
     """For every item up to n others: of its organization, then its category, then its type; newest first within a tier.
 
-    Candidates are capped at n + 1 a key before the join, as an item needs n besides itself, so rows stay in proportion to items.
+    strict: a tier is asked for no more than the places that the tiers before it have left, and what it repeats of them isn't made up
+    for, so there may be fewer than n. Candidates are capped at n + 1 a key before the join, as an item needs n besides itself, so
+    rows stay in proportion to items.
     """
     tiers = []
     for tier, key in enumerate(("organization_id", "category_id", "type"), 1):
         keyed = public.where(F.col(key).isNotNull())
         top = keyed.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*newest()))).where(F.col("_r") <= n + 1)
         # three tiers may give the same candidate, so each offers enough for all
-        candidates = top.select(F.col(key).alias("_key"), F.col("id").alias("related_id"), F.col("published_at").alias("_at"), F.col("created_at").alias("_made"))
-        tiers.append(keyed.select("id", F.col(key).alias("_own")).join(candidates, F.col("_own") == F.col("_key")).where("id <> related_id").select("id", "related_id", "_at", "_made", F.lit(tier).alias("tier")))
-    best = tiers[0].unionByName(tiers[1]).unionByName(tiers[2]).groupBy("id", "related_id", "_at", "_made").agg(F.min("tier").alias("tier"))
+        candidates = top.select(F.col(key).alias("_key"), F.col("id").alias("related_id"), F.col("published_at").alias("_at"), F.col("created_at").alias("_made"), "_r")
+        tiers.append(keyed.select("id", F.col(key).alias("_own")).join(candidates, F.col("_own") == F.col("_key")).where("id <> related_id").select("id", "related_id", "_at", "_made", "_r", F.lit(tier).alias("tier")))
+    every = tiers[0].unionByName(tiers[1]).unionByName(tiers[2])
+    if strict:
+        of = lambda t: F.transform(F.array_sort(F.collect_list(F.when(F.col("tier") == t, F.struct("_r", "related_id")))), lambda x: x["related_id"])
+        lists = every.groupBy("id").agg(*[of(t).alias(f"_{t}") for t in (1, 2, 3)])  # at most n + 1 of each tier
+        lists = lists.withColumn("_1", F.slice("_1", 1, n))
+        lists = lists.withColumn("_2", F.array_except(F.slice("_2", F.lit(1), n - F.size("_1")), "_1"))
+        lists = lists.withColumn("_3", F.array_except(F.slice("_3", F.lit(1), n - F.size("_1") - F.size("_2")), F.concat("_1", "_2")))
+        named = F.concat(*[F.arrays_zip(F.col(f"_{t}").alias("related_id"), F.array_repeat(F.lit(t), F.size(f"_{t}")).alias("tier")) for t in (1, 2, 3)])
+        return lists.select("id", F.posexplode(named).alias("rank", "r")).select("id", "r.related_id", "r.tier", (F.col("rank") + 1).alias("rank"))
+    best = every.groupBy("id", "related_id", "_at", "_made").agg(F.min("tier").alias("tier"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("tier", F.desc_nulls_last("_at"), F.desc_nulls_last("_made"), "related_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= n).select("id", "related_id", "tier", "rank")
 

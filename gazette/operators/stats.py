@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gazette.operators.listing import newest
+from gazette.operators.search import n_best, occurrences
 
 
 def one_row(*parts: DataFrame) -> DataFrame:
@@ -94,18 +96,50 @@ def health(sources: DataFrame, notifications: DataFrame, runs: DataFrame) -> Dat
     return row.withColumn("overall", worst).selectExpr("stack(4, 'crawler', crawler, 'email', email, 'cron', cron, 'overall', overall) as (service, status)")
 
 
+def _titled(items: DataFrame) -> DataFrame:
+    return items.select(F.lower(F.trim("title")).alias("title"), "slug").where("title <> ''")
+
+
 def duplicate_titles(items: DataFrame) -> DataFrame:
-    """Titles of more than one item with their number. Slugs are kept apart (duplicate_title_slugs), as a common title may have very many."""
-    title = F.lower(F.trim("title"))
-    return items.select(title.alias("title")).where("title <> ''").groupBy("title").agg(F.count("*").alias("n")).where("n > 1")
+    """Titles of more than one item with their number."""
+    return _titled(items).groupBy("title").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def duplicate_title_rows(items: DataFrame) -> DataFrame:
+    """Every item with a repeated title, a row each, however many a title has."""
+    return _titled(items).join(duplicate_titles(items), "title")
+
+
+def duplicate_title_slugs(items: DataFrame, most: int = 100) -> DataFrame:
+    """Titles of more than one item with their number and their first slugs, at most most as an array; duplicate_title_rows() has all."""
+    first = n_best(_titled(items), ["title"], [F.asc_nulls_last("slug")], most)
+    lists = first.groupBy("title").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "slug"))), lambda x: x["slug"]).alias("slugs"))
+    return duplicate_titles(items).join(lists, "title")
 
 
-def landing_counts(pages: DataFrame, public: DataFrame) -> DataFrame:
-    """Items that match each landing page. pages(slug, kind, term) is a small table and is gathered into one row, so items are read once."""
-    rules = pages.agg(F.collect_list(F.struct("slug", "kind", F.lower("term").alias("term"))).alias("rules"))
-    text = {"qualification": F.lower("qualification"), "search": F.lower(F.concat_ws("\n", "title", "organization_name", "post_name"))}
-    hit = F.filter("rules", lambda r: F.when(r["kind"] == "qualification", text["qualification"].contains(r["term"])).otherwise(text["search"].contains(r["term"])))
-    counts = public.join(F.broadcast(rules)).select(F.explode(F.transform(hit, lambda r: r["slug"])).alias("slug")).groupBy("slug").agg(F.count("*").alias("n"))
+#: Texts that a landing page of kind search looks at: as the page shows items, and as the audit counts them.
+SHOWN_TEXTS, AUDITED_TEXTS = ("title", "organization_name", "post_name"), ("title", "organization_name")
+#: Landing pages that may be gathered into one row and broadcast.
+FEW_PAGES = 256
+
+
+def landing_matches(pages: DataFrame, public: DataFrame, texts: tuple[str, ...] = SHOWN_TEXTS) -> DataFrame:
+    """(slug, id) of the items that match each landing page of pages(slug, kind, term). Up to FEW_PAGES pages are gathered into one row, so that items are read once; more meet the items by the grams of their terms."""
+    text = {"qualification": F.col("qualification"), "search": F.concat_ws("\n", *texts)}
+    if pages.limit(FEW_PAGES + 1).count() > FEW_PAGES:
+        by_kind = []
+        for kind, column in text.items():
+            of = pages.where((F.col("kind") == "qualification") == (kind == "qualification")).select(F.col("slug").alias("term_id"), "term")
+            by_kind.append(occurrences(public.select("id", column.alias("text")), of))
+        return by_kind[0].unionByName(by_kind[1]).select(F.col("term_id").alias("slug"), "id")
+    rules = pages.where("term <> ''").agg(F.collect_list(F.struct("slug", "kind", F.lower("term").alias("term"))).alias("rules"))
+    hit = F.filter("rules", lambda r: F.when(r["kind"] == "qualification", F.lower(text["qualification"]).contains(r["term"])).otherwise(F.lower(text["search"]).contains(r["term"])))
+    return public.join(F.broadcast(rules)).select("id", F.explode(F.transform(hit, lambda r: r["slug"])).alias("slug")).select("slug", "id")
+
+
+def landing_counts(pages: DataFrame, public: DataFrame, texts: tuple[str, ...] = SHOWN_TEXTS) -> DataFrame:
+    """Items that match each landing page."""
+    counts = landing_matches(pages, public, texts).groupBy("slug").agg(F.count("*").alias("n"))
     return pages.join(counts, "slug", "left").fillna(0, ["n"])
 
 
@@ -114,7 +148,7 @@ def content_audit(public: DataFrame, pages: DataFrame) -> DataFrame:
     blank = F.coalesce(F.trim("title"), F.lit("")) == ""
     base = public.agg(F.count("*").alias("items"), F.count_if(F.col("organization_id").isNull() & F.col("category_id").isNull()).alias("orphans"), F.count_if(blank).alias("missing_titles"), F.count_if(F.coalesce(F.trim("meta_description"), F.lit("")) == "").alias("missing_descriptions"), F.count_if(F.coalesce("slug", F.lit("")) == "").alias("missing_canonicals"))
     duplicates = duplicate_titles(public).agg(F.count("*").alias("duplicate_titles"))
-    thin = landing_counts(pages, public).agg(F.count_if(F.col("n") < F.col("min_content_threshold")).alias("thin_pages"))
+    thin = landing_counts(pages, public, AUDITED_TEXTS).agg(F.count_if(F.col("n") < F.col("min_content_threshold")).alias("thin_pages"))
     #: (column, cap, points each)
     penalties = (("missing_titles", 20, 5), ("missing_descriptions", 15, 2), ("duplicate_titles", 15, 3), ("orphans", 10, 2), ("thin_pages", 10, 2))
     off = reduce(lambda a, b: a + b, [F.least(F.lit(cap), F.col(c) * each) for c, cap, each in penalties])
@@ -127,6 +161,16 @@ def landing_pages(pages: DataFrame, public: DataFrame, n: int = 30) -> DataFrame
     return landing_counts(pages, public).select("slug", shown.alias("shown"), (F.col("is_indexable") & (shown >= F.col("min_content_threshold"))).alias("indexable"))
 
 
+def landing_items(pages: DataFrame, public: DataFrame, n: int = 30) -> DataFrame:
+    """Each landing page with its n newest items as an array of ids, how many these are, and whether it may be indexed."""
+    rows = landing_matches(pages, public).join(public.select("id", "published_at", "created_at"), "id")
+    top = n_best(rows, ["slug"], newest(), n)
+    lists = top.groupBy("slug").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("items"))
+    out = pages.join(lists, "slug", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    shown = F.size("items").cast("long")
+    return out.select("slug", "items", shown.alias("shown"), (F.col("is_indexable") & (shown >= F.col("min_content_threshold"))).alias("indexable"))
+
+
 def run_summary(runs: DataFrame) -> DataFrame:
     """Per execution, counts by page status and the run's status."""
     n = {s.lower(): F.count_if(F.col("page_status") == s) for s in ("NEW", "UPDATED", "UNCHANGED", "ERROR")}

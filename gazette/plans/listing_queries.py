@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gazette.functions import exprs
-from gazette.operators import listing
+from gazette.operators import listing, search
+from gazette.operators.pages import Pages
 from gazette.plans.registry import query
 from gazette.plans.views import AS_OF, Views
+from gazette.sources import tables
 
 STATUS = f"""CASE WHEN type = 'result' THEN 'Result Released' WHEN type = 'admit_card' THEN 'Admit Card Released' WHEN type = 'answer_key' THEN 'Answer Key Released'
   WHEN application_last_date IS NULL AND application_start IS NULL THEN 'Notification Released' WHEN application_start > TIMESTAMP '{AS_OF}' THEN 'Upcoming'
@@ -31,6 +34,24 @@ def _(v: Views) -> DataFrame:
     return v.raw("events").select("event_id", "ts", "user_id", "event_type", F.col("value").cast("decimal(18,2)").cast("double").alias("amount"), (F.col("event_type") == "error").alias("failed"))
 
 
+#: Events as text and flags, as logs have them: times in two forms, some of them and some numbers spoilt.
+_TEXTS = """texts AS (SELECT CASE WHEN event_id % 50 = 7 THEN concat('e', event_id) ELSE concat(' ', event_id) END AS event_id, CASE WHEN event_id % 40 = 3 THEN 'yesterday' WHEN event_id % 2 = 0 THEN concat(substring(concat(ts), 1, 10), 'T', substring(concat(ts), 12, 8)) ELSE substring(concat(ts), 1, 19) END AS ts,
+  CASE WHEN event_id % 30 = 11 THEN 'n/a' WHEN event_id % 30 = 12 THEN '' ELSE concat(user_id) END AS user_id, CASE WHEN event_id % 60 = 13 THEN 'maybe' WHEN event_id % 3 = 0 THEN '1' ELSE 'false' END AS failed, event_type FROM {events})"""
+_LOGGED = StructType.fromDDL("event_id long not null, ts timestamp, user_id long, failed boolean, event_type string, note string")
+
+
+@query("a1_typed_load", f"WITH {_TEXTS} SELECT CAST(trim(event_id) AS BIGINT) AS event_id, replace(ts, 'T', ' ') AS ts, CAST(nullif(user_id, '') AS BIGINT)::VARCHAR AS user_id, failed = '1' AS failed, event_type, NULL::VARCHAR AS note FROM texts WHERE NOT starts_with(event_id, 'e') AND ts <> 'yesterday' AND user_id <> 'n/a' AND failed <> 'maybe'")
+def _(v: Views) -> DataFrame:
+    rows = tables.fitted(v.sql(f"WITH {_TEXTS} SELECT * FROM texts"), _LOGGED).rows
+    return rows.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("user_id").cast("string").alias("user_id"), "failed", "event_type", "note")
+
+
+@query("a1_quarantine", f"WITH {_TEXTS}, bad AS (SELECT list_filter([CASE WHEN starts_with(event_id, 'e') THEN 'event_id' END, CASE WHEN ts = 'yesterday' THEN 'ts' END, CASE WHEN user_id = 'n/a' THEN 'user_id' END, CASE WHEN failed = 'maybe' THEN 'failed' END], lambda x: x IS NOT NULL) AS r, event_id FROM texts) SELECT event_id, array_to_string(r, ',') AS reasons FROM bad WHERE len(r) > 0")
+def _(v: Views) -> DataFrame:
+    errors = tables.fitted(v.sql(f"WITH {_TEXTS} SELECT * FROM texts"), _LOGGED).errors
+    return errors.select(F.get_json_object("raw", "$.event_id").alias("event_id"), F.array_join("reasons", ",").alias("reasons"))
+
+
 @query("b1_public_items", PUBLIC + "SELECT id, title, type, organization_name, category_name, post_name, vacancy, calculated_status FROM public")
 def _(v: Views) -> DataFrame:
     return public(v).select("id", "title", "type", "organization_name", "category_name", "post_name", "vacancy", "calculated_status")
@@ -60,6 +81,29 @@ def _(v: Views) -> DataFrame:
     return listing.state_hubs(public(v), (*listing.STATES, "State", "India", "China"))
 
 
+#: Terms by the thousand: the ends of slugs.
+_TERMS = "asked AS (SELECT DISTINCT right(slug, 4) AS term FROM content_items)"
+
+
+@query("b3_search_terms", PUBLIC + f", {_TERMS} SELECT term, count(*) AS items, min(p.id) AS first_id FROM asked JOIN public p ON contains(lower(concat_ws(' ', p.title, p.slug)), lower(term)) GROUP BY term")
+def _(v: Views) -> DataFrame:
+    """Thousands of terms at once, over titles and slugs."""
+    asked = v.sql(f"WITH {_TERMS} SELECT * FROM asked")
+    hits = search.occurrences(public(v).select("id", F.concat_ws(" ", "title", "slug").alias("text")), asked.select(F.col("term").alias("term_id"), "term"))
+    return hits.groupBy(F.col("term_id").alias("term")).agg(F.count("*").alias("items"), F.min("id").alias("first_id"))
+
+
+@query("b3_search_many", PUBLIC + ", asked AS (SELECT n_nationkey AS q, n_name AS term FROM {nation} UNION ALL SELECT 100 + r_regionkey, lower(substring(r_name, 1, 2)) FROM {region}) SELECT q AS term_id, p.id FROM asked JOIN public p ON contains(lower(concat_ws(chr(10), p.title, p.organization_name, p.post_name, p.category_name)), lower(term))")
+def _(v: Views) -> DataFrame:
+    asked = v.raw("nation").selectExpr("n_nationkey as term_id", "n_name as term").unionAll(v.raw("region").selectExpr("100 + r_regionkey as term_id", "lower(substring(r_name, 1, 2)) as term"))
+    return search.search_many(public(v), asked)
+
+
+@query("b5_name_hubs", PUBLIC + ", hits AS (SELECT n.name, p.type FROM (SELECT DISTINCT name FROM organizations) n JOIN public p ON contains(lower(p.title), lower(n.name)) OR contains(lower(p.organization_name), lower(n.name))) SELECT name, count(*) AS total, count(*) FILTER (type = 'job') AS jobs, count(*) FILTER (type = 'result') AS results, count(*) FILTER (type = 'admit_card') AS admit_cards, count(*) FILTER (type = 'exam') AS exams FROM hits GROUP BY name")
+def _(v: Views) -> DataFrame:
+    return search.name_hubs(public(v), v.organizations)
+
+
 @query("b6_slug_lookup", "WITH asked AS (SELECT type, slug, k % 2 = 0 AS allow_preview FROM content_items) SELECT a.type, a.slug, a.allow_preview, i.id, i.status FROM asked a LEFT JOIN content_items i ON i.type = a.type AND i.slug = a.slug AND (i.status = 'published' OR a.allow_preview)")
 def _(v: Views) -> DataFrame:
     return listing.by_slug(v.content_items.selectExpr("type", "slug", "k % 2 = 0 as allow_preview"), v.content_items)
@@ -153,6 +197,12 @@ def _(v: Views) -> DataFrame:
     return listing.page_of(public(v), listing.order(), page=3, limit=500).select("id", "total", "page", "total_pages", "has_next", "has_prev")
 
 
+@query("e1_deep_page", PUBLIC + f", hits AS (SELECT * FROM public) SELECT id, {TOTALS.format(page=30, limit=12)}, 30 < CAST(ceil((SELECT count(*) FROM hits) / 12.0) AS BIGINT) AS has_next, true AS has_prev FROM hits ORDER BY {LATEST} LIMIT 12 OFFSET 348")
+def _(v: Views) -> DataFrame:
+    """A page far in, out of the one range that holds it."""
+    return Pages.of(public(v).select("id", "published_at", "created_at"), listing.order()).page(30, 12).select("id", "total", "page", "total_pages", "has_next", "has_prev")
+
+
 @query("e2_sort_by_vacancies", PUBLIC + "SELECT id, vacancy FROM public WHERE type = 'job' ORDER BY CASE WHEN vacancy IS NULL THEN NULL ELSE coalesce(try_cast(nullif(regexp_extract(vacancy, '^\\s*([+-]?[0-9]+)', 1), '') AS BIGINT), 0) END DESC NULLS LAST, id LIMIT 25")
 def _(v: Views) -> DataFrame:
     return listing.filtered(public(v), type="job").orderBy(*listing.order("vacancies")).limit(25).select("id", "vacancy")
@@ -182,6 +232,19 @@ def _(v: Views) -> DataFrame:
     return listing.related(v.content_items.where("status = 'published'"))
 
 
+@query("e6_related_strict", """WITH p AS (SELECT * FROM content_items WHERE status = 'published'),
+pairs AS (SELECT a.id, b.id AS related_id, t, row_number() OVER (PARTITION BY a.id, t ORDER BY b.published_at DESC NULLS LAST, b.created_at DESC NULLS LAST, b.id) AS r
+  FROM p a JOIN p b ON a.id <> b.id JOIN (VALUES (1), (2), (3)) tiers(t) ON (t = 1 AND a.organization_id = b.organization_id) OR (t = 2 AND a.category_id = b.category_id) OR (t = 3 AND a.type = b.type)),
+one AS (SELECT id, related_id, r FROM pairs WHERE t = 1 AND r <= 6), n1 AS (SELECT p.id, count(one.id) AS n FROM p LEFT JOIN one USING (id) GROUP BY p.id),
+two AS (SELECT x.id, x.related_id, x.r FROM pairs x JOIN n1 USING (id) WHERE t = 2 AND x.r <= 6 - n1.n AND NOT EXISTS (SELECT 1 FROM one WHERE one.id = x.id AND one.related_id = x.related_id)),
+n2 AS (SELECT n1.id, any_value(n1.n) + count(two.id) AS n FROM n1 LEFT JOIN two USING (id) GROUP BY n1.id),
+three AS (SELECT x.id, x.related_id, x.r FROM pairs x JOIN n2 USING (id) WHERE t = 3 AND x.r <= 6 - n2.n AND NOT EXISTS (SELECT 1 FROM one WHERE one.id = x.id AND one.related_id = x.related_id) AND NOT EXISTS (SELECT 1 FROM two WHERE two.id = x.id AND two.related_id = x.related_id)),
+every AS (SELECT *, 1 AS tier FROM one UNION ALL SELECT *, 2 FROM two UNION ALL SELECT *, 3 FROM three)
+SELECT id, related_id, tier, row_number() OVER (PARTITION BY id ORDER BY tier, r)::INT AS rank FROM every""")
+def _(v: Views) -> DataFrame:
+    return listing.related(v.content_items.where("status = 'published'"), strict=True)
+
+
 @query("x1_top_searches", "SELECT lower(trim(query)) AS query, count(*) AS hits FROM search_events GROUP BY 1 ORDER BY hits DESC, query LIMIT 10")
 def _(v: Views) -> DataFrame:
     return v.search_events.groupBy(F.lower(F.trim("query")).alias("query")).agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "query").limit(10)

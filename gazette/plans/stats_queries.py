@@ -81,13 +81,17 @@ def _(v: Views) -> DataFrame:
 _COUNTS = "SELECT g.slug, g.min_content_threshold, g.is_indexable, (SELECT count(*) FROM public p WHERE CASE WHEN g.kind = 'qualification' THEN contains(lower(p.qualification), lower(g.term)) ELSE contains(lower(concat_ws(chr(10), p.title, p.organization_name, p.post_name)), lower(g.term)) END) AS n FROM programmatic_pages g"
 
 
+_AUDITED = _COUNTS.replace("p.title, p.organization_name, p.post_name", "p.title, p.organization_name")
+_MATCHES = _COUNTS.replace("SELECT g.slug, g.min_content_threshold, g.is_indexable, (SELECT count(*) FROM public p WHERE ", "SELECT g.slug, p.id, row_number() OVER (PARTITION BY g.slug ORDER BY p.published_at DESC NULLS LAST, p.created_at DESC NULLS LAST, p.id) AS r FROM programmatic_pages g JOIN public p ON ").replace(") AS n FROM programmatic_pages g", "")
+
+
 @query("c7_landing_matches", PUBLIC + f"SELECT slug, n FROM ({_COUNTS})")
 def _(v: Views) -> DataFrame:
     return stats.landing_counts(v.programmatic_pages, public(v)).select("slug", "n")
 
 
 @query("d11_content_audit", PUBLIC + f""", base AS (SELECT count(*) AS items, count(*) FILTER (organization_id IS NULL AND category_id IS NULL) AS orphans, count(*) FILTER (trim(coalesce(title, '')) = '') AS missing_titles, count(*) FILTER (k % 40 = 0) AS missing_descriptions, count(*) FILTER (coalesce(slug, '') = '') AS missing_canonicals FROM public),
-dup AS (SELECT count(*) AS duplicate_titles FROM (SELECT lower(trim(title)) FROM public GROUP BY 1 HAVING count(*) > 1)), thin AS (SELECT count(*) FILTER (n < min_content_threshold) AS thin_pages FROM ({_COUNTS}))
+dup AS (SELECT count(*) AS duplicate_titles FROM (SELECT lower(trim(title)) FROM public GROUP BY 1 HAVING count(*) > 1)), thin AS (SELECT count(*) FILTER (n < min_content_threshold) AS thin_pages FROM ({_AUDITED}))
 SELECT *, 0::BIGINT AS broken_links, greatest(0, 100 - least(20, missing_titles * 5) - least(15, missing_descriptions * 2) - least(15, duplicate_titles * 3) - least(10, orphans * 2) - least(10, thin_pages * 2)) AS score FROM base, dup, thin""")
 def _(v: Views) -> DataFrame:
     return stats.content_audit(public(v).withColumn("meta_description", F.expr("case when k % 40 <> 0 then title end")), v.programmatic_pages)
@@ -98,6 +102,27 @@ def _(v: Views) -> DataFrame:
     return stats.landing_pages(v.programmatic_pages, public(v))
 
 
+@query("h13_landing_items", PUBLIC + f", m AS ({_MATCHES}), lists AS (SELECT slug, string_agg(id, ',' ORDER BY r) AS items, count(*) AS shown FROM m WHERE r <= 30 GROUP BY slug) SELECT g.slug, coalesce(items, '') AS items, coalesce(shown, 0)::BIGINT AS shown, is_indexable AND coalesce(shown, 0) >= min_content_threshold AS indexable FROM programmatic_pages g LEFT JOIN lists USING (slug)")
+def _(v: Views) -> DataFrame:
+    out = stats.landing_items(v.programmatic_pages, public(v))
+    return out.select("slug", F.array_join("items", ",").alias("items"), "shown", "indexable")
+
+
+_MANY = "many AS (SELECT DISTINCT 'search' AS kind, right(slug, 4) AS term FROM content_items)"
+
+
+@query("c7_many_landing_pages", PUBLIC + f", {_MANY} SELECT term AS slug, count(p.id) AS n FROM many LEFT JOIN public p ON contains(lower(concat_ws(chr(10), p.title, p.slug)), lower(term)) GROUP BY term")
+def _(v: Views) -> DataFrame:
+    """More pages than one row should hold: their terms meet the items by grams."""
+    pages = v.sql(f"WITH {_MANY} SELECT * FROM many").withColumn("slug", F.col("term"))
+    return stats.landing_counts(pages, public(v).withColumn("own", F.col("slug")), ("title", "own")).select("slug", "n")
+
+
+@query("d11_duplicate_titles", PUBLIC + ", t AS (SELECT lower(trim(title)) AS title, slug, row_number() OVER (PARTITION BY lower(trim(title)) ORDER BY slug) AS r FROM public WHERE lower(trim(title)) <> '') SELECT title, count(*) AS n, string_agg(slug, ',' ORDER BY r) FILTER (r <= 100) AS slugs FROM t GROUP BY title HAVING count(*) > 1")
+def _(v: Views) -> DataFrame:
+    return stats.duplicate_title_slugs(public(v)).select("title", "n", F.array_join("slugs", ",").alias("slugs"))
+
+
 @query("d12_run_summary", """SELECT *, CASE WHEN error = 0 THEN 'completed' WHEN error < discovered THEN 'partial' ELSE 'failed' END AS status FROM (
 SELECT user_id AS execution_id, count(*) AS discovered, count(*) FILTER (event_type = 'view') AS new, count(*) FILTER (event_type = 'click') AS updated, count(*) FILTER (event_type NOT IN ('view', 'click', 'error')) AS unchanged, count(*) FILTER (event_type = 'error') AS error FROM {events} GROUP BY user_id)""")
 def _(v: Views) -> DataFrame:

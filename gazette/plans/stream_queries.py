@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.functions import exprs, templates
+from gazette.operators.listing import STATES
 from gazette.plans import alert_queries
 from gazette.plans.listing_queries import RESOLVED, public
 from gazette.plans.registry import query
@@ -109,11 +110,34 @@ def _(v: Views) -> DataFrame:
     return capped(v.raw("pages").selectExpr("page_id", "concat('src', page_id % 20) as source_id", "page_id as pos"), 5).select("page_id", "source_id")
 
 
-@query("a11_sitemap", """SELECT '/jobs' AS path, (SELECT updated_at::DATE FROM content_items WHERE status = 'published' ORDER BY published_at DESC, id LIMIT 1)::VARCHAR AS lastmod, 'daily' AS changefreq, 0.9::DOUBLE AS priority
-UNION ALL SELECT concat('/', CASE type WHEN 'job' THEN 'jobs' WHEN 'result' THEN 'results' WHEN 'admit_card' THEN 'admit-card' WHEN 'answer_key' THEN 'answer-key' WHEN 'exam' THEN 'exams' WHEN 'scholarship' THEN 'scholarships' WHEN 'scheme' THEN 'schemes' ELSE 'important-updates' END, '/', slug), updated_at::DATE::VARCHAR, 'weekly', 0.8 FROM content_items WHERE status = 'published'
-UNION ALL SELECT DISTINCT concat('/organizations/', o.slug), NULL::VARCHAR, 'weekly', 0.7 FROM organizations o JOIN content_items i ON i.organization_id = o.id AND i.status = 'published'""")
+_SITEMAP = """sections AS (SELECT * FROM (VALUES ('jobs', 'job'), ('results', 'result'), ('admit-card', 'admit_card'), ('answer-key', 'answer_key'), ('exams', 'exam')) AS t(section, type)),
+listed AS (SELECT s.section, i.* FROM content_items i JOIN sections s ON s.type = i.type WHERE i.status = 'published'),
+heads AS (SELECT section, first(updated_at::DATE ORDER BY published_at DESC NULLS LAST, id) AS lastmod FROM listed GROUP BY section),
+entries AS (
+  SELECT s.section AS kind, concat('/', s.section) AS path, h.lastmod::VARCHAR AS lastmod, 'daily' AS changefreq, 0.9::DOUBLE AS priority FROM sections s LEFT JOIN heads h ON h.section = s.section
+  UNION ALL SELECT section, concat('/', section, '/', slug), coalesce(updated_at, published_at)::DATE::VARCHAR, 'weekly', 0.8 FROM listed
+  UNION ALL SELECT 'organizations', '/organizations', NULL, 'weekly', 0.8
+  UNION ALL SELECT 'organizations', concat('/organizations/', slug), (TIMESTAMP '2024-01-01' + DAYS(CAST(length(name) AS INT)))::DATE::VARCHAR, 'weekly', 0.7 FROM organizations o WHERE EXISTS (SELECT 1 FROM content_items i WHERE i.organization_id = o.id AND i.status = 'published')
+  UNION ALL SELECT 'states', '/states', NULL, 'weekly', 0.8
+  UNION ALL SELECT 'states', concat('/states/', replace(lower(state), ' ', '-')), NULL, 'weekly', 0.7 FROM (VALUES {states}) AS t(state)
+  UNION ALL SELECT 'landing', concat('/jobs/', slug), NULL, 'daily', 0.85 FROM programmatic_pages WHERE is_indexable
+  UNION ALL SELECT 'static', path, NULL, CASE WHEN path = '/' THEN 'daily' ELSE 'monthly' END, CASE WHEN path = '/' THEN 1.0 ELSE 0.5 END FROM (VALUES {paths}) AS t(path))""".replace("{states}", ", ".join(f"('{x}')" for x in STATES)).replace("{paths}", ", ".join(f"('{x}')" for x in feeds.STATIC_PATHS))
+
+
+def site(v: Views) -> DataFrame:
+    organizations = v.organizations.withColumn("updated_at", F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(length(name))"))
+    return feeds.sitemap(v.content_items.where("status = 'published'"), organizations, v.programmatic_pages.withColumn("updated_at", F.lit(None).cast("timestamp")))
+
+
+@query("a11_sitemap", f"WITH {_SITEMAP} SELECT * FROM entries")
+def _(v: Views) -> DataFrame:
+    return site(v).withColumn("lastmod", F.col("lastmod").cast("string"))
+
+
+@query("a11_sitemap_files", f"WITH {_SITEMAP} SELECT concat(kind, '-', (row_number() OVER (PARTITION BY kind ORDER BY path, lastmod NULLS FIRST, priority) - 1) // 50 + 1) AS file, path FROM entries")
 def _(v: Views) -> DataFrame:
-    return feeds.sitemap(v.content_items.where("status = 'published'"), v.organizations, "/jobs").withColumn("lastmod", F.col("lastmod").cast("string"))
+    """Files of 50 URLs."""
+    return feeds.sitemap_files(site(v), urls=50).select("file", "path")
 
 
 _DOC = "SELECT i.*, o.name AS organization_name, CASE WHEN o.id IS NULL THEN NULL ELSE concat('https://', o.slug, '.example.org') END AS organization_website, j.qualification, j.vacancy AS salary, j.application_last_date, CASE WHEN i.k % 3 = 0 THEN '' ELSE concat('About ', i.title) END AS excerpt FROM content_items i LEFT JOIN organizations o ON o.id = i.organization_id LEFT JOIN jobs j ON j.content_item_id = i.id WHERE i.status = 'published'"

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gazette.sources import tables
+
 #: Every operator takes its time as a parameter; the queries use this one.
 AS_OF = "2024-01-31 00:00:00"
 RAW = ("nation", "region", "customer", "orders", "lineitem", "events", "documents", "labels", "pages")
@@ -162,7 +164,7 @@ class Views:
         self.spark, self.sf_dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return tables.load(self.spark, self.sf_dir, name).rows
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.functions import exprs, text
+from gazette.operators.listing import STATES
+from gazette.operators.pages import numbered
 
 #: A tag's attributes, and an anchor's with its content.
 ANCHOR, TAG = r"(?is)<a(\s[^>]*)>(.*?)</a>", r"(?is)<{name}(\s[^>]*)>"
@@ -119,15 +121,48 @@ def new_documents(files: DataFrame, archived: DataFrame, slug: str, year: int) -
     return fresh.join(archived.select("checksum"), "checksum", "left_anti").select("path", "length", "checksum", stored.alias("storage_path"))
 
 
-def sitemap(published: DataFrame, organizations: DataFrame, section: str) -> DataFrame:
-    """Path, lastmod, changefreq, priority of the section page, the items and the organizations with items."""
-    row = lambda path, lastmod, freq, priority: [path.alias("path"), lastmod.alias("lastmod"), F.lit(freq).alias("changefreq"), F.lit(priority).alias("priority")]
-    newest = F.to_date(F.min_by("updated_at", F.struct(-F.unix_micros("published_at"), "id")))
-    head = published.agg(newest.alias("_day")).select(*row(F.lit(section), F.col("_day"), "daily", 0.9))
-    items = published.select(*row(exprs.target_url(F.col("type"), F.col("slug")), F.to_date("updated_at"), "weekly", 0.8))
+#: Fixed values of the sitemap: sections with their type, other paths, and the names of states' pages.
+SECTIONS = {"jobs": "job", "results": "result", "admit-card": "admit_card", "answer-key": "answer_key", "exams": "exam"}
+STATIC_PATHS = ("/", "/about", "/contact", "/disclaimer", "/privacy-policy", "/terms", "/editorial-policy", "/correction-policy", "/scholarships", "/syllabus", "/schemes", "/important-updates")
+#: URLs of a file, by the protocol.
+FILE_URLS = 50_000
+
+
+def sitemap(published: DataFrame, organizations: DataFrame, landing: DataFrame, states: tuple[str, ...] = STATES) -> DataFrame:
+    """Kind, path, lastmod, changefreq, priority of the whole sitemap: each section with its items, organizations(id, slug, updated_at) with published items, states, landing(slug, is_indexable, updated_at) pages that may be indexed, and static paths.
+
+    A section's lastmod is that of its newest item, by published_at, then id; a section without items is listed without.
+    """
+    spark = published.sparkSession
+    row = lambda kind, path, lastmod, freq, priority: [kind.alias("kind"), path.alias("path"), lastmod.alias("lastmod"), freq.alias("changefreq"), priority.alias("priority")]
+    number, none = lambda x: F.lit(float(x)), F.lit(None).cast("date")
+    section = exprs.lookup(F.col("type"), {t: s for s, t in SECTIONS.items()})
+    items = published.where(F.col("type").isin(*SECTIONS.values())).withColumn("_section", section)
+    newest = F.min_by(F.to_date("updated_at"), F.struct(F.col("published_at").isNull().alias("last"), (-F.unix_micros("published_at")).alias("age"), "id"))
+    sections = spark.createDataFrame([(s,) for s in SECTIONS], "_section string").join(items.groupBy("_section").agg(newest.alias("_day")), "_section", "left")
+    own = F.to_date(F.coalesce("updated_at", "published_at"))
     used = published.select(F.col("organization_id").alias("id")).distinct()
-    orgs = organizations.join(used, "id", "left_semi").select(*row(F.concat(F.lit("/organizations/"), "slug"), F.lit(None).cast("date"), "weekly", 0.7))
-    return head.unionByName(items).unionByName(orgs)
+    pages = [("organizations", "/organizations", "weekly", 0.8), ("states", "/states", "weekly", 0.8)]
+    pages += [("states", f"/states/{s.lower().replace(' ', '-')}", "weekly", 0.7) for s in states]
+    pages += [("static", p, "daily" if p == "/" else "monthly", 1.0 if p == "/" else 0.5) for p in STATIC_PATHS]
+    fixed = spark.createDataFrame(pages, "kind string, path string, changefreq string, priority double")
+    parts = [
+        sections.select(*row(F.col("_section"), F.concat(F.lit("/"), "_section"), F.col("_day"), F.lit("daily"), number(0.9))),
+        items.select(*row(F.col("_section"), F.concat(F.lit("/"), "_section", F.lit("/"), "slug"), own, F.lit("weekly"), number(0.8))),
+        organizations.join(used, "id", "left_semi").select(*row(F.lit("organizations"), F.concat(F.lit("/organizations/"), "slug"), F.to_date("updated_at"), F.lit("weekly"), number(0.7))),
+        landing.where("is_indexable").select(*row(F.lit("landing"), F.concat(F.lit("/jobs/"), "slug"), F.to_date("updated_at"), F.lit("daily"), number(0.85))),
+        fixed.select(*row(F.col("kind"), F.col("path"), none, F.col("changefreq"), F.col("priority"))),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def sitemap_files(entries: DataFrame, urls: int = FILE_URLS) -> DataFrame:
+    """Entries of sitemap() with file, "<kind>-<number>" from 1 on, of at most urls entries each, by path. Numbers come from range partitions and the counts before them, so no kind is sorted in one task."""
+    rows = numbered(entries, [F.asc("path"), F.asc("lastmod"), F.asc("priority")], "kind")
+    return rows.withColumn("file", F.concat("kind", F.lit("-"), (F.expr(f"number div {urls}") + 1).cast("string"))).drop("number")
 
 
 def _stamp(at: Column) -> Column:
