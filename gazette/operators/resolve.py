@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.functions import exprs
+from gazette.operators.search import n_best
 from gazette.session import written
 
 IDENTITY = ("id", "content_type", "year", "org", "rec", "advt", "notif", "pdf", "checksum", "vacancy", "ends", "norm", "tokens", "created_at")
@@ -78,7 +79,7 @@ BLOCKS = ("checksum", "advt", "notif", "pdf", "org")
 _WITH_REC, _LEFT_OPEN, _RIGHT_OPEN, _DATES = 4, 5, 6, 7
 
 
-def candidates(left: DataFrame, right: DataFrame, ordered: bool, least: int = 65) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, ordered: bool, least: int = 65, exact: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of one type and year that may reach least, complete: by one of checksum, numbers, document URL or organization; those of different recruitment are left out.
 
     Without an equal key a pair has 15 for the year, 20 for the title and 10 each for vacancy and last date: 55 at most. So
@@ -86,13 +87,14 @@ def candidates(left: DataFrame, right: DataFrame, ordered: bool, least: int = 65
     46 pairs without a key would be lost, and it raises. A row stands under each of its keys, so one equi-join serves all; a
     pair counts under the first of its equal keys only, so none has to be removed afterwards. Organizations are split by
     recruitment; rows without one meet all of their organization. ordered: a_id < b_id, for a join of a table with itself.
+    exact=False leaves the plain keys to the caller; also names columns that must be equal besides.
     """
     if least <= 45:
         raise ValueError("pairs without an equal key reach 45 points without both vacancy and last date: least must be 46 or more")
     key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"))
     open_, org = F.col("rec").isNull(), F.col("org")
     both = F.concat_ws("\u0001", F.length("org").cast("string"), "org", "rec")
-    plain = [key(n, F.col(k)) for n, k in enumerate(BLOCKS[:-1])]
+    plain = [key(n, F.col(k)) for n, k in enumerate(BLOCKS[:-1])] if exact else []
     by_org = {
         "a": [key(_WITH_REC, F.when(~open_ & org.isNotNull(), both)), key(_LEFT_OPEN, F.when(open_, org)), key(_RIGHT_OPEN, F.when(~open_, org))],
         "b": [key(_WITH_REC, F.when(~open_ & org.isNotNull(), both)), key(_LEFT_OPEN, org), key(_RIGHT_OPEN, F.when(open_, org))],
@@ -100,10 +102,12 @@ def candidates(left: DataFrame, right: DataFrame, ordered: bool, least: int = 65
     dates = [key(_DATES, F.when(F.col("vacancy").isNotNull() & F.col("ends").isNotNull(), F.concat_ws("\u0001", F.col("vacancy").cast("string"), "ends")))] if least < 56 else []
     a, b = (_sides(side.withColumn("block", F.explode(F.filter(F.array(*plain, *by_org[name], *dates), lambda x: x["key"].isNotNull()))), name) for side, name in ((left, "a"), (right, "b")))
     kind = F.when(F.col("a_rec").isNull(), _LEFT_OPEN).when(F.col("b_rec").isNull(), _RIGHT_OPEN).otherwise(_WITH_REC)
-    first = exprs.cases([(F.col(f"a_{k}") == F.col(f"b_{k}"), n) for n, k in enumerate(BLOCKS[:-1])])
+    first = exprs.cases([(F.col(f"a_{k}") == F.col(f"b_{k}"), n) for n, k in enumerate(BLOCKS[:-1])]) if exact else F.lit(None).cast("int")
     first = F.coalesce(first, F.when(F.col("a_org") == F.col("b_org"), kind), F.lit(_DATES))
     on = (F.col("a_content_type") == F.col("b_content_type")) & (F.col("a_year") == F.col("b_year")) & (F.col("a_block.kind") == F.col("b_block.kind")) & (F.col("a_block.key") == F.col("b_block.key"))
     on = on & (F.col("a_rec").isNull() | F.col("b_rec").isNull() | (F.col("a_rec") == F.col("b_rec"))) & (F.col("a_block.kind") == first)
+    for c in also:
+        on = on & (F.col(f"a_{c}") == F.col(f"b_{c}"))
     if ordered:
         on = on & (F.col("a_id") < F.col("b_id"))
     return a.join(b, on).drop("a_block", "b_block")
@@ -163,24 +167,66 @@ def audit_statistics(notices: DataFrame, as_of: str, least: int = 65) -> DataFra
     return row.select("scanned", "pairs", "high", "review", (F.col("scanned") - F.col("paired")).alias("unpaired"), (F.col("scanned") - F.col("pairs")).alias("scanned_less_pairs"))
 
 
+def _newest(columns: list[str]) -> Column:
+    return F.min_by(F.struct(*columns), F.struct(F.col("created_at").isNull().alias("last"), (-F.unix_micros("created_at")).alias("age"), F.col("newest_id")))
+
+
+#: Keys of which an equal one decides a pair, alone and together.
+_EXACT = (("checksum",), ("advt",), ("notif",), ("pdf",), ("advt", "checksum"), ("notif", "checksum"))
+
+
+def _by_number(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs with an equal key. All of one key and kind score alike, so the newest of each is enough: of any type and year, and of the same type and year with the same recruitment, with none, or, for those without, with any."""
+    same = []
+    for n, keys in enumerate(_EXACT):
+        has = F.lit(True)
+        for k in keys:
+            has = has & F.col(k).isNotNull()
+        same.append(F.when(has, F.concat_ws("\u0001", F.lit(str(n)), *[F.concat(F.length(k).cast("string"), F.lit(":"), F.col(k)) for k in keys])))
+    same = F.explode(F.array_compact(F.array(*same)))
+    place = F.concat_ws("\u0001", "content_type", F.col("year").cast("string"))
+    far, any_, none, own = F.lit("far"), F.concat_ws("\u0001", place, F.lit("*")), F.concat_ws("\u0001", place, F.lit("-")), F.concat_ws("\u0001", place, F.concat(F.lit("="), "rec"))
+    open_ = F.col("rec").isNull()
+    offered = F.array(far, any_, F.when(open_, none).otherwise(own))
+    asked = F.when(open_, F.array(far, any_)).otherwise(F.array(far, none, own))
+    known = right.withColumn("_same", same).withColumn("_near", F.explode(offered)).groupBy("_same", "_near").agg(_newest(right.columns).alias("b"))
+    known = known.select(*[F.col(f"b.{c}").alias(f"b_{c}") for c in right.columns], F.col("_same").alias("_b_same"), F.col("_near").alias("_b_near"))
+    mine = _sides(left.withColumn("same", same).withColumn("near", F.explode(asked)), "a")
+    return mine.join(known, (F.col("a_same") == F.col("_b_same")) & (F.col("a_near") == F.col("_b_near"))).drop("a_same", "a_near", "_b_same", "_b_near")
+
+
+def _by_title(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """Pairs without a look at exact keys, from which no best one is missing.
+
+    Beyond the facets of a title (type, year, organization, recruitment, text) a score depends on whether vacancy and last
+    date are equal, unknown or different. So of the rows of one title that have an equal, no or any vacancy, and an equal, no
+    or any date, the newest is enough: nine rows a title at most, however many it has. "Any" stands for different: should the
+    newest of any be equal or unknown, it scores no less. An equal document URL takes a score to 96, also from above, so of each
+    the newest with another URL stands too.
+    """
+    facets = ["content_type", "year", "org", "rec", "norm"]
+    kind = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    spread = right.withColumns({"vk": F.explode(F.array(kind("vacancy"), F.lit("*")))}).withColumn("ek", F.explode(F.array(kind("ends"), F.lit("*"))))
+    by_url = spread.groupBy(*facets, "vk", "ek", "pdf").agg(_newest([c for c in right.columns if c not in (*facets, "pdf")]).alias("m"))
+    rows = by_url.select(*facets, "pdf", "vk", "ek", *[F.col(f"m.{c}").alias(c) for c in right.columns if c not in (*facets, "pdf")])
+    top = n_best(rows, [*facets, "vk", "ek"], [F.desc_nulls_last("created_at"), F.asc("newest_id")], 2).drop("rank")
+    asked = lambda c: F.when(F.col(c).isNull(), F.array(F.lit("*"))).otherwise(F.array(kind(c), F.lit("-"), F.lit("*")))
+    mine = left.withColumn("vk", F.explode(asked("vacancy"))).withColumn("ek", F.explode(asked("ends")))
+    return candidates(mine, top, ordered=False, least=least, exact=False, also=("vk", "ek")).drop("a_vk", "a_ek", "b_vk", "b_ek")
+
+
 def match_incoming(incoming: DataFrame, catalogue: DataFrame, as_of: str, least: int = 50) -> DataFrame:
     """For each incoming notice the best of the catalogue: one with an equal advertisement or notification number, then one with an equal checksum, both of any type and year, then the highest score from least on; newest wins ties. Classes are matched, and each stands for its newest member.
 
     A number or checksum of another type, year or recruitment scores 0 and has action link_related_stage or create_unique.
-    Such pairs aren't enumerated: all score alike, so the newest row of each number is the best of them.
+    Only rows that may be the best are paired, so pairs follow the incoming notices and the different titles, not their product with the catalogue.
     """
     asked, known = (classed(written(identities(x, as_of), "match-identities")) for x in (incoming, catalogue))
     left, right = written(representatives(asked), "match-asked"), written(representatives(known), "match-known")
     same = lambda c: F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False))
     stage = F.when(same("advt") | same("notif"), 1).when(same("checksum"), 2).otherwise(3)
-    keyed = None
-    for k in ("advt", "notif", "checksum"):
-        newest = F.min_by(F.struct(*right.columns), F.struct(F.col("created_at").isNull().alias("last"), (-F.unix_micros("created_at")).alias("age"), F.col("newest_id")))
-        by_key = _sides(right.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_key")).agg(newest.alias("b")).select("b.*"), "b")
-        some = _sides(left, "a").join(by_key, F.col(f"a_{k}") == F.col(f"b_{k}"))
-        keyed = some if keyed is None else keyed.unionByName(some)
-    scores = candidates(left, right, ordered=False, least=least).unionByName(keyed)
-    pairs = scored(scores).withColumn("_stage", stage).where((F.col("confidence") >= least) | (F.col("_stage") < 3))
+    pairs = scored(_by_title(left, right, least).unionByName(_by_number(left, right))).withColumn("_stage", stage)
+    pairs = pairs.where((F.col("confidence") >= least) | (F.col("_stage") < 3))
     facts = ("confidence", "tier", "status", "action", F.col("_stage").alias("stage"))
     order = F.struct("_stage", (-F.col("confidence")).alias("score"), F.col("b_created_at").isNull().alias("last"), (-F.unix_micros("b_created_at")).alias("age"), F.col("b_newest_id"))
     best = pairs.groupBy(F.col("a_id").alias("class")).agg(F.min_by(F.struct(F.col("b_newest_id").alias("match_id"), *facts), order).alias("m")).select("class", "m.*")
