@@ -64,10 +64,10 @@ FROM measures m LEFT JOIN limits t ON t.lang = coalesce(m.lang, chr(1)) AND t.so
 
 URL_FILTERS = r"""
 WITH split AS (
-  SELECT page_id, url, length(html) AS size,
+  SELECT page_id, url, html,
     CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 parts AS (
-  SELECT page_id, url, size, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, url, html, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '') AS query FROM split),
 named AS (
   SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '(\.html|/)$', '') ||
@@ -79,7 +79,7 @@ fit AS (
 best AS (
   SELECT k, arg_max(h || p, length(h || p)) AS rule, arg_max(say, length(h || p)) AS say
   FROM fit JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k),
-listed AS (SELECT DISTINCT canon FROM named WHERE canon IS NOT NULL AND (regexp_matches(host, '(adult|casino|spam|pills|bets|ads)-') OR size < 900))
+listed AS (SELECT canon FROM named WHERE canon IS NOT NULL GROUP BY canon HAVING count(DISTINCT html) > 1)
 SELECT page_id, host, path, rule, coalesce(say, CASE WHEN canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM fit LEFT JOIN best USING (k)
 """

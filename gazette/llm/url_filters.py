@@ -1,8 +1,9 @@
 """URL filters: rules by host and path, then a list of canonical URLs behind a blocked Bloom filter.
 
 Native: DataFrame functions only. The filter is a table of 256-bit blocks (four longs); a URL's first hash chooses its
-block, its second sets six bits there. Building is one aggregation with bit_or, probing one join on the block. Only
-possible hits enter the exact join on the canonical URL, which removes false positives.
+block, its second sets six bits there. Building is one aggregation with bit_or, probing one join on the block. The probed
+pages are written; possible hits alone go on to the exact join on the canonical URL, which removes false positives, and the
+others pass it by. The list is a table of any size, a parameter.
 
 Defined results. Null URL or one without ``://``: host and path empty, no rule, never listed. Repeated rows: each is
 judged. An empty list blocks nothing. Nulls in the list are ignored. The rules are a parameter of bounded size.
@@ -89,20 +90,14 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     hit = F.lit(True)
     for i, m in enumerate(_words(F.col("canonical"))):
         hit = hit & (m.bitwiseAND(F.col(f"f{i}")) == m)
-    probed = probed.withColumn("maybe", F.coalesce((F.col("canonical").isNotNull()) & hit, F.lit(False))).select(*pages.columns, "maybe")
-    # One scan: a URL that can't be listed gets a spread key of its own, so nothing piles up on null
+    probed = cut(probed.withColumn("maybe", F.coalesce((F.col("canonical").isNotNull()) & hit, F.lit(False))).select(*pages.columns, "maybe"), "url-probed")
     exact = listed.select(F.col("canonical").alias("_listed"))
-    key = F.when(F.col("maybe"), F.col("canonical")).otherwise(F.concat(F.lit("\u0000"), F.xxhash64("page_id", "canonical").cast("string")))
-    joined = probed.withColumn("_key", key).join(exact, F.col("_key") == F.col("_listed"), "left")
-    out = joined.withColumn("listed", F.col("_listed").isNotNull())
+    hits = probed.where("maybe").join(exact, F.col("canonical") == F.col("_listed"), "left").withColumn("listed", F.col("_listed").isNotNull()).drop("_listed")
+    out = hits.unionByName(probed.where(~F.col("maybe")).withColumn("listed", F.lit(False)))
     return out.select("page_id", "host", "path", "rule", "canonical", "maybe", "listed", F.coalesce("rule_verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
 
-#: The query's list: words in the name of a host all of whose pages are listed, and the characters of markup under which a page of any host is too thin to keep.
-LISTED_HOSTS, THIN = r"(adult|casino|spam|pills|bets|ads)-", 900
-
-
 def listed_urls(pages: DataFrame) -> DataFrame:
-    """canonical: the distinct canonical URLs of the pages(url, html) on listed hosts, and of thin pages. A page under another form of a thin page's URL is thereby listed too."""
-    named = pages.select(canonical(F.col("url")).alias("canonical"), host_of(F.col("url")).alias("host"), F.length("html").alias("size"))
-    return named.where(F.col("host").rlike(LISTED_HOSTS) | (F.col("size") < THIN)).select("canonical").distinct()
+    """The query's list, canonical: the URLs that stand for more than one body among all pages(url, html). No page shows by itself whether it is listed. Nulls are no body."""
+    named = pages.select(canonical(F.col("url")).alias("canonical"), F.md5("html").alias("body")).where("canonical is not null")
+    return named.groupBy("canonical").agg(F.min("body").alias("first"), F.max("body").alias("last")).where("first <> last").select("canonical")
