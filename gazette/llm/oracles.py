@@ -35,14 +35,25 @@ ranked AS (SELECT lang, source, measure, b, row_number() OVER (PARTITION BY lang
 q AS (
   SELECT lang, source, measure, max(n) AS n, min(b) FILTER (4 * nth >= n) AS q1, min(b) FILTER (2 * nth >= n) AS q2, min(b) FILTER (4 * nth >= 3 * n) AS q3, min(b) FILTER (10 * nth >= 9 * n) AS d9
   FROM ranked GROUP BY ALL),
-s AS (SELECT lang, source, measure, n, q2 AS mid, CASE WHEN measure = 'milli' THEN least(q2 - q1, q3 - q2) ELSE d9 - q2 END AS spread FROM q),
+bins AS (SELECT lang, source, measure, b, count(*) AS n FROM levels WHERE measure IN ('symbol_ppm', 'dup_line_ppm') GROUP BY ALL),
+summed AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM bins),
+filled AS (SELECT *, lead(b) OVER (PARTITION BY lang, source, measure ORDER BY b) AS next FROM (SELECT * FROM summed WHERE n * 1000 >= total)),
+gaps AS (SELECT *, (next + unit) * 1000 // (b + unit) AS wide FROM (SELECT *, CASE WHEN measure = 'symbol_ppm' THEN 10000 ELSE 100000 END AS unit FROM filled) WHERE 2 * upto >= total AND next + unit >= 4 * (b + unit)),
+widest AS (SELECT lang, source, measure, b AS low, next AS high FROM gaps QUALIFY row_number() OVER (PARTITION BY lang, source, measure ORDER BY wide DESC, b) = 1),
+sizes AS (SELECT lang, measure, max(total) AS n FROM summed WHERE source = chr(2) AND lang <> chr(2) GROUP BY ALL),
+edges AS (SELECT z.lang, z.measure, CASE WHEN z.n < 50 THEN a.low ELSE w.low END AS low, CASE WHEN z.n < 50 THEN a.high ELSE w.high END AS high
+  FROM sizes z LEFT JOIN widest w ON w.lang = z.lang AND w.source = chr(2) AND w.measure = z.measure LEFT JOIN widest a ON a.lang = chr(2) AND a.measure = z.measure),
+sides AS (SELECT b.lang, b.source, b.measure, any_value(e.low) AS low, any_value(e.high) AS high, sum(b.n) AS n, max(b.b) FILTER (b.b <= e.low) AS below, min(b.b) FILTER (b.b >= e.high) AS above
+  FROM bins b JOIN edges e ON e.lang = b.lang AND e.measure = b.measure WHERE b.source <> chr(2) AND e.high IS NOT NULL GROUP BY b.lang, b.source, b.measure),
+cuts AS (SELECT lang, source, measure, ((n * coalesce(below, low) + 50 * low) // (n + 50) + (n * coalesce(above, high) + 50 * high) // (n + 50)) // 2 AS cut FROM sides),
+s AS (SELECT lang, source, measure, n, q2 AS mid, CASE WHEN measure = 'milli' THEN least(q2 - q1, q3 - q2) ELSE d9 - q2 END AS spread FROM q WHERE measure IN ('repeat_ppm', 'milli')),
 chosen AS (
   SELECT o.lang, o.source, o.measure,
     (o.n * o.mid + 50 * ((l.n * l.mid + 50 * a.mid) // (l.n + 50))) // (o.n + 50) AS mid,
     (o.n * o.spread + 50 * ((l.n * l.spread + 50 * a.spread) // (l.n + 50))) // (o.n + 50) AS spread
   FROM s o JOIN s l ON l.lang = o.lang AND l.source = chr(2) AND l.measure = o.measure
   JOIN s a ON a.lang = chr(2) AND a.source = chr(2) AND a.measure = o.measure WHERE o.source <> chr(2)),
-rules AS (SELECT * FROM (VALUES ('symbol_ppm', 8, 5000), ('dup_line_ppm', 8, 50000), ('repeat_ppm', 12, 10000), ('milli', 16, 150)) AS t(measure, fence, floor)),
+rules AS (SELECT * FROM (VALUES ('repeat_ppm', 12, 10000), ('milli', 16, 150)) AS t(measure, fence, floor)),
 reaches AS (SELECT lang, source, measure, mid, fence * greatest(floor, spread) AS reach FROM chosen JOIN rules USING (measure)),
 votes AS (SELECT lang, measure, b, row_number() OVER (PARTITION BY lang, measure ORDER BY b) AS nth, count(*) OVER (PARTITION BY lang, measure) AS n
   FROM (SELECT lang, measure, CASE WHEN reach < 64 THEN reach ELSE (reach >> (length(bin(reach)) - 6)) << (length(bin(reach)) - 6) END AS b FROM reaches)),
@@ -50,12 +61,12 @@ middle AS (SELECT lang, measure, min(b) FILTER (2 * nth >= n) AS most FROM votes
 fences AS (SELECT lang, source, measure, mid, least(reach, 3 * most // 2) AS reach FROM reaches JOIN middle USING (lang, measure)),
 limits AS (
   SELECT lang, source,
-    max(CASE WHEN measure = 'symbol_ppm' THEN mid + reach END) AS symbol_max,
-    max(CASE WHEN measure = 'dup_line_ppm' THEN mid + reach END) AS dup_max,
+    (SELECT max(cut) FROM cuts c WHERE c.lang = f.lang AND c.source = f.source AND c.measure = 'symbol_ppm') AS symbol_max,
+    (SELECT max(cut) FROM cuts c WHERE c.lang = f.lang AND c.source = f.source AND c.measure = 'dup_line_ppm') AS dup_max,
     max(CASE WHEN measure = 'repeat_ppm' THEN mid + reach END) AS repeat_max,
     max(CASE WHEN measure = 'milli' THEN mid + reach END) AS milli_max,
     max(CASE WHEN measure = 'milli' THEN mid - reach END) AS milli_min
-  FROM fences GROUP BY ALL)
+  FROM fences f GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR coalesce(symbol_ppm > symbol_max, false) OR coalesce(dup_line_ppm > dup_max, false) OR coalesce(repeat_ppm > repeat_max, false)
     OR coalesce(milli > milli_max, false) OR coalesce(milli < milli_min, false)) AS kept

@@ -63,6 +63,24 @@ def test_a_source_of_much_junk_does_not_lift_its_limits(spark, prose):
     assert double["limit_long_word_milli"] > 10_000 > clean["limit_long_word_milli"]
 
 
+def test_limits_lie_in_the_break_of_the_language(spark, prose):
+    """Symbols are cut between what is usual and what is far from it, wherever that is; where nothing is, there is no limit."""
+    def marked(n, every):
+        return " ".join(w + ("%" if i % every == 0 else "") for i, w in enumerate(prose(n).split()))
+
+    rows = [(i, prose(90) if i % 3 else marked(90, 30), "en", f"s{i % 2}") for i in range(300)] + [(1000 + i, marked(90, 1 + i % 2), "en", f"s{i % 2}") for i in range(40)]
+    rows += [(2000 + i, prose(90) if i % 4 else marked(90, 2), "few", "s") for i in range(20)] + [(3000 + i, marked(90, 25 + i % 5), "xx", "s") for i in range(200)]
+    rows += [(4000 + i, "\n".join([prose(30)] * (2 if i % 9 == 0 else 1) + [prose(12) for _ in range(i % 5 + 4)]), "yy", "s") for i in range(90)]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    usual = max(got[i]["symbol_ppm"] for i in range(300))
+    assert 0 < usual < got[1]["limit_symbol_ppm"] < min(got[1000 + i]["symbol_ppm"] for i in range(40))
+    assert got[1]["limit_symbol_ppm"] != got[2]["limit_symbol_ppm"]  # each source its own
+    assert all(got[i]["kept"] for i in range(300)) and not any(got[1000 + i]["kept"] for i in range(40))
+    assert [got[2000 + i]["kept"] for i in range(20)] == [i % 4 > 0 for i in range(20)]  # too few: by the corpus
+    assert got[3000]["limit_symbol_ppm"] is None and all(got[3000 + i]["kept"] for i in range(200))
+    assert got[4000]["limit_dup_line_ppm"] is None and all(got[4000 + i]["kept"] for i in range(90) if i % 9)
+
+
 def test_no_single_cutoff_gives_the_verdicts_of_two_sources(spark, prose):
     """One source's texts repeat phrases as a habit; what is usual there is junk in the other."""
     habit = lambda n: " ".join([*prose(70).split(), *("as it was said before " * n).split()])
