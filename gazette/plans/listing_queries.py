@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from gazette.functions import exprs
 from gazette.operators import listing, search
@@ -37,7 +36,7 @@ def _(v: Views) -> DataFrame:
 #: Events as text and flags, as logs have them: times in two forms, some of them and some numbers spoilt.
 _TEXTS = """texts AS (SELECT CASE WHEN event_id % 50 = 7 THEN concat('e', event_id) ELSE concat(' ', event_id) END AS event_id, CASE WHEN event_id % 40 = 3 THEN 'yesterday' WHEN event_id % 2 = 0 THEN concat(substring(concat(ts), 1, 10), 'T', substring(concat(ts), 12, 8)) ELSE substring(concat(ts), 1, 19) END AS ts,
   CASE WHEN event_id % 30 = 11 THEN 'n/a' WHEN event_id % 30 = 12 THEN '' ELSE concat(user_id) END AS user_id, CASE WHEN event_id % 60 = 13 THEN 'maybe' WHEN event_id % 3 = 0 THEN '1' ELSE 'false' END AS failed, event_type FROM {events})"""
-_LOGGED = StructType.fromDDL("event_id long not null, ts timestamp, user_id long, failed boolean, event_type string, note string")
+_LOGGED = "event_id long not null, ts timestamp, user_id long, failed boolean, event_type string, note string"
 
 
 @query("a1_typed_load", f"WITH {_TEXTS} SELECT CAST(trim(event_id) AS BIGINT) AS event_id, replace(ts, 'T', ' ') AS ts, CAST(nullif(user_id, '') AS BIGINT)::VARCHAR AS user_id, failed = '1' AS failed, event_type, NULL::VARCHAR AS note FROM texts WHERE NOT starts_with(event_id, 'e') AND ts <> 'yesterday' AND user_id <> 'n/a' AND failed <> 'maybe'")

@@ -9,24 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DateType, DecimalType, NumericType, StringType, StructType, TimestampNTZType, TimestampType
 
 #: Declared columns of the tables that come in.
-SCHEMAS: dict[str, StructType] = {
-    name: StructType.fromDDL(columns)
-    for name, columns in {
-        "region": "r_regionkey int, r_name string",
-        "nation": "n_nationkey int, n_name string, n_regionkey int",
-        "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
-        "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
-        "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
-        "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
-        "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
-        "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
-        "documents": "doc_id long, text string, lang string, source string, n_chars long",
-        "embeddings": "vec_id long, embedding array<float>, label int",
-        "pages": "page_id long, url string, html string",
-        "benchmark": "item_id long, text string",
-        "labels": "doc_id long, quality int, toxic int",
-        "conversations": "conv_id long, turn long, role string, text string",
-    }.items()
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "pages": "page_id long, url string, html string",
+    "benchmark": "item_id long, text string",
+    "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role string, text string",
 }
 TRUE, FALSE = ("1", "true", "t", "yes"), ("0", "false", "f", "no")
 
@@ -59,11 +56,12 @@ class Loaded:
     errors: DataFrame
 
 
-def fitted(raw: DataFrame, schema: StructType) -> Loaded:
+def fitted(raw: DataFrame, schema: StructType | str) -> Loaded:
     """raw in the declared schema. A column that raw lacks is null; further ones are left out; an empty text isn't a number, flag or time but null.
 
     Columns that have their declared type already aren't looked at, so a clean table is still read by the columns and filters that a query needs.
     """
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     have = {f.name: f.dataType for f in raw.schema}
     columns, faults = [], []
     for f in schema:
@@ -91,10 +89,11 @@ def fitted(raw: DataFrame, schema: StructType) -> Loaded:
     return Loaded(judged.where(F.size("_reasons") == 0).select(*columns), errors)
 
 
-def load(spark: SparkSession, folder: str, name: str, schema: StructType | None = None) -> Loaded:
+def load(spark: SparkSession, folder: str, name: str, schema: StructType | str | None = None) -> Loaded:
     """A1: the table name of a folder, by its declared schema."""
     raw = spark.read.parquet(f"{folder}/{name}.parquet")
     declared = schema or SCHEMAS[name]
+    declared = StructType.fromDDL(declared) if isinstance(declared, str) else declared
     # zoned and unzoned times are read as the files have them
     kinds = {f.name: f.dataType for f in raw.schema}
     times = (TimestampType, TimestampNTZType)
