@@ -55,7 +55,7 @@ class Pages:
         """The rows of a page with page, total, total_pages, has_next and has_prev, as listing.page_of() gives them."""
         page, limit = max(page, 1), min(max(limit, 1), 50)
         start = (page - 1) * limit
-        ends = [*[b for _, b in self.before[1:]], self.total]
+        ends = [*[b for _, b in self.before[1:]], self.total][: len(self.before)]
         touched = [(r, b) for (r, b), e in zip(self.before, ends, strict=True) if b < start + limit and e > start]
         first = touched[0][1] if touched else 0
         rows = self.rows.where(F.col("_range").isin([r for r, _ in touched])).drop("_range").orderBy(*self.by).offset(start - first).limit(limit) if touched else self.rows.drop("_range").limit(0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gazette.session import written
+
 #: Characters of a gram, and how many of a term's rarest grams a text must hold before it is looked at.
 GRAM, KEYS = 3, 2
 
@@ -27,20 +29,19 @@ def occurrences(items: DataFrame, terms: DataFrame) -> DataFrame:
     their texts are searched. A shorter term is a gram of its own length. So work follows postings of rare grams, not terms
     times items. Empty and null terms and null texts match nothing; ids and term_ids are unique, terms may repeat.
     """
-    asked = terms.select("term_id", F.lower("term").alias("term")).where(F.length("term") > 0)
-    words = asked.select("term").distinct()
-    texts = items.select("id", F.lower("text").alias("text"))
-    wanted = [words.where(F.length("term") >= GRAM).select("term", F.explode(grams(F.col("term"))).alias("gram"))]
-    wanted += [words.where(F.length("term") == n).select("term", F.col("term").alias("gram")) for n in range(1, GRAM)]
-    wanted = wanted[0].unionByName(wanted[1]).unionByName(wanted[2])
-    sizes = sorted({r[0] for r in words.select(F.least(F.length("term"), F.lit(GRAM))).distinct().collect()})  # 1, 2 and 3 at most
+    asked = written(terms.select("term_id", F.lower("term").alias("term")).where(F.length("term") > 0), "search-terms")
+    words = written(asked.select("term").distinct().withColumn("size", F.least(F.length("term"), F.lit(GRAM))), "search-words")
+    texts = written(items.select("id", F.lower("text").alias("text")).where(F.length("text") > 0), "search-texts")
+    sizes = sorted(r[0] for r in words.select("size").distinct().collect())  # 1, 2 and 3 at most
     if not sizes:
-        return asked.select("term_id").join(items.select("id")).where("false")
+        return asked.select("term_id").join(texts.select("id"), F.lit(False))
+    own = F.when(F.col("size") == GRAM, grams(F.col("term"))).otherwise(F.array("term"))
+    wanted = words.select("term", F.explode(own).alias("gram"))
     postings = texts.select("id", F.explode(F.concat(*[grams(F.col("text"), n) for n in sizes])).alias("gram"))
     counts = postings.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     known = wanted.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = n_best(known, ["term"], [F.asc("n"), F.asc("gram")], KEYS)
-    keys = rarest.join(rarest.groupBy("term").agg(F.count("*").alias("keys"), F.min("n").alias("least")), "term").where("least > 0").select("term", "gram", "keys")
+    rarest = n_best(known, ["term"], [F.asc("n"), F.asc("gram")], KEYS).groupBy("term").agg(F.min("n").alias("least"), F.collect_list("gram").alias("grams"))  # KEYS a term at most
+    keys = written(rarest.where("least > 0").select("term", F.explode("grams").alias("gram"), F.size("grams").alias("keys")), "search-keys")
     found = postings.join(keys, "gram").groupBy("term", "id").agg(F.count("*").alias("n"), F.first("keys").alias("keys")).where("n = keys").select("term", "id")
     verified = found.join(texts, "id").where(F.contains("text", "term")).select("term", "id")
     return asked.join(verified, "term").select("term_id", "id")
