@@ -101,8 +101,8 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
         seen = ledger.select("blob", F.explode("findings.rule").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         due = copies.join(seen, "blob", "left").select("blob", "path", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))).alias("missing")).where("size(missing) > 0")
     due = due.select(F.col("path").alias("due_path"), F.col("blob").alias("due_blob"), "missing")
-    texts = docs.select(F.col(path).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    one = texts.join(due, F.col("path").eqNullSafe(F.col("due_path"))).where(F.unhex(F.sha2("text", 256)) == F.col("due_blob"))
+    texts = docs.select(F.col(path).alias("path"), F.coalesce("text", F.lit("")).alias("text")).withColumn("own_blob", F.unhex(F.sha2("text", 256)))
+    one = texts.join(due, F.col("path").eqNullSafe(F.col("due_path")) & (F.col("own_blob") == F.col("due_blob")))
     return one.select(F.col("due_blob").alias("blob"), _scanner(rules)("text", "missing").alias("findings"))
 
 
