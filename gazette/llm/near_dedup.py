@@ -283,8 +283,8 @@ def links(docs: DataFrame, signed: DataFrame, tile: int = TILE) -> DataFrame:
     one = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut(members.select("key").distinct().join(one, "key"), "near-wanted").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"))
     # wanted grows with the corpus, so it isn't broadcast even where it would fit now
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    texts = texts.where(key_of() == F.col("_key")).select("_key", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key_of().alias("_content"))
+    texts = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_content") == F.col("_key"))).select("_key", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
