@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazette.llm.shared import cut
+from gazette.llm.shared import cut, cuts, remove
 
 @dataclass(frozen=True)
 class Measure:
@@ -198,10 +198,19 @@ def verdicts(measures: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.drop("t_lang", "t_source").withColumn("kept", F.expr(f"not (base_failed or {fails})"))
 
 
+def limits_of(measures: DataFrame) -> DataFrame:
+    """thresholds() of measured documents as a table; the sketches that it was made from are removed."""
+    spark = measures.sparkSession
+    outside = cuts(spark)
+    limits = cut(thresholds(cut(sketches(measures), "quality-sketches")), "quality-limits")
+    remove(spark, [p for p in cuts(spark)[:-1] if p not in outside])
+    return limits
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, counts, base_failed, measures, limits and kept for every row of docs(doc_id, text, lang, source)."""
     measures = cut(measured(docs, "doc_id", "lang", "source"), "quality-measures")
-    return verdicts(measures, cut(thresholds(cut(sketches(measures), "quality-sketches")), "quality-limits"))
+    return verdicts(measures, limits_of(measures))
 
 
 def filtered(docs: DataFrame) -> DataFrame:
@@ -209,5 +218,5 @@ def filtered(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select("text", "lang", "source", F.struct(*others).alias("_row"))
     measures = cut(measured(rows, "text", "lang", "source", "_row"), "quality-measures")
-    kept = verdicts(measures, cut(thresholds(cut(sketches(measures), "quality-sketches")), "quality-limits")).where("kept")
+    kept = verdicts(measures, limits_of(measures)).where("kept")
     return kept.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
