@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions import exprs
 from gazette.operators.search import n_best
-from gazette.session import written
+from gazette.session import remove_written, written, written_tables
 
 IDENTITY = ("id", "content_type", "year", "org", "rec", "advt", "notif", "pdf", "checksum", "vacancy", "ends", "norm", "tokens", "created_at")
 
@@ -290,10 +290,12 @@ def merge_roots(merges: DataFrame) -> tuple[DataFrame, DataFrame]:
         out = pointers.join(heads, F.col("target") == F.col("_node"), "left")
         return written(out.select("node", F.coalesce("_next", "target").alias("target"), (F.col("distance") + F.coalesce("_more", F.lit(0))).alias("distance"), F.col("_node").isNotNull().alias("moved")), "merge-pointers")
 
+    spark = merges.sparkSession
     pointers = merges.select(F.col("duplicate_id").alias("node"), F.col("canonical_id").alias("target"), F.lit(1).cast("long").alias("distance"))
-    before = -1
+    before, outside = -1, written_tables(spark)
     while True:
         pointers = doubled(pointers)
+        remove_written(spark, [p for p in written_tables(spark)[:-1] if p not in outside])
         moved = pointers.where("moved").count()
         if moved in (0, before):
             break

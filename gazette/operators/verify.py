@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.functions import exprs, templates
+from gazette.operators.search import occurrences
 from gazette.session import written
 
 # ---- Fixed values ----
@@ -181,12 +182,21 @@ def link_facts(public: DataFrame, as_of: str) -> DataFrame:
     return public.select("id", "published_at", F.col("organization_id").alias("org"), F.col("category_id").alias("cat"), F.nullif(F.lower(F.trim("post_name")), F.lit("")).alias("post"), level.alias("level"), stage.alias("stage"), recent.alias("recent"))
 
 
+#: Names up to so many characters are looked up by all their parts, at most 2080 of 22 characters on average.
+SHORT_NAME = 64
+
+
 def containing_posts(facts: DataFrame) -> DataFrame:
-    """(post, other) pairs of post names of which one contains the other, both ways; a blank name is none. Every part of a name is looked up among the names, so no pair of names is compared."""
-    names = facts.where("post is not null").select("post").distinct()
+    """(post, other) pairs of post names of which one contains the other, both ways; a blank name is none. Every part of a short name is looked up among the names; of long names, what contains a name is found by grams. Either way no pair of names is compared that shares nothing."""
+    names = written(facts.where("post is not null").select("post").distinct(), "post-names")
+    short = names.where(F.length("post") <= SHORT_NAME)
     part = F.expr("flatten(transform(sequence(1, length(post)), i -> transform(sequence(1, length(post) - i + 1), n -> substring(post, i, n))))")
-    parts = names.select("post", F.explode(F.array_distinct(part)).alias("other"))
+    parts = short.select("post", F.explode(F.array_distinct(part)).alias("other"))
     inner = parts.join(names.select(F.col("post").alias("other")), "other").select("post", "other")
+    long = names.where(F.length("post") > SHORT_NAME)
+    if not long.isEmpty():
+        held = occurrences(long.select(F.col("post").alias("id"), F.col("post").alias("text")), names.select(F.col("post").alias("term_id"), F.col("post").alias("term")))
+        inner = inner.union(held.select(F.col("id").alias("post"), F.col("term_id").alias("other")))
     return inner.union(inner.select("other", "post")).distinct()
 
 

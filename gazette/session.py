@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 _OWN_DIRS: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def scratch(spark: SparkSession) -> str:
@@ -27,9 +28,24 @@ def scratch(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read back: computed once however often it is read, also when executors are lost."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def written_tables(spark: SparkSession) -> list[str]:
+    """The tables that this application has written and not yet removed."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def remove_written(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of written() that nothing reads any more: all that was made from them has been written."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _WRITTEN[spark.sparkContext.applicationId].remove(path)
 
 
 def importable(spark: SparkSession) -> SparkSession:

@@ -231,3 +231,16 @@ def test_strict_related_items_ask_for_what_is_left(spark):
             tier = [r[0] for r in newest if value and r[place] == value and r[0] != own][: 6 - len(want)]
             want += [x for x in tier if x not in want]
         assert got[own] == want
+
+
+def test_names_within_names(spark, monkeypatch):
+    from gazette.operators import verify
+
+    rnd = random.Random(3)
+    names = {"".join(rnd.choice("ab ") for _ in range(rnd.randrange(1, 9))).strip() or "x" for _ in range(60)} | {"z" * 3000 + "ab", "b" + "z" * 70, "z"}
+    facts = spark.createDataFrame([(n,) for n in names] + [(None,), ("ab",)], "post string")
+    want = {(a, b) for a in names for b in names if a in b or b in a}
+    for short in (64, 3):
+        monkeypatch.setattr(verify, "SHORT_NAME", short)
+        got = [tuple(r) for r in verify.containing_posts(facts).collect()]
+        assert set(got) == want and len(got) == len(want)
