@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,6 +169,59 @@ def audit_statistics(notices: DataFrame, as_of: str, least: int = 65) -> DataFra
     return row.select("scanned", "pairs", "high", "review", (F.col("scanned") - F.col("paired")).alias("unpaired"), (F.col("scanned") - F.col("pairs")).alias("scanned_less_pairs"))
 
 
+#: Facets of a title, and what a pair of rows is told apart by besides: keys by rank, vacancy and last date.
+_TITLE, _KEYS = ("content_type", "year", "org", "rec", "norm"), BLOCKS[:-1]
+#: How two values stand to each other, as sums over: equal ones, both known, any.
+_STANDS = {"equal": {"eq": 1}, "different": {"nn": 1, "eq": -1}, "unknown": {"any": 1, "nn": -1}}
+
+
+def audit_titles(notices: DataFrame, as_of: str, least: int = 65) -> tuple[DataFrame, DataFrame]:
+    """R4, C5 without a row for each pair: (outcomes, members(id, title)). A title is all notices of one type, year, organization, recruitment and text; outcomes has a_title, b_title, confidence, tier, status and the number of pairs of notices that score so.
+
+    Beyond the titles a score depends on which key is equal, and on whether vacancy and last date are equal, different or
+    unknown. How many pairs stand so follows from sums of products: for each set of keys, the rows that agree on them
+    (by inclusion and exclusion, so that a pair counts under its first equal key, or under none), and with an equal, a
+    known or any vacancy and date. So rows follow the items and the pairs of titles, not the pairs of items.
+    """
+    if least < 56:
+        raise ValueError("pairs without a common key or organization reach 55: least must be 56 or more")
+    ids = written(identities(notices, as_of), "title-identities").withColumn("title", F.md5(F.to_json(F.struct(*_TITLE))))
+    rows = ids.groupBy("title", "content_type", "year", "org", "rec", *_KEYS, "vacancy", "ends").agg(F.count("*").alias("n"))
+    known = reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.col(k).isNotNull(), 1 << i).otherwise(0) for i, k in enumerate(_KEYS)])
+    sets = F.filter(F.sequence(F.lit(0), F.lit(2 ** len(_KEYS) - 1)), lambda s: s.bitwiseAND(known) == s)
+    kinds = lambda c: F.when(F.col(c).isNull(), F.array(F.lit("any"))).otherwise(F.array(F.lit("eq"), F.lit("nn"), F.lit("any")))
+    spread = rows.withColumn("keys", F.explode(sets)).withColumn("vk", F.explode(kinds("vacancy"))).withColumn("ek", F.explode(kinds("ends")))
+    spread = spread.where("keys > 0 or org is not null")
+    part = lambda c, when: F.when(when, F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"))).otherwise(F.lit("-"))
+    bits = [part(k, F.col("keys").bitwiseAND(1 << i) > 0) for i, k in enumerate(_KEYS)]
+    same = F.concat_ws("\u0001", "content_type", F.col("year").cast("string"), *bits, part("vacancy", F.col("vk") == "eq"), part("ends", F.col("ek") == "eq"), part("org", F.col("keys") == 0))
+    met = written(spread.groupBy("title", "org", "rec", "keys", "vk", "ek", same.alias("same")).agg(F.sum("n").alias("n")), "title-sums")
+    a, b = (_sides(met, side) for side in "ab")
+    on = (F.col("a_same") == F.col("b_same")) & (F.col("a_keys") == F.col("b_keys")) & (F.col("a_vk") == F.col("b_vk")) & (F.col("a_ek") == F.col("b_ek")) & (F.col("a_title") <= F.col("b_title"))
+    on = on & (F.col("a_rec").isNull() | F.col("b_rec").isNull() | (F.col("a_rec") == F.col("b_rec")))
+    product = F.when(F.col("a_title") == F.col("b_title"), F.expr("a_n * (a_n - 1) div 2")).otherwise(F.col("a_n") * F.col("b_n"))
+    one_org = F.coalesce(F.col("a_org") == F.col("b_org"), F.lit(False))
+    sums = a.join(b, on).groupBy("a_title", "b_title", one_org.alias("one_org"), F.col("a_keys").alias("keys"), F.col("a_vk").alias("vk"), F.col("a_ek").alias("ek")).agg(F.sum(product).alias("n"))
+    odd = F.when(F.bit_count("keys") % 2 == 1, -1).otherwise(1)
+    # an equal key: the first one, which is the last of the set by inclusion and exclusion
+    last = exprs.cases([(F.col("keys") >= 1 << i, k) for i, k in reversed(list(enumerate(_KEYS)))])
+    exact = sums.where("keys > 0 and vk = 'any' and ek = 'any'").select("a_title", "b_title", last.alias("key"), F.lit(None).cast("string").alias("vacancy"), F.lit(None).cast("string").alias("ends"), (-odd * F.col("n")).alias("n"))
+    # no equal key: of one organization
+    stands = F.explode(F.array(*[F.struct(F.lit(v).alias("vacancy"), F.lit(e).alias("ends"), F.lit(vk).alias("vk"), F.lit(ek).alias("ek"), F.lit(x * y).alias("sign")) for v, vs in _STANDS.items() for e, es in _STANDS.items() for vk, x in vs.items() for ek, y in es.items()]))
+    loose = sums.where("one_org").select("a_title", "b_title", "vk", "ek", (odd * F.col("n")).alias("n")).withColumn("s", stands).where("vk = s.vk and ek = s.ek")
+    loose = loose.select("a_title", "b_title", F.lit(None).cast("string").alias("key"), "s.vacancy", "s.ends", (F.col("n") * F.col("s.sign")).alias("n"))
+    counts = exact.unionByName(loose).groupBy("a_title", "b_title", "key", "vacancy", "ends").agg(F.sum("n").alias("pairs")).where("pairs > 0")
+    titles = ids.groupBy("title").agg(*[F.first(c).alias(c) for c in (*_TITLE, "tokens")])
+    pairs = counts.withColumnsRenamed({"vacancy": "_v", "ends": "_e"}).join(_sides(titles, "a"), "a_title").join(_sides(titles, "b"), "b_title")
+    for c in _KEYS:
+        equal = F.when(F.col("key") == c, F.lit("="))
+        pairs = pairs.withColumns({f"a_{c}": equal, f"b_{c}": equal})
+    for c, stand in (("vacancy", "_v"), ("ends", "_e")):
+        pairs = pairs.withColumns({f"a_{c}": F.when(F.col(stand).isin("equal", "different"), "1"), f"b_{c}": F.when(F.col(stand) == "equal", "1").when(F.col(stand) == "different", "2")})
+    graded = scored(pairs).where(F.col("confidence") >= least)
+    return graded.groupBy("a_title", "b_title", "confidence", "tier", "status").agg(F.sum("pairs").alias("pairs")), ids.select("id", "title")
+
+
 def _newest(columns: list[str]) -> Column:
     return F.min_by(F.struct(*columns), F.struct(F.col("created_at").isNull().alias("last"), (-F.unix_micros("created_at")).alias("age"), F.col("newest_id")))
 

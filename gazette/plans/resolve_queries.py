@@ -116,6 +116,19 @@ def _(v: Views) -> DataFrame:
     return rows.select(pick("a_name", "b_name").alias("a_class"), pick("b_name", "a_name").alias("b_class"), pick("a_n", "b_n").alias("a_n"), pick("b_n", "a_n").alias("b_n"), "pairs", "confidence", "tier", "status")
 
 
+_TITLED = "titled AS (SELECT *, min(id) OVER (PARTITION BY content_type, year, org, rec, norm) AS title FROM ids)"
+
+
+@query("r4_audit_titles", AUDIT.rstrip() + f", {_TITLED} SELECT least(a.title, b.title) AS a_title, greatest(a.title, b.title) AS b_title, confidence, tier, status, count(*) AS pairs FROM audit JOIN titled a ON a.id = a_id JOIN titled b ON b.id = b_id GROUP BY ALL")
+def _(v: Views) -> DataFrame:
+    """The audit by titles, each named by its least member, with the number of pairs of each score."""
+    outcomes, members = resolve.audit_titles(notices(v), AS_OF)
+    names = members.groupBy("title").agg(F.min("id").alias("name"))
+    for side in ("a", "b"):
+        outcomes = outcomes.join(names.select(F.col("title").alias(f"{side}_title"), F.col("name").alias(f"{side}_name")), f"{side}_title")
+    return outcomes.select(F.least("a_name", "b_name").alias("a_title"), F.greatest("a_name", "b_name").alias("b_title"), "confidence", "tier", "status", "pairs")
+
+
 @query("r4_audit_members", f"WITH {NOTICES}, {IDENT}, {_LABELLED} SELECT id, class, n FROM labelled")
 def _(v: Views) -> DataFrame:
     members = resolve.audit_classes(notices(v), AS_OF)[1]

@@ -244,3 +244,22 @@ def test_names_within_names(spark, monkeypatch):
         monkeypatch.setattr(verify, "SHORT_NAME", short)
         got = [tuple(r) for r in verify.containing_posts(facts).collect()]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_pairs_counted_by_titles_are_the_listed_ones(spark):
+    rnd = random.Random(11)
+    pick = lambda *x: rnd.choice([None, *x])
+    rows = [
+        {"id": f"n{i:03}", "type": rnd.choice(["job", "result"]), "title": rnd.choice(["SSC CGL Recruitment 2026", "SSC Recruitment 2026", "SSC PO posts 2026", "UPSC 2026 posts", "Board of works clerk"]), "advertisement_number": pick("1/26", "2/26"), "notification_number": pick(None, "n5"), "vacancy": pick("10", "20"),
+         "application_last_date": pick("2026-08-01", "2026-09-01"), "official_notification_url": pick(None, "u1", "u2"), "document_checksum": pick(None, "c1"), "t": i}
+        for i in range(120)
+    ]
+    df = notices(spark, rows)
+    outcomes, members = resolve.audit_titles(df, AS_OF)
+    title = {r["id"]: r["title"] for r in members.collect()}
+    want = defaultdict(int)
+    for r in resolve.duplicate_audit(df, AS_OF).collect():
+        want[(*sorted((title[r["a_id"]], title[r["b_id"]])), r["confidence"], r["tier"], r["status"])] += 1
+    got = {(*sorted((r["a_title"], r["b_title"])), r["confidence"], r["tier"], r["status"]): r["pairs"] for r in outcomes.collect()}
+    assert got == want and {k[2] for k in got} > {96, 98, 100}
+    assert resolve.audit_titles(df.limit(0), AS_OF)[0].collect() == []
