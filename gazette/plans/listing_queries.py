@@ -252,10 +252,10 @@ def _(v: Views) -> DataFrame:
 _PAGES = "pages_seen AS (SELECT concat('pg_', k) AS id, concat('https://', source, '.example.org/n/', k - k % 3) AS url, TIMESTAMP '2024-01-01 00:00:00' + MINUTES(CAST(u DIV 32 % 43200 AS INT)) AS last_changed_at FROM keyed_documents)"
 
 
-@query("c4_pending_pages", f"WITH {_PAGES}, last AS (SELECT source_url, arg_max(status, (updated_at, id)) AS status, max(updated_at) AS updated_at FROM content_items WHERE k % 4 <> 0 GROUP BY 1) SELECT p.id, p.url, p.last_changed_at FROM pages_seen p LEFT JOIN last i ON i.source_url = p.url WHERE i.source_url IS NULL OR i.status IN ('draft', 'review') OR p.last_changed_at > i.updated_at ORDER BY p.last_changed_at DESC, p.id LIMIT 10")
+@query("c4_pending_pages", f"WITH {_PAGES}, last AS (SELECT source_url, arg_max(status, (updated_at, id)) AS status, max(updated_at) AS updated_at FROM content_items WHERE status <> 'archived' GROUP BY 1) SELECT p.id, p.url, p.last_changed_at FROM pages_seen p LEFT JOIN last i ON i.source_url = p.url WHERE i.source_url IS NULL OR i.status IN ('draft', 'review') OR p.last_changed_at > i.updated_at ORDER BY p.last_changed_at DESC, p.id LIMIT 10")
 def _(v: Views) -> DataFrame:
     pages = v.keyed_documents.selectExpr("concat('pg_', k) as id", "concat('https://', source, '.example.org/n/', k - k % 3) as url", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(u div 32 % 43200 as int)) as last_changed_at")
-    return listing.pending_pages(pages, v.content_items.where("k % 4 <> 0"))
+    return listing.pending_pages(pages, v.content_items.where("status <> 'archived'"))
 
 
 @query("x5_discovered_union", "SELECT page_id AS id, 'html' AS format, length(html)::VARCHAR AS n, NULL::VARCHAR AS query FROM {pages} UNION ALL SELECT event_id, 'search', NULL, query FROM search_events")
