@@ -7,8 +7,12 @@ are taken once. Members of a bucket are then compared exactly, with their whole
 ``TILE`` texts and ``TILE_ELEMENTS`` shingles, about; a group gives a spanning forest of its links, never its pairs. In a
 larger bucket all members are compared with a few pivots first, and those that these connect aren't compared with each
 other again (see ``groups``). Components of the links are the classes. Every pair that shares a bucket is compared, or
-known to be connected, or known by the distances from the pivots not to be linked, so no link is left out but for the
-probability above.
+known to be connected, or known by the distances from the pivots, or by the prefixes of ``finer``, not to be linked, so no
+link is left out but for the probability above.
+
+With ``weighted`` texts are bags: a shingle weighs as often as it occurs, signatures throw darts under these weights, and
+the similarity is the sum of the lesser weights over the sum of the greater ones. The comparison writes the n-th occurrence
+of a shingle as an element of its own, which makes that the similarity of sets. The default weighs every shingle 1.
 
 Defined results. A null text is a class of its own; of null texts, those that share a doc_id, null ids too, share one. Texts without words are linked to equal texts only. Repeated rows
 and exact copies are in one class. The class id is the least doc_id of the class, ignoring nulls. An empty table gives
@@ -37,6 +41,7 @@ NUM, DEN = 4, 5
 STEP_WORDS = 1 << 16
 _TABLE_WORDS = 200_000
 _WORD_TABLE: dict[bytes, int] = {}
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 _PRIMES = np.array([pow(0x9E3779B97F4A7C15, SHINGLE - i, 1 << 64) for i in range(SHINGLE)], np.uint64)
 
 
@@ -55,8 +60,8 @@ def _forget() -> None:
     give_back_memory()
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
+def _occurrences(text: str | None) -> np.ndarray:
+    """Hashes of the text's shingles in their order."""
     words = (text or "").lower().encode("utf-8", "surrogatepass").split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -67,7 +72,20 @@ def shingles(text: str | None) -> np.ndarray:
     total = np.zeros(n, np.uint64)
     for i in range(SHINGLE):
         total += h[i : i + n] * _PRIMES[i]
-    return np.unique(mix(total))
+    return mix(total)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles."""
+    return np.unique(_occurrences(text))
+
+
+def numbered(text: str | None) -> np.ndarray:
+    """Like shingles, but the n-th occurrence of a shingle is an element of its own; the first is the shingle itself."""
+    found, counts = np.unique(_occurrences(text), return_counts=True)
+    nth = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64)
+    each = np.repeat(found, counts)
+    return np.unique(np.where(nth == 0, each, mix(each + nth * _GOLD)))
 
 
 def key_of(text: str = "text") -> Column:
@@ -75,34 +93,35 @@ def key_of(text: str = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), F.col(text)), F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit(""))))
 
 
-def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, key, size, bands): a row's number of shingles, and a 64-bit hash for each band of its signature."""
+def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+    """(doc_id, key, size, bands): the weight of a row's shingles, and a 64-bit hash for each band of its signature."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(1, bands + 1).astype(np.uint64)
         for batch in batches:
             texts = batch.column("text")
             out: list[np.ndarray | None] = [None] * batch.num_rows
-            held: list[tuple[int, np.ndarray]] = []
+            held: list[tuple[int, np.ndarray, np.ndarray]] = []
 
             def flush() -> None:
                 if held:
-                    sizes = np.array([len(s) for _, s in held])
-                    elements = np.concatenate([s for _, s in held])
-                    signature = signatures(elements, np.ones(len(elements)), sizes, bands * rows).reshape(len(held), bands, rows)
+                    sizes = np.array([len(s) for _, s, _ in held])
+                    elements, weights = (np.concatenate([x[n] for x in held]) for n in (1, 2))
+                    signature = signatures(elements, weights, sizes, bands * rows).reshape(len(held), bands, rows)
                     h = np.zeros((len(held), bands), np.uint64) + salt
                     for r in range(rows):
                         h = mix(h * np.uint64(31) + signature[:, :, r])
-                    for (i, _), x in zip(held, h.view(np.int64), strict=True):
+                    for (i, _, _), x in zip(held, h.view(np.int64), strict=True):
                         out[i] = x
                     held.clear()
 
             due, counts = 0, np.zeros(batch.num_rows, np.int64)
             for i in range(batch.num_rows):
-                found = shingles(texts[i].as_py())
-                counts[i] = len(found)
+                found, times = np.unique(_occurrences(texts[i].as_py()), return_counts=True)
+                weights = times.astype(np.float64) if weighted else np.ones(len(found))
+                counts[i] = weights.sum()
                 if len(found):
-                    held.append((i, found))
+                    held.append((i, found, weights))
                     due += len(found)
                     if due >= STEP_WORDS:
                         flush()
@@ -241,18 +260,19 @@ def pivoted(members: DataFrame, sets: DataFrame) -> DataFrame:
     return grouped.mapInArrow(compare, "bucket long, key binary, size long, state int, other binary")
 
 
-def groups(members: DataFrame, sets: DataFrame, tile: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(groups(bucket, kind, x, y, tail, key) whose members are to be compared, links that are found on the way) for members(bucket, key, size).
+def groups(members: DataFrame, sets: DataFrame, tile: int, kind: int = 0) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """(groups(bucket, kind, x, y, tail, key) whose members are to be compared, links that are found on the way, what is left) for members(bucket, key, size).
 
     A bucket of one tile is one group. A larger one is compared with pivots first: settled members are of one component, so
     no two of them are compared again. The fringe meets the settled ones, tile by tile, as heads and tails. The rest goes
-    another round as long as a quarter of a bucket settles in each; then its tiles meet in pairs.
+    another round as long as a quarter of a bucket settles in each; then members(bucket, key, size, tiles) of more than a
+    tile are left.
     """
     counts = cut(members.groupBy(F.col("bucket").alias("_b")).agg(_tiles("true", tile).alias("tiles")).where("tiles > 1"), "near-large")
     due = members.join(counts, F.col("bucket") == F.col("_b"), "left")
     whole = [F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(False).alias("tail"), F.col("key")]
-    parts, found = [due.where("tiles is null").select("bucket", F.lit(0).alias("kind"), *whole)], []
-    due, kind = due.where("tiles is not null").select("bucket", "key", "size", "tiles"), 0
+    parts, found, left = [due.where("tiles is null").select("bucket", F.lit(kind).alias("kind"), *whole)], [], []
+    due = due.where("tiles is not null").select("bucket", "key", "size", "tiles")
     while due.limit(1).count():
         kind += 2
         placed = cut(pivoted(due, sets), "near-pivoted")
@@ -268,36 +288,97 @@ def groups(members: DataFrame, sets: DataFrame, tile: int) -> tuple[DataFrame, l
         parts.append(placed.where((F.col("state") == SETTLED) & F.col("fringed")).select("bucket", F.lit(kind).alias("kind"), every("f_tiles").alias("x"), _tile("key", "s_tiles").alias("y"), F.lit(True).alias("tail"), "key"))
         rest = placed.where(F.col("state") != SETTLED)
         due = rest.where("going and tiles > 1").select("bucket", "key", "size", "tiles")
-        mine = _tile("key", "tiles")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda other: F.struct(F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y")))  # noqa: B023
-        last = rest.where("not (going and tiles > 1)").select("bucket", F.explode(pairs).alias("tile"), "key")
-        parts.append(last.select("bucket", F.lit(kind + 1).alias("kind"), "tile.x", "tile.y", F.lit(False).alias("tail"), "key"))
-    return reduce(DataFrame.unionByName, parts), found
+        done = rest.where("not (going and tiles > 1)")
+        parts.append(done.where("tiles = 1").select("bucket", F.lit(kind + 1).alias("kind"), *whole))
+        left.append(done.where("tiles > 1").select("bucket", "key", "size", "tiles"))
+    return reduce(DataFrame.unionByName, parts), found, reduce(DataFrame.unionByName, left) if left else None
+
+
+def _pairs_of_tiles(members: DataFrame, kind: int) -> DataFrame:
+    """Groups in which every two of members(bucket, key, tiles) of a bucket meet."""
+    mine = _tile("key", "tiles")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda other: F.struct(F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y")))
+    return members.select("bucket", F.explode(pairs).alias("tile"), "key").select("bucket", F.lit(kind).alias("kind"), "tile.x", "tile.y", F.lit(False).alias("tail"), "key")
+
+
+#: Sizes from one power of this to the next are a class.
+STEP = 1.05
 
 
-def links(docs: DataFrame, signed: DataFrame, tile: int = TILE) -> DataFrame:
+def finer(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(bucket, key, size): members(bucket, key, size) of large buckets in smaller ones, in which every two linked members of a bucket meet.
+
+    Linked sets of sizes a and b have (a + b) * NUM / (NUM + DEN) elements in common at least. Where the elements of a bucket
+    stand in one order, here the rarest in the bucket first, the first element that two linked sets have in common is
+    therefore among the a + 1 minus that many first of the one, and likewise of the other. So each element of such a prefix
+    is a bucket, apart for each pair of size classes, as the least size of the partner's class bounds the prefix. Texts that
+    only have a frequent part in common have none of their prefixes' elements in common.
+    """
+    size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(STEP))).cast("int")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                elements = np.frombuffer(batch.column("elements")[i].as_buffer(), np.int64)
+                same = [pa.repeat(batch.column(c)[i], len(elements)) for c in ("bucket", "key", "size")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(elements)], names=["bucket", "key", "size", "element"])
+
+    each = members.join(sets, F.col("key") == F.col("_key")).select("bucket", "key", "size", "elements").mapInArrow(spread, "bucket long, key binary, size long, element long")
+    often = each.groupBy(F.col("bucket").alias("_b"), F.col("element").alias("_e")).agg(F.count("*").alias("n")).where("n > 1")
+    ordered = Window.partitionBy("bucket", "key").orderBy(F.coalesce("n", F.lit(1)), "element")  # a text's elements
+    ranked = each.join(often, (F.col("bucket") == F.col("_b")) & (F.col("element") == F.col("_e")), "left").withColumn("r", F.row_number().over(ordered)).where("n > 1")
+    # longer than any prefix: a partner has four fifths of the size at least
+    ranked = ranked.where((F.col("r") - 1) * DEN <= F.col("size") * (DEN - NUM))
+    size, of = F.col("size"), F.col("of")
+    partners = F.sequence(size_class(F.greatest(F.lit(1), F.floor(size * NUM / DEN))) - 1, size_class(F.ceil(size * DEN / NUM)) + 1)
+    least = F.floor(F.pow(F.lit(STEP), of) * (1 - 1e-9))
+    mine = ranked.withColumn("mine", size_class(size)).withColumn("of", F.explode(partners)).where((F.col("r") - 1) * (NUM + DEN) <= size * (NUM + DEN) - (size + least) * NUM)
+    small = cut(mine.select(F.xxhash64("bucket", "element", F.least("mine", "of"), F.greatest("mine", "of")).alias("bucket"), "key", "size", "mine", (F.col("mine") == F.col("of")).alias("same")), "near-prefixes")
+    # a bucket of two classes is for pairs across them
+    met = small.groupBy(F.col("bucket").alias("_b")).agg(F.min("mine").alias("low"), F.max("mine").alias("high"), F.max("same").alias("one")).where("one or low < high").select("_b")
+    return _in_buckets(small.join(met, F.col("bucket") == F.col("_b"), "left_semi").select("bucket", "key", "size"))
+
+
+def _in_buckets(each: DataFrame) -> DataFrame:
+    """The rows of each(bucket, key, size) in buckets that buckets() chooses, once each."""
+    chosen = cut(buckets(each), "near-buckets")
+    return cut(each.join(chosen.withColumnRenamed("bucket", "_bucket"), F.col("bucket") == F.col("_bucket")).select("bucket", "key", "size").distinct(), "near-members")
+
+
+def links(docs: DataFrame, signed: DataFrame, tile: int = TILE, weighted: bool = False) -> DataFrame:
     """(u, v): keys of linked texts, enough of them to connect each class."""
     each = signed.select("key", "size", F.explode("bands").alias("bucket"))
-    chosen = cut(buckets(each), "near-buckets")
-    members = cut(each.join(chosen.withColumnRenamed("bucket", "_bucket"), F.col("bucket") == F.col("_bucket")).select("bucket", "key", "size").distinct(), "near-members")
+    members = _in_buckets(each)
     one = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut(members.select("key").distinct().join(one, "key"), "near-wanted").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"))
     # wanted grows with the corpus, so it isn't broadcast even where it would fit now
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key_of().alias("_content"))
     texts = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_content") == F.col("_key"))).select("_key", "text")
 
+    elements_of = numbered if weighted else shingles
+
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array([shingles(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], names=["_key", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array([elements_of(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], names=["_key", "elements"])
         _forget()
 
     sets = cut(texts.mapInArrow(to_sets, "_key binary, elements binary"), "near-sets")
     return linked(members, sets, tile)
 
 
+def dealt_groups(members: DataFrame, sets: DataFrame, tile: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The groups and links of groups(); what is left goes into finer buckets, and what is left of those meets tile by tile."""
+    dealt, found, left = groups(members, sets, tile)
+    if left is None or left.limit(1).count() == 0:
+        return dealt, found
+    more, found_later, left = groups(finer(left.select("bucket", "key", "size"), sets), sets, tile, 1 << 20)
+    parts = [dealt, more] if left is None else [dealt, more, _pairs_of_tiles(left, 1 << 21)]
+    return reduce(DataFrame.unionByName, parts), found + found_later
+
+
 def linked(members: DataFrame, sets: DataFrame, tile: int = TILE) -> DataFrame:
     """(u, v): links within the buckets of members(bucket, key, size), enough to connect their components. sets: (_key, elements)."""
-    dealt, found_before = groups(members, sets, tile)
+    dealt, found_before = dealt_groups(members, sets, tile)
     joined = dealt.join(sets, F.col("key") == F.col("_key")).select("bucket", "kind", "x", "y", "tail", "key", "elements")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,21 +408,21 @@ def linked(members: DataFrame, sets: DataFrame, tile: int = TILE) -> DataFrame:
     return reduce(DataFrame.unionByName, found_before, grouped.mapInArrow(compare, "u binary, v binary"))
 
 
-def classes(docs: DataFrame, tile: int = TILE) -> DataFrame:
-    """(doc_id, key, class_id) for every row of docs(doc_id, text)."""
+def classes(docs: DataFrame, tile: int = TILE, weighted: bool = False) -> DataFrame:
+    """(doc_id, key, class_id) for every row of docs(doc_id, text); weighted: by shingles' counts."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     outside = cuts(spark)
-    signed = cut(banded(docs), "near-signed")
-    roots = components(cut(links(docs, signed, tile), "near-links")).select(F.col("node").alias("_node"), "root")
+    signed = cut(banded(docs, weighted=weighted), "near-signed")
+    roots = components(cut(links(docs, signed, tile, weighted), "near-links")).select(F.col("node").alias("_node"), "root")
     placed = cut(signed.select("doc_id", "key").join(roots, F.col("key") == F.col("_node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("root")), "near-placed")
     heads = cut(placed.groupBy("root").agg(F.min("doc_id").alias("class_id")), "near-heads").select(F.col("root").alias("_root"), "class_id")
     remove(spark, [p for p in cuts(spark)[:-2] if p not in outside])  # all but the two tables of the result
     return placed.join(heads, F.col("root") == F.col("_root")).select("doc_id", "key", "class_id")
 
 
-def deduped(docs: DataFrame) -> DataFrame:
+def deduped(docs: DataFrame, weighted: bool = False) -> DataFrame:
     """The rows of docs whose doc_id is their class's least; rows with a null doc_id stay only where their class has no other."""
-    gone = classes(docs).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct()
+    gone = classes(docs, weighted=weighted).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct()
     keyed = docs.withColumn("_content", key_of())
     return keyed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_content") == F.col("_gone_key")), "left_anti").drop("_content")

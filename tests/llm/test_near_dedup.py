@@ -59,11 +59,12 @@ def test_components(spark):
     assert got == {x: root(x) for p in pairs if p[0] != p[1] for x in p}
 
 
-def brute(rows):
-    sets = []
+def brute(rows, weighted=False):
+    bags = []
     for _, text in rows:
         w = (text or "").lower().split()
-        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+        bag = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+        bags.append(bag if weighted else Counter(set(bag)))
     up = list(range(len(rows)))
 
     def root(x):
@@ -73,8 +74,8 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            a, b = sets[i], sets[j]
-            near = bool(a | b) and 5 * len(a & b) >= 4 * len(a | b)
+            a, b = bags[i], bags[j]
+            near = bool(a | b) and 5 * (a & b).total() >= 4 * (a | b).total()
             if near or (rows[i][1] is not None and rows[i][1] == rows[j][1]) or (rows[i][1] is None and rows[j] == rows[i]):
                 x, y = root(i), root(j)
                 up[max(x, y)] = min(x, y)
@@ -144,6 +145,65 @@ def test_large_buckets_lose_no_link(spark, monkeypatch, pivots):
     assert 5 < len({want.root(i) for i in range(len(sets))}) < 120
 
 
+def test_classes_by_weights_are_those_of_brute_force(spark):
+    """Repeated lines weigh as often as they occur: some texts are near by weights only, some by sets only."""
+    rnd = random.Random(12)
+    text = lambda n: " ".join(rnd.choice(WORDS) for _ in range(n))
+    rows = [(1, None), (2, ""), (3, "a b c d"), (4, "A b c d")]
+    for base in range(10):
+        line, body = text(12), text(60)
+        for copy in range(6):
+            other = text(rnd.choice([4, 15, 40]))
+            times = rnd.choice([1, 1, 20, 21, 60])
+            rows.append((100 * base + copy + 20, rnd.choice(["{b} {r} {o}", "{r} {b}", "{r} {o}", "{b} {r}"]).format(b=body, o=other, r=" ".join([line] * times))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for weighted in (False, True):
+        roots, least = brute(rows, weighted), {}
+        for (i, _), r in zip(rows, roots, strict=True):
+            least[r] = min(least.get(r, i), i)
+        got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs, weighted=weighted).collect()}
+        assert got == {i: least[r] for (i, _), r in zip(rows, roots, strict=True)}
+    assert brute(rows) != brute(rows, True)
+
+
+def _bucket(spark, sets):
+    members = spark.createDataFrame([(1, i.to_bytes(2), len(x)) for i, x in enumerate(sets)], "bucket long, key binary, size long")
+    return members, spark.createDataFrame([(i.to_bytes(2), np.array(sorted(x), np.uint64).tobytes()) for i, x in enumerate(sets)], "_key binary, elements binary")
+
+
+@pytest.mark.parametrize("common", [60, 85])
+def test_a_bucket_of_strangers_costs_rows_in_proportion_to_its_members(spark, common):
+    """All members have a frequent part in common, which isn't enough for a link; a few pairs are linked."""
+    rnd = random.Random(3)
+    for n in (100, 300):
+        sets = [{*range(common), *(rnd.randrange(1000, 10**9) for _ in range(100 - common))} for _ in range(n)]
+        for i in range(0, 20, 2):
+            sets[i + 1] = set(sorted(sets[i])[:97]) | {rnd.randrange(1000, 10**9) for _ in range(3)}
+        members, rows = _bucket(spark, sets)
+        dealt, found = near_dedup.dealt_groups(members, rows, 8)
+        assert dealt.count() <= 4 * n
+        links = {frozenset((r["u"], r["v"])) for r in near_dedup.linked(members, rows, 8).collect()}
+        assert links == {frozenset((i.to_bytes(2), (i + 1).to_bytes(2))) for i in range(0, 20, 2)}
+
+
+def test_finer_buckets_lose_no_link(spark):
+    """Sets of many sizes around the limit of similarity: every linked pair meets in a finer bucket."""
+    rnd = random.Random(5)
+    sets = [set(range(k)) for k in range(1, 12)] + [{10**6 + k} for k in range(3)]
+    for base in range(8):
+        whole = [rnd.randrange(10**9) for _ in range(rnd.choice([5, 9, 20, 100]))]
+        for _ in range(12):
+            kept = rnd.sample(whole, max(1, int(len(whole) * rnd.choice([0.8, 0.85, 0.9, 1]))))
+            sets.append(set(kept) | {rnd.randrange(10**9) for _ in range(rnd.choice([0, 0, 1, len(whole) // 10]))})
+    members, rows = _bucket(spark, sets)
+    together = {}
+    for r in near_dedup.finer(members, rows).collect():
+        together.setdefault(r["bucket"], set()).add(int.from_bytes(r["key"]))
+    met = {(i, j) for group in together.values() for i in group for j in group if i < j}
+    wanted = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and 5 * len(a & b) >= 4 * len(a | b)}
+    assert wanted and wanted <= met
+
+
 def test_empty(spark):
     assert near_dedup.classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
