@@ -101,12 +101,13 @@ def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: bool
         for batch in batches:
             texts = batch.column("text")
             out: list[np.ndarray | None] = [None] * batch.num_rows
-            held: list[tuple[int, np.ndarray, np.ndarray]] = []
+            held: list[tuple[int, np.ndarray, np.ndarray | None]] = []
 
             def flush() -> None:
                 if held:
                     sizes = np.array([len(s) for _, s, _ in held])
-                    elements, weights = (np.concatenate([x[n] for x in held]) for n in (1, 2))
+                    elements = np.concatenate([s for _, s, _ in held])
+                    weights = np.concatenate([t for _, _, t in held]).astype(np.float64) if weighted else np.ones(len(elements))
                     signature = signatures(elements, weights, sizes, bands * rows).reshape(len(held), bands, rows)
                     h = np.zeros((len(held), bands), np.uint64) + salt
                     for r in range(rows):
@@ -117,11 +118,14 @@ def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: bool
 
             due, counts = 0, np.zeros(batch.num_rows, np.int64)
             for i in range(batch.num_rows):
-                found, times = np.unique(_occurrences(texts[i].as_py()), return_counts=True)
-                weights = times.astype(np.float64) if weighted else np.ones(len(found))
-                counts[i] = weights.sum()
+                if weighted:
+                    found, times = np.unique(_occurrences(texts[i].as_py()), return_counts=True)
+                    counts[i] = times.sum()
+                else:
+                    found, times = shingles(texts[i].as_py()), None
+                    counts[i] = len(found)
                 if len(found):
-                    held.append((i, found, weights))
+                    held.append((i, found, times))
                     due += len(found)
                     if due >= STEP_WORDS:
                         flush()
