@@ -333,10 +333,17 @@ def finer(members: DataFrame, sets: DataFrame) -> DataFrame:
     ranked = each.join(often, (F.col("bucket") == F.col("_b")) & (F.col("element") == F.col("_e")), "left").withColumn("r", F.row_number().over(ordered)).where("n > 1")
     # longer than any prefix: a partner has four fifths of the size at least
     ranked = ranked.where((F.col("r") - 1) * DEN <= F.col("size") * (DEN - NUM))
-    size, of = F.col("size"), F.col("of")
-    partners = F.sequence(size_class(F.greatest(F.lit(1), F.floor(size * NUM / DEN))) - 1, size_class(F.ceil(size * DEN / NUM)) + 1)
-    least = F.floor(F.pow(F.lit(STEP), of) * (1 - 1e-9))
-    mine = ranked.withColumn("mine", size_class(size)).withColumn("of", F.explode(partners)).where((F.col("r") - 1) * (NUM + DEN) <= size * (NUM + DEN) - (size + least) * NUM)
+    # of the partner's classes only those in the bucket count; their number grows with the logarithm of the longest text's size
+    present = cut(members.groupBy(F.col("bucket").alias("_in")).agg(F.collect_set(size_class(F.col("size"))).alias("classes")), "near-classes")
+    size = F.col("size")
+    least = lambda of: F.floor(F.pow(F.lit(STEP), of) * (1 - 1e-9))
+
+    def within(of: Column) -> Column:
+        """The class holds sizes of partners, and the element is in the prefix for it."""
+        in_reach = (least(of) * NUM <= size * DEN) & ((least(of + 1) + 1) * DEN >= size * NUM)
+        return in_reach & ((F.col("r") - 1) * (NUM + DEN) <= size * (NUM + DEN) - (size + least(of)) * NUM)
+
+    mine = ranked.join(present, F.col("bucket") == F.col("_in")).withColumn("mine", size_class(size)).withColumn("of", F.explode(F.filter("classes", within)))
     small = cut(mine.select(F.xxhash64("bucket", "element", F.least("mine", "of"), F.greatest("mine", "of")).alias("bucket"), "key", "size", "mine", (F.col("mine") == F.col("of")).alias("same")), "near-prefixes")
     # a bucket of two classes is for pairs across them
     met = small.groupBy(F.col("bucket").alias("_b")).agg(F.min("mine").alias("low"), F.max("mine").alias("high"), F.max("same").alias("one")).where("one or low < high").select("_b")
