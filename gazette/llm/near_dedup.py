@@ -377,14 +377,22 @@ def links(docs: DataFrame, signed: DataFrame, tile: int = TILE, weighted: bool =
     return linked(members, sets, tile)
 
 
+#: Up to this many tiles of a bucket meet in pairs, each set copied once a tile: that is less work than a row for each element.
+PAIRED_TILES = 32
+
+
 def dealt_groups(members: DataFrame, sets: DataFrame, tile: int) -> tuple[DataFrame, list[DataFrame]]:
-    """The groups and links of groups(); what is left goes into finer buckets, and what is left of those meets tile by tile."""
+    """The groups and links of groups(); what it leaves meets tile by tile, but for buckets of many tiles, which go into finer ones first."""
     dealt, found, left = groups(members, sets, tile)
-    if left is None or left.limit(1).count() == 0:
+    if left is None:
         return dealt, found
-    more, found_later, left = groups(finer(left.select("bucket", "key", "size"), sets), sets, tile, 1 << 20)
-    parts = [dealt, more] if left is None else [dealt, more, _pairs_of_tiles(left, 1 << 21)]
-    return reduce(DataFrame.unionByName, parts), found + found_later
+    parts = [dealt, _pairs_of_tiles(left.where(F.col("tiles") <= PAIRED_TILES), 1 << 20)]
+    many = left.where(F.col("tiles") > PAIRED_TILES).select("bucket", "key", "size")
+    if many.limit(1).count():
+        more, found_later, left = groups(finer(many, sets), sets, tile, 1 << 21)
+        parts += [more] if left is None else [more, _pairs_of_tiles(left, 1 << 22)]
+        found = found + found_later
+    return reduce(DataFrame.unionByName, parts), found
 
 
 def linked(members: DataFrame, sets: DataFrame, tile: int = TILE) -> DataFrame:

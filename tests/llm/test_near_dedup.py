@@ -172,8 +172,9 @@ def _bucket(spark, sets):
 
 
 @pytest.mark.parametrize("common", [60, 85])
-def test_a_bucket_of_strangers_costs_rows_in_proportion_to_its_members(spark, common):
+def test_a_bucket_of_strangers_costs_rows_in_proportion_to_its_members(spark, monkeypatch, common):
     """All members have a frequent part in common, which isn't enough for a link; a few pairs are linked."""
+    monkeypatch.setattr(near_dedup, "PAIRED_TILES", 4)
     rnd = random.Random(3)
     for n in (100, 300):
         sets = [{*range(common), *(rnd.randrange(1000, 10**9) for _ in range(100 - common))} for _ in range(n)]
