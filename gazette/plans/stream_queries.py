@@ -199,7 +199,7 @@ def _(v: Views) -> DataFrame:
 
 @query("x2_first_reason", alert_queries.MATCH + "SELECT way, count(*) AS n, count(DISTINCT user_id) AS users FROM matched GROUP BY way")
 def _(v: Views) -> DataFrame:
-    return alert_queries.matched(v).groupBy("way").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    return alert_queries.alerts.reasons(alert_queries.new_items(v), *alert_queries.facts(v))
 
 
 @query("x4_title_similarity", "SELECT a.id AS a_id, b.id AS b_id, len(list_intersect(string_split(lower(a.title), ' '), string_split(lower(b.title), ' ')))::DOUBLE / len(list_distinct(list_concat(string_split(lower(a.title), ' '), string_split(lower(b.title), ' ')))) AS similarity FROM content_items a JOIN content_items b ON b.k = a.k + 1")
