@@ -131,7 +131,7 @@ def _(v: Views) -> DataFrame:
 
 @query("r4_audit_members", f"WITH {NOTICES}, {IDENT}, {_LABELLED} SELECT id, class, n FROM labelled")
 def _(v: Views) -> DataFrame:
-    members = resolve.audit_classes(notices(v), AS_OF)[1]
+    members = written(resolve.audit_members(notices(v), AS_OF), "audit-members")
     return members.join(members.groupBy("class").agg(F.min("id").alias("name"), F.count("*").alias("n")), "class").select("id", F.col("name").alias("class"), "n")
 
 
