@@ -94,7 +94,7 @@ def _(v: Views) -> DataFrame:
 
 @query("c11_pair_enrichment", AUDIT + "SELECT a_id, b_id, confidence, a.title AS a_title, b.title AS b_title FROM audit JOIN content_items a ON a.id = a_id LEFT JOIN content_items b ON b.id = b_id WHERE audit.status = 'review_required' ORDER BY confidence DESC, a_id, b_id LIMIT 50")
 def _(v: Views) -> DataFrame:
-    top = audit(v).where("status = 'review_required'").select("a_id", "b_id", "confidence").orderBy(F.desc("confidence"), "a_id", "b_id").limit(50)
+    top = resolve.first_pairs(notices(v), AS_OF, "review_required", 50).select("a_id", "b_id", "confidence")
     items = v.content_items
     return top.join(items.selectExpr("id as a_id", "title as a_title"), "a_id").join(items.selectExpr("id as b_id", "title as b_title"), "b_id", "left")
 
