@@ -10,6 +10,7 @@ from gazette.operators import listing, search
 from gazette.operators.pages import Pages
 from gazette.plans.registry import query
 from gazette.plans.views import AS_OF, Views
+from gazette.session import written
 from gazette.sources import tables
 
 STATUS = f"""CASE WHEN type = 'result' THEN 'Result Released' WHEN type = 'admit_card' THEN 'Admit Card Released' WHEN type = 'answer_key' THEN 'Answer Key Released'
@@ -174,7 +175,8 @@ def _(v: Views) -> DataFrame:
     items = v.content_items
     # a user counts once per organization, before organizations fan out to items
     savers = v.saved_items.join(items.where("type = 'job' and organization_id is not null").selectExpr("id as content_item_id", "organization_id"), "content_item_id").select("organization_id", "user_id").distinct()
-    new = items.where("status = 'published' and created_at >= timestamp'2024-01-30 00:00:00'").selectExpr("id as item_id", "organization_id")
+    # written, so that their size is known: few enough to be broadcast, they leave no organization's savers to be sorted and buffered
+    new = written(items.where("status = 'published' and created_at >= timestamp'2024-01-30 00:00:00' and organization_id is not null").selectExpr("id as item_id", "organization_id"), "new-of-organizations")
     return new.join(savers, "organization_id").select("item_id", "user_id")
 
 
