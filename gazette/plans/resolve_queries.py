@@ -315,7 +315,8 @@ def _(v: Views) -> DataFrame:
 @query("r3_candidates", f"WITH {NOTICES}, {IDENT}, {_pairs('ids', 'ids', 'a.id < b.id AND (a.advt = b.advt OR a.pdf = b.pdf OR a.org = b.org) AND (a.rec IS NULL OR b.rec IS NULL OR a.rec = b.rec)')} SELECT a_id, b_id FROM pairs")
 def _(v: Views) -> DataFrame:
     ids = resolve.identities(notices(v), AS_OF)
-    return resolve.candidates(ids, ids, ordered=True).select("a_id", "b_id")
+    of_one, others = resolve.pairs_of(ids)
+    return of_one.select("a_id", "b_id").unionByName(others.select("a_id", "b_id"))
 
 
 @query("r2_pair_scores", f"WITH {NOTICES}, {IDENT}, {_pairs('ids', 'ids', 'a.id < b.id AND (a.advt = b.advt OR a.pdf = b.pdf OR a.org = b.org) AND (a.rec IS NULL OR b.rec IS NULL OR a.rec = b.rec)')}, {SCORE} SELECT a_id, b_id, confidence, tier, status FROM scored")
