@@ -107,10 +107,7 @@ SELECT least(a.class, b.class) AS a_class, greatest(a.class, b.class) AS b_class
 FROM audit JOIN labelled a ON a.id = a_id JOIN labelled b ON b.id = b_id GROUP BY 1, 2""")
 def _(v: Views) -> DataFrame:
     """The audit by classes, each named by its least member."""
-    pairs, members = resolve.audit_classes(notices(v), AS_OF)
-    names = members.groupBy("class").agg(F.min("id").alias("name"))
-    a, b = (names.select(F.col("class").alias(f"{side}_class"), F.col("name").alias(f"{side}_name")) for side in ("a", "b"))
-    rows = resolve.audit_pairs(pairs).join(a, "a_class").join(b, "b_class")
+    rows = resolve.audit_pairs(resolve.audit_classes(notices(v), AS_OF)[0])
     turned = F.col("a_name") > F.col("b_name")
     pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
     return rows.select(pick("a_name", "b_name").alias("a_class"), pick("b_name", "a_name").alias("b_class"), pick("a_n", "b_n").alias("a_n"), pick("b_n", "a_n").alias("b_n"), "pairs", "confidence", "tier", "status")
